@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lapwing.llm import ann
+from lapwing.llm.chat import link_quotations
 from lapwing.llm.common import read
+from lapwing.llm.licenses import license_scan
 from lapwing.llm.mixing import MIX_SQL, mix
 from lapwing.llm.packing import pack
 from lapwing.llm.quality import quality_report
@@ -27,6 +29,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents"))
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotations(read(spark, sf_dir, "conversations"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
@@ -35,6 +45,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op5_packing": op5_packing,
+    "op6_license_scan": op6_license_scan,
+    "op7_chat_formatting": op7_chat_formatting,
     "op9_mixing": op9_mixing,
 }
 
