@@ -12,6 +12,7 @@ from lapwing.llm.chat import link_quotations
 from lapwing.llm.common import read
 from lapwing.llm.licenses import license_scan
 from lapwing.llm.mixing import MIX_SQL, mix
+from lapwing.llm.ngram_join import near_duplicates
 from lapwing.llm.packing import pack
 from lapwing.llm.quality import quality_report
 
@@ -37,6 +38,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotations(read(spark, sf_dir, "conversations"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_license_scan": op6_license_scan,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_mixing": op9_mixing,
 }
 
