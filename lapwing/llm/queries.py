@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lapwing.llm import ann
 from lapwing.llm.chat import link_quotations
@@ -15,6 +16,7 @@ from lapwing.llm.mixing import MIX_SQL, mix
 from lapwing.llm.ngram_join import near_duplicates
 from lapwing.llm.packing import pack
 from lapwing.llm.quality import quality_report
+from lapwing.llm.substring_dedup import remove_repeated_words
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +48,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_words(read(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return out.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_nearest_neighbours": op3_nearest_neighbours,
@@ -54,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_mixing": op9_mixing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {"op9_mixing": MIX_SQL}
