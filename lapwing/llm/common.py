@@ -38,6 +38,7 @@ def table(df: DataFrame, label: str) -> DataFrame:
     if not _MADE:
         atexit.register(_clean)
     _MADE.append((spark, path))
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of the plan that is now a table
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,6 +17,7 @@ from lapwing.llm.ngram_join import near_duplicates
 from lapwing.llm.packing import pack
 from lapwing.llm.quality import quality_report
 from lapwing.llm.substring_dedup import remove_repeated_words
+from lapwing.llm.suffix_dedup import remove_repeated_bytes
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,13 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_bytes(read(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return out.select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -57,6 +65,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_packing": op5_packing,
     "op6_license_scan": op6_license_scan,
     "op7_chat_formatting": op7_chat_formatting,

@@ -6,8 +6,11 @@ repeated window; keys change only every couple of dozen positions, so they are f
 stretch of windows under one key; its *context* is the text under the run's windows.
 
 Keys are exchanged packed: each task gathers the keys of a few megabytes of text (a chunk) and sends
-them, split by hash into shards, as arrays. A key is sent once per chunk, so a passage in a third of
-all documents costs a shard one entry per chunk. Shards answer with the keys that occur elsewhere.
+them, split by hash into shards, as arrays of 32 bits of each key and its document's number in the
+chunk. Shards grow in number with the text, so 32 bits tell a shard's keys apart but for a false alarm
+in thousands, which costs work and changes nothing. A key is sent once per chunk, so a passage in a
+third of all documents costs a shard one entry per chunk. Shards answer with the keys that occur
+elsewhere. A *code* is a key as exchanged: its shard and its 32 bits.
 """
 
 from __future__ import annotations
@@ -57,8 +60,10 @@ def text_id(text: bytes | None) -> int:
     return xxhash.xxh3_64_intdigest(text or b"") - 2**63
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (((keys >> U64(40)) * U64(shards)) >> U64(24)).astype(np.int32)
+def codes(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shard number in the upper half, 32 bits of the key in the lower."""
+    shard = ((keys >> U64(40)) * U64(shards)) >> U64(24)
+    return (shard << U64(32)) | ((keys >> U64(8)) & U64(0xFFFFFFFF))
 
 
 def count_shards(docs: DataFrame, shard_bytes: int) -> int:
@@ -67,7 +72,9 @@ def count_shards(docs: DataFrame, shard_bytes: int) -> int:
     return max(2 * partitions(docs.sparkSession), -(-total // shard_bytes), 1)
 
 
-MESSAGE = "chunk long, shard int, sure boolean, docs binary, keys binary"
+#: Kinds of messages: keys of one document of the chunk; keys of several; what is known inside the chunk; its doc_ids.
+ONE, SEVERAL, KNOWN, DOCUMENTS = range(4)
+MESSAGE = "shard int, chunk long, kind int, places binary, keys binary"
 
 
 def _messages(batches: Iterator[pa.RecordBatch], spec: Windows, shards: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -78,27 +85,31 @@ def _messages(batches: Iterator[pa.RecordBatch], spec: Windows, shards: int, chu
 
     def send() -> pa.RecordBatch:
         nonlocal chunk, docs, keys, held
-        owner, key = np.repeat(np.array(docs, np.int64), [len(k) for k in keys]), np.concatenate([*keys, np.empty(0, U64)])
-        order = np.argsort(key, kind="stable")
-        owner, key = owner[order], key[order]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-        times = np.diff(np.append(start, len(key)))
-        low, high = (np.minimum.reduceat(owner, start), np.maximum.reduceat(owner, start)) if len(key) else (start, start)
-        several = low != high
+        owner = np.repeat(np.arange(len(docs), dtype=np.uint16), [len(k) for k in keys])
+        code = np.concatenate([*keys, np.empty(0, U64)])
+        order = np.argsort(code, kind="stable")
+        owner, code = owner[order], code[order]
+        start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.empty(0, np.int64)
+        ids = np.array(docs, np.int64)[owner]
+        several = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start) if len(code) else np.empty(0, bool)
+        home = int(chunk % shards)
         rows: list[tuple] = []
-        local = np.repeat(several, times)
+        if docs:
+            rows.append((home, chunk, DOCUMENTS, b"", np.array(docs, np.int64).tobytes()))
+        local = np.repeat(several, np.diff(np.append(start, len(code))))
         if local.any():
-            rows.append((chunk, -1, True, owner[local].tobytes(), key[local].tobytes()))
-        shard = shard_of(key[start], shards)
-        for s in np.unique(shard):
-            part = start[shard == s]
-            for sure in (False, True):  # keys known to be repeated are sent too: other chunks may hold them
-                mine = part[several[shard == s] == sure]
-                if len(mine):
-                    rows.append((chunk, int(s), sure, owner[mine].tobytes(), key[mine].tobytes()))
+            rows.append((home, chunk, KNOWN, owner[local].tobytes(), code[local].tobytes()))
+        for kind in (ONE, SEVERAL):
+            part = start[several == (kind == SEVERAL)]
+            shard = (code[part] >> U64(32)).astype(np.int64)
+            edge = np.searchsorted(shard, np.arange(shards + 1))
+            for s in np.unique(shard).tolist():
+                mine = part[edge[s] : edge[s + 1]]
+                rows.append((s, chunk, kind, owner[mine].tobytes(), code[mine].astype(np.uint32).tobytes()))
         chunk, docs, keys, held = chunk + 1, [], [], 0
-        types = (pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, types)], ["chunk", "shard", "sure", "docs", "keys"])
+        types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        names = [x.split()[0] for x in MESSAGE.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, types)], names)
 
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
@@ -107,44 +118,49 @@ def _messages(batches: Iterator[pa.RecordBatch], spec: Windows, shards: int, chu
             if doc_id is None or not text:
                 continue
             docs.append(doc_id)
-            keys.append(np.unique(spec.runs(read(text))[2]))
+            keys.append(np.unique(codes(spec.runs(read(text))[2], shards)))
             held += len(text)
-            if held >= chunk_bytes:
+            if held >= chunk_bytes or len(docs) == 60_000:
                 yield send()
     yield send()
 
 
 def _assembled(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """A chunk's answers, by document."""
-    docs = np.frombuffer(b"".join(pdf["docs"]), np.int64)
-    keys = np.frombuffer(b"".join(pdf["keys"]), U64)
-    order = np.lexsort((keys, docs))
-    docs, keys = docs[order], keys[order]
+    told, ids = pdf[pdf["kind"] != DOCUMENTS], pdf[pdf["kind"] == DOCUMENTS]
+    if told.empty:
+        return pd.DataFrame({"doc_id": pd.Series(dtype="int64"), "keys": pd.Series(dtype="object")})
+    docs = np.frombuffer(ids["keys"].iloc[0], np.int64)[np.frombuffer(b"".join(told["places"]), np.uint16)]
+    code = np.frombuffer(b"".join(told["keys"]), U64)
+    order = np.lexsort((code, docs))
+    docs, code = docs[order], code[order]
     ids, start = np.unique(docs, return_index=True)
-    return pd.DataFrame({"doc_id": ids, "keys": [k.tobytes() for k in np.split(keys, start[1:])] if len(ids) else []})
+    return pd.DataFrame({"doc_id": ids, "keys": [k.tobytes() for k in np.split(code, start[1:])]})
 
 
 def repeated_keys(
     docs: DataFrame, spec: Windows, repeated: Callable[[list[np.ndarray], list[bool]], list[np.ndarray]], shards: int, chunk_bytes: int = 8_000_000,
 ) -> DataFrame:
-    """(doc_id, keys): for each document, its keys that another document may hold. ``repeated`` takes a shard's arrays of
-    keys, one per message, with whether each message's keys are repeated inside their chunk, and marks the keys to keep."""
+    """(doc_id, keys): for each document, arrays of the codes of its keys that another document may hold. ``repeated``
+    takes a shard's arrays of keys, one per message, and whether each message's keys are in several documents of their
+    chunk, and marks the keys to keep."""
 
     def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        arrays = [np.frombuffer(k, U64) for k in pdf["keys"]]
-        marks = repeated(arrays, pdf["sure"].tolist())
+        asked = pdf[pdf["kind"] <= SEVERAL]
+        arrays = [np.frombuffer(k, np.uint32) for k in asked["keys"]]
+        marks = repeated(arrays, (asked["kind"] == SEVERAL).tolist())
         rows = [
-            (chunk, np.frombuffer(d, np.int64)[mark].tobytes(), k[mark].tobytes())
-            for chunk, d, k, mark, sure in zip(pdf["chunk"], pdf["docs"], arrays, marks, pdf["sure"]) if not sure and mark.any()
+            (chunk, ONE, np.frombuffer(p, np.uint16)[mark].tobytes(), (k[mark] | (U64(key[0]) << U64(32))).tobytes())
+            for chunk, kind, p, k, mark in zip(asked["chunk"], asked["kind"], asked["places"], arrays, marks) if kind == ONE and mark.any()
         ]
-        return pd.DataFrame(rows, columns=["chunk", "docs", "keys"]).astype({"chunk": "int64"})
+        passed = pdf.loc[pdf["kind"] > SEVERAL, ["chunk", "kind", "places", "keys"]]
+        return pd.concat([pd.DataFrame(rows, columns=passed.columns).astype({"chunk": "int64", "kind": "int32"}), passed])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    sent = table(rows.mapInArrow(lambda b: _messages(b, spec, shards, chunk_bytes), MESSAGE), "keys")
-    asked = sent.filter("shard >= 0").groupBy("shard").applyInPandas(answer, "chunk long, docs binary, keys binary")
-    known = sent.filter("shard < 0").select("chunk", "docs", "keys")
-    answers = asked.unionByName(known).groupBy("chunk").applyInPandas(_assembled, "doc_id long, keys binary")
-    return answers.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
+    sent = rows.mapInArrow(lambda b: _messages(b, spec, shards, chunk_bytes), MESSAGE)
+    answers = sent.groupBy("shard").applyInPandas(answer, "chunk long, kind int, places binary, keys binary")
+    answers = answers.groupBy("chunk").applyInPandas(_assembled, "doc_id long, keys binary")
+    return table(answers.groupBy("doc_id").agg(F.collect_list("keys").alias("keys")), "repeated")
 
 
 def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:

@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapwing.llm.common import U64, table
-from lapwing.llm.repeats import Windows, count_shards, covered, repeated_keys, spans, text_id
+from lapwing.llm.common import U64, mix64, table
+from lapwing.llm.repeats import Windows, codes, count_shards, covered, repeated_keys, spans, text_id
 from lapwing.llm.shingles import grams
 
 
@@ -39,7 +39,7 @@ class CountMin:
         self.width, self.cells = width, np.zeros((depth, width), np.uint8)
 
     def places(self, keys: np.ndarray) -> np.ndarray:
-        rows = [(keys >> U64(20 * r)) % U64(self.width) for r in range(len(self.cells))]
+        rows = [mix64(keys.astype(U64) + (U64(r) << U64(32))) % U64(self.width) for r in range(len(self.cells))]
         return np.array(rows, np.int64)
 
     def merge(self, keys: np.ndarray, count: int) -> None:
@@ -63,7 +63,7 @@ def estimated_repeated(arrays: list[np.ndarray], sure: list[bool]) -> list[np.nd
 RUNS = "key long, run long, doc_id long, text_id long, start int, n int, windows binary"
 
 
-def _runs(batches: Iterator[pa.RecordBatch], spec: Windows) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], spec: Windows, shards: int) -> Iterator[pa.RecordBatch]:
     """Runs under repeated keys; the hashes of a run's windows go with its first appearance in the task."""
     read, told = spec.reader(), set()
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
@@ -77,7 +77,7 @@ def _runs(batches: Iterator[pa.RecordBatch], spec: Windows) -> Iterator[pa.Recor
                 wanted = np.frombuffer(b"".join(batch.column("keys")[i].as_py()), U64)
                 v = read(text)
                 starts, lengths, keys = spec.runs(v)
-                use = np.flatnonzero(np.isin(keys, wanted))
+                use = np.flatnonzero(np.isin(codes(keys, shards), wanted))
                 if not len(use):
                     continue
                 windows, tid = grams(v, spec.width), text_id(text)
@@ -141,8 +141,9 @@ def remove_repeated_words(docs: DataFrame, width: int = 50, gram: int = 8, shard
     and ``kept`` (the other words, joined by single spaces)."""
     spec = Windows("words", width, gram)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    keys = repeated_keys(texts, spec, estimated_repeated, count_shards(texts, shard_bytes))
-    runs = texts.join(keys, "doc_id").mapInArrow(lambda b: _runs(b, spec), RUNS)
+    shards = count_shards(texts, shard_bytes)
+    keys = repeated_keys(texts, spec, estimated_repeated, shards)
+    runs = texts.join(keys, "doc_id").mapInArrow(lambda b: _runs(b, spec, shards), RUNS)
     runs = table(runs, "runs")
 
     folded = runs.groupBy("key", "run").agg(F.min("doc_id").alias("least"), F.max("windows").alias("windows"), F.max("doc_id").alias("most"))
