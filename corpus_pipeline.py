@@ -2,18 +2,49 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lapwing.llm.common import table
+from lapwing.llm.line_dedup import without_repeated_lines
+from lapwing.llm.mixing import mixed_documents
+from lapwing.llm.ngram_join import one_of_each
+from lapwing.llm.packing import pack
 from lapwing.llm.quality import clean_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; failing lines go from those that stay."""
+    """Documents that the line rules reject go; failing lines go from those that stay."""
     return clean_documents(docs)
 
 
-STAGES = [("quality rules", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines go that stand, equal or within two edits, earlier in the corpus; so do documents left without words."""
+    return without_repeated_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return one_of_each(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in its order."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the mixed documents in full sequences."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("near duplicates", near_duplicates),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
 #: Tokenisation, edit joins and MinHash verification have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -119,10 +119,11 @@ def mix(
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), repeats: int = 3) -> DataFrame:
     """``docs`` as the mix has them: each row as often as it is taken, sorted by virtual finish time over
-    range partitions, with the columns of ``docs``. Rows are told apart by doc_id, which must be unique here."""
-    from_mix = mix(docs, weights, repeats).filter("copies > 0").select(
-        F.col("doc_id").alias("mixed_id"), F.col("finish"), F.col("source_size"), F.col("target"), F.col("copies"))
-    out = docs.join(from_mix, docs["doc_id"] == F.col("mixed_id"))
+    range partitions, with the columns of ``docs``. Rows that share a doc_id are each taken as often as the one of
+    them that is taken most."""
+    from_mix = mix(docs, weights, repeats).filter("copies > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(
+        F.min("finish").alias("finish"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("copies").alias("copies"))
+    out = docs.join(from_mix, docs["doc_id"].eqNullSafe(F.col("mixed_id")))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     out = out.withColumn("finish", F.col("finish") + F.col("copy") * F.col("source_size") / F.col("target"))
     names = docs.columns

@@ -12,6 +12,7 @@ from lapwing.llm import ann
 from lapwing.llm.chat import link_quotations
 from lapwing.llm.common import read
 from lapwing.llm.licenses import license_scan
+from lapwing.llm.line_dedup import line_links
 from lapwing.llm.mixing import MIX_SQL, mix
 from lapwing.llm.ngram_join import near_duplicates
 from lapwing.llm.packing import pack
@@ -24,6 +25,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_links(read(spark, sf_dir, "documents"))
+
+
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.filter("vec_id % 50 = 0"))
@@ -64,6 +69,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_line_dedup": op2_line_dedup,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_packing": op5_packing,
