@@ -13,6 +13,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _MADE: list[tuple[SparkSession, str]] = []
@@ -56,6 +57,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def semi_join(df: DataFrame, keys: DataFrame, on: str, few: int = 500_000) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is among ``keys`` (one column of numbers). Up to ``few`` keys, a dozen megabytes, go to
+    every task; more are joined by a shuffle."""
+    small = keys.count() <= few
+    return df.join(F.broadcast(keys) if small else keys, on, "left_semi")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

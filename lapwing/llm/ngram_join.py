@@ -8,7 +8,7 @@
    band hashes alone finds which representatives have such a pair in which bucket; only those
    are sent their n-gram sets, from the text.
 4. Buckets are verified by exact intersection counts. One that is large (in members or in n-grams)
-   is split into blocks, and every pair of blocks is a group of its own, of bounded size. Groups
+   is split into blocks, and every pair of blocks is a bucket of its own, of bounded size. Buckets
    return counts of links and a spanning forest, never pairs.
 5. Forest edges give the connected components.
 
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapwing.llm.common import U64, mix64, table
+from lapwing.llm.common import U64, mix64, partitions, semi_join, table
 from lapwing.llm.components import components
 from lapwing.llm.shingles import WordHashes, minhash, shingle_set
 
@@ -96,42 +96,65 @@ def _met(x: np.ndarray, y: np.ndarray, band: int) -> np.ndarray:
     return out
 
 
-def _sides(pdf: pd.DataFrame, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the two blocks that a group compares."""
-    block = pdf["block"].to_numpy()
-    return np.flatnonzero(block == i), np.flatnonzero(block == j)
+BUCKET = ["band", "h", "i", "j"]
 
 
-BUCKET = ["band", "h", "i", "j"]
+def _buckets(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, tuple, np.ndarray, np.ndarray]]:
+    """Each bucket's rows of a shard, its key, and the places in them of the two blocks that it compares."""
+    order = np.lexsort([pdf[c].to_numpy() for c in reversed(BUCKET)])
+    keys = [pdf[c].to_numpy()[order] for c in BUCKET]
+    new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+    block = pdf["block"].to_numpy()[order]
+    starts = np.flatnonzero(new)
+    for at, to in zip(starts, [*starts[1:], len(order)]):
+        key = tuple(int(k[at]) for k in keys)
+        yield order[at:to], key, np.flatnonzero(block[at:to] == key[2]), np.flatnonzero(block[at:to] == key[3])
 
 
-def _needed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """The members that have a pair whose first common band is this one."""
-    band, _, i, j = key
-    bands = _matrix(pdf["bands"])
-    left, right = _sides(pdf, i, j)
+def _needed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The members that have a pair whose first common band is their bucket's."""
+    every = _matrix(pdf["bands"])
     use = np.zeros(len(pdf), bool)
-    for at in range(0, len(left), 256):
-        rows = left[at : at + 256]
-        new = ~_met(bands[rows], bands[right], band)
-        new &= rows[:, None] != right[None, :]
-        use[rows] |= new.any(axis=1)
-        use[right] |= new.any(axis=0)
-    out = pdf.loc[use, ["rep", "block"]]
-    return out.assign(band=band, h=key[1], i=i, j=j)[[*BUCKET, "block", "rep"]]
-
-
-def _verified(key: tuple, pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Counts of links of each member, and forest edges, among the pairs first met in this bucket."""
+    for rows, (band, *_), left, right in _buckets(pdf):
+        bands = every[rows]
+        if len(rows) == 2:
+            use[rows] = not (bands[0, :band] == bands[1, :band]).any()
+            continue
+        for at in range(0, len(left), 256):
+            some = left[at : at + 256]
+            new = ~_met(bands[some], bands[right], band)
+            new &= some[:, None] != right[None, :]
+            use[rows[some[new.any(axis=1)]]] = True
+            use[rows[right[new.any(axis=0)]]] = True
+    return pdf.loc[use, [*BUCKET, "block", "rep"]]
+
+
+LINKS = "rep long, root long, links long, docs long"
+
+
+def _verified(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Counts of links of each member, and forest edges, among the pairs first met in the shard's buckets."""
+    every, grams = _matrix(pdf["bands"]), pdf["grams"].to_numpy()
+    reps, sizes, copies = pdf["rep"].to_numpy(), pdf["n"].to_numpy().astype(np.int64), pdf["copies"].to_numpy()
+    out = [_links(reps[r], sizes[r], copies[r], every[r], grams[r], key, left, right, threshold) for r, key, left, right in _buckets(pdf)]
+    columns = map(np.concatenate, zip(*out)) if out else [np.empty(0, np.int64)] * 4
+    return pd.DataFrame(dict(zip(("rep", "root", "links", "docs"), columns)))
+
+
+def _links(
+    reps: np.ndarray, n: np.ndarray, copies: np.ndarray, bands: np.ndarray, grams: np.ndarray, key: tuple, left: np.ndarray, right: np.ndarray,
+    threshold: float,
+) -> tuple[np.ndarray, ...]:
+    """(member, root, links, linked documents) of one bucket."""
     band, _, i, j = key
-    reps, n, copies = pdf["rep"].to_numpy(), pdf["n"].to_numpy().astype(np.int64), pdf["copies"].to_numpy()
-    bands, m = _matrix(pdf["bands"]), len(pdf)
-    left, right = _sides(pdf, i, j)
-    all_sets = np.frombuffer(b"".join(pdf["grams"]), U64)
+    m = len(reps)
+    all_sets = np.frombuffer(b"".join(grams), U64)
     _, column, times = np.unique(all_sets, return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(m), n)
-    shared = times[column] > 1
-    owner, column = owner[shared], column[shared]
+    shared = times > 1
+    column_of = np.cumsum(shared) - 1
+    use = shared[column]
+    owner, column = owner[use], column_of[column[use]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     common = np.zeros((len(left), len(right)), np.float32)
@@ -139,7 +162,7 @@ def _verified(key: tuple, pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     while start < len(column):  # a slice of columns at a time: exact counts, as float32 holds integers to 2**24
         first = column[start]
         stop = int(np.searchsorted(column, first + 4096))
-        present = np.zeros((m, 4096), np.float32)
+        present = np.zeros((m, min(4096, int(column[-1] - first) + 1)), np.float32)
         present[owner[start:stop], column[start:stop] - first] = 1
         common += present[left] @ present[right].T
         start = stop
@@ -164,7 +187,7 @@ def _verified(key: tuple, pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         if (before == root).all():
             break
     hit = degree > 0
-    return pd.DataFrame({"rep": reps[hit], "root": reps[by_rank[root[hit]]], "links": degree[hit].astype(np.int64), "docs": docs[hit]})
+    return reps[hit], reps[by_rank[root[hit]]], degree[hit].astype(np.int64), docs[hit]
 
 
 def _grams(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -173,11 +196,13 @@ def _grams(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             sets = [shingle_set(hashes.of(t), n).tobytes() for t in part.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], ["rep", "grams"])
+            keys = [xxhash.xxh3_128_digest(x) for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.binary())], ["rep", "grams", "key"])
 
 
 def near_duplicates(
-    docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block_members: int = 1024, block_grams: int = 2_000_000,
+    docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block_members: int = 1024, block_grams: int = 2_000_000, shard_rows: int = 20_000,
 ) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, ``rep_id`` (least doc_id with the same n-gram set), ``class_id``
     (least doc_id of the connected component), ``n_links`` (other n-gram sets at the threshold or more),
@@ -192,19 +217,23 @@ def near_duplicates(
 
     entries = known.select("rep", "n", "bands").mapInArrow(lambda b: _exploded(b, bands), "band int, h long, rep long, n int")
     buckets = entries.groupBy("band", "h").agg(F.count("*").alias("m"), F.sum("n").alias("grams")).filter("m > 1")
+    buckets = table(buckets, "buckets")
+    size = buckets.agg(F.sum("m"), F.sum("grams")).first()
+    shards = max(2 * partitions(docs.sparkSession), (size[0] or 0) // shard_rows)
     buckets = buckets.select("band", "h", F.greatest(F.ceil(F.col("m") / block_members), F.ceil(F.col("grams") / block_grams)).cast("int").alias("blocks"))
     members = entries.join(buckets, ["band", "h"]).select("band", "h", "rep", "blocks", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("band", "h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep")
     members = members.join(known.select("rep", "bands"), "rep")
-    needed = members.groupBy(*BUCKET).applyInPandas(_needed, "band int, h long, i int, j int, block int, rep long")
+    shard = F.pmod(F.xxhash64(*BUCKET), F.lit(shards))
+    needed = members.groupBy(shard).applyInPandas(_needed, "band int, h long, i int, j int, block int, rep long")
     needed = table(needed, "needed")
 
     wanted = needed.select(F.col("rep").alias("doc_id")).distinct()
-    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(lambda b: _grams(b, n), "rep long, grams binary")
-    # A doc_id that stands for several texts is told apart by the size and key of its class.
-    full = needed.join(known.select("rep", "n", "copies", "bands"), "rep").join(sets, "rep").filter(F.octet_length("grams") == 8 * F.col("n"))
-    found = full.groupBy(*BUCKET).applyInPandas(lambda key, pdf: _verified(key, pdf, threshold), "rep long, root long, links long, docs long")
+    sets = semi_join(texts, wanted, "doc_id").mapInArrow(lambda b: _grams(b, n), "rep long, grams binary, key binary")
+    # A doc_id that stands for several texts is told apart by the key of its class.
+    full = needed.join(known.select("rep", "n", "copies", "bands", "set_key"), "rep").join(sets, "rep").filter(F.col("set_key") == F.col("key"))
+    found = full.drop("set_key", "key").groupBy(shard).applyInPandas(lambda pdf: _verified(pdf, threshold), LINKS)
     found = table(found, "links")
 
     degrees = found.groupBy("rep").agg(F.sum("links").alias("n_links"), F.sum("docs").alias("docs"))
