@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapwing.functions.hashing import uniform
+from lapwing.functions.vectors import let
 
 #: Neighbours of each key on a keyboard: fixed values.
 KEY_NEIGHBOURS = {
@@ -115,15 +116,20 @@ def perturb(
     cut_p: float = 0.15, empty_p: float = 0.05,
 ) -> DataFrame:
     """``df`` with ``text`` perturbed by word dropout, truncation, swap and typo, each with its probability; all zero leaves
-    texts but for white space. A step is a projection of its own: its input is used several times and computed once."""
+    texts but for white space. A step uses its input several times; ``let`` has it computed once."""
     draw = lambda step, p: uniform(f"{seed}:{step}?", F.col(key)) < p
-    now, k = F.col("_text"), F.col(key)
-    out = df.withColumn("_text", F.col(text))
-    out = out.withColumn("_text", F.when(draw("drop", drop_p), drop_words(now, F.col(brand), k, seed)).otherwise(now))
-    out = out.withColumn("_text", F.when(draw("cut", cut_p), truncate(now, k, seed)).otherwise(now))
-    out = out.withColumn("_text", F.when(draw("swap", swap_p), swap(now, k, seed)).otherwise(now))
-    out = out.withColumn("_text", F.when(draw("typo", typo_p), typo(now, k, seed)).otherwise(now))
-    out = out.withColumn("_text", collapse_spaces(now))
+    k = F.col(key)
+    steps = (
+        lambda t: F.when(draw("drop", drop_p), drop_words(t, F.col(brand), k, seed)).otherwise(t),
+        lambda t: F.when(draw("cut", cut_p), truncate(t, k, seed)).otherwise(t),
+        lambda t: F.when(draw("swap", swap_p), swap(t, k, seed)).otherwise(t),
+        lambda t: F.when(draw("typo", typo_p), typo(t, k, seed)).otherwise(t),
+        collapse_spaces,
+    )
+    now = F.col(text)
+    for step in steps:
+        now = let(now, step)
+    out, now = df.withColumn("_text", now), F.col("_text")
     blank = F.coalesce(F.trim(F.col(text)), F.lit("")) == ""
     result = F.when(blank | draw("empty", empty_p), "").otherwise(F.when(now == "", F.col(text)).otherwise(now))
     return out.withColumn(text, result).drop("_text")

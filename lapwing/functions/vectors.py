@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,10 +20,14 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, where an expression inside a lambda would be computed per element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalise(v: Column) -> Column:
     """``v`` over its norm; a zero vector stays."""
-    n = norm(v)
-    return F.transform(v, lambda x: x / F.when(n == 0, 1.0).otherwise(n))
+    return let(v, lambda w: let(norm(w), lambda n: F.transform(w, lambda x: x / F.when(n == 0, 1.0).otherwise(n))))
 
 
 def checked(v: Column, dim: int) -> Column:
@@ -48,10 +54,13 @@ def relu(v: Column) -> Column:
     return F.transform(v, lambda x: F.greatest(x, F.lit(0.0)))
 
 
+def _sum(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+
+
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    exps = F.transform(v, lambda x: F.exp(x - top))
-    return F.transform(exps, lambda e: e / F.aggregate(exps, F.lit(0.0), lambda s, x: s + x))
+    exps = let(v, lambda w: let(F.array_max(w), lambda top: F.transform(w, lambda x: F.exp(x - top))))
+    return let(exps, lambda e: let(_sum(e), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def gelu(v: Column) -> Column:
@@ -60,9 +69,11 @@ def gelu(v: Column) -> Column:
 
 
 def layer_norm(v: Column, eps: float = 1e-5) -> Column:
-    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
-    variance = F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(v)
-    return F.transform(v, lambda x: (x - mean) / F.sqrt(variance + eps))
+    def scaled(w: Column, mean: Column) -> Column:
+        variance = F.aggregate(w, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(w)
+        return let(F.sqrt(variance + eps), lambda d: F.transform(w, lambda x: (x - mean) / d))
+
+    return let(v, lambda w: let(_sum(w) / F.size(w), lambda mean: scaled(w, mean)))
 
 
 def masked_mean(values: Column, mask: Column) -> Column:
@@ -73,5 +84,5 @@ def masked_mean(values: Column, mask: Column) -> Column:
 
 def quantised(v: Column) -> Column:
     """Symmetric 8-bit integers: components over the largest magnitude, times 127, rounded half up."""
-    top = F.array_max(F.transform(v, lambda x: F.abs(x)))
-    return F.transform(v, lambda x: F.floor(x / F.when(top == 0, 1.0).otherwise(top) * 127 + 0.5).cast("int"))
+    top = lambda w: F.array_max(F.transform(w, lambda x: F.abs(x)))
+    return let(v, lambda w: let(top(w), lambda t: F.transform(w, lambda x: F.floor(x / F.when(t == 0, 1.0).otherwise(t) * 127 + 0.5).cast("int"))))
