@@ -53,6 +53,8 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, drop_self: bool = True,
     sku = ["sku_id"] if other_sku else []
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []}).astype({"query_id": "int64", "item_id": "int64"})
         skus = (a["sku_id"].to_numpy(), b["sku_id"].to_numpy()) if other_sku else None
         return _best(a["query_id"].to_numpy(), _matrix(a["vec"]), b["item_id"].to_numpy(), _matrix(b["vec"]), k, drop_self, skus)
 
@@ -75,9 +77,11 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, drop_self: bool = True,
 def _grid(queries: DataFrame, items: DataFrame, work: Callable, query_bytes: int, item_rows: int = 20_000) -> DataFrame:
     sets = max(1, -(-query_bytes // SENT_BYTES))
     blocks = max(1, -(-items.count() // item_rows))
+    # Queries are often made of the items: columns of the two sides get names of their own.
+    queries = queries.select(*[F.col(c).alias(f"{c}_") for c in queries.columns]).withColumnRenamed("query_id_", "query_id")
     a = queries.withColumn("i", F.pmod(F.xxhash64("query_id"), F.lit(sets))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     b = items.withColumn("j", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sets - 1).cast("long"))))
-    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(work, NEAR)
+    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(lambda x, y: work(x.rename(columns=lambda c: c.rstrip("_")), y), NEAR)
 
 
 def _pair_blocks(items: DataFrame, group: str | None, block_rows: int):
