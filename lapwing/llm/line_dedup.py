@@ -23,11 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapwing.llm.common import table
+from lapwing.llm.common import partitions, semi_join, table
 
 BLANKS = " \t\n\r\x0b\x0c"
-#: Letters counted in a line's bag; any eight frequent ones serve.
-LETTERS = "entiaor "
+#: Letters counted in a line's bag, and those counted beside them before a pair is verified; any frequent ones serve.
+LETTERS = "entiaorshdlucgm "
+MORE_LETTERS = "fpwybvkxjqz,.ETAIOSRN"
 LAST = 2**63 - 1
 
 
@@ -39,24 +40,32 @@ def lines_of(docs: DataFrame, least_chars: int) -> DataFrame:
     return out.withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(2), "line")})
 
 
+def letter_count(line: Column, letter: str) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+
+
 def bag(line: Column) -> Column:
-    """Eight letter counts modulo 256 in one number."""
-    counts = [F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit(""))) for x in LETTERS]
+    """Sixteen letter counts modulo 16 in one number."""
     out = F.lit(0).cast("long")
-    for k, n in enumerate(counts):
-        out = out.bitwiseOR(F.shiftleft(n.cast("long").bitwiseAND(255), 8 * k))
+    for k, x in enumerate(LETTERS):
+        out = out.bitwiseOR(F.shiftleft(letter_count(line, x).cast("long").bitwiseAND(15), 4 * k))
     return out
 
 
 def bag_distance(x: Column, y: Column) -> Column:
-    """A lower bound of twice the edit distance."""
+    """A lower bound of twice the edit distance: one edit changes two counts by one at most."""
     out = F.lit(0)
-    for k in range(8):
-        d = F.abs(F.shiftright(x, 8 * k).bitwiseAND(255) - F.shiftright(y, 8 * k).bitwiseAND(255))
-        out = out + F.least(d, 256 - d)
+    for k in range(len(LETTERS)):
+        d = F.abs(F.shiftright(x, 4 * k).bitwiseAND(15) - F.shiftright(y, 4 * k).bitwiseAND(15))
+        out = out + F.least(d, 16 - d)
     return out
 
 
+def letter_distance(x: Column, y: Column) -> Column:
+    """The same bound over all counted letters of two texts."""
+    return sum((F.abs(letter_count(x, c) - letter_count(y, c)) for c in LETTERS + MORE_LETTERS), F.lit(0))
+
+
 def segments(length: Column) -> list[tuple[Column, Column]]:
     """(start from 1, size) of the three segments of a line of this length."""
     first, second, third = (F.floor((length + k) / 3).cast("int") for k in range(3))
@@ -81,19 +90,21 @@ def probe_signatures(line: Column, length: Column, shorter: int) -> Column:
     return F.array(*out, _signature(line, length - shorter, 2, last[0] + shorter, last[1]))
 
 
-def within_two(x: Column, y: Column) -> Column:
-    """Edit distance of two strings, or -1 over 2: Wu and Manber's bit-parallel automaton on a diagonal band.
+def with_distance(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (x, y: texts that are not empty, ...) with ``distance``, their edit distance or -1 over 2: Wu and Manber's
+    bit-parallel automaton on a diagonal band.
 
     Bit d + 2 of the e-th of three words says that the first j + d characters of ``y`` are within e edits of the first j
-    of ``x``. ``matches`` has, for each j, five bits of equal characters and, above them, which places exist in ``y``.
+    of ``x``. ``moves`` has, for each j, five bits of equal characters and which places exist in ``y``. Characters, moves
+    and the last words are projections of their own, so each is made once per pair.
     """
-    xs, ys, m, n = F.split(x, ""), F.split(y, ""), F.char_length(y), F.char_length(x)
+    m, n = F.char_length("y"), F.char_length("x")
 
     def moves(c: Column, j: Column) -> Column:
         equal = F.lit(0)
         for d in range(-2, 3):
-            at = j + d
-            equal = equal + F.when((at >= 0) & (F.get(ys, F.greatest(at, F.lit(0))) == c), 1 << (d + 2)).otherwise(0)
+            # No character has a place under 0: ``get`` gives null there as behind the end.
+            equal = equal + F.when(F.get("ys", j + d) == c, 1 << (d + 2)).otherwise(0)
         exists = F.when(j + 3 <= m, 31).when(j + 2 == m, 15).when(j + 1 == m, 7).when(j == m, 3).otherwise(1)
         return F.struct(equal.alias("equal"), exists.alias("exists"))
 
@@ -105,43 +116,51 @@ def within_two(x: Column, y: Column) -> Column:
         return F.struct(zero.alias("zero"), one.alias("one"), two.alias("two"))
 
     start = F.struct(F.lit(4).alias("zero"), F.lit(12).alias("one"), F.lit(28).alias("two"))
-    # A line is never empty here, so ``split`` gives one item per character.
-    end = F.aggregate(F.transform(xs, moves), start, step)
-    at = F.pow(F.lit(2), m - n + 2).cast("int")
-    reached = lambda word: word.bitwiseAND(at) != 0
-    far = F.abs(m - n) > 2
-    return F.when(far, -1).when(reached(end["zero"]), 0).when(reached(end["one"]), 1).when(reached(end["two"]), 2).otherwise(-1)
+    out = pairs.withColumns({"xs": F.split("x", ""), "ys": F.split("y", ""), "m": m, "n": n})
+    out = out.withColumn("moves", F.transform("xs", moves))
+    out = out.withColumn("end", F.aggregate("moves", start, step))
+    at = F.call_function("shiftleft", F.lit(1), F.greatest(F.least(F.col("m") - F.col("n"), F.lit(2)), F.lit(-2)) + 2)
+    reached = lambda word: F.col("end")[word].bitwiseAND(at) != 0
+    far = F.abs(F.col("m") - F.col("n")) > 2
+    distance = F.when(far, -1).when(reached("zero"), 0).when(reached("one"), 1).when(reached("two"), 2).otherwise(-1)
+    return out.withColumn("distance", distance).drop("xs", "ys", "m", "n", "moves", "end")
 
 
 def _classes(lines: DataFrame) -> DataFrame:
     return lines.groupBy("a", "b").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("copies"))
 
 
-def similar_lines(lines: DataFrame, least_chars: int, broadcast_rows: int = 100_000) -> DataFrame:
+#: What a dealt row is: of the index, or a probe for lines of the same length, or for shorter ones.
+INDEX, SAME, LONGER = range(3)
+
+
+def similar_lines(lines: DataFrame, least_chars: int) -> DataFrame:
     """Pairs of classes within 2 edits: (a, b, other_a, other_b, distance), both ways round, hashes as names."""
     n = F.char_length("line")
     marked = lines.select(F.col("a").alias("id"), bag(F.col("line")).alias("bag"), n.alias("n"), "line")
-    kept = marked.select("id", "bag", F.explode(index_signatures(F.col("line"), F.col("n"))).alias("signature"))
-    probes = []
-    for shorter in range(3):
-        probes.append(F.when(F.col("n") - shorter >= least_chars, probe_signatures(F.col("line"), F.col("n"), shorter)).otherwise(F.array().cast("array<bigint>")))
-    same = F.transform(probes[0], lambda s: F.struct(s.alias("signature"), F.lit(True).alias("same")))
-    fewer = F.transform(F.concat(probes[1], probes[2]), lambda s: F.struct(s.alias("signature"), F.lit(False).alias("same")))
-    asked = marked.select("id", "bag", F.explode(F.concat(same, fewer)).alias("p")).select("id", "bag", "p.*")
-    # Dealt by signature first: copies of a line meet there and are one row, and the join needs no further exchange.
-    kept = kept.repartition("signature").distinct()
-    asked = asked.repartition("signature").distinct().withColumnsRenamed({"id": "other", "bag": "other_bag", "signature": "sought"})
+    kind = lambda signatures, k: F.transform(signatures, lambda s: F.struct(s.alias("signature"), F.lit(k).cast("byte").alias("kind")))
+    none = F.array().cast("array<bigint>")
+    probe = [F.when(F.col("n") - k >= least_chars, probe_signatures(F.col("line"), F.col("n"), k)).otherwise(none) for k in range(3)]
+    every = F.concat(kind(index_signatures(F.col("line"), F.col("n")), INDEX), kind(probe[0], SAME), kind(F.concat(probe[1], probe[2]), LONGER))
+    dealt = marked.select("id", "bag", F.explode(every).alias("s")).select("id", "bag", "s.*").repartition("signature")
+    # Copies of a line meet by signature and are one row. The filters refer to the partition, so that they stay above the
+    # exchange: index and probe are one scan, dealt once.
+    here = F.when(F.spark_partition_id() >= 0, F.col("kind"))
+    kept = dealt.filter(here == INDEX).select("id", "bag", "signature").distinct()
+    asked = dealt.filter(here != INDEX).select(
+        F.col("id").alias("other"), F.col("bag").alias("other_bag"), F.col("signature").alias("sought"), (F.col("kind") == SAME).alias("same")).distinct()
     apart = F.when(F.col("same"), F.col("other") > F.col("id")).otherwise(F.col("other") != F.col("id"))
     pairs = kept.join(asked, (F.col("signature") == F.col("sought")) & apart & (bag_distance(F.col("bag"), F.col("other_bag")) <= 4))
     pairs = table(pairs.select("id", "other").distinct(), "line-pairs")
 
     ids = table(pairs.select("id").union(pairs.select("other")).distinct(), "line-ids")
-    few = ids.count() <= broadcast_rows  # beyond it, the lines of the ids are found by a shuffled join
-    texts = lines.select(F.col("a").alias("id"), "b", "line").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    texts = semi_join(lines.select(F.col("a").alias("id"), "b", "line"), ids, "id")
     texts = table(texts.groupBy("id", "b").agg(F.first("line").alias("line")), "line-texts")
     x, y = texts.select("id", "b", F.col("line").alias("x")), texts.select(F.col("id").alias("other"), F.col("b").alias("other_b"), F.col("line").alias("y"))
-    near = pairs.join(x, "id").join(y, "other").withColumn("distance", within_two(F.col("x"), F.col("y"))).filter("distance >= 0")
-    near = table(near.select(F.col("id").alias("a"), "b", F.col("other").alias("other_a"), "other_b", "distance"), "line-links")
+    near = pairs.join(x, "id").join(y, "other").repartition(4 * partitions(lines.sparkSession), "id", "other")
+    near = near.filter(letter_distance(F.col("x"), F.col("y")) <= 4)
+    near = with_distance(near.filter(F.levenshtein("x", "y", 2) >= 0))
+    near = table(near.filter("distance >= 0").select(F.col("id").alias("a"), "b", F.col("other").alias("other_a"), "other_b", "distance"), "line-links")
     return near.unionByName(near.select(
         F.col("other_a").alias("a"), F.col("other_b").alias("b"), F.col("a").alias("other_a"), F.col("b").alias("other_b"), "distance"))
 
@@ -151,7 +170,7 @@ def line_links(docs: DataFrame, least_chars: int = 20) -> DataFrame:
     first equal line (the class), ``copies`` of it, ``n_links`` (other classes within 2 edits), ``near_doc_id`` and ``near_line_no`` of
     the earliest line of these, and ``kept``."""
     lines = lines_of(docs, least_chars)
-    names = lines.drop("line")
+    names = table(lines.drop("line"), "line-names")
     classes = table(_classes(names), "line-classes")
     links = similar_lines(lines, least_chars)
     first = classes.select(F.col("a").alias("other_a"), F.col("b").alias("other_b"), F.col("first").alias("near"))
