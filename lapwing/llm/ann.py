@@ -231,8 +231,8 @@ def search(
     if short.isEmpty():
         found = first
     else:  # an exact way for the queries whose buckets held too few rows
-        plain = kept.filter("t = 0")
-        every = plain.select("t", "block", "part").distinct().groupBy("t", "block").agg(F.collect_list("part").alias("parts"))
+        plain = table(kept.filter("t = 0"), "first-table")
+        every = table(plain.select("t", "block", "part").distinct().groupBy("t", "block").agg(F.collect_list("part").alias("parts")), "blocks")
         found = first.unionByName(near(plain, short.crossJoin(every))).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
