@@ -159,7 +159,9 @@ def similar_lines(lines: DataFrame, least_chars: int) -> DataFrame:
     x, y = texts.select("id", "b", F.col("line").alias("x")), texts.select(F.col("id").alias("other"), F.col("b").alias("other_b"), F.col("line").alias("y"))
     near = pairs.join(x, "id").join(y, "other").repartition(4 * partitions(lines.sparkSession), "id", "other")
     near = near.filter(letter_distance(F.col("x"), F.col("y")) <= 4)
-    near = with_distance(near.filter(F.levenshtein("x", "y", 2) >= 0))
+    # The built-in distance fills a row per character, so long lines go to the automaton at once.
+    long = F.greatest(F.char_length("x"), F.char_length("y")) > 1000
+    near = with_distance(near.filter(F.when(long, True).otherwise(F.levenshtein("x", "y", 2) >= 0)))
     near = table(near.filter("distance >= 0").select(F.col("id").alias("a"), "b", F.col("other").alias("other_a"), "other_b", "distance"), "line-links")
     return near.unionByName(near.select(
         F.col("other_a").alias("a"), F.col("other_b").alias("b"), F.col("a").alias("other_a"), F.col("b").alias("other_b"), "distance"))
