@@ -57,11 +57,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def semi_join(df: DataFrame, keys: DataFrame, on: str, few: int = 500_000) -> DataFrame:
-    """Rows of ``df`` whose ``on`` is among ``keys`` (one column of numbers). Up to ``few`` keys, a dozen megabytes, go to
-    every task; more are joined by a shuffle."""
+def semi_join(df: DataFrame, keys: DataFrame, on: str, few: int = 500_000, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose ``on`` is among ``keys`` (one column of numbers), or with ``left_anti`` the others. Up to ``few``
+    keys, a dozen megabytes, go to every task; more are joined by a shuffle."""
     small = keys.count() <= few
-    return df.join(F.broadcast(keys) if small else keys, on, "left_semi")
+    return df.join(F.broadcast(keys) if small else keys, on, how)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -61,7 +61,9 @@ def text_id(text: bytes | None) -> int:
 
 
 def codes(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Shard number in the upper half, 32 bits of the key in the lower."""
+    """Shard number in the upper half, 32 bits of the key in the lower. Keys are least hashes, so small numbers are many
+    among them: they are mixed anew, to load shards evenly."""
+    keys = mix64(keys + U64(1))
     shard = ((keys >> U64(40)) * U64(shards)) >> U64(24)
     return (shard << U64(32)) | ((keys >> U64(8)) & U64(0xFFFFFFFF))
 

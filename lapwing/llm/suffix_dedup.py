@@ -4,11 +4,15 @@ The suffixes of all texts are split by content: a window of 50 bytes belongs to
 key (see ``repeats``), so all equal windows of the corpus meet in one shard, whatever their
 documents. Only contexts of keys that several documents hold are sent, equal ones once per chunk of
 text. A shard builds the suffix array of its distinct contexts by prefix doubling, the array of
-common prefixes, and scans it with a stack: each interval of the common-prefix tree of 50 bytes or
-more whose members are preceded by different bytes (or begin a context) is a maximal repeat group,
-with every occurrence. Equal contexts of several documents are a group of their own.
-
-Every member of a group that stands in a document after the group's first has those bytes repeated.
+common prefixes, and scans it with a stack, which gives the intervals of the common-prefix tree of 50
+bytes or more. One whose members are preceded by different bytes (or begin a context) is a maximal repeat
+group; ``repeat_groups`` returns these with every occurrence, to the length of a context. Equal contexts
+of several documents are a group of their own.
+
+Outermost intervals hold all occurrences of one window: an occurrence in a document after the interval's
+first has those bytes repeated. Their members are as many as there are suffixes, however periodic a text.
+Whole copies of a text in an earlier document are found by hash first; all of their bytes are repeated, and
+they add no earliest document, so they send nothing.
 Shards hold some megabytes of text, in proportion to the input in number; a passage that very many
 documents share is one context per chunk of text in its shard.
 
@@ -19,15 +23,17 @@ text; texts shorter than a window stay whole; an empty table gives no rows; othe
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapwing.llm.common import U64, mix64, table
+from lapwing.llm.common import U64, mix64, semi_join, table
 from lapwing.llm.repeats import Windows, codes, count_shards, covered, repeated_keys, spans, text_id
 
 
@@ -47,7 +53,7 @@ CONTEXTS = "shard int, docs binary, texts binary, starts binary, contexts binary
 
 def _contexts(batches: Iterator[pa.RecordBatch], spec: Windows, shards: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     """Occurrences of contexts under repeated keys, packed by shard; each context's bytes once per chunk."""
-    read = spec.reader()
+    read, packer = spec.reader(), zstandard.ZstdCompressor(level=3)
     known: dict[bytes, int] = {}
     home: list[int] = []
     seen: list[tuple[int, int, int, int]] = []
@@ -69,7 +75,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], spec: Windows, shards: int, chu
             mine = bodies[c].tolist()
             rows.append((
                 s, doc[o].tobytes(), tid[o].astype(np.uint32).tobytes(), start[o].astype(np.uint32).tobytes(),
-                place[context[o]].astype(np.uint32).tobytes(), np.array([len(b) for b in mine], np.uint32).tobytes(), b"".join(mine),
+                place[context[o]].astype(np.uint32).tobytes(), np.array([len(b) for b in mine], np.uint32).tobytes(), packer.compress(b"".join(mine)),
             ))
         known, home, seen, held = {}, [], [], 0
         types = (pa.int32(), *[pa.binary()] * 6)
@@ -107,21 +113,21 @@ class SuffixArray:
     def __init__(self, texts: list[bytes], least: int):
         lengths = np.array([len(t) for t in texts], np.int64)
         self.start = np.cumsum(lengths + 1) - (lengths + 1)
-        self.text = np.repeat(np.arange(len(texts)), lengths + 1)
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), lengths + 1)
         n = len(self.text)
-        remaining = (self.start + lengths)[self.text] - np.arange(n)
-        symbols = np.zeros(n + 8, np.int64)  # bytes are 1 to 256; a text ends with 0, below them all
-        symbols[:n][remaining > 0] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+        remaining = np.repeat((self.start + lengths).astype(np.int32), lengths + 1) - np.arange(n, dtype=np.int32)
+        symbols = np.zeros(n + 8, np.int32)  # bytes are 1 to 256; a text ends with 0, below them all
+        symbols[:n][remaining > 0] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int32) + 1
         ranks = {1: symbols[:n], 2: (symbols << 9)[:n] | symbols[1 : n + 1]}
-        pairs = np.concatenate([ranks[2], np.zeros(2, np.int64)])
-        _, rank = np.unique((pairs[:n] << 18) | pairs[2:], return_inverse=True)
-        ranks[4] = rank
+        pairs = np.concatenate([ranks[2], np.zeros(2, np.int32)]).astype(np.int64)
+        ranks[4] = rank = np.unique((pairs[:n] << 18) | pairs[2:], return_inverse=True)[1].astype(np.int32)
+        del pairs
         size = 4
         while size < lengths.max(initial=0):
-            after = np.concatenate([rank[size:], np.zeros(min(size, n), rank.dtype)])
-            _, rank = np.unique(rank * np.int64(n + 1) + after, return_inverse=True)
+            pair = rank * np.int64(n + 1)
+            pair[: max(0, n - size)] += rank[size:]
             size *= 2
-            ranks[size] = rank
+            ranks[size] = rank = np.unique(pair, return_inverse=True)[1].astype(np.int32)
         valid = np.flatnonzero(remaining >= least)
         self.order = valid[np.argsort(rank[valid], kind="stable")]
         i, j = self.order[:-1].copy(), self.order[1:].copy()
@@ -132,14 +138,14 @@ class SuffixArray:
             common += size * ((ranks[size][at] == ranks[size][to]) & fits)
         common = np.minimum(common, np.minimum(remaining[i], remaining[j]))
         self.common = np.concatenate([[0], common])[: len(self.order)]
-        front = np.concatenate([[0], symbols[: max(0, n - 1)]])[:n]
+        front = np.concatenate([np.zeros(1, np.int32), symbols[: max(0, n - 1)]])[:n]
         self.before = np.where(front == 0, -1, front)[self.order]
 
 
-def maximal_repeats(common: np.ndarray, before: np.ndarray, least: int) -> np.ndarray:
-    """(bytes, first, last) of each interval of the common-prefix tree with ``least`` bytes or more whose members have
-    different bytes in front: a stack scan, children before parents, the byte in front carried up (-1: different)."""
-    out: list[tuple[int, int, int]] = []
+def interval_tree(common: np.ndarray, before: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(bytes, first, last, diverse, outermost) of the intervals of the common-prefix tree with ``least`` bytes or more: a
+    stack scan, children before parents, the byte in front of the members carried up (-1: different ones)."""
+    out: list[tuple[int, int, int, bool, bool]] = []
     stack: list[list[int]] = []
     busy = np.flatnonzero(np.concatenate([common[1:] >= least, [False]]) | (common >= least))
     common_, before_ = common[busy].tolist(), before[busy].tolist()
@@ -151,15 +157,15 @@ def maximal_repeats(common: np.ndarray, before: np.ndarray, least: int) -> np.nd
             length, first, other = stack.pop()
             if byte != other:
                 byte = -1
-            if byte == -1:
-                out.append((length, first, places[k - 1]))
+            out.append((length, first, places[k - 1], byte == -1, not stack and now < least))
         if now >= least:
             if stack and stack[-1][0] == now:
                 if stack[-1][2] != byte:
                     stack[-1][2] = -1
             else:
                 stack.append([now, first, byte])
-    return np.array(out, np.int64).reshape(-1, 3)
+    length, first, last, diverse, outermost = np.array(out, np.int64).reshape(-1, 5).T
+    return length, first, last, diverse.astype(bool), outermost.astype(bool)
 
 
 def _expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,33 +179,37 @@ def repeats_of(contexts: list[bytes], earliest: np.ndarray, least: int) -> tuple
     bytes from there stand. ``earliest`` has each context's least document."""
     array = SuffixArray(contexts, least)
     found = earliest[array.text]
-    groups = maximal_repeats(array.common, array.before, least)
-    if len(groups):
-        length, first, last = groups.T
-        member, group = _expand(first, last - first + 1)
-        document = earliest[array.text[array.order[member]]]
-        low = np.minimum.reduceat(document, np.cumsum(last - first + 1) - (last - first + 1))
-        later = document > low[group]
-        at, which = _expand(array.order[member[later]], length[group[later]] - least + 1)
-        np.minimum.at(found, at, low[group[later]][which])
+    _, first, last, _, outermost = interval_tree(array.common, array.before, least)
+    if outermost.any():
+        first, size = first[outermost], (last - first + 1)[outermost]
+        member, group = _expand(first, size)
+        place = array.order[member]
+        low = np.minimum.reduceat(found[place], np.cumsum(size) - size)
+        found[place] = low[group]
     return array.start, found
 
 
 REPEATED = "bucket int, docs binary, texts binary, starts binary, ends binary"
 
 
-def _repeated(key: tuple, pdf: pd.DataFrame, least: int, buckets: int) -> pd.DataFrame:
-    """Intervals of a shard's occurrences that an earlier document holds, packed by bucket of documents."""
+def _joined(pdf: pd.DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's distinct contexts, and of each occurrence the context, document, text and start."""
     of = lambda name, kind: [np.frombuffer(x, kind) for x in pdf[name]]
     known: dict[bytes, int] = {}
     number = []
+    unpack = zstandard.ZstdDecompressor()
     for sizes, body in zip(of("lengths", np.uint32), pdf["bytes"]):
+        body = unpack.decompress(body)
         ends = np.cumsum(sizes, dtype=np.int64).tolist()
         number.append(np.array([known.setdefault(body[e - n : e], len(known)) for e, n in zip(ends, sizes.tolist())], np.int64))
     context = np.concatenate([m[c] for m, c in zip(number, of("contexts", np.uint32))])
     docs, tids = np.concatenate(of("docs", np.int64)), np.concatenate(of("texts", np.uint32))
-    starts = np.concatenate(of("starts", np.uint32)).astype(np.int64)
-    contexts = list(known)
+    return list(known), context, docs, tids, np.concatenate(of("starts", np.uint32)).astype(np.int64)
+
+
+def _repeated(key: tuple, pdf: pd.DataFrame, least: int, buckets: int) -> pd.DataFrame:
+    """Intervals of a shard's occurrences that an earlier document holds, packed by bucket of documents."""
+    contexts, context, docs, tids, starts = _joined(pdf)
     length = np.array([len(c) for c in contexts], np.int64)
     earliest = np.full(len(contexts), np.iinfo(np.int64).max)
     np.minimum.at(earliest, context, docs)
@@ -247,6 +257,19 @@ def _by_document(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     })
 
 
+#: Stands for a text id where all of a text goes, which its md5 names.
+COPY = -1
+
+
+def copies_of(texts: DataFrame, least: int) -> DataFrame:
+    """(doc_id, text_id, starts, ends) of documents of ``least`` bytes or more whose text a document with a smaller doc_id has."""
+    named = texts.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= least)).select("doc_id", F.unhex(F.md5("text")).alias("starts"))
+    named = table(named, "names")
+    first = named.groupBy("starts").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = named.join(first, "starts").filter("doc_id > first")
+    return table(later.select("doc_id", F.lit(COPY).cast("long").alias("text_id"), "starts", F.lit(b"").alias("ends")).distinct(), "copies")
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
     for batch in batches:
@@ -257,7 +280,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text, removed = texts[i].as_py() or b"", []
                 kept = text
                 for f in batch.column("found")[i].as_py() or []:
-                    if f["text_id"] == text_id(text) & 0xFFFFFFFF:
+                    if f["text_id"] == COPY and f["starts"] == hashlib.md5(text).digest():
+                        kept, removed = b"", [{"start": 0, "stop": len(text)}]
+                    elif f["text_id"] == text_id(text) & 0xFFFFFFFF:
                         ends = np.frombuffer(f["ends"], np.uint32).astype(np.int64)
                         mask = covered(np.frombuffer(f["starts"], np.uint32).astype(np.int64), ends, len(text))
                         kept = np.frombuffer(text, np.uint8)[~mask].tobytes()
@@ -268,15 +293,52 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 4, types)], ["doc_id", "n_bytes", "removed", "kept"])
 
 
-def remove_repeated_bytes(docs: DataFrame, least: int = 50, gram: int = 16, shard_bytes: int = 8_000_000, chunk_bytes: int = 8_000_000) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, least: int = 50, gram: int = 16, shard_bytes: int = 2_000_000, chunk_bytes: int = 8_000_000) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, n_bytes, ``removed`` (spans of byte numbers, half open)
     and ``kept`` (the other bytes)."""
     spec = Windows("bytes", least, gram)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     shards = count_shards(texts, shard_bytes)
-    keys = repeated_keys(texts, spec, counted_repeated, shards, chunk_bytes)
-    contexts = texts.join(keys, "doc_id").mapInArrow(lambda b: _contexts(b, spec, shards, chunk_bytes), CONTEXTS)
+    copies = copies_of(texts, least)
+    # A doc_id that has other texts too stays in: only rows that are copies go.
+    alone = texts.groupBy("doc_id").count().filter("count = 1").select("doc_id")
+    single = semi_join(texts, copies.select("doc_id").distinct().join(alone, "doc_id"), "doc_id", how="left_anti")
+    keys = repeated_keys(single, spec, counted_repeated, shards, chunk_bytes)
+    contexts = single.join(keys, "doc_id").mapInArrow(lambda b: _contexts(b, spec, shards, chunk_bytes), CONTEXTS)
     hits = contexts.groupBy("shard").applyInPandas(lambda key, pdf: _repeated(key, pdf, least, shards), REPEATED)
-    hits = hits.groupBy("bucket").applyInPandas(_by_document, "doc_id long, text_id long, starts binary, ends binary")
+    hits = hits.groupBy("bucket").applyInPandas(_by_document, "doc_id long, text_id long, starts binary, ends binary").unionByName(copies)
     hits = table(hits.groupBy("doc_id").agg(F.collect_list(F.struct("text_id", "starts", "ends")).alias("found")), "repeats")
     return texts.join(hits, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary")
+
+
+GROUPS = "group long, length int, doc_id long, start long"
+
+
+def _groups(key: tuple, pdf: pd.DataFrame, least: int) -> pd.DataFrame:
+    contexts, context, docs, _, starts = _joined(pdf)
+    array = SuffixArray(contexts, least)
+    length, first, last, diverse, _ = interval_tree(array.common, array.before, least)
+    by_context = np.argsort(context, kind="stable")
+    edge = np.searchsorted(context[by_context], np.arange(len(contexts) + 1))
+    member, group = _expand(first[diverse], (last - first + 1)[diverse])
+    places, sizes = array.order[member], length[diverse][group]
+    alone = np.flatnonzero(np.diff(edge) > 1)  # equal contexts of several occurrences
+    places = np.concatenate([places, array.start[alone]])
+    sizes = np.concatenate([sizes, [len(contexts[c]) for c in alone]]).astype(np.int64)
+    group = np.concatenate([group, diverse.sum() + np.arange(len(alone))])
+    c = array.text[places]
+    at, which = _expand(edge[c], np.diff(edge)[c])
+    o = by_context[at]
+    name = (np.int64(key[0]) << 32) | group[which]
+    return pd.DataFrame({"group": name, "length": sizes[which], "doc_id": docs[o], "start": starts[o] + (places - array.start[c])[which]})
+
+
+def repeat_groups(docs: DataFrame, least: int = 50, gram: int = 16, shard_bytes: int = 2_000_000, chunk_bytes: int = 8_000_000) -> DataFrame:
+    """A row per occurrence of a maximal repeat group of ``docs`` (doc_id, text), within contexts: (group, length, doc_id,
+    start). A group's occurrences may all lie in one document if another key of the corpus brought their context in."""
+    spec = Windows("bytes", least, gram)
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    shards = count_shards(texts, shard_bytes)
+    keys = repeated_keys(texts, spec, counted_repeated, shards, chunk_bytes)
+    contexts = texts.join(keys, "doc_id").mapInArrow(lambda b: _contexts(b, spec, shards, chunk_bytes), CONTEXTS)
+    return contexts.groupBy("shard").applyInPandas(lambda key, pdf: _groups(key, pdf, least), GROUPS)
