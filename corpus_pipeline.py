@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines go that stand, equal or within two edits, earlier in the corpus; so do documents left without words."""
-    return without_repeated_lines(docs)
+    """Lines go that stand, equal or within the allowed edits, earlier in the corpus; so do documents left without words."""
+    return without_repeated_lines(docs, least_chars=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,16 +1,18 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions only.
 
-Lines (trimmed of white space) of ``least_chars`` characters or more are compared; shorter ones are
-too short to tell reuse from chance and always stay. Equal lines are one class, named by hash. For
+Lines (trimmed of white space) of ``least_chars`` characters or more are compared; with 1, all that are not
+blank. Equal lines of any length are one class, named by hash. Others may differ by one edit for every ten
+characters of the longer line, by two at most: shorter lines are so close by chance alone. For
 edit threshold 2, a line of length L is cut into three segments; two lines within the threshold share
 a segment, shifted by few places. So a line probes the index of lengths L, L-1 and L-2 with 5, 4 and 3
-of its substrings, at the places that a shift can reach. Every row of index and probe is three
-numbers: hash of (length, segment number, substring), line, and a bag of eight letter counts. A bag
+of its substrings, at the places that a shift can reach. For threshold 1 (10 to 19 characters) two segments
+do, and two probes each of lengths L and L-1. Every row of index and probe is three
+numbers: hash of (length, segment number, substring), line, and a bag of sixteen letter counts. A bag
 difference over twice the threshold rules a pair out inside the join, so long runs of lines that share
 a segment give few rows. Texts are fetched for the lines of surviving pairs alone and verified by a
 bit-parallel automaton of the diagonal band: five bits for each number of errors, moved along the line.
 
-A line goes if an equal line, or one within the threshold, stands earlier (by doc_id, then line number).
+A line goes if an equal line, or one within the allowed edits, stands earlier (by doc_id, then line number).
 
 Defined results for odd input: a null text has no lines; rows without doc_id come after all others, as
 one document; rows that share a doc_id are read as the same document, so lines at one line number do
@@ -30,6 +32,8 @@ BLANKS = " \t\n\r\x0b\x0c"
 LETTERS = "entiaorshdlucgm "
 MORE_LETTERS = "fpwybvkxjqz,.ETAIOSRN"
 LAST = 2**63 - 1
+#: Characters of a line for each edit, and from how many on two are allowed.
+TENTH, LONG = 10, 20
 
 
 def lines_of(docs: DataFrame, least_chars: int) -> DataFrame:
@@ -90,6 +94,13 @@ def probe_signatures(line: Column, length: Column, shorter: int) -> Column:
     return F.array(*out, _signature(line, length - shorter, 2, last[0] + shorter, last[1]))
 
 
+def short_signatures(line: Column, length: Column, shorter: int = 0) -> Column:
+    """For one edit, the two halves of a line that is ``shorter`` by so many characters, where they stand in ``line``: one
+    of them is as it was, the second moved by the difference in length. Halves have segment numbers of their own."""
+    half = F.floor((length - shorter) / 2).cast("int")
+    return F.array(_signature(line, length - shorter, 3, F.lit(1), half), _signature(line, length - shorter, 4, half + 1 + shorter, length - shorter - half))
+
+
 def with_distance(pairs: DataFrame) -> DataFrame:
     """``pairs`` (x, y: texts that are not empty, ...) with ``distance``, their edit distance or -1 over 2: Wu and Manber's
     bit-parallel automaton on a diagonal band.
@@ -126,31 +137,44 @@ def with_distance(pairs: DataFrame) -> DataFrame:
     return out.withColumn("distance", distance).drop("xs", "ys", "m", "n", "moves", "end")
 
 
+def allowed_edits(length: Column) -> Column:
+    """Edits that two lines may differ by, from the length of the longer."""
+    return F.least(F.floor(length / TENTH), F.lit(2)).cast("int")
+
+
 def _classes(lines: DataFrame) -> DataFrame:
     return lines.groupBy("a", "b").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("copies"))
 
 
-#: What a dealt row is: of the index, or a probe for lines of the same length, or for shorter ones.
-INDEX, SAME, LONGER = range(3)
+#: What a dealt row is: of the index, or a probe for lines of the same length, or for shorter ones; probes for two edits, then for one.
+INDEX, SAME, LONGER, SAME_ONE, LONGER_ONE = range(5)
 
 
 def similar_lines(lines: DataFrame, least_chars: int) -> DataFrame:
-    """Pairs of classes within 2 edits: (a, b, other_a, other_b, distance), both ways round, hashes as names."""
+    """Pairs of classes within the allowed edits: (a, b, other_a, other_b, distance), both ways round, hashes as names."""
     n = F.char_length("line")
-    marked = lines.select(F.col("a").alias("id"), bag(F.col("line")).alias("bag"), n.alias("n"), "line")
+    # Nothing shorter than TENTH - 1 characters is within an edit of a line that may have one.
+    marked = lines.filter(n >= TENTH - 1).select(F.col("a").alias("id"), bag(F.col("line")).alias("bag"), n.alias("n"), "line")
     kind = lambda signatures, k: F.transform(signatures, lambda s: F.struct(s.alias("signature"), F.lit(k).cast("byte").alias("kind")))
     none = F.array().cast("array<bigint>")
-    probe = [F.when(F.col("n") - k >= least_chars, probe_signatures(F.col("line"), F.col("n"), k)).otherwise(none) for k in range(3)]
-    every = F.concat(kind(index_signatures(F.col("line"), F.col("n")), INDEX), kind(probe[0], SAME), kind(F.concat(probe[1], probe[2]), LONGER))
+    line, size = F.col("line"), F.col("n")
+    given = lambda condition, signatures: F.when(condition, signatures).otherwise(none)
+    probe = [given((size >= LONG) & (size - k >= least_chars), probe_signatures(line, size, k)) for k in range(3)]
+    short = [given(size.between(TENTH, LONG - 1) & (size - k >= least_chars), short_signatures(line, size, k)) for k in range(2)]
+    # Lines of just under LONG characters are looked for by both kinds.
+    index = F.concat(given(size >= LONG - 2, index_signatures(line, size)), given(size < LONG, short_signatures(line, size)))
+    every = F.concat(
+        kind(index, INDEX), kind(probe[0], SAME), kind(F.concat(probe[1], probe[2]), LONGER), kind(short[0], SAME_ONE), kind(short[1], LONGER_ONE))
     dealt = marked.select("id", "bag", F.explode(every).alias("s")).select("id", "bag", "s.*").repartition("signature")
     # Copies of a line meet by signature and are one row. The filters refer to the partition, so that they stay above the
     # exchange: index and probe are one scan, dealt once.
     here = F.when(F.spark_partition_id() >= 0, F.col("kind"))
     kept = dealt.filter(here == INDEX).select("id", "bag", "signature").distinct()
     asked = dealt.filter(here != INDEX).select(
-        F.col("id").alias("other"), F.col("bag").alias("other_bag"), F.col("signature").alias("sought"), (F.col("kind") == SAME).alias("same")).distinct()
+        F.col("id").alias("other"), F.col("bag").alias("other_bag"), F.col("signature").alias("sought"), F.col("kind").isin(SAME, SAME_ONE).alias("same"),
+        F.when(F.col("kind") >= SAME_ONE, 2).otherwise(4).alias("most")).distinct()
     apart = F.when(F.col("same"), F.col("other") > F.col("id")).otherwise(F.col("other") != F.col("id"))
-    pairs = kept.join(asked, (F.col("signature") == F.col("sought")) & apart & (bag_distance(F.col("bag"), F.col("other_bag")) <= 4))
+    pairs = kept.join(asked, (F.col("signature") == F.col("sought")) & apart & (bag_distance(F.col("bag"), F.col("other_bag")) <= F.col("most")))
     pairs = table(pairs.select("id", "other").distinct(), "line-pairs")
 
     ids = table(pairs.select("id").union(pairs.select("other")).distinct(), "line-ids")
@@ -160,16 +184,17 @@ def similar_lines(lines: DataFrame, least_chars: int) -> DataFrame:
     near = pairs.join(x, "id").join(y, "other").repartition(4 * partitions(lines.sparkSession), "id", "other")
     near = near.filter(letter_distance(F.col("x"), F.col("y")) <= 4)
     # The built-in distance fills a row per character, so long lines go to the automaton at once.
-    long = F.greatest(F.char_length("x"), F.char_length("y")) > 1000
+    longer = F.greatest(F.char_length("x"), F.char_length("y"))
+    long = longer > 1000
     near = with_distance(near.filter(F.when(long, True).otherwise(F.levenshtein("x", "y", 2) >= 0)))
-    near = table(near.filter("distance >= 0").select(F.col("id").alias("a"), "b", F.col("other").alias("other_a"), "other_b", "distance"), "line-links")
+    near = table(near.filter((F.col("distance") >= 0) & (F.col("distance") <= allowed_edits(longer))).select(F.col("id").alias("a"), "b", F.col("other").alias("other_a"), "other_b", "distance"), "line-links")
     return near.unionByName(near.select(
         F.col("other_a").alias("a"), F.col("other_b").alias("b"), F.col("a").alias("other_a"), F.col("b").alias("other_b"), "distance"))
 
 
 def line_links(docs: DataFrame, least_chars: int = 20) -> DataFrame:
     """A row per compared line of ``docs`` (doc_id, text): doc_id, line_no (from 0), ``first_doc_id`` and ``first_line_no`` of the
-    first equal line (the class), ``copies`` of it, ``n_links`` (other classes within 2 edits), ``near_doc_id`` and ``near_line_no`` of
+    first equal line (the class), ``copies`` of it, ``n_links`` (other classes within the allowed edits), ``near_doc_id`` and ``near_line_no`` of
     the earliest line of these, and ``kept``."""
     lines = lines_of(docs, least_chars)
     names = table(lines.drop("line"), "line-names")

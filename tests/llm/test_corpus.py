@@ -126,6 +126,54 @@ def test_line_dedup(docs, spark):
     assert out.columns == docs.columns and 0 < out.count() <= docs.count()
 
 
+def test_line_dedup_short(spark):
+    def distance(a: str, b: str) -> int:
+        p = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            q = [i]
+            for j, y in enumerate(b, 1):
+                q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+            p = q
+        return p[-1]
+
+    rng, rows = random.Random(11), []
+    base = ["".join(rng.choice("abcde é") for _ in range(n)) for n in [*range(1, 26), 9, 10, 10, 18, 19, 19, 20, 20, 21]]
+    for i in range(60):
+        lines = ["Home", "", "  "]
+        for _ in range(8):
+            s = list(rng.choice(base))
+            for _ in range(rng.randint(0, 2)):
+                j = rng.randrange(len(s) + 1)
+                s[j : j + rng.randint(0, 1)] = [rng.choice(["", "x", "a"])]
+            lines.append("".join(s))
+        rows.append((i, "\n".join(lines)))
+    every = [(i, k, x.strip()) for i, t in rows for k, x in enumerate(t.split("\n")) if x.strip()]
+    where: dict[str, tuple] = {}
+    for i, k, x in every:
+        where.setdefault(x, (i, k))
+    got = {(r.doc_id, r.line_no): r for r in line_dedup.line_links(spark.createDataFrame(rows, "doc_id long, text string"), least_chars=1).collect()}
+    assert set(got) == {(i, k) for i, k, _ in every}
+    mixed = set()
+    for i, k, x in every:
+        linked = [y for y in where if y != x and distance(x, y) <= min(2, max(len(x), len(y)) // 10)]
+        mixed |= {(min(len(x), len(y)), max(len(x), len(y))) for y in linked}
+        near, r = [where[y] for y in linked], got[(i, k)]
+        assert (r.first_doc_id, r.first_line_no, r.n_links) == (*where[x], len(near))
+        assert r.kept == (where[x] == (i, k) and (not near or min(near) > where[x]))
+    assert {(19, 20), (18, 20), (9, 10), (19, 19)} <= mixed
+
+
+def test_lines_dropped_by_the_queries(spark, tmp_path):
+    import corpus_pipeline
+    from lapwing.llm import queries
+
+    spark.createDataFrame([(1, "Home\nsome words"), (2, "Home\nothers here"), (3, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.line_no): r.kept for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): True, (1, 1): True, (2, 0): False, (2, 1): True, (3, 0): True}
+    out = corpus_pipeline.lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "")
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "Home\nsome words", 2: "others here", 3: "x"}
+
+
 def test_neighbours(spark):
     x = np.random.default_rng(3).normal(size=(400, 16))
     x[50:120] = x[50]
