@@ -16,7 +16,7 @@ A line goes if an equal line, or one within the allowed edits, stands earlier (b
 
 Defined results for odd input: a null text has no lines; rows without doc_id come after all others, as
 one document; rows that share a doc_id are read as the same document, so lines at one line number do
-not remove each other; blank lines stay; an empty table gives no rows; other columns are ignored by
+not remove each other, but each row loses lines of its own text only; blank lines stay; an empty table gives no rows; other columns are ignored by
 ``line_links`` and kept by ``without_repeated_lines``.
 """
 
@@ -36,10 +36,16 @@ LAST = 2**63 - 1
 TENTH, LONG = 10, 20
 
 
+def text_key(text: Column) -> Column:
+    """Tells apart the texts of rows that have no doc_id or share one."""
+    return F.xxhash64(text)
+
+
 def lines_of(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(doc, line_no, line, a, b): trimmed lines that are compared, ``doc`` with rows without id last, and two hashes."""
+    """(doc, text_key, line_no, line, a, b): trimmed lines that are compared, ``doc`` with rows without id last, a hash of the
+    row's text, and two of the line."""
     doc = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST))
-    out = docs.select(doc.alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    out = docs.select(doc.alias("doc"), text_key(docs["text"]).alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     out = out.withColumn("line", F.btrim("line", F.lit(BLANKS))).filter(F.length("line") >= least_chars)
     return out.withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(2), "line")})
 
@@ -196,7 +202,11 @@ def line_links(docs: DataFrame, least_chars: int = 20) -> DataFrame:
     """A row per compared line of ``docs`` (doc_id, text): doc_id, line_no (from 0), ``first_doc_id`` and ``first_line_no`` of the
     first equal line (the class), ``copies`` of it, ``n_links`` (other classes within the allowed edits), ``near_doc_id`` and ``near_line_no`` of
     the earliest line of these, and ``kept``."""
-    lines = lines_of(docs, least_chars)
+    return _judged(lines_of(docs, least_chars).drop("text_key"), least_chars)
+
+
+def _judged(lines: DataFrame, least_chars: int) -> DataFrame:
+    """``line_links`` of ``lines``, with the ``text_key`` of each line's row where they have it."""
     names = table(lines.drop("line"), "line-names")
     classes = table(_classes(names), "line-classes")
     links = similar_lines(lines, least_chars)
@@ -208,7 +218,7 @@ def line_links(docs: DataFrame, least_chars: int = 20) -> DataFrame:
     original = (own == F.col("first")) & F.coalesce(F.col("near") > F.col("first"), F.lit(True))
     known = lambda doc: F.when(doc != LAST, doc)
     return out.select(
-        known(F.col("doc")).alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), known(F.col("first.doc")).alias("first_doc_id"),
+        *[c for c in lines.columns if c == "text_key"], known(F.col("doc")).alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), known(F.col("first.doc")).alias("first_doc_id"),
         F.col("first.line_no").cast("long").alias("first_line_no"), "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         known(F.col("near.doc")).alias("near_doc_id"), F.col("near.line_no").cast("long").alias("near_line_no"), original.alias("kept"),
     )
@@ -217,8 +227,9 @@ def line_links(docs: DataFrame, least_chars: int = 20) -> DataFrame:
 def without_repeated_lines(docs: DataFrame, least_chars: int = 20) -> DataFrame:
     """``docs``, all columns, with repeated lines taken out of ``text`` (``n_chars``, where present, is renewed).
     Documents that had words and have none left go."""
-    gone = line_links(docs, least_chars).filter("not kept").groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_set("line_no").alias("cut"))
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("cut_id")), "left")
+    gone = _judged(lines_of(docs, least_chars), least_chars).filter("not kept").groupBy(F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key"))
+    gone = gone.agg(F.collect_set("line_no").alias("cut"))
+    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("cut_id")) & (text_key(docs["text"]) == F.col("cut_key")), "left")
     split = F.split("text", "\n")
     rest = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("cut", i.cast("long"))), "\n")
     text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(rest)

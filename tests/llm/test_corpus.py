@@ -174,6 +174,19 @@ def test_lines_dropped_by_the_queries(spark, tmp_path):
     assert {r.doc_id: r.text for r in out.collect()} == {1: "Home\nsome words", 2: "others here", 3: "x"}
 
 
+def test_lines_cut_from_their_own_row(spark):
+    rows = [
+        (1, "a line that others repeat\nanother line that is repeated"), (None, "a line that others repeat\nunique text of the first row"),
+        (None, "unique text of some second row\nanother line that is repeated"), (None, "here all is said but once\nand nothing of it again"), (None, None),
+        (7, "a line that others repeat\nwords of seven, first text"), (7, "seven has one more text too\nanother line that is repeated"),
+    ]
+    out = line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted([
+        rows[0], (None, "unique text of the first row"), (None, "unique text of some second row"), rows[3], rows[4],
+        (7, "words of seven, first text"), (7, "seven has one more text too"),
+    ], key=str)
+
+
 def test_neighbours(spark):
     x = np.random.default_rng(3).normal(size=(400, 16))
     x[50:120] = x[50]
