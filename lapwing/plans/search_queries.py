@@ -269,8 +269,7 @@ def sku_collapse(spark, d):
 
 def duplicate_clusters(spark, d):
     items = tables.items(spark, d)
-    links = blocks.top_k(_queries(items), items, 5).filter("similarity >= 0.5").select(F.col("query_id").alias("a"), F.col("item_id").alias("b"))
-    return serve.clusters(links, items.select(F.col("item_id").alias("node")))
+    return serve.clusters(blocks.forest(items, 0.5), items.select(F.col("item_id").alias("node")))
 
 
 def catalog_size(spark, d):

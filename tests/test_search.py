@@ -44,6 +44,36 @@ def test_grid_equals_scan(spark, unit, monkeypatch):
     assert sorted(map(tuple, blocks.top_k(queries, items, 4).collect())) == scan
 
 
+def test_forest(spark):
+    rng = np.random.default_rng(6)
+    x = np.zeros((40, 6))
+    x[:7, 0] = 1  # two groups of copies at similarity .9, which fill each other's nearest
+    x[7:14, :2] = 0.9, np.sqrt(1 - 0.81)
+    x[14:18, 2] = 0.5  # copies with a product under the threshold, alone
+    x[18:22, 3], x[22, 3] = 0.5, 1.2  # such copies, and an item that joins them
+    x[23:] = rng.normal(size=(17, 6)) * 0.4
+    order = rng.permutation(40)
+    items = frame(spark, x[order])
+    y = x[order]
+    root = list(range(40))
+    for a in range(40):
+        for b in range(a):
+            if round(float(y[a] @ y[b]), 12) >= 0.5:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    for rows in (1024, 5):
+        got = {r.node: r.cluster for r in serve.clusters(blocks.forest(items, 0.5, block_rows=rows), items.select(F.col("item_id").alias("node"))).collect()}
+        assert got == dict(enumerate(root))
+
+
+def test_clusters_of_copies(spark, monkeypatch):
+    from lapwing.plans import search_queries
+
+    items = frame(spark, [[1.0, 0.0]] * 7 + [[0.9, np.sqrt(1 - 0.81)]] * 7)
+    monkeypatch.setattr(search_queries.tables, "items", lambda spark, d: items.withColumn("category", F.lit(0)))
+    assert {r.cluster for r in search_queries.duplicate_clusters(spark, "").collect()} == {0}
+
+
 def test_metrics(spark):
     e = np.eye(4)
     items = frame(spark, [e[0]] * 4 + [e[1]] * 4, [0] * 4 + [1] * 4)
