@@ -6,8 +6,9 @@ documents. Only contexts of keys that several documents hold are sent, equal one
 text. A shard builds the suffix array of its distinct contexts by prefix doubling, the array of
 common prefixes, and scans it with a stack, which gives the intervals of the common-prefix tree of 50
 bytes or more. One whose members are preceded by different bytes (or begin a context) is a maximal repeat
-group; ``repeat_groups`` returns these with every occurrence, to the length of a context. Equal contexts
-of several documents are a group of their own.
+group; ``repeat_groups`` returns these with every occurrence, to the length of a context, so a longer repeat
+comes as fragments. Equal contexts of several documents are a group of their own. ``remove_repeated_bytes`` does
+without this test and these groups.
 
 Outermost intervals hold all occurrences of one window: an occurrence in a document after the interval's
 first has those bytes repeated. Their members are as many as there are suffixes, however periodic a text.
