@@ -1,7 +1,7 @@
 """Substring deduplication: a count-min prefilter, then exact grouping of the windows it leaves.
 
 First pass: every document's windows are counted under their keys (see ``repeats``) in a count-min
-sketch. Partial sketches of chunks of text are merged by shards of the key space; a sketch has
+sketch. Chunks of text send their exact keys to shards of the key space, which build the sketch; a sketch has
 ``depth`` rows of ``width`` cells per shard and there are shards in proportion to the text, so the
 error stays the same at any size. A count is never too low, for collisions and for windows that
 share a key, so no repeated window is lost.
