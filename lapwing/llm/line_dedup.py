@@ -1,16 +1,22 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions only.
 
 Lines (trimmed of white space) of ``least_chars`` characters or more are compared; with 1, all that are not
-blank. Equal lines of any length are one class, named by hash. Others may differ by one edit for every ten
-characters of the longer line, by two at most: shorter lines are so close by chance alone. For
-edit threshold 2, a line of length L is cut into three segments; two lines within the threshold share
-a segment, shifted by few places. So a line probes the index of lengths L, L-1 and L-2 with 5, 4 and 3
-of its substrings, at the places that a shift can reach. For threshold 1 (10 to 19 characters) two segments
-do, and two probes each of lengths L and L-1. Every row of index and probe is three
-numbers: hash of (length, segment number, substring), line, and a bag of sixteen letter counts. A bag
-difference over twice the threshold rules a pair out inside the join, so long runs of lines that share
-a segment give few rows. Texts are fetched for the lines of surviving pairs alone and verified by a
-bit-parallel automaton of the diagonal band: five bits for each number of errors, moved along the line.
+blank. Equal lines of any length are one class, named by hash; classes are made first, combined before the
+shuffle, so a line that fills a third of the corpus is one row from then on. Classes may differ by one edit for
+every ten characters of the longer line, by two at most: shorter lines are so close by chance alone.
+
+Lengths are cut into bands (``band``). For edit threshold 2, three segments of a line that do not touch, their size set by the
+band, are its index rows: its first characters, those behind, and its last ones counted from the end. Two edits leave one of three
+segments whole. The first and the last are then in place; the middle one is moved by a place at most, and only if
+there is an edit on either side of it, so of two lines one finds the other's middle in place or one further on, which is its
+probe. For threshold 1 (9 to 19 characters) a first and a last segment do. A line at the start of its band also enters the band below.
+
+Rows of index and probe are two numbers, hash of (band, segment, substring) and line. Counting says which signatures several
+lines share; rows of others, nearly all, go at once. Lines of those that stay get letter counts, made once a line, and meet by
+signature, length and counts, which bound the edit distance from below. Signatures that many
+lines share (numbered template lines) are dealt to blocks of ``block_rows`` lines, and probes go to each block, so no task holds
+one of these whole. Pairs that remain are decided by a bit-parallel automaton of the diagonal band: five bits
+for each number of errors, moved along the line.
 
 A line goes if an equal line, or one within the allowed edits, stands earlier (by doc_id, then line number).
 
@@ -28,9 +34,8 @@ from pyspark.sql import functions as F
 from lapwing.llm.common import partitions, semi_join, table
 
 BLANKS = " \t\n\r\x0b\x0c"
-#: Letters counted in a line's bag, and those counted beside them before a pair is verified; any frequent ones serve.
-LETTERS = "entiaorshdlucgm "
-MORE_LETTERS = "fpwybvkxjqz,.ETAIOSRN"
+#: Characters counted before a pair is verified, fifteen to a number; any frequent ones serve.
+LETTERS = ("entiaorshdlucgm", " fpwybvkxjqz,.E", "TAIOSRN01234567", "89-|:;!?()'LDCM")
 LAST = 2**63 - 1
 #: Characters of a line for each edit, and from how many on two are allowed.
 TENTH, LONG = 10, 20
@@ -54,10 +59,10 @@ def letter_count(line: Column, letter: str) -> Column:
     return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
 
 
-def bag(line: Column) -> Column:
-    """Sixteen letter counts modulo 16 in one number."""
+def bag(line: Column, letters: str) -> Column:
+    """Up to fifteen letter counts modulo 16 in one number."""
     out = F.lit(0).cast("long")
-    for k, x in enumerate(LETTERS):
+    for k, x in enumerate(letters):
         out = out.bitwiseOR(F.shiftleft(letter_count(line, x).cast("long").bitwiseAND(15), 4 * k))
     return out
 
@@ -65,46 +70,48 @@ def bag(line: Column) -> Column:
 def bag_distance(x: Column, y: Column) -> Column:
     """A lower bound of twice the edit distance: one edit changes two counts by one at most."""
     out = F.lit(0)
-    for k in range(len(LETTERS)):
+    for k in range(15):
         d = F.abs(F.shiftright(x, 4 * k).bitwiseAND(15) - F.shiftright(y, 4 * k).bitwiseAND(15))
         out = out + F.least(d, 16 - d)
     return out
 
 
-def letter_distance(x: Column, y: Column) -> Column:
-    """The same bound over all counted letters of two texts."""
-    return sum((F.abs(letter_count(x, c) - letter_count(y, c)) for c in LETTERS + MORE_LETTERS), F.lit(0))
+def band(length: Column) -> Column:
+    """The least length of the band of lengths that holds ``length``."""
+    return F.when(length < 64, length - length % 4).otherwise(length - length % 16)
 
 
-def segments(length: Column) -> list[tuple[Column, Column]]:
-    """(start from 1, size) of the three segments of a line of this length."""
-    first, second, third = (F.floor((length + k) / 3).cast("int") for k in range(3))
-    return [(F.lit(1), first), (first + 1, second), (first + second + 1, third)]
+#: Places that meet by signature: three segments for two edits, the first of which is also the place of a moved middle; two segments for one.
+INDEX, PROBE = 0, 1
 
 
-def _signature(line: Column, length: Column, k: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(k), F.substring(line, start, size))
+def _rows(line: Column, length: Column, start: Column, edits: int) -> list[Column]:
+    """(signature, kind) of a line of ``length`` characters in the band from ``start``. Between the middle and the last segment
+    is a place at least, so that a middle that is moved on by one is still whole."""
+    size = F.floor((start - 1) / 3).cast("int") if edits == 2 else F.floor(start / 2).cast("int")
+    row = lambda k, at, kind: F.struct(F.xxhash64(F.lit(k), start, F.substring(line, at, size)).alias("signature"), F.lit(kind).cast("byte").alias("kind"))
+    ends = length - size + 1
+    if edits == 1:
+        return [row(3, F.lit(1), INDEX), row(4, ends, INDEX)]
+    return [row(0, F.lit(1), INDEX), row(1, size + 1, INDEX), row(2, ends, INDEX), row(1, size + 2, PROBE)]
 
 
-def index_signatures(line: Column, length: Column) -> Column:
-    return F.array(*[_signature(line, length, k, start, size) for k, (start, size) in enumerate(segments(length))])
+def signatures(line: Column, length: Column) -> Column:
+    """Index and probe rows of a line, an array."""
+    none = F.array().cast("array<struct<signature:bigint,kind:tinyint>>")
+    out = []
+    # Lines just under LONG characters are in both schemes: a longer one may be two edits away.
+    for edits, fits in ((2, length >= LONG - 2), (1, length.between(TENTH - 1, LONG - 1))):
+        own, below = band(length), band(length - edits)
+        out += [F.when(fits, F.array(*_rows(line, length, own, edits))).otherwise(none)]
+        out += [F.when(fits & (below < own), F.array(*_rows(line, length, below, edits))).otherwise(none)]
+    return F.concat(*out)
 
 
-def probe_signatures(line: Column, length: Column, shorter: int) -> Column:
-    """Signatures to look up among lines that are ``shorter`` by so many characters. An edit script of two steps leaves
-    the first segment in place or unmatched, moves a middle match by one place at most, and a last match by the
-    difference in length."""
-    first, middle, last = segments(length - shorter)
-    out = [_signature(line, length - shorter, 0, *first)]
-    out += [_signature(line, length - shorter, 1, middle[0] + o, middle[1]) for o in range(max(-1, shorter - 1), min(1, shorter + 1) + 1)]
-    return F.array(*out, _signature(line, length - shorter, 2, last[0] + shorter, last[1]))
-
-
-def short_signatures(line: Column, length: Column, shorter: int = 0) -> Column:
-    """For one edit, the two halves of a line that is ``shorter`` by so many characters, where they stand in ``line``: one
-    of them is as it was, the second moved by the difference in length. Halves have segment numbers of their own."""
-    half = F.floor((length - shorter) / 2).cast("int")
-    return F.array(_signature(line, length - shorter, 3, F.lit(1), half), _signature(line, length - shorter, 4, half + 1 + shorter, length - shorter - half))
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are made once a row. The optimizer writes the definition of a plain column into every use of
+    it, filters and lambda bodies included; what a generator returns it leaves alone."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def with_distance(pairs: DataFrame) -> DataFrame:
@@ -112,10 +119,9 @@ def with_distance(pairs: DataFrame) -> DataFrame:
     bit-parallel automaton on a diagonal band.
 
     Bit d + 2 of the e-th of three words says that the first j + d characters of ``y`` are within e edits of the first j
-    of ``x``. ``moves`` has, for each j, five bits of equal characters and which places exist in ``y``. Characters, moves
-    and the last words are projections of their own, so each is made once per pair.
+    of ``x``. ``moves`` has, for each j, five bits of equal characters and which places exist in ``y``.
     """
-    m, n = F.char_length("y"), F.char_length("x")
+    m, n = F.col("m"), F.col("n")
 
     def moves(c: Column, j: Column) -> Column:
         equal = F.lit(0)
@@ -133,12 +139,12 @@ def with_distance(pairs: DataFrame) -> DataFrame:
         return F.struct(zero.alias("zero"), one.alias("one"), two.alias("two"))
 
     start = F.struct(F.lit(4).alias("zero"), F.lit(12).alias("one"), F.lit(28).alias("two"))
-    out = pairs.withColumns({"xs": F.split("x", ""), "ys": F.split("y", ""), "m": m, "n": n})
-    out = out.withColumn("moves", F.transform("xs", moves))
-    out = out.withColumn("end", F.aggregate("moves", start, step))
-    at = F.call_function("shiftleft", F.lit(1), F.greatest(F.least(F.col("m") - F.col("n"), F.lit(2)), F.lit(-2)) + 2)
+    out = computed(pairs, xs=F.split("x", ""), ys=F.split("y", ""), m=F.char_length("y"), n=F.char_length("x"))
+    out = computed(out, moves=F.transform("xs", moves))
+    out = computed(out, end=F.aggregate("moves", start, step))
+    at = F.call_function("shiftleft", F.lit(1), F.greatest(F.least(m - n, F.lit(2)), F.lit(-2)) + 2)
     reached = lambda word: F.col("end")[word].bitwiseAND(at) != 0
-    far = F.abs(F.col("m") - F.col("n")) > 2
+    far = F.abs(m - n) > 2
     distance = F.when(far, -1).when(reached("zero"), 0).when(reached("one"), 1).when(reached("two"), 2).otherwise(-1)
     return out.withColumn("distance", distance).drop("xs", "ys", "m", "n", "moves", "end")
 
@@ -148,68 +154,74 @@ def allowed_edits(length: Column) -> Column:
     return F.least(F.floor(length / TENTH), F.lit(2)).cast("int")
 
 
-def _classes(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("a", "b").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("copies"))
-
-
-#: What a dealt row is: of the index, or a probe for lines of the same length, or for shorter ones; probes for two edits, then for one.
-INDEX, SAME, LONGER, SAME_ONE, LONGER_ONE = range(5)
-
-
-def similar_lines(lines: DataFrame, least_chars: int) -> DataFrame:
-    """Pairs of classes within the allowed edits: (a, b, other_a, other_b, distance), both ways round, hashes as names."""
-    n = F.char_length("line")
-    # Nothing shorter than TENTH - 1 characters is within an edit of a line that may have one.
-    marked = lines.filter(n >= TENTH - 1).select(F.col("a").alias("id"), bag(F.col("line")).alias("bag"), n.alias("n"), "line")
-    kind = lambda signatures, k: F.transform(signatures, lambda s: F.struct(s.alias("signature"), F.lit(k).cast("byte").alias("kind")))
-    none = F.array().cast("array<bigint>")
-    line, size = F.col("line"), F.col("n")
-    given = lambda condition, signatures: F.when(condition, signatures).otherwise(none)
-    probe = [given((size >= LONG) & (size - k >= least_chars), probe_signatures(line, size, k)) for k in range(3)]
-    short = [given(size.between(TENTH, LONG - 1) & (size - k >= least_chars), short_signatures(line, size, k)) for k in range(2)]
-    # Lines of just under LONG characters are looked for by both kinds.
-    index = F.concat(given(size >= LONG - 2, index_signatures(line, size)), given(size < LONG, short_signatures(line, size)))
-    every = F.concat(
-        kind(index, INDEX), kind(probe[0], SAME), kind(F.concat(probe[1], probe[2]), LONGER), kind(short[0], SAME_ONE), kind(short[1], LONGER_ONE))
-    dealt = marked.select("id", "bag", F.explode(every).alias("s")).select("id", "bag", "s.*").repartition("signature")
-    # Copies of a line meet by signature and are one row. The filters refer to the partition, so that they stay above the
-    # exchange: index and probe are one scan, dealt once.
-    here = F.when(F.spark_partition_id() >= 0, F.col("kind"))
-    kept = dealt.filter(here == INDEX).select("id", "bag", "signature").distinct()
-    asked = dealt.filter(here != INDEX).select(
-        F.col("id").alias("other"), F.col("bag").alias("other_bag"), F.col("signature").alias("sought"), F.col("kind").isin(SAME, SAME_ONE).alias("same"),
-        F.when(F.col("kind") >= SAME_ONE, 2).otherwise(4).alias("most")).distinct()
-    apart = F.when(F.col("same"), F.col("other") > F.col("id")).otherwise(F.col("other") != F.col("id"))
-    pairs = kept.join(asked, (F.col("signature") == F.col("sought")) & apart & (bag_distance(F.col("bag"), F.col("other_bag")) <= F.col("most")))
-    pairs = table(pairs.select("id", "other").distinct(), "line-pairs")
-
-    ids = table(pairs.select("id").union(pairs.select("other")).distinct(), "line-ids")
-    texts = semi_join(lines.select(F.col("a").alias("id"), "b", "line"), ids, "id")
-    texts = table(texts.groupBy("id", "b").agg(F.first("line").alias("line")), "line-texts")
+def line_classes(lines: DataFrame) -> DataFrame:
+    """(a, b, first, copies, line) of each distinct line; copies are combined in the task that reads them."""
+    return lines.groupBy("a", "b").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("copies"), F.first("line").alias("line"))
+
+
+def candidates(classes: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(id, other) of classes that share a signature and whose lengths and letter counts allow a link, and the (id, b, line, n, bags)
+    of all classes that share one."""
+    lines = classes.select(F.col("a").alias("id"), F.char_length("line").alias("n"), "line")
+    dealt = lines.select("id", F.inline(signatures(F.col("line"), F.col("n"))))
+    dealt = table(dealt, "line-signatures")
+    shared = dealt.groupBy("signature").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("kind").alias("kind"))
+    shared = table(shared.filter((F.col("low") < F.col("high")) & (F.col("kind") == INDEX)).select("signature"), "line-shared")
+    dealt = table(semi_join(dealt, shared, "signature"), "line-meetings")
+    counts = [bag(F.col("line"), letters).alias(f"bag{k}") for k, letters in enumerate(LETTERS)]
+    named = classes.select(F.col("a").alias("id"), "b", "line", F.char_length("line").alias("n"))
+    texts = table(semi_join(named, dealt.select("id").distinct(), "id").select("*", *counts), "line-texts")
+
+    # Lines of one hash (a) differ in b; either may link.
+    numbers = texts.drop("line", "b").distinct()
+    bags = [c for c in numbers.columns if c.startswith("bag")]
+    kept = dealt.filter(F.col("kind") == INDEX).select("signature", "id").distinct()
+    asked = dealt.select("signature", F.col("id").alias("other"), "kind").groupBy("signature", "other").agg(F.min("kind").alias("kind"))
+    heavy = kept.groupBy("signature").agg(F.count("*").alias("m")).filter(F.col("m") > block_rows)
+    heavy = table(heavy.select("signature", F.ceil(F.col("m") / block_rows).cast("int").alias("blocks")), "line-heavy")
+    on = ["signature"]
+    if few := heavy.count():
+        small = F.broadcast(heavy) if few <= 500_000 else heavy
+        blocks = F.coalesce("blocks", F.lit(1))
+        kept = kept.join(small, "signature", "left").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).drop("blocks")
+        asked = asked.join(small, "signature", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+        on = ["signature", "block"]
+    kept = kept.join(numbers, "id")
+    asked = asked.join(numbers.select(*[F.col(c).alias("other" if c == "id" else f"other_{c}") for c in numbers.columns]), "other")
+    distance = sum((bag_distance(F.col(c), F.col(f"other_{c}")) for c in bags), F.lit(0))
+    near = (F.abs(F.col("n") - F.col("other_n")) <= 2) & (distance <= 2 * allowed_edits(F.greatest("n", "other_n")))
+    apart = F.when(F.col("kind") == INDEX, F.col("id") < F.col("other")).otherwise(F.col("id") != F.col("other"))
+    pairs = kept.join(asked, on).filter(apart & near)
+    return pairs.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct(), texts
+
+
+def similar_lines(classes: DataFrame, block_rows: int = 4096) -> DataFrame:
+    """Pairs of ``classes`` (a, b, line) within the allowed edits: (a, b, other_a, other_b, distance), both ways round, hashes as names."""
+    pairs, texts = candidates(classes, block_rows)
+    pairs = table(pairs, "line-pairs")
     x, y = texts.select("id", "b", F.col("line").alias("x")), texts.select(F.col("id").alias("other"), F.col("b").alias("other_b"), F.col("line").alias("y"))
-    near = pairs.join(x, "id").join(y, "other").repartition(4 * partitions(lines.sparkSession), "id", "other")
-    near = near.filter(letter_distance(F.col("x"), F.col("y")) <= 4)
-    # The built-in distance fills a row per character, so long lines go to the automaton at once.
-    longer = F.greatest(F.char_length("x"), F.char_length("y"))
-    long = longer > 1000
-    near = with_distance(near.filter(F.when(long, True).otherwise(F.levenshtein("x", "y", 2) >= 0)))
-    near = table(near.filter((F.col("distance") >= 0) & (F.col("distance") <= allowed_edits(longer))).select(F.col("id").alias("a"), "b", F.col("other").alias("other_a"), "other_b", "distance"), "line-links")
+    # A partition for each of the table's: few rows, much work on each.
+    near = with_distance(pairs.join(x, "id").join(y, "other").repartition(4 * partitions(classes.sparkSession)))
+    allowed = allowed_edits(F.greatest(F.char_length("x"), F.char_length("y")))
+    near = near.filter((F.col("distance") >= 0) & (F.col("distance") <= allowed))
+    near = table(near.select(F.col("id").alias("a"), "b", F.col("other").alias("other_a"), "other_b", "distance"), "line-links")
     return near.unionByName(near.select(
         F.col("other_a").alias("a"), F.col("other_b").alias("b"), F.col("a").alias("other_a"), F.col("b").alias("other_b"), "distance"))
 
 
-def line_links(docs: DataFrame, least_chars: int = 20) -> DataFrame:
+def line_links(docs: DataFrame, least_chars: int = 20, block_rows: int = 4096) -> DataFrame:
     """A row per compared line of ``docs`` (doc_id, text): doc_id, line_no (from 0), ``first_doc_id`` and ``first_line_no`` of the
     first equal line (the class), ``copies`` of it, ``n_links`` (other classes within the allowed edits), ``near_doc_id`` and ``near_line_no`` of
     the earliest line of these, and ``kept``."""
-    return _judged(lines_of(docs, least_chars).drop("text_key"), least_chars)
+    return _judged(lines_of(docs, least_chars).drop("text_key"), block_rows)
 
 
-def _judged(lines: DataFrame, least_chars: int) -> DataFrame:
+def _judged(lines: DataFrame, block_rows: int = 4096) -> DataFrame:
     """``line_links`` of ``lines``, with the ``text_key`` of each line's row where they have it."""
     names = table(lines.drop("line"), "line-names")
-    classes = table(_classes(names), "line-classes")
-    links = similar_lines(lines, least_chars)
+    classes = table(line_classes(lines), "line-classes")
+    links = similar_lines(classes, block_rows)
+    classes = classes.drop("line")
     first = classes.select(F.col("a").alias("other_a"), F.col("b").alias("other_b"), F.col("first").alias("near"))
     links = links.join(first, ["other_a", "other_b"]).groupBy("a", "b").agg(F.count("*").alias("n_links"), F.min("near").alias("near"))
     classes = classes.join(links, ["a", "b"], "left")
@@ -224,15 +236,17 @@ def _judged(lines: DataFrame, least_chars: int) -> DataFrame:
     )
 
 
-def without_repeated_lines(docs: DataFrame, least_chars: int = 20) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, least_chars: int = 20, least_share: float = 0.0) -> DataFrame:
     """``docs``, all columns, with repeated lines taken out of ``text`` (``n_chars``, where present, is renewed).
-    Documents that had words and have none left go."""
-    gone = _judged(lines_of(docs, least_chars), least_chars).filter("not kept").groupBy(F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key"))
+    Documents that had words and have none left go, and those left with less than ``least_share`` of their characters."""
+    gone = _judged(lines_of(docs, least_chars)).filter("not kept").groupBy(F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key"))
     gone = gone.agg(F.collect_set("line_no").alias("cut"))
     out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("cut_id")) & (text_key(docs["text"]) == F.col("cut_key")), "left")
-    split = F.split("text", "\n")
-    rest = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("cut", i.cast("long"))), "\n")
-    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(rest)
-    out = out.withColumn("text", text).filter(F.col("cut").isNull() | (F.btrim("text", F.lit(BLANKS)) != ""))
-    out = out.select(*docs.columns)
+    parts, cut = F.split("text", "\n"), F.col("cut")
+    places = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("_parts") - F.lit(1).cast("long")), "cut")
+    out = computed(out, _parts=F.when(cut.isNotNull(), parts))
+    out = computed(out, _left=F.when(cut.isNotNull(), F.array_join(F.transform(places, lambda i: F.get("_parts", i.cast("int"))), "\n")))
+    left = F.length(F.btrim("_left", F.lit(BLANKS)))
+    out = out.filter(cut.isNull() | ((left > 0) & (left >= least_share * F.length("text"))))
+    out = out.withColumn("text", F.when(cut.isNull(), F.col("text")).otherwise(F.col("_left"))).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -163,6 +163,30 @@ def test_line_dedup_short(spark):
     assert {(19, 20), (18, 20), (9, 10), (19, 19)} <= mixed
 
 
+def test_line_dedup_template_lines(spark):
+    """One signature in all lines, dealt to blocks; rows repeated, without id, with clashing columns; very long lines."""
+    rows = [(i, f"Page {i:04d} of the catalogue") for i in range(60)] + [(None, "Page 0003 of the catalogue"), (5, "Page 0005 of the catalogue")]
+    long = "so it goes on " * 1200
+    rows += [(100, long + "x"), (101, long + "yz"), (102, None), (103, "\n \n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"line": F.lit("k"), "id": F.lit(1), "a": F.lit(2)})
+    want = {f"{i:04d}": sum(0 < sum(p != q for p, q in zip(f"{i:04d}", f"{j:04d}")) <= 2 for j in range(60)) for i in range(60)}
+    for block_rows in (7, 4096):
+        got = line_dedup.line_links(df, block_rows=block_rows).collect()
+        assert len(got) == 64
+        pages = {r.doc_id: r for r in got if r.doc_id is not None and r.doc_id < 100}
+        assert {f"{i:04d}": pages[i].n_links for i in range(60)} == want
+        assert sorted(r.copies for r in got if r.doc_id == 5) == [2, 2] and [r.first_doc_id for r in got if r.doc_id is None] == [3]
+        assert [(r.n_links, r.kept) for r in sorted(got, key=lambda r: r.doc_id or 0) if r.doc_id in (100, 101)] == [(1, True), (1, False)]
+        assert [i for i in range(60) if pages[i].kept] == [0]
+
+
+def test_fragments_go_with_their_lines(spark):
+    rows = [(1, "a first line of text\na second line of text\na third line of text\nand a fourth line"), (2, "a first line of text\na second line of text\na third line of text\nrest"), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.without_repeated_lines(df, 1).collect()} == {1: rows[0][1], 2: "rest", 3: ""}
+    assert {r.doc_id for r in line_dedup.without_repeated_lines(df, 1, 0.2).collect()} == {1, 3}
+
+
 def test_lines_dropped_by_the_queries(spark, tmp_path):
     import corpus_pipeline
     from lapwing.llm import queries
