@@ -19,8 +19,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines go that stand, equal or within the allowed edits, earlier in the corpus; so do documents left without words."""
-    return without_repeated_lines(docs, least_chars=1)
+    """Lines go that stand, equal or within the allowed edits, earlier in the corpus; so do documents left
+    without words, or with under a fifth of their characters: what is left of a near copy is no document."""
+    return without_repeated_lines(docs, least_chars=1, least_share=0.2)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
