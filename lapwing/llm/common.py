@@ -35,14 +35,21 @@ def table(df: DataFrame, label: str) -> DataFrame:
     stops a costly plan from running once per consumer. Removed when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lapwing-{label}-{uuid.uuid4().hex}"
+    clear(spark)
     df.write.parquet(path)
     if not _MADE:
         atexit.register(_clean)
     _MADE.append((spark, path))
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of the plan that is now a table
+    clear(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of plans that have become tables: it acts when the driver collects its garbage.
+    What a write has just let go of may still be in a listener's queue, so the next table clears it again."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def _clean() -> None:
     for spark, path in _MADE:
         try:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapwing.llm.common import U64, mix64, partitions, table
-from lapwing.llm.shingles import WordHashes, grams, window_min
+from lapwing.llm.shingles import BASE, WordHashes, grams, window_min
 
 BYTE_HASHES = mix64(np.arange(1, 257, dtype=U64))
 
@@ -55,6 +56,18 @@ class Windows:
         return starts, np.diff(np.append(starts, len(low))), low[starts]
 
 
+    def contents(self, v: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """64-bit hashes of what stands under each run, from prefix sums of the units times powers of an odd base."""
+        powers, inverse = _powers(1 << max(16, (len(v)).bit_length()))
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(v * powers[: len(v)], dtype=U64)])
+        return mix64((sums[starts + lengths - 1 + self.width] - sums[starts]) * inverse[starts] + mix64(lengths.astype(U64)))
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([np.ones(1, U64), np.cumprod(np.full(n - 1, b, U64), dtype=U64)]) for b in (BASE, U64(pow(int(BASE), -1, 2**64))))
+
+
 def text_id(text: bytes | None) -> int:
     """Tells texts apart that share a doc_id."""
     return xxhash.xxh3_64_intdigest(text or b"") - 2**63
@@ -64,8 +77,14 @@ def codes(keys: np.ndarray, shards: int) -> np.ndarray:
     """Shard number in the upper half, 32 bits of the key in the lower. Keys are least hashes, so small numbers are many
     among them: they are mixed anew, to load shards evenly."""
     keys = mix64(keys + U64(1))
-    shard = ((keys >> U64(40)) * U64(shards)) >> U64(24)
-    return (shard << U64(32)) | ((keys >> U64(8)) & U64(0xFFFFFFFF))
+    shard = ((keys >> U64(32)) * U64(shards)) >> U64(32)
+    return (shard << U64(32)) | (keys & U64(0xFFFFFFFF))
+
+
+def by_shard(shard: np.ndarray) -> list[tuple[int, int, int]]:
+    """(shard, from, to) of the runs of equal numbers in a sorted array."""
+    names, first = np.unique(shard, return_index=True)
+    return list(zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(shard)]))
 
 
 def count_shards(docs: DataFrame, shard_bytes: int) -> int:
@@ -104,9 +123,8 @@ def _messages(batches: Iterator[pa.RecordBatch], spec: Windows, shards: int, chu
         for kind in (ONE, SEVERAL):
             part = start[several == (kind == SEVERAL)]
             shard = (code[part] >> U64(32)).astype(np.int64)
-            edge = np.searchsorted(shard, np.arange(shards + 1))
-            for s in np.unique(shard).tolist():
-                mine = part[edge[s] : edge[s + 1]]
+            for s, at, to in by_shard(shard):
+                mine = part[at:to]
                 rows.append((s, chunk, kind, owner[mine].tobytes(), code[mine].astype(np.uint32).tobytes()))
         chunk, docs, keys, held = chunk + 1, [], [], 0
         types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())

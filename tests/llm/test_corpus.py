@@ -245,11 +245,82 @@ def test_suffix_dedup(docs):
         text = bytes(units[r.doc_id]) if r.doc_id is not None else corpus()[5][1].encode()
         assert bytes(r.kept) == bytes(b for b, g in zip(text, gone) if not g)
         assert sum(s.stop - s.start for s in r.removed) == sum(gone)
-    groups = suffix_dedup.repeat_groups(docs).limit(2000).collect()
-    for name in {g.group for g in groups[:200]}:
-        mine = [g for g in groups if g.group == name]
-        texts = {bytes(units[g.doc_id][g.start : g.start + g.length]) for g in mine}
-        assert len(texts) == 1 and mine[0].length >= 50
+
+
+def test_suffix_dedup_odd(spark):
+    """Two texts under one doc_id, white space without end, NUL bytes, a periodic text, a row without doc_id; columns that clash."""
+    base = "the quick brown fox jumps over the lazy dog and runs on into the deep dark wood behind the old stone mill. "
+    rows = [
+        (1, base * 3), (1, "other text of one " + base), (2, "x" + base + "y"), (3, " " * 200_000), (4, " " * 90_000 + "end"), (5, "ab" * 300), (6, "zz" + "ab" * 200),
+        (7, "a\0b" * 40), (8, "c" + "a\0b" * 30 + "\0"), (None, base), (9, ""), (10, None), (2, "x" + base + "y"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("chunk", "keys", "found", "shard")}).repartition(2)
+    seen: dict[bytes, int] = {}
+    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            seen.setdefault(b[k : k + 50], i)
+    want = []
+    for i, t in rows:
+        b, gone = (t or "").encode(), set()
+        if i is not None:
+            for k in range(len(b) - 49):
+                if seen[b[k : k + 50]] < i:
+                    gone.update(range(k, k + 50))
+        want.append((i, len(b), bytes(x for k, x in enumerate(b) if k not in gone)))
+    got = [(r.doc_id, r.n_bytes, bytes(r.kept)) for r in suffix_dedup.remove_repeated_bytes(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def maximal_repeats(texts: list[tuple[int, bytes]], least: int) -> dict[bytes, set]:
+    """Strings that repeat and can't be extended without losing an occurrence, by brute force over pairs of places."""
+    ends = {}
+    for i, t in texts:
+        for k in range(len(t) - least + 1):
+            ends.setdefault(t[k : k + least], []).append((i, t, k))
+    found = set()
+    for places in ends.values():
+        for a, (i, t, p) in enumerate(places):
+            for j, u, q in places[a + 1 :]:
+                n = least
+                while p + n < len(t) and q + n < len(u) and t[p + n] == u[q + n]:
+                    n += 1
+                if not (p and q and t[p - 1] == u[q - 1]):
+                    found.add(t[p : p + n])
+    every = {s: {(i, k) for i, t in texts for k in range(len(t) - len(s) + 1) if t[k : k + len(s)] == s} for s in found}
+    return {s: at for s, at in every.items() if len({t[k - 1] if k else -i - 1 for i, k in at for j, t in texts if j == i}) > 1
+            and len({t[k + len(s)] if k + len(s) < len(t) else -i - 1 for i, k in at for j, t in texts if j == i}) > 1}
+
+
+def test_repeat_groups(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage, other = text(110)[:500], text(40)
+    rows = [(i, f"{text(8)} {i} {passage} {i} {text(9)}") for i in range(40)]
+    rows += [(100, f"{other} - {text(5)}"), (101, f"{text(3)} + {other}"), (102, f"{text(30)} {other[:120]}. {text(4)} {other[:120]}! {other[40:]}"), (103, "unique " + text(60)), (104, None)]
+    got: dict = {}
+    for r in suffix_dedup.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shard_bytes=2000, chunk_bytes=5000).collect():
+        got.setdefault((r.group, r.length), []).append((r.doc_id, r.start))
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    by = dict(texts)
+    strings = {}
+    for (_, n), at in got.items():
+        assert len({by[i][k : k + n] for i, k in at}) == 1 and len(at) == len(set(at)) and len(at) > 1
+        s = by[at[0][0]][at[0][1] : at[0][1] + n]
+        assert s not in strings
+        strings[s] = set(at)
+    want = maximal_repeats(texts, 50)
+    for s, at in strings.items():  # every occurrence
+        assert at == {(i, k) for i, t in texts for k in range(len(t) - len(s) + 1) if t[k : k + len(s)] == s}
+    passages = [s for s in strings if len(strings[s]) == 40]
+    assert len(passages) == 1 and len(passages[0]) >= 502 and passages[0] in want
+    covered = lambda groups: {(i, k + d) for s, at in groups.items() for i, k in at for d in range(len(s))}
+    assert covered(strings) == covered(want)
+    # What its parts have in common with no other text is whole.
+    times = Counter(t[k : k + 50] for _, t in texts for k in range(len(t) - 49))
+    alone = [s for s, at in want.items() if all(times[s[k : k + 50]] == len(at) for k in range(len(s) - 49))]
+    assert len(alone) >= 2 and set(alone) <= set(strings)
 
 
 def test_substring_dedup(docs):
