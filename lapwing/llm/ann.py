@@ -12,7 +12,8 @@ tables meet in one exact reranking by cosine in double precision on the stored v
 * Buckets are counted; one over ``bucket_rows`` rows is split into that many sub-buckets, and a probe
   visits them all. Work is grouped in blocks of buckets of bounded size; a block returns the few best
   rows of each query, never pairs.
-* A query that found fewer than ``k`` neighbours is compared with every block of the first table.
+* A query that found fewer than ``k`` neighbours is compared with every block of the first table; so are all, where the
+  largest number of probes does not reach the recall on the sample.
 
 Defined results for odd input: vectors that are null, zero, hold null or non-finite components, or are
 not of the table's most common length take no part, nor do rows without an id. Repeated rows are one
@@ -94,8 +95,9 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def fit_probes(sample: np.ndarray, queries: np.ndarray, hashes: Hashes, k: int, recall: float, most: int = 4096) -> int:
-    """Fewest probes, in steps of a half, that reach ``recall`` on unit-vector samples (queries are rows of the sample's space)."""
+def fit_probes(sample: np.ndarray, queries: np.ndarray, hashes: Hashes, k: int, recall: float, most: int = 4096) -> int | None:
+    """Fewest probes, in steps of a half, that reach ``recall`` on unit-vector samples (queries are rows of the sample's space);
+    none if ``most`` do not."""
     near = queries @ sample.T
     near[near > 1 - 1e-12] = -2  # a query that is in the sample
     truth = np.argsort(-near, axis=1)[:, :k]
@@ -110,7 +112,7 @@ def fit_probes(sample: np.ndarray, queries: np.ndarray, hashes: Hashes, k: int,
         if hits >= recall * truth.size:
             return probes
         probes = probes * 3 // 2
-    return most
+    return None
 
 
 def _index(batches: Iterator[pd.DataFrame], hashes: Hashes) -> Iterator[pd.DataFrame]:
@@ -150,26 +152,44 @@ def _block(key: tuple, rows: pd.DataFrame, asks: pd.DataFrame, k: int) -> pd.Dat
     for i, asked in enumerate(asks["parts"]):
         for part in asked:
             visits.setdefault(int(part), []).append(i)
-    spare = 3 * k + 8  # equal scores may round apart in the block product; exact scores decide among a few more
     out = []
     for part, who in visits.items():
         if (m := members.get(part)) is None:
             continue
+        m = m[np.argsort(ids[m], kind="stable")]
+        own, first = np.unique(ids[m], return_index=True)
         for at in range(0, len(who), 512):
             w = np.array(who[at : at + 512])
             near = q_unit[w] @ v_unit[m].T
             near[qids[w][:, None] == ids[m][None, :]] = -9
-            best = np.argpartition(-near, spare - 1, axis=1)[:, :spare] if len(m) > spare else np.broadcast_to(np.arange(len(m)), near.shape)
-            a, b = np.repeat(w, best.shape[1]), m[best.ravel()]
-            other = qids[a] != ids[b]
-            a, b = a[other], b[other]
-            out.append((a, b, np.einsum("ij,ij->i", q[a], v[b]) / (q_norm[a] * v_norm[b])))
-    if not out:
-        return none
-    a, b, score = map(np.concatenate, zip(*out))
-    found = pd.DataFrame({"query_id": qids[a], "vec_id": ids[b], "score": score}).drop_duplicates()
-    found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-    return found[found.groupby("query_id").cumcount() < 2 * k]
+            if len(own) > k:
+                # All rows that may be among the best k ids: an id counts by its best row, and exact scores may differ from the
+                # product's in the last places. However many tie, all are scored.
+                best = np.maximum.reduceat(near, first, axis=1) if len(own) < len(m) else near
+                least = np.partition(best, len(own) - k, axis=1)[:, len(own) - k]
+                keep = (near >= least[:, None] - 1e-9) & (near > -9)
+            else:
+                keep = near > -9
+            for some in np.array_split(np.arange(len(w)), -(-int(keep.sum()) // 200_000) or 1):
+                a, b = np.nonzero(keep[some])
+                a, b = w[some[a]], m[b]
+                score = np.einsum("ij,ij->i", q[a], v[b]) / (q_norm[a] * v_norm[b])
+                out.append(_first(qids[a], ids[b], score, k))
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), _first(*map(np.concatenate, zip(*out)), k)))) if out else none
+
+
+def _first(query: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best rows of each query, each id by its best score, ties to the smaller id."""
+    order = np.lexsort((-score, row, query))
+    query, row, score = query[order], row[order], score[order]
+    once = np.ones(len(query), bool)
+    once[1:] = (query[1:] != query[:-1]) | (row[1:] != row[:-1])
+    query, row, score = query[once], row[once], score[once]
+    order = np.lexsort((row, -score, query))
+    query, row, score = query[order], row[order], score[order]
+    _, first, size = np.unique(query, return_index=True, return_counts=True)
+    use = np.arange(len(query)) - np.repeat(first, size) < k
+    return query[use], row[use], score[use]
 
 
 FOUND = "query_id long, vec_id long, score double"
@@ -217,7 +237,7 @@ def search(
     kept = index.join(sizes, ["t", "bucket"])
     kept = kept.withColumn("part", part_of(F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")))
     kept = kept.withColumn("block", F.pmod("part", F.lit(blocks))).select("t", "block", "part", "vec_id", "vec")
-    visits = asks.mapInPandas(lambda b: _probes(b, hashes, probes), "t int, bucket long, query_id long")
+    visits = asks.mapInPandas(lambda b: _probes(b, hashes, probes or 1), "t int, bucket long, query_id long")
     visits = visits.join(sizes, ["t", "bucket"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     visits = visits.withColumn("part", part_of(F.col("salt"))).withColumn("block", F.pmod("part", F.lit(blocks)))
     visits = visits.groupBy("query_id", "t", "block").agg(F.collect_list("part").alias("parts")).join(asks, "query_id")
@@ -226,13 +246,15 @@ def search(
         return rows_of.groupBy("t", "block").cogroup(asks_of.groupBy("t", "block")).applyInPandas(
             lambda key, a, b: _block(key, a, b, k), FOUND)
 
-    first = table(near(kept, visits).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
-    short = asks.join(first.groupBy("query_id").count().filter(F.col("count") >= k), "query_id", "left_anti")
-    if short.isEmpty():
-        found = first
-    else:  # an exact way for the queries whose buckets held too few rows
+    if probes is None:
+        found, short = None, asks
+    else:
+        found = table(near(kept, visits).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
+        short = asks.join(found.groupBy("query_id").count().filter(F.col("count") >= k), "query_id", "left_anti")
+    if not short.isEmpty():  # an exact way for the queries whose buckets held too few rows, and for all where probes do not reach the recall
         plain = table(kept.filter("t = 0"), "first-table")
         every = table(plain.select("t", "block", "part").distinct().groupBy("t", "block").agg(F.collect_list("part").alias("parts")), "blocks")
-        found = first.unionByName(near(plain, short.crossJoin(every))).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        exact = near(plain, short.crossJoin(every))
+        found = (exact if found is None else found.unionByName(exact)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
