@@ -237,6 +237,27 @@ def test_neighbours(spark):
     assert sorted(r.vec_id for r in few.collect()) == [1, 2]
 
 
+def test_neighbours_ties_and_ids(spark):
+    rng = np.random.default_rng(9)
+    one = rng.normal(size=16)
+    ties = [(i, [float(v) for v in one * 2.0 ** (i % 30)]) for i in range(60)]
+    far = [(i, [float(v) for v in rng.normal(size=16)]) for i in range(100, 130)]
+    near = [(200, [float(v) for v in one * (1 + 1e-6 * j) + 1e-3 * rng.normal(size=16)]) for j in range(12)]
+    df = spark.createDataFrame(ties + far + near, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, df.filter("vec_id in (59, 200)"), k=5).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    assert [got[59][k] for k in range(1, 6)] == [0, 1, 2, 3, 4]
+    assert sorted(got[200].values()) == [0, 1, 2, 3, 4]
+    df = spark.createDataFrame(far + near, "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in ann.search(df, df.filter("vec_id = 100"), k=8).orderBy("rank").collect()]
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in far}
+    score = {i: unit[100] @ u for i, u in unit.items() if i != 100} | {200: max(unit[100] @ (np.array(v) / np.linalg.norm(v)) for _, v in near)}
+    assert got == sorted(score, key=lambda i: (-score[i], i))[:8]
+    sample = rng.normal(size=(300, 32))
+    assert ann.fit_probes(sample / np.linalg.norm(sample, axis=1)[:, None], sample[:9], ann.Hashes(32, functions=12, width=0.05), 5, 1.0, 16) is None
+
+
 def test_suffix_dedup(docs):
     units = {i: list((t or "").encode()) for i, t in known().items()}
     seen = first_seen(units, 50)
@@ -365,6 +386,47 @@ def test_packing(docs):
     assert packing.encode(special, path, 1).tolist() == [*exact.encode(special, add_special_tokens=False).ids, 1]
 
 
+def test_packing_odd(spark):
+    """White space without end, very long words, repeated and null rows, columns that clash, an empty table."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    exact = packing._encoders(path)[0]
+    assert packing._encoders(path)[1] is not None
+    rows = [(1, " " * 1_000_000 + "x"), (2, "\n\t " * 300_000), (3, "a" * 60_000), (None, "no id"), (None, None), (4, "twice"), (4, "twice"), (5, "long text " * 200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"start": F.lit("s"), "offset": F.lit(0)})
+    got = packing.pack(df, path).collect()
+    want = Counter()
+    for i, t in rows:
+        ids = [*exact.encode(t or "", add_special_tokens=False).ids, 1]
+        want[i] += len(ids)
+        if i not in (None, 4):
+            at = 0
+            for r in sorted((r for r in got if r.doc_id == i), key=lambda r: r.start):
+                assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes()))
+                at += r.length
+    sums = Counter()
+    for r in got:
+        sums[r.doc_id] += r.length
+    assert sums == want
+    assert packing.pack(df.limit(0), path).count() == 0
+
+
+def test_packing_tiers_and_steps():
+    rng = np.random.default_rng(5)
+    packer = packing.Packer(0)
+    for i in range(600):
+        packer.add(i, np.arange(rng.integers(1, 901), dtype="<u4"))
+    packer.flush(last=True)
+    steps, windows = Counter(), {}
+    for *_, sequence, _, context, step in packer.rows:
+        windows[sequence] = (context, step)
+    for context, step in windows.values():
+        steps[step] += context
+    made = Counter(c for c, _ in windows.values())
+    assert all(made[t] >= 40 for t in (1024, 512, 256)), made
+    assert max(steps.values()) - min(steps.values()) <= 256 and len(steps) > 10
+    assert len({s for c, s in windows.values() if c == 1024}) == len(steps)
+
+
 def test_licenses(spark):
     text = "Some words. Licensed under the Apache License, Version 2.0. More words of the license. "
     filler = "the of and to license version under work " * 400
