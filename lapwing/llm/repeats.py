@@ -5,12 +5,9 @@ windows have equal keys, wherever they stand, so a key that one document holds a
 repeated window; keys change only every couple of dozen positions, so they are few. A *run* is a
 stretch of windows under one key; its *context* is the text under the run's windows.
 
-Keys are exchanged packed: each task gathers the keys of a few megabytes of text (a chunk) and sends
-them, split by hash into shards, as arrays of 32 bits of each key and its document's number in the
-chunk. Shards grow in number with the text, so 32 bits tell a shard's keys apart but for a false alarm
-in thousands, which costs work and changes nothing. A key is sent once per chunk, so a passage in a
-third of all documents costs a shard one entry per chunk. Shards answer with the keys that occur
-elsewhere. A *code* is a key as exchanged: its shard and its 32 bits.
+Keys go packed: each task gathers those of a few megabytes of text (a chunk) and sends them, split by hash into shards, which
+grow in number with the text. A *code* is a key as exchanged: its shard in the upper bits, what the shard is told below. A key is sent
+once per chunk, so a passage in a third of all documents costs a shard one entry per chunk.
 """
 
 from __future__ import annotations
@@ -93,12 +90,37 @@ def count_shards(docs: DataFrame, shard_bytes: int) -> int:
     return max(2 * partitions(docs.sparkSession), -(-total // shard_bytes), 1)
 
 
+#: Bits of a cell's number in a row of a shard's sketch.
+CELL = 20
+
+
+def cells(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Codes of the count-min sketch: the shard, and the key's cells in the two rows of the shard's sketch."""
+    h = mix64(keys + U64(1))
+    shard = ((h >> U64(40)) * U64(shards)) >> U64(24)
+    return (shard << U64(2 * CELL)) | (mix64(h ^ U64(0x9E3779B97F4A7C15)) >> U64(64 - 2 * CELL))
+
+
 #: Kinds of messages: keys of one document of the chunk; keys of several; what is known inside the chunk; its doc_ids.
 ONE, SEVERAL, KNOWN, DOCUMENTS = range(4)
 MESSAGE = "shard int, chunk long, kind int, places binary, keys binary"
+#: A code without its shard, in five bytes.
+TOLD = np.dtype([("low", np.uint32), ("high", np.uint8)])
+
+
+def _packed(code: np.ndarray) -> bytes:
+    out = np.empty(len(code), TOLD)
+    out["low"], out["high"] = code.astype(np.uint32), (code >> U64(32)).astype(np.uint8)
+    return out.tobytes()
+
+
+def _unpacked(told: bytes) -> np.ndarray:
+    told = np.frombuffer(told, TOLD)
+    return told["low"].astype(U64) | (told["high"].astype(U64) << U64(32))
 
 
 def _messages(batches: Iterator[pa.RecordBatch], spec: Windows, shards: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's partial sketch, by shard: the cells that its documents' keys touch, apart for keys of one document and of several."""
     read, chunk = spec.reader(), TaskContext.get().partitionId() << 32
     docs: list[int] = []
     keys: list[np.ndarray] = []
@@ -122,10 +144,9 @@ def _messages(batches: Iterator[pa.RecordBatch], spec: Windows, shards: int, chu
             rows.append((home, chunk, KNOWN, owner[local].tobytes(), code[local].tobytes()))
         for kind in (ONE, SEVERAL):
             part = start[several == (kind == SEVERAL)]
-            shard = (code[part] >> U64(32)).astype(np.int64)
-            for s, at, to in by_shard(shard):
+            for s, at, to in by_shard((code[part] >> U64(2 * CELL)).astype(np.int64)):
                 mine = part[at:to]
-                rows.append((s, chunk, kind, owner[mine].tobytes(), code[mine].astype(np.uint32).tobytes()))
+                rows.append((s, chunk, kind, owner[mine].tobytes() if kind == ONE else b"", _packed(code[mine])))
         chunk, docs, keys, held = chunk + 1, [], [], 0
         types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
         names = [x.split()[0] for x in MESSAGE.split(", ")]
@@ -138,7 +159,7 @@ def _messages(batches: Iterator[pa.RecordBatch], spec: Windows, shards: int, chu
             if doc_id is None or not text:
                 continue
             docs.append(doc_id)
-            keys.append(np.unique(codes(spec.runs(read(text))[2], shards)))
+            keys.append(np.unique(cells(spec.runs(read(text))[2], shards)))
             held += len(text)
             if held >= chunk_bytes or len(docs) == 60_000:
                 yield send()
@@ -158,19 +179,19 @@ def _assembled(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": ids, "keys": [k.tobytes() for k in np.split(code, start[1:])]})
 
 
-def repeated_keys(
-    docs: DataFrame, spec: Windows, repeated: Callable[[list[np.ndarray], list[bool]], list[np.ndarray]], shards: int, chunk_bytes: int = 8_000_000,
+def estimated_keys(
+    docs: DataFrame, spec: Windows, merged: Callable[[list[np.ndarray], list[bool]], list[np.ndarray]], shards: int, chunk_bytes: int = 8_000_000,
 ) -> DataFrame:
-    """(doc_id, keys): for each document, arrays of the codes of its keys that another document may hold. ``repeated``
-    takes a shard's arrays of keys, one per message, and whether each message's keys are in several documents of their
+    """(doc_id, keys): for each document, arrays of the codes (``cells``) of its keys that another document may hold. ``merged``
+    takes a shard's partial sketches, one array of codes per message, and whether each one's keys are in several documents of their
     chunk, and marks the keys to keep."""
 
     def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         asked = pdf[pdf["kind"] <= SEVERAL]
-        arrays = [np.frombuffer(k, np.uint32) for k in asked["keys"]]
-        marks = repeated(arrays, (asked["kind"] == SEVERAL).tolist())
+        arrays = [_unpacked(k) for k in asked["keys"]]
+        marks = merged(arrays, (asked["kind"] == SEVERAL).tolist())
         rows = [
-            (chunk, ONE, np.frombuffer(p, np.uint16)[mark].tobytes(), (k[mark] | (U64(key[0]) << U64(32))).tobytes())
+            (chunk, ONE, np.frombuffer(p, np.uint16)[mark].tobytes(), (k[mark] | (U64(key[0]) << U64(2 * CELL))).tobytes())
             for chunk, kind, p, k, mark in zip(asked["chunk"], asked["kind"], asked["places"], arrays, marks) if kind == ONE and mark.any()
         ]
         passed = pdf.loc[pdf["kind"] > SEVERAL, ["chunk", "kind", "places", "keys"]]

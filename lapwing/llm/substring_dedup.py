@@ -1,9 +1,11 @@
 """Substring deduplication: a count-min prefilter, then exact grouping of the windows it leaves.
 
-First pass: every document's windows are counted under their keys (see ``repeats``) in a count-min
-sketch. Chunks of text send their exact keys to shards of the key space, which build the sketch; a sketch has
-``depth`` rows of ``width`` cells per shard and there are shards in proportion to the text, so the
-error stays the same at any size. A count is never too low, for collisions and for windows that
+First pass: every document's windows are counted under their keys (see ``repeats``; a key's count is its windows' sum or more) in a
+count-min sketch. The sketch is cut into slices of ``2 x 2**20`` cells, and a key's hash names its slice and its cell in either row. Each
+chunk of text makes its partial sketch: the cells that its keys touch, once for one document and twice for several. Slices merge what
+all chunks have for them, cell by cell, counts held at two, and tell each chunk which of its entries have both cells at two. There are
+slices in proportion to the text, so the error (some 2 % of keys pass without being repeated) stays the same at any size and no task
+holds the sketch. Neither keys nor windows are exchanged. A count is never too low, for collisions and for windows that
 share a key, so no repeated window is lost.
 
 Second pass: only runs of windows whose key was estimated in two documents or more are grouped, by
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapwing.llm.common import U64, mix64, table
-from lapwing.llm.repeats import Windows, codes, count_shards, covered, repeated_keys, spans, text_id
+from lapwing.llm.repeats import CELL, Windows, cells, count_shards, covered, estimated_keys, spans, text_id
 from lapwing.llm.shingles import grams
 
 
@@ -43,21 +45,28 @@ class CountMin:
         return np.array(rows, np.int64)
 
     def merge(self, keys: np.ndarray, count: int) -> None:
-        """Add a partial sketch, given by its keys, each ``count`` times."""
-        for row, at in zip(self.cells, self.places(keys)):
-            cells, times = np.unique(at, return_counts=True)
-            row[cells] = np.minimum(row[cells] + times * count, 2)
+        self.merge_partial(self.places(keys), count)
+
+    def merge_partial(self, places: np.ndarray, count: int) -> None:
+        """Add a partial sketch, given by the cells in each row that its entries touch, each ``count`` times."""
+        for row, at in zip(self.cells, places):
+            touched, times = np.unique(at, return_counts=True)
+            row[touched] = np.minimum(row[touched] + times * count, 2)
 
     def estimate(self, keys: np.ndarray) -> np.ndarray:
-        return np.min([row[at] for row, at in zip(self.cells, self.places(keys))], axis=0)
+        return self.least(self.places(keys))
+
+    def least(self, places: np.ndarray) -> np.ndarray:
+        return np.min([row[at] for row, at in zip(self.cells, places)], axis=0)
 
 
 def estimated_repeated(arrays: list[np.ndarray], sure: list[bool]) -> list[np.ndarray]:
-    total = sum(map(len, arrays))
-    sketch = CountMin(1 << max(12, (16 * total - 1).bit_length()))
-    for keys, several in zip(arrays, sure):
-        sketch.merge(keys, 2 if several else 1)
-    return [sketch.estimate(keys) >= 2 for keys in arrays]
+    """Merges the partial sketches of a slice and marks the entries that it estimates to be in two documents or more."""
+    sketch, mask = CountMin(1 << CELL), U64((1 << CELL) - 1)
+    places = [np.array([(code >> U64(CELL)) & mask, code & mask]).astype(np.int64) for code in arrays]
+    for at, several in zip(places, sure):
+        sketch.merge_partial(at, 2 if several else 1)
+    return [sketch.least(at) >= 2 for at in places]
 
 
 RUNS = "key long, run long, doc_id long, text_id long, start int, n int, windows binary"
@@ -77,7 +86,7 @@ def _runs(batches: Iterator[pa.RecordBatch], spec: Windows, shards: int) -> Iter
                 wanted = np.frombuffer(b"".join(batch.column("keys")[i].as_py()), U64)
                 v = read(text)
                 starts, lengths, keys = spec.runs(v)
-                use = np.flatnonzero(np.isin(codes(keys, shards), wanted))
+                use = np.flatnonzero(np.isin(cells(keys, shards), wanted))
                 if not len(use):
                     continue
                 windows, tid = grams(v, spec.width), text_id(text)
@@ -136,13 +145,13 @@ def _removed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([*columns[:3], columns[3].cast(pa.string())], ["doc_id", "n_words", "removed", "kept"])
 
 
-def remove_repeated_words(docs: DataFrame, width: int = 50, gram: int = 8, shard_bytes: int = 64_000_000) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, width: int = 50, gram: int = 8, shard_bytes: int = 16_000_000) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, n_words, ``removed`` (spans of word numbers, half open)
     and ``kept`` (the other words, joined by single spaces)."""
     spec = Windows("words", width, gram)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     shards = count_shards(texts, shard_bytes)
-    keys = repeated_keys(texts, spec, estimated_repeated, shards)
+    keys = estimated_keys(texts, spec, estimated_repeated, shards)
     runs = texts.join(keys, "doc_id").mapInArrow(lambda b: _runs(b, spec, shards), RUNS)
     runs = table(runs, "runs")
 
