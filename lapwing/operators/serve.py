@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lapwing.functions.text import clamp
 from lapwing.operators.blocks import top_k
 from lapwing.operators.calibrate import lookup
+from lapwing.sources.shared import shared_folder
 
 
 def candidates(requests: DataFrame, items: DataFrame, k: int, drop_self: bool = True) -> DataFrame:
@@ -55,9 +56,7 @@ def clusters(links: DataFrame, nodes: DataFrame) -> DataFrame:
     none changes; each round is cut off by a checkpoint."""
     spark = links.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lapwing-checkpoint-')}")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().checkpoint()
     labels = nodes.select("node", F.col("node").alias("cluster"))
     while True:

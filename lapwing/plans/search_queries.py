@@ -14,6 +14,7 @@ from lapwing.functions import images, vectors
 from lapwing.operators import blocks, calibrate, evaluate, fusion, search, serve
 from lapwing.plans import sql as S
 from lapwing.sources import tables
+from lapwing.sources.shared import shared_folder
 from lapwing.streaming import arrivals
 
 NLIST = 16
@@ -281,12 +282,7 @@ def catalog_size(spark, d):
 
 def _folder(spark: SparkSession) -> str:
     """A folder that driver and executors share, for one run of a stream."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.mkdtemp(prefix='lapwing-stream-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_ring(spark, d):
