@@ -8,23 +8,21 @@ recomputation of lost tasks only, never a lost table.
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lapwing.sources.shared import shared_folder
+
 U64 = np.uint64
 _MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a private one only where none is configured."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='lapwing-checkpoint-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+    """The shared folder, also set as Spark's own for checkpoints."""
+    named = shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -34,7 +32,7 @@ def table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: it cuts lineage and
     stops a costly plan from running once per consumer. Removed when the session ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lapwing-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lapwing-{label}-{uuid.uuid4().hex}"
     clear(spark)
     df.write.parquet(path)
     if not _MADE:

@@ -7,10 +7,11 @@ are the mix. Epochs follow one another: copy ``c`` of a source of ``S`` words st
 ``c * S`` words, so one prefix sum per source places every copy.
 
 Prefix sums never put a source into one task. Documents fall into buckets by the first digits
-of their md5, bucket totals are summed over the (small) bucket table, and a window runs inside
-each bucket. The cut is found the same way, over slices of virtual time; only the slice that
-holds the cut is sorted exactly. Buckets and slices grow with the number of documents, so one
-of either stays near ``rows_per_bucket`` rows whatever the size of the largest source.
+of their md5, and buckets into groups by half of these digits: windows run over a source's groups, over a group's buckets, and inside
+each bucket. The cut is found the same way, over slices of virtual time and groups of slices; only the slice that
+holds the cut is sorted exactly. Buckets and slices grow with the number of documents and groups with its square root, so
+a bucket or slice stays near ``rows_per_bucket`` rows and no window has more rows than a group or a level of groups, whatever
+the size of the largest source.
 
 Defined results for odd input: a null text counts 0 words, a null source is a source of its own
 that comes last, documents of 0 words are never taken, repeated rows count each by itself
@@ -59,8 +60,13 @@ def mix(
 ) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, ``finish`` (virtual
     time of the first copy; null if never served), ``copies`` that the mix takes and ``taken`` words."""
+    return _mixed(docs, weights, repeats, rows_per_bucket).drop("text_key")
+
+
+def _mixed(docs: DataFrame, weights: Sequence[int], repeats: int, rows_per_bucket: int = 2000) -> DataFrame:
+    """``mix`` with ``text_key``, a hash of the row's text."""
     sized = docs.select(
-        "doc_id", "source",
+        "doc_id", "source", F.xxhash64("text").alias("text_key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")).alias("key"),
     )
@@ -72,9 +78,16 @@ def mix(
 
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, repeats)
-    along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    buckets = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(along), F.lit(0)))
+    buckets = table(buckets.withColumn("group", F.substring("bucket", 1, digits // 2) if digits // 2 else F.lit("")), "buckets")
+    along = Window.partitionBy("source").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = buckets.groupBy("source", "group").agg(F.sum("bucket_size").alias("group_size"))
+    groups = groups.select(
+        F.col("source").alias("source_"), F.col("group").alias("group_"), F.coalesce(F.sum("group_size").over(along), F.lit(0)).alias("group_start"))
+    along = Window.partitionBy("source", "group").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.withColumn("in_group", F.coalesce(F.sum("bucket_size").over(along), F.lit(0)))
+    buckets = buckets.join(groups, (F.col("group") == F.col("group_")) & F.col("source").eqNullSafe(F.col("source_"))).drop("source_", "group_")
+    buckets = buckets.withColumn("bucket_start", F.col("group_start") + F.col("in_group"))
     buckets = buckets.join(targets.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
     b = buckets.select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), "bucket_start", "source_size", "target", "whole")
 
@@ -86,13 +99,19 @@ def mix(
         F.sequence(F.lit(0), F.lit(repeats - 1)), lambda c: (c * F.col("source_size") + end).cast("double") / F.col("target")
     )
     served = served.withColumn("ends", F.when((F.col("target") > 0) & (F.col("size") > 0), ends))
-    served = table(served.select("doc_id", "source", "size", "source_size", "target", "whole", "key", "ends"), "served")
+    served = table(served.select("doc_id", "source", "text_key", "size", "source_size", "target", "whole", "key", "ends"), "served")
 
     slice_of = lambda end: F.least(F.floor(end * slices), F.lit(8 * slices))
     copies = served.select("doc_id", "source", "size", "whole", "key", F.explode("ends").alias("end")).withColumn("slice", slice_of(F.col("end")))
-    cut = copies.groupBy("slice").agg(F.sum("size").alias("words"), F.max("whole").alias("whole"))
-    cut = cut.withColumn("before", F.coalesce(F.sum("words").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    cut = cut.filter((F.col("before") + F.col("words") > F.col("whole")) & (F.col("before") <= F.col("whole")))
+    width = max(1, math.isqrt(8 * slices))
+    cut = table(copies.groupBy("slice").agg(F.sum("size").alias("words"), F.max("whole").alias("whole")), "slices")
+    cut = cut.withColumn("group", F.floor(F.col("slice") / width))
+    passes = lambda df: df.filter((F.col("before") + F.col("words") > F.col("whole")) & (F.col("before") <= F.col("whole")))
+    upto = lambda w: F.coalesce(F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    group = cut.groupBy("group").agg(F.sum("words").alias("words"), F.max("whole").alias("whole")).withColumn("before", upto(Window.orderBy("group")))
+    group = passes(group).select(F.col("group").alias("cut_group"), F.col("before").alias("group_before"))
+    cut = cut.join(F.broadcast(group), F.col("group") == F.col("cut_group"))
+    cut = passes(cut.withColumn("before", F.col("group_before") + upto(Window.partitionBy("cut_group").orderBy("slice"))))
     # One row at most: the slice in which the words pass the budget; no row where every copy fits.
     cut = cut.select(F.col("slice").alias("cut_slice"), "before")
     edge = copies.join(F.broadcast(cut), F.col("slice") == F.col("cut_slice"))
@@ -112,22 +131,31 @@ def mix(
     n = F.coalesce(F.size(F.filter("ends", taken)), F.lit(0)).cast("long")
     n = F.when(F.col("ends").isNull(), F.lit(0).cast("long")).otherwise(n)
     return out.select(
-        "doc_id", "source", "size", "source_size", "target", F.get("ends", F.lit(0)).alias("finish"),
+        "doc_id", "source", "text_key", "size", "source_size", "target", F.get("ends", F.lit(0)).alias("finish"),
         n.alias("copies"), (n * F.col("size")).alias("taken"),
     )
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), repeats: int = 3) -> DataFrame:
     """``docs`` as the mix has them: each row as often as it is taken, sorted by virtual finish time over
-    range partitions, with the columns of ``docs``. Rows that share a doc_id are each taken as often as the one of
-    them that is taken most."""
-    from_mix = mix(docs, weights, repeats).filter("copies > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(
-        F.min("finish").alias("finish"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("copies").alias("copies"))
-    out = docs.join(from_mix, docs["doc_id"].eqNullSafe(F.col("mixed_id")))
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    out = out.withColumn("finish", F.col("finish") + F.col("copy") * F.col("source_size") / F.col("target"))
-    names = docs.columns
-    return out.repartitionByRange("finish").sortWithinPartitions("finish", "mixed_id").select(*[docs[c] for c in names])
+    range partitions, with the columns of ``docs``. Rows that share a doc_id are told apart by source and text; of equal rows, each has
+    the copies of one of them."""
+    last = 2**63 - 1
+    nth = Window.partitionBy("_id", "_source", "_key")
+    from_mix = _mixed(docs, weights, repeats).select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_key"),
+        "finish", "copies", (F.col("source_size") / F.col("target")).alias("lap")).repartition("_id")
+    from_mix = from_mix.withColumn("_nth", F.row_number().over(nth.orderBy(F.desc("copies"), "finish"))).filter("copies > 0")
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # the columns of ``docs`` may have any names
+    rows = docs.select(
+        *[docs[c].alias(n) for c, n in zip(docs.columns, names)], F.coalesce(docs["doc_id"].cast("long"), F.lit(last)).alias("_id"),
+        docs["source"].alias("_source"), F.xxhash64(docs["text"]).alias("_key")).repartition("_id")
+    rows = rows.withColumn("_nth", F.row_number().over(nth.orderBy(F.lit(0))))
+    m = from_mix.select("_id", F.col("_source").alias("_s"), F.col("_key").alias("_k"), F.col("_nth").alias("_n"), "finish", "copies", "lap")
+    out = rows.join(m, "_id").filter(F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_k")) & (F.col("_nth") == F.col("_n")))
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    out = out.withColumn("_end", F.col("finish") + F.col("_copy") * F.col("lap"))
+    return out.repartitionByRange("_end").sortWithinPartitions("_end", "_id").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
 
 
 #: DuckDB form of ``mix`` with its defaults over ``documents``: plain windows over whole sources.

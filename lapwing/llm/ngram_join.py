@@ -203,6 +203,7 @@ def _grams(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
 
 def near_duplicates(
     docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block_members: int = 1024, block_grams: int = 2_000_000, shard_rows: int = 20_000,
+    shard_grams: int = 4_000_000,
 ) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, ``rep_id`` (least doc_id with the same n-gram set), ``class_id``
     (least doc_id of the connected component), ``n_links`` (other n-gram sets at the threshold or more),
@@ -219,7 +220,8 @@ def near_duplicates(
     buckets = entries.groupBy("band", "h").agg(F.count("*").alias("m"), F.sum("n").alias("grams")).filter("m > 1")
     buckets = table(buckets, "buckets")
     size = buckets.agg(F.sum("m"), F.sum("grams")).first()
-    shards = max(2 * partitions(docs.sparkSession), (size[0] or 0) // shard_rows)
+    # A shard's task holds its members' n-gram sets, so these count as well as the members.
+    shards = max(2 * partitions(docs.sparkSession), (size[0] or 0) // shard_rows, (size[1] or 0) // shard_grams)
     buckets = buckets.select("band", "h", F.greatest(F.ceil(F.col("m") / block_members), F.ceil(F.col("grams") / block_grams)).cast("int").alias("blocks"))
     members = entries.join(buckets, ["band", "h"]).select("band", "h", "rep", "blocks", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
