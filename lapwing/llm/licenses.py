@@ -23,24 +23,59 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Public license notices, by name: fixed values.
+#: Public license notices and texts, by name; what follows a colon tells apart the wordings of one license. Fixed values.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
     "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "mit": "Released under the MIT License",
+    "mit:name": "the MIT License",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
     'documentation files (the "Software"), to deal in the Software without restriction',
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights '
+    "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to "
+    "whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission "
+    'notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT '
+    "WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+    "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES "
+    "OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+    "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+    "provided that the above copyright notice and this permission notice appear in all copies",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
     "following conditions are met",
+    "bsd:name": "the BSD License",
+    "gpl-2.0": "GNU General Public License, version 2",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
+    "gpl-3.0:name": "GNU General Public License, version 3",
+    "lgpl-3.0": "GNU Lesser General Public License, version 3",
+    "agpl-3.0": "GNU Affero General Public License, version 3",
     "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
     "Public License as published by the Free Software Foundation",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "mpl-2.0:name": "Mozilla Public License, Version 2.0",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-4.0:name": "CC BY 4.0",
+    "cc-by-sa-4.0": "Attribution-ShareAlike 4.0",
+    "cc-by-sa-4.0:name": "CC BY-SA 4.0",
+    "cc-by-nd-4.0": "Attribution-NoDerivatives 4.0",
+    "cc-by-nd-4.0:name": "CC BY-ND 4.0",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
+    "cc-by-nc-4.0:name": "CC BY-NC 4.0",
+    "cc-by-nc-4.0:words": "Attribution-NonCommercial 4.0",
+    "cc-by-nc-sa-4.0": "CC BY-NC-SA 4.0",
+    "cc-by-nc-sa-4.0:words": "Attribution-NonCommercial-ShareAlike 4.0",
+    "cc-by-nc-nd-4.0": "CC BY-NC-ND 4.0",
+    "cc-by-nc-nd-4.0:words": "Attribution-NonCommercial-NoDerivatives 4.0",
     "all-rights-reserved": "All rights reserved",
 }
+#: Words that decide between licenses: those of a template must all be matched, and none of the others may stand among or beside the words matched.
+DECIDING = frozenset(
+    "apache mit bsd isc mozilla gnu lesser affero nc sa nd noncommercial sharealike noderivatives noderivs".split()
+)
+#: Words of notices whose number is the version: the number must be matched.
+VERSIONED = ("apache-2.0", "gpl-2.0", "gpl-3.0", "lgpl-3.0", "agpl-3.0", "mpl-2.0", "cc-")
 HITS = "doc_id long, license string, coverage double, matched int, hits int, first_word long, last_word long, n_words long"
 
 _word = re.compile(r"[^\W_]+")
@@ -101,6 +136,17 @@ class Template:
         """Whether the words could reach the coverage."""
         return sum(n for w, n in self.counts.items() if w in words) >= coverage * len(self.words)
 
+    @property
+    def musts(self) -> set[int]:
+        """Places of words that must be matched: the deciding ones, and the version of a versioned notice."""
+        versioned = self.name.startswith(VERSIONED) and len(self.words) <= 20
+        return {i for i, w in enumerate(self.words) if w in DECIDING or (versioned and w.isdigit())}
+
+    def decided(self, pairs: list[tuple[int, int]], words: Sequence[str]) -> bool:
+        """Whether the matched words name this license and no other."""
+        near = words[max(0, pairs[0][1] - 1) : pairs[-1][1] + 2]
+        return self.musts <= {i for i, _ in pairs} and not any(w in DECIDING and w not in self.counts for w in near)
+
     def scan(self, words: list[str], coverage: float) -> list[tuple[int, int, int]]:
         """(matched, first word, last word) of each stretch that reaches the coverage, without overlap, in order."""
         size = len(self.words)
@@ -115,7 +161,7 @@ class Template:
             tries += [(at + k, part[k : k + size]) for k, w in enumerate(part) if w == opening] if part.count(opening) > 1 else []
             for start, piece in tries:
                 pairs = align(self.words, piece)
-                if len(pairs) >= coverage * size:
+                if len(pairs) >= coverage * size and self.decided(pairs, piece):
                     found.append((len(pairs), start + pairs[0][1], start + pairs[-1][1]))
         found.sort(key=lambda f: (-f[0], f[2] - f[1], f[1]))
         kept: list[tuple[int, int, int]] = []
@@ -135,15 +181,21 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: list[Template], coverage
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             words = normal_words(text or "")
             present = set(words)
+            by_name: dict[str, tuple] = {}
             for t in templates:
                 if t.enough(present, coverage) and (found := t.scan(words, coverage)):
-                    best = max(found, key=lambda f: (f[0], -f[1]))
-                    rows.append((doc_id, t.name, best[0] / len(t.words), best[0], len(found), best[1], best[2], len(words)))
+                    best, name = max(found, key=lambda f: (f[0], -f[1])), t.name.partition(":")[0]
+                    row = (doc_id, name, best[0] / len(t.words), best[0], len(found), best[1], best[2], len(words))
+                    # Of a license's wordings, the one of most words matched counts.
+                    if name not in by_name or row[3] > by_name[name][3]:
+                        by_name[name] = row
+            rows += by_name.values()
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(schema), schema)], schema=schema)
 
 
 def license_scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: float = 0.8) -> DataFrame:
-    """A row per document and license whose template is covered to ``coverage`` or more: the best stretch's
+    """A row per document and license whose template is covered to ``coverage`` or more, deciding words (names, versions, NC, SA, ND) included
+    and no other license's among them: the best stretch's
     coverage and place (words from 0, normalised to letters and digits), and how many stretches there are."""
     ready = [Template(n, tuple(w := normal_words(t)), Counter(w)) for n, t in templates.items()]
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
