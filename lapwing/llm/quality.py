@@ -12,33 +12,44 @@ are ignored by ``quality_report`` and kept, in order, by ``clean_documents``.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SYMBOLS = b"#*$%&|<>"
-#: Phrases of page furniture, in lower case; a line that holds one is boilerplate.
-BOILERPLATE = (
-    "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy",
-    "uses cookies", "use of cookies", "enable javascript", "javascript is disabled", "lorem ipsum",
-    "subscribe to our newsletter", "powered by",
-)
-#: Short lines made of these words alone are navigation.
-NAVIGATION = (
-    "home", "login", "log in", "sign in", "sign up", "register", "next", "previous", "prev", "back to top",
-    "read more", "click here", "menu", "search", "contact us", "about us", "skip to content", "share this",
-)
+#: Phrases of page furniture, in lower case, by language; a line that holds one is boilerplate.
+BOILERPLATE = {
+    "en": (
+        "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy",
+        "uses cookies", "use of cookies", "enable javascript", "javascript is disabled", "lorem ipsum",
+        "subscribe to our newsletter", "powered by",
+    ),
+    "de": ("alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "impressum", "newsletter abonnieren"),
+    "fr": ("tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "utilise des cookies", "mentions légales"),
+    "es": ("todos los derechos reservados", "política de privacidad", "condiciones de uso", "utiliza cookies", "aviso legal"),
+}
+#: Short lines made of these words alone are navigation; by language.
+NAVIGATION = {
+    "en": (
+        "home", "login", "log in", "sign in", "sign up", "register", "next", "previous", "prev", "back to top",
+        "read more", "click here", "menu", "search", "contact us", "about us", "skip to content", "share this",
+    ),
+    "de": ("startseite", "anmelden", "registrieren", "weiter", "zurück", "nach oben", "mehr lesen", "suche", "kontakt", "über uns"),
+    "fr": ("accueil", "connexion", "s'inscrire", "suivant", "précédent", "haut de page", "lire la suite", "recherche", "contactez-nous"),
+    "es": ("inicio", "iniciar sesión", "registrarse", "siguiente", "anterior", "volver arriba", "leer más", "buscar", "contacto"),
+}
 REPORT = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, kept boolean, n_lines long, n_bad_lines long, n_kept_words long"
 )
 
-_boiler = re.compile("|".join(map(re.escape, BOILERPLATE)))
-_navigation = re.compile(r"[\s|>/·•»›-]*(?:(?:" + "|".join(map(re.escape, NAVIGATION)) + r")[\s|>/·•»›.-]*)+")
+_every = lambda phrases: "|".join(re.escape(p) for some in phrases.values() for p in some)
+_boiler = re.compile(_every(BOILERPLATE))
+_navigation = re.compile(r"[\s|>/·•»›-]*(?:(?:" + _every(NAVIGATION) + r")[\s|>/·•»›.-]*)+")
 _separator = re.compile(r"(?:^|\s)[|»›>·•](?=\s|$)")
 _shout = re.compile(r"[!?]{2,}(?=\s|$)")
 _sentence = re.compile(r"[.!?…:;。！？]")
@@ -76,15 +87,22 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
     """Words inside ``width``-word windows that stand twice or more in the text, the first included."""
     if len(words) <= width:
         return 0
-    windows = list(zip(*(words[i:] for i in range(width))))
-    if len(set(windows)) == len(windows):
+    # Words as numbers, and each window as a number of its own by pairing neighbours: a few integers per word at most.
+    names: dict[bytes, int] = {}
+    ids = np.fromiter((names.setdefault(w, len(names)) for w in words), np.int64, len(words))
+    if len(names) == len(words):
         return 0
-    counts, total, end = Counter(windows), 0, 0
-    for i, w in enumerate(windows):
-        if counts[w] > 1:
-            total += i + width - max(i, end)
-            end = i + width
-    return total
+    windows, span = ids, 1
+    while span < width:
+        step = min(span, width - span)
+        _, windows = np.unique(windows[:-step] * np.int64(len(words)) + windows[step:], return_inverse=True)
+        span += step
+    _, which, times = np.unique(windows, return_inverse=True, return_counts=True)
+    steps = np.zeros(len(words) + 1, np.int64)
+    at = np.flatnonzero(times[which] > 1)
+    np.add.at(steps, at, 1)
+    np.add.at(steps, at + width, -1)
+    return int((np.cumsum(steps[:-1]) > 0).sum())
 
 
 def judge(text: bytes | None, rules: LineRules) -> tuple[tuple, list[bytes]]:

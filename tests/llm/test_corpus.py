@@ -438,6 +438,81 @@ def test_licenses(spark):
     assert licenses.longest_increasing([3, 1, 2, 9, 4]) == [1, 2, 4]
 
 
+@pytest.mark.parametrize("text, names", [
+    ("Licensed under CC BY 4.0", {"cc-by-4.0"}), ("CC-BY-SA 4.0", {"cc-by-sa-4.0"}), ("Attribution-NonCommercial 4.0", {"cc-by-nc-4.0"}),
+    ("Released under the BSD License", {"bsd"}), ("GNU General Public License, version 2", {"gpl-2.0"}), ("Mozilla License, Version 2.0", {"mpl-2.0"}),
+    ("CC BY-NC-SA 4.0", {"cc-by-nc-sa-4.0"}), ("GNU Lesser General Public License, version 3", {"lgpl-3.0"}), ("under the MIT License", {"mit"}),
+    ("CC BY 3.0", set()), (licenses.TEMPLATES["mit-text"], {"mit-grant", "mit-text"}), ("Licensed under the Apache License, Version 1.1", set()),
+])
+def test_licenses_told_apart(text, names):
+    ready = [licenses.Template(n, tuple(w := licenses.normal_words(t)), Counter(w)) for n, t in licenses.TEMPLATES.items()]
+    filler = "some words of an ordinary text that says nothing at all about it "
+    for around in (text, filler * 40 + text + " " + filler * 40):
+        words = licenses.normal_words(around)
+        assert {t.name.partition(":")[0] for t in ready if t.enough(set(words), 0.8) and t.scan(words, 0.8)} == names
+
+
+def test_alignment_against_brute_force():
+    """Matches are equal words, increasing on both sides, never more than the longest common subsequence, and all of it where anchors are unique."""
+    def longest(a: list, b: list) -> int:
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(4)
+    for _ in range(200):
+        a = [rng.choice("abcdefghijklmnop") for _ in range(rng.randint(0, 14))]
+        b = [x for x in a if rng.random() < 0.8] + [rng.choice("qrst") for _ in range(rng.randint(0, 6))]
+        pairs = licenses.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        assert len(pairs) <= longest(a, b)
+        if len(set(a)) == len(a):
+            assert len(pairs) == longest(a, b)
+
+
+def test_quality_verdict(spark):
+    """``kept`` against the rules said again, on every document of a table, and repeated words of a long text."""
+    import re
+
+    rules = quality.LineRules()
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    boiler = [p for some in quality.BOILERPLATE.values() for p in some]
+    navigation = "|".join(re.escape(p) for some in quality.NAVIGATION.values() for p in some)
+
+    def bad(line: str) -> bool:
+        n = len(words(line))
+        if n >= rules.flat_words and not any(c in line for c in ".!?…:;。！？"):
+            return True
+        symbols = sum(len(m) > 0 for m in re.findall(r"[#*$%&|<>{}\[\]\\~^=_@+]+", line))
+        separators = len(re.findall(r"(?:^|(?<=\s))[|»›>·•](?=\s|$)", line))
+        if (symbols >= 3 and symbols > rules.symbol_share * n) or len(re.findall(r"[!?]{2,}(?=\s|$)", line)) > rules.shout_share * n:
+            return True
+        if separators >= max(2, rules.separator_share * n) or any(p in line.lower() for p in boiler):
+            return True
+        return n <= 12 and re.fullmatch(rf"[\s|>/·•»›-]*(?:(?:{navigation})[\s|>/·•»›.-]*)+", line.lower().strip()) is not None
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(1000)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    kept = 0
+    for r in quality.quality_report(docs).collect():
+        left = sum(len(words(x)) for x in texts[r.doc_id].split("\n") if words(x) and not bad(x))
+        assert r.kept == (not r.base_failed and left >= rules.least_words and left >= rules.kept_share * r.n_words), r.doc_id
+        kept += r.kept
+    assert 0 < kept < len(texts)
+    for line in ("Startseite | Kontakt", "Alle Rechte vorbehalten.", "Accueil » Recherche", "Todos los derechos reservados"):
+        assert rules.line_fails(line, len(line.split()))
+    rng = random.Random(8)
+    for n in (0, 4, 5, 6, 60, 3000):
+        w = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(n)]
+        times = Counter(tuple(w[k : k + 5]) for k in range(n - 4))
+        mark = {k + d for k in range(n - 4) if times[tuple(w[k : k + 5])] > 1 for d in range(5)}
+        assert quality.repeated_words(w) == len(mark)
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "u", "Hello there world.\nHow are you?"), (1, 1, "a", "> Hello there world.\n> How are you?\nFine!"),
