@@ -1,7 +1,9 @@
 """Quotation linking: from messages that quote each other to reply-ordered conversations.
 
 Each message is parsed into its own lines and quoted blocks by nested quote level (leading ``>``
-marks). Lines and blocks are normalised (marks off, case folded, white space collapsed) and hashed.
+marks). Lines and blocks are normalised (marks off, case folded, white space collapsed) and hashed; a line of under
+``LEAST_WORDS`` words says too little to name its source, unless it is a whole message or paragraph. So that quotations that were wrapped anew or cut are found,
+runs of ``RUN`` words are hashed too, those that begin at words chosen by their own hash, the same in original and quotation.
 The first message of a conversation that holds a passage of its own is the passage's original, so
 each quoted passage joins one row at most, however often it is repeated. The message answered is the
 original of most quoted words at the lowest matched level. Threads are found by pointer doubling.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +32,10 @@ _marks = re.compile(r"\s*((?:>\s?)+)")
 _attribution = re.compile(r"\s*(?:on\b.*\bwrote:|.{1,80}\bwrote:|-+\s*original message\s*-+)\s*", re.IGNORECASE)
 
 
+#: Words of a line that stands for itself; words of a run, and one word in so many begins one.
+LEAST_WORDS, RUN, ONE_IN = 3, 8, 4
+
+
 def quote_lines(text: str | None) -> list[tuple[int, str]]:
     """(level, line without marks) of each line; lines that introduce a quotation take the level of what they introduce."""
     out = []
@@ -49,14 +56,22 @@ def passage_key(text: str) -> bytes:
     return hashlib.blake2b(normal(text).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+def runs(text: str) -> set[bytes]:
+    """Hashes of the chosen runs of words of a text."""
+    words = normal(text).split()
+    at = [i for i in range(len(words) - RUN + 1) if zlib.crc32(words[i].encode("utf-8", "surrogatepass")) % ONE_IN == 0]
+    return {passage_key(f"run {' '.join(words[i : i + RUN])}") for i in at}
+
+
 def parse(text: str | None) -> tuple[str, list[tuple[int, int, bytes, int]]]:
     """The body without quotations, and (level, passage number, key, words) of passages: level 0 are the message's own
-    (whole body, paragraphs, lines), others are quoted (blocks of one level, then their lines, under one number)."""
+    (whole body, paragraphs, lines, runs), others are quoted (blocks of one level, then their lines and runs, under one number). The
+    words of runs are negative."""
     lines = quote_lines(text)
     own = [line for level, line in lines if level == 0]
     body = re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n")
-    keys = {passage_key(p) for p in [body, *re.split(r"\n\s*\n", body), *own] if normal(p)}
-    out = [(0, 0, k, 0) for k in sorted(keys)]
+    keys = {passage_key(p) for p in [body, *re.split(r"\n\s*\n", body), *(x for x in own if len(x.split()) >= LEAST_WORDS)] if normal(p)}
+    out = [(0, 0, k, 0) for k in sorted(keys | runs(body))]
     number, i = 0, 0
     while i < len(lines):
         level, j = lines[i][0], i
@@ -66,7 +81,8 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, int, bytes, int]]]:
         if level > 0 and normal(whole := "\n".join(block)):
             number += 1
             out.append((level, number, passage_key(whole), len(whole.split())))
-            out += [(level, number, passage_key(line), len(line.split())) for line in block if normal(line) and normal(line) != normal(whole)]
+            out += [(level, number, passage_key(line), len(line.split())) for line in block if len(line.split()) >= LEAST_WORDS and normal(line) != normal(whole)]
+            out += [(level, number, key, -ONE_IN) for key in sorted(runs(whole))]
         i = j
     return body, out
 
@@ -96,9 +112,11 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     passages = parsed.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.*")
     originals = passages.filter("level = 0").groupBy("conv_id", "key").agg(F.min("turn").alias("original"))
     quoted = passages.filter("level > 0").join(originals, ["conv_id", "key"]).filter("original < turn")
-    # Whole blocks stand for their lines where both are found.
-    quoted = quoted.groupBy("conv_id", "turn", "level", "number", "original").agg(F.max("words").alias("whole"), F.sum("words").alias("words"))
-    votes = quoted.groupBy("conv_id", "turn", "level", "original").agg(F.sum(F.greatest("whole", F.least("words", 2 * F.col("whole")))).alias("words"))
+    # Whole blocks stand for their lines where both are found, and lines for the runs in them.
+    whole, runs_ = F.greatest("words", F.lit(0)), F.greatest(-F.col("words"), F.lit(0))
+    quoted = quoted.groupBy("conv_id", "turn", "level", "number", "original").agg(F.max(whole).alias("whole"), F.sum(whole).alias("words"), F.sum(runs_).alias("runs"))
+    weight = F.greatest("whole", F.least("words", 2 * F.col("whole")), "runs")
+    votes = quoted.groupBy("conv_id", "turn", "level", "original").agg(F.sum(weight).alias("words"))
     links = votes.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "words", "original")).alias("best"))
     linked = quoted.groupBy("conv_id", "turn").agg(F.countDistinct("number").cast("int").alias("n_linked"))
     links = links.join(linked, ["conv_id", "turn"]).select("conv_id", "turn", F.col("best.original").alias("reply_to"), "n_linked")

@@ -162,6 +162,8 @@ def remove_repeated_words(docs: DataFrame, width: int = 50, gram: int = 8, shard
     windows = folded.join(several, "key", "left_semi").mapInArrow(_windows, "key long, run long, place int, window long, least long")
     windows = table(windows, "windows")
     first = windows.groupBy("key", "window").agg(F.min("least").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # A table, so that the join below has nothing but exchanges under it and a window that very many runs share can be split.
+    first = table(first, "first-windows")
     mixed = windows.join(first, ["key", "window"]).filter("first < least")
     mixed = mixed.groupBy("key", "run").agg(F.collect_list(F.struct("place", "first")).alias("earlier"))
     known = folded.select("key", "run", "least", "most").join(mixed, ["key", "run"], "left").filter("most > least or earlier is not null")

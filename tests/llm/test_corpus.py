@@ -526,6 +526,47 @@ def test_chat(spark):
     assert len(got) == len(rows)
 
 
+def test_chat_planted(spark):
+    """Random conversations whose replies quote an earlier message whole, cut, wrapped anew or with nested quotations: every link is found
+    and none is made up; short lines that many messages share link nothing."""
+    import textwrap
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    rows, want = [], {}
+    for conv in range(12):
+        bodies: list[str] = []
+        for turn in range(12):
+            own = "\n".join([" ".join(word() for _ in range(rng.randint(6, 12))) for _ in range(rng.randint(2, 5))] + ["Thanks!"])
+            if turn and rng.random() < 0.75:
+                to = rng.randrange(turn)
+                want[conv, turn] = to
+                text = bodies[to]
+                kind = rng.randrange(4)
+                if kind == 1:  # wrapped anew
+                    text = "\n".join(textwrap.wrap(" ".join(text.split("\n")[:-1]), 31))
+                elif kind == 2:  # one line of several words, in capitals
+                    text = rng.choice(text.split("\n")[:-1]).upper()
+                quote = "\n".join("> " + x for x in text.split("\n"))
+                if kind == 3 and want.get((conv, to)) is not None:  # with what the quoted message itself quotes
+                    quote = "\n".join(">> " + x for x in bodies[want[conv, to]].split("\n")) + "\n" + quote
+                message = f"On Friday somebody wrote:\n{quote}\n{own}"
+            else:
+                message = own if rng.random() < 0.5 else f"> Thanks!\n{own}"
+            bodies.append(own)
+            rows.append((conv, turn, "u", message))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"thread": F.lit("x"), "key": F.lit(1)})
+    got = chat.link_quotations(df.repartition(3)).collect()
+    assert len(got) == len(rows)
+    assert {(r.conv_id, r.turn): r.reply_to for r in got if r.reply_to is not None} == want
+    for r in got:
+        top, depth = r.turn, 0
+        while (r.conv_id, top) in want:
+            top, depth = want[r.conv_id, top], depth + 1
+        assert (r.thread, r.depth) == (top, depth) and ">" not in r.body and "wrote:" not in r.body
+    assert chat.link_quotations(df.limit(0)).count() == 0
+
+
 def test_ngram_join(docs):
     sets = {}
     for i, t in known().items():
