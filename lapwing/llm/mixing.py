@@ -141,20 +141,19 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), repeats
     range partitions, with the columns of ``docs``. Rows that share a doc_id are told apart by source and text; of equal rows, each has
     the copies of one of them."""
     last = 2**63 - 1
-    nth = Window.partitionBy("_id", "_source", "_key")
-    from_mix = _mixed(docs, weights, repeats).select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_key"),
-        "finish", "copies", (F.col("source_size") / F.col("target")).alias("lap")).repartition("_id")
-    from_mix = from_mix.withColumn("_nth", F.row_number().over(nth.orderBy(F.desc("copies"), "finish"))).filter("copies > 0")
+    same = ("_id", "_source", "_key")
+    mixed = _mixed(docs, weights, repeats).filter("copies > 0").groupBy(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("_id"), F.col("source").alias("_s"), F.col("text_key").alias("_k"),
+    ).agg(F.reverse(F.array_sort(F.collect_list(F.struct("copies", -F.col("finish"))))).alias("each"), F.max(F.col("source_size") / F.col("target")).alias("lap"))
     names = [f"_c{i}" for i in range(len(docs.columns))]  # the columns of ``docs`` may have any names
     rows = docs.select(
         *[docs[c].alias(n) for c, n in zip(docs.columns, names)], F.coalesce(docs["doc_id"].cast("long"), F.lit(last)).alias("_id"),
-        docs["source"].alias("_source"), F.xxhash64(docs["text"]).alias("_key")).repartition("_id")
-    rows = rows.withColumn("_nth", F.row_number().over(nth.orderBy(F.lit(0))))
-    m = from_mix.select("_id", F.col("_source").alias("_s"), F.col("_key").alias("_k"), F.col("_nth").alias("_n"), "finish", "copies", "lap")
-    out = rows.join(m, "_id").filter(F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_k")) & (F.col("_nth") == F.col("_n")))
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    out = out.withColumn("_end", F.col("finish") + F.col("_copy") * F.col("lap"))
+        docs["source"].alias("_source"), F.xxhash64(docs["text"]).alias("_key"))
+    out = rows.join(mixed, "_id").filter(F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_k")))
+    # Texts are moved twice in all: the window finds them as the join has dealt them.
+    out = out.withColumn("_nth", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))).withColumn("_one", F.get("each", F.col("_nth") - 1))
+    out = out.filter("_one is not null").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_one")["copies"] - 1)))
+    out = out.withColumn("_end", F.col("_copy") * F.col("lap") - F.col("_one")["col2"])
     return out.repartitionByRange("_end").sortWithinPartitions("_end", "_id").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
 
 

@@ -621,6 +621,18 @@ def test_mixing(docs, duck):
     assert out.columns == docs.columns and out.count() == got.copies.sum()
 
 
+def test_mixing_shared_ids(docs, spark):
+    """Rows that share a doc_id, equal or not, rows without id or source, columns that clash: the mix keeps to its budget, row by row."""
+    rows = [(i % 7 if i % 5 else None, f"{'w ' * (i % 9 + 1)}{i % 11}", ["a", "b", None][i % 3], i) for i in range(90)] + [(3, "x y z", "a", 1)] * 4 + [(8, None, "a", 2), (9, "", "b", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, finish long").repartition(3)
+    report = mixing.mix(df, rows_per_bucket=8).toPandas()
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    words = out.toPandas().text.map(lambda t: len(t.split())).sum()
+    assert words == report.taken.sum() <= sum(len((r[1] or "").split()) for r in rows)
+    assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
 def test_digests(docs):
     out = substring_dedup.remove_repeated_words(docs).filter("doc_id = 0").select(F.sha2("kept", 256).alias("h")).first().h
     assert out == hashlib.sha256(b" ".join(words(known()[0]))).hexdigest()
