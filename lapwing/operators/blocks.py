@@ -21,42 +21,56 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.array(vectors.tolist(), dtype=np.float64)
 
 
-def _best(query_ids: np.ndarray, q: np.ndarray, item_ids: np.ndarray, v: np.ndarray, k: int, drop_self: bool, skus: tuple | None = None) -> pd.DataFrame:
-    """The best items of each query in a block. ``skus``: those of queries and items, where equal ones are no match."""
+def _best(
+    query_ids: np.ndarray, q: np.ndarray, item_ids: np.ndarray, v: np.ndarray, k: int, drop_self: bool, skus: tuple | None = None,
+    turns: tuple | None = None, digits: int = 0,
+) -> pd.DataFrame:
+    """The best items of each query in a block, ties (to ``digits`` places) to the smaller id. ``skus``: those of queries and items, where equal
+    ones are no match; ``turns``: those of queries and items, where an item must come before the query."""
     out = []
     for at in range(0, len(q), 512):
+        ids = query_ids[at : at + 512]
         near = q[at : at + 512] @ v.T
         if drop_self:
-            near[query_ids[at : at + 512, None] == item_ids[None, :]] = -np.inf
+            near[ids[:, None] == item_ids[None, :]] = -np.inf
         if skus is not None:
             near[skus[0][at : at + 512, None] == skus[1][None, :]] = -np.inf
-        n = min(near.shape[1], k + 8)  # a few more than asked for: near-equal products are ordered after rounding
-        best = np.argpartition(-near, n - 1, axis=1)[:, :n] if n < near.shape[1] else np.broadcast_to(np.arange(n), near.shape)
-        score = np.take_along_axis(near, best, axis=1)
-        out.append(pd.DataFrame({"query_id": np.repeat(query_ids[at : at + 512], n), "item_id": item_ids[best.ravel()], "similarity": score.ravel()}))
+        if turns is not None:
+            near[turns[1][None, :] >= turns[0][at : at + 512, None]] = -np.inf
+        # All items that round to the k-th best score or better, however many tie.
+        n = near.shape[1]
+        least = np.partition(near, n - k, axis=1)[:, n - k] if n > k else np.full(len(near), -np.inf)
+        row, column = np.nonzero((near >= least[:, None] - (10.0**-digits if digits else 0)) & (near > -np.inf))
+        score, item = near[row, column], item_ids[column]
+        order = np.lexsort((item, -(np.round(score, digits) if digits else score), row))
+        row, score, item = row[order], score[order], item[order]
+        use = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append(pd.DataFrame({"query_id": ids[row[use]], "item_id": item[use], "similarity": score[use]}))
     found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
-    return found[found["similarity"] > -np.inf].astype({"query_id": "int64", "item_id": "int64", "similarity": "float64"})
+    return found.astype({"query_id": "int64", "item_id": "int64", "similarity": "float64"})
 
 
 NEAR = "query_id long, item_id long, similarity double"
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int, drop_self: bool = True, digits: int = 12, other_sku: bool = False) -> DataFrame:
+def top_k(queries: DataFrame, items: DataFrame, k: int, drop_self: bool = True, digits: int = 12, other_sku: bool = False, earlier: bool = False) -> DataFrame:
     """The ``k`` items (item_id, vec) of largest product for each query (query_id, vec): query_id, rank, item_id, similarity.
 
     A query set under ``SENT_BYTES`` goes to the tasks of the item scan, which is not moved; a larger one is dealt
     against item blocks by a grid of groups. Ties (to ``digits`` places) go to the smaller item_id. With ``other_sku``,
-    both sides have sku_id (long), and items of the query's own are no match.
+    both sides have sku_id (long), and items of the query's own are no match; with ``earlier``, both have ``turn`` (long), and only items
+    of a smaller one match.
     """
     size = queries.agg(F.count("*"), F.max(F.size("vec"))).first()
     n, dim = size[0], size[1] or 0
-    sku = ["sku_id"] if other_sku else []
+    sku = (["sku_id"] if other_sku else []) + (["turn"] if earlier else [])
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []}).astype({"query_id": "int64", "item_id": "int64"})
         skus = (a["sku_id"].to_numpy(), b["sku_id"].to_numpy()) if other_sku else None
-        return _best(a["query_id"].to_numpy(), _matrix(a["vec"]), b["item_id"].to_numpy(), _matrix(b["vec"]), k, drop_self, skus)
+        turns = (a["turn"].to_numpy(), b["turn"].to_numpy()) if earlier else None
+        return _best(a["query_id"].to_numpy(), _matrix(a["vec"]), b["item_id"].to_numpy(), _matrix(b["vec"]), k, drop_self, skus, turns, digits)
 
     if n * dim * 8 <= SENT_BYTES:
         sent = queries.select("query_id", "vec", *sku).toPandas()

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapwing.functions.text import threshold_band
+
 DEFAULT = "__default__"
 FALLBACK = 0.70
 
@@ -107,3 +109,10 @@ def lookup(requests: DataFrame, thresholds: DataFrame) -> DataFrame:
     fallback = thresholds.agg(F.max(F.when(F.col("category") == DEFAULT, F.col("threshold"))).alias("d"))
     out = requests.join(named, F.col("category") == F.col("c"), "left").crossJoin(F.broadcast(fallback))
     return out.withColumn("threshold_used", F.coalesce("t", "d", F.lit(FALLBACK))).drop("c", "t", "d")
+
+
+def category_search(thresholds: DataFrame, asked: str = "") -> DataFrame:
+    """``thresholds`` (category, threshold) whose category holds ``asked`` (trimmed, in capitals; all for an empty one), with the ``band`` of each."""
+    wanted = asked.strip().upper()
+    found = thresholds.filter(F.col("category").contains(wanted)) if wanted else thresholds
+    return found.select("category", "threshold", threshold_band(F.col("threshold")).alias("band"))

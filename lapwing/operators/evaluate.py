@@ -39,9 +39,11 @@ def precision_recall(items: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFr
 
 def info_nce(batches: DataFrame, temperature: float = 0.07, symmetric: bool = False) -> DataFrame:
     """(batch, n, loss) of contrastive batches (batch, pos, anchor, positive): cross-entropy of each anchor's scaled products
-    with the batch's positives, its own as the target; ``symmetric`` averages both directions. A batch is one group,
-    of the training batch's size. The temperature is clamped to .01 to 1."""
+    with the batch's positives, its own as the target; ``symmetric`` averages both directions. With a column ``hard`` (arrays of
+    vectors, equally many), each anchor's products with its own hard negatives stand beside these, and ``symmetric`` has no effect. A
+    batch is one group, of the training batch's size. The temperature is clamped to .01 to 1."""
     t = min(1.0, max(0.01, temperature))
+    hard = "hard" in batches.columns
 
     def loss(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, p = np.array(pdf["anchor"].tolist()), np.array(pdf["positive"].tolist())
@@ -51,7 +53,10 @@ def info_nce(batches: DataFrame, temperature: float = 0.07, symmetric: bool = Fa
             top = x.max(axis=1)
             return float(np.mean(top + np.log(np.exp(x - top[:, None]).sum(axis=1)) - np.diag(x)))
 
-        value = (one(logits) + one(logits.T)) / 2 if symmetric else one(logits)
+        if hard:
+            own = np.array([[list(v) for v in vs] for vs in pdf["hard"]], np.float64).reshape(len(a), -1, a.shape[1])
+            logits = np.concatenate([logits, np.einsum("bd,bkd->bk", a, own) / t], axis=1)
+        value = (one(logits) + one(logits.T)) / 2 if symmetric and not hard else one(logits)
         return pd.DataFrame({"batch": [key[0]], "n": [len(pdf)], "loss": [value]})
 
     return batches.groupBy("batch").applyInPandas(loss, "batch long, n long, loss double")

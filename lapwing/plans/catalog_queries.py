@@ -93,7 +93,7 @@ def epoch_order(spark, d):
 
 def text_quality(spark, d):
     t = tables.titles(spark, d)
-    return t.select("sku_id", T.text_quality(F.col("title")).alias("quality"), T.image_weight(F.substring("title", 1, 40)).alias("weight"), T.collapse_spaces(F.col("title")).alias("title"))
+    return t.select("sku_id", T.text_quality(F.col("title")).alias("quality"), T.image_weight(F.col("title")).alias("weight"), T.collapse_spaces(F.col("title")).alias("title"))
 
 
 def _tokens(spark, d, length, vocabulary, text):
@@ -263,7 +263,7 @@ SELECT draw, sku_id, anchor_path, positive_path, is_multi_angle FROM d JOIN r ON
     "epoch_order": (epoch_order, _with(S.MANIFEST, S.SKUS) + f"SELECT sku_id, {S.ranks('', '42:3')} AS place FROM skus"),
     "text_quality": (text_quality, f"""
 SELECT doc_id AS sku_id, least(len({S.words("text")}) / CAST(20 AS DOUBLE), 1.0) AS quality,
-       CAST(CASE WHEN len({S.words("substr(text, 1, 40)")}) <= 3 THEN 0.85 WHEN len({S.words("substr(text, 1, 40)")}) >= 10 THEN 0.50 ELSE 0.70 END AS DOUBLE) AS weight,
+       CAST(CASE WHEN len({S.words("text")}) <= 3 THEN 0.85 WHEN len({S.words("text")}) >= 10 THEN 0.50 ELSE 0.70 END AS DOUBLE) AS weight,
        trim(regexp_replace(text, '\\s+', ' ', 'g')) AS title FROM documents"""),
     "hash_tokens": (hash_tokens, _tokens_sql(64, 30000, "text")),
     "serve_tokens": (serve_tokens, _tokens_sql(32, 10000, "CASE WHEN trim(text) = '' THEN '<empty>' ELSE text END")),

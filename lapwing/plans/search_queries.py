@@ -137,14 +137,10 @@ def exact_topk(spark, d):
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "item_id", _six(F.col("similarity")).alias("similarity"))
 
 
-def _some(items: DataFrame) -> DataFrame:
-    return _queries(items.filter("item_id % 5 = 0"))
-
-
 def ivf_topk(spark, d):
     items = tables.items(spark, d)
     centroids = search.first_centroids(items, NLIST)
-    out = search.ivf_search(_some(items), search.assign(items, centroids), centroids, 4, 5)
+    out = search.ivf_search(_queries(items), search.assign(items, centroids), centroids, 4, 5)
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "item_id", _six(F.col("similarity")).alias("similarity"))
 
 
@@ -153,12 +149,12 @@ def ivf_pq_topk(spark, d):
     p = search.adapt(items.count(), 64)
     centroids = search.kmeans_centroids(items, min(p.nlist, 64))
     codes, book = search.pq_index(search.assign(items, centroids), centroids, p.m, p.nbits)
-    return search.pq_search(_some(items), codes, centroids, book, 16, 10)
+    return search.pq_search(_queries(items), codes, centroids, book, 16, 10)
 
 
 def nprobe_sweep(spark, d):
     items = tables.items(spark, d)
-    return search.sweep(_some(items), items, NLIST, 10, (1, 4, 8, 16, 32)).select(F.col("nprobe").cast("long").alias("nprobe"), "n_queries", _six(F.col("recall")).alias("recall"))
+    return search.sweep(_queries(items), items, NLIST, 10, (1, 4, 8, 16, 32)).select(F.col("nprobe").cast("long").alias("nprobe"), "n_queries", _six(F.col("recall")).alias("recall"))
 
 
 def index_footprint(spark, d):
@@ -211,10 +207,27 @@ def symmetric_loss(spark, d):
     return evaluate.info_nce(_batches(spark, d), symmetric=True).withColumn("loss", _six(F.col("loss")))
 
 
+def hard_contrastive_loss(spark, d):
+    """The loss with two hard negatives an anchor: the positives of the next two SKUs."""
+    rows = _batches(spark, d)
+    n = rows.agg(F.max("pos")).first()[0] + 1
+    others = [rows.select(((F.col("pos") - k) % n + n).alias("at"), F.col("positive").alias(f"h{k}")) for k in (1, 2)]
+    for o in others:
+        rows = rows.join(o.select((F.col("at") % n).alias("pos"), o.columns[1]), "pos")
+    rows = rows.withColumn("hard", F.array("h1", "h2")).drop("h1", "h2")
+    return evaluate.info_nce(rows).withColumn("loss", _six(F.col("loss")))
+
+
+def category_search(spark, d):
+    part = tables.read(spark, d, "part")
+    rows = part.select(F.concat_ws("_", F.upper("p_type"), "p_size").alias("category"), F.round(0.5 + F.col("p_size") / 100, 2).alias("threshold")).distinct()
+    return calibrate.category_search(rows, " om ")
+
+
 def mined_negatives(spark, d):
     items = tables.items(spark, d)
-    bank = evaluate.ring(items.withColumn("seq", F.col("item_id")), 256)
-    anchors = items.filter("item_id % 20 = 1").select(F.col("item_id").alias("query_id"), "sku_id", "vec")
+    bank = evaluate.ring(items.withColumn("seq", F.col("item_id")), 4096)
+    anchors = items.select(F.col("item_id").alias("query_id"), "sku_id", "vec")
     out = evaluate.hard_negatives(anchors, bank, 4)
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "item_id", _six(F.col("similarity")).alias("similarity"))
 
@@ -242,7 +255,7 @@ def validation_suite(spark, d):
 
 def _checked(spark, d):
     items = tables.items(spark, d)
-    out = serve.check(_some(items), items, _thresholds(spark), 3)
+    out = serve.check(_queries(items), items, _thresholds(spark), 3)
     rows = out.select("query_id", "is_duplicate", _six(F.col("threshold_used")).alias("threshold_used"), _six(F.col("similarity")).alias("similarity"), F.posexplode_outer("candidates").alias("rank", "c"))
     return rows.select("query_id", "is_duplicate", "threshold_used", "similarity", (F.col("rank") + 1).cast("long").alias("rank"), F.col("c.sku_id").alias("candidate_sku"), F.col("c.similarity").alias("candidate_similarity"))
 
@@ -253,18 +266,18 @@ def duplicate_check(spark, d):
 
 def any_hit_check(spark, d):
     items = tables.items(spark, d)
-    return serve.check_any(_some(items), items, 0.6).withColumn("similarity", _six(F.col("similarity")))
+    return serve.check_any(_queries(items), items, 0.6).withColumn("similarity", _six(F.col("similarity")))
 
 
 def match_tags(spark, d):
     items = tables.items(spark, d)
-    out = serve.tagged(serve.candidates(_some(items), items, 3), 0.7)
+    out = serve.tagged(serve.candidates(_queries(items), items, 3), 0.7)
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "sku_id", _six(F.col("distance")).alias("distance"), "is_match")
 
 
 def sku_collapse(spark, d):
     items = tables.items(spark, d)
-    out = serve.by_sku(serve.candidates(_some(items), items, 10))
+    out = serve.by_sku(serve.candidates(_queries(items), items, 10))
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "sku_id", _six(F.col("similarity")).alias("similarity"))
 
 
@@ -334,8 +347,8 @@ SELECT vec_id, round(0.7 * least(list_var_pop(z) / 500.0, 1.0) + 0.3 * least(256
 _cells_sql = S.ITEMS + f""", centre AS (SELECT item_id, vec, row_number() OVER (ORDER BY item_id) - 1 AS cell FROM items QUALIFY cell < {NLIST}),
 assigned AS (SELECT i.item_id, i.vec, c.cell FROM items i, centre c QUALIFY row_number() OVER (PARTITION BY i.item_id ORDER BY round(list_dot_product(i.vec, c.vec), 12) DESC, c.cell) = 1),
 visits AS (SELECT i.item_id AS query_id, i.vec, c.cell, row_number() OVER (PARTITION BY i.item_id ORDER BY round(list_dot_product(i.vec, c.vec), 12) DESC, c.cell) AS place
-  FROM items i, centre c WHERE i.item_id % 5 = 0)"""
-_some_sql = "asked AS (SELECT * FROM ranked WHERE query_id % 5 = 0)"
+  FROM items i, centre c)"""
+_some_sql = "asked AS (SELECT * FROM ranked)"
 _threshold_sql = "CASE WHEN category % 4 <> 3 THEN CAST(0.5 AS DOUBLE) + CAST(0.03 AS DOUBLE) * category ELSE CAST(0.72 AS DOUBLE) END"
 _curve_sql = lambda digits: S.PAIRS + f""", counted AS (SELECT CAST(category AS VARCHAR) AS category, round(s, {digits}) AS similarity, count(*) FILTER (same) AS pos, count(*) FILTER (NOT same) AS neg
   FROM pairs WHERE together GROUP BY 1, 2)"""
@@ -407,9 +420,21 @@ QUALIFY row_number() OVER (PARTITION BY category ORDER BY round(f1, 12) DESC, th
     "threshold_lookup": (threshold_lookup, _w(S.ITEMS) + f"SELECT item_id, CAST(category AS VARCHAR) AS category, round({_threshold_sql}, 6) AS threshold_used FROM items"),
     "contrastive_loss": (contrastive_loss, _loss_sql(False)),
     "symmetric_loss": (symmetric_loss, _loss_sql(True)),
+    "hard_contrastive_loss": (hard_contrastive_loss, _w(S.ITEMS, """
+n AS (SELECT max(sku_id) + 1 AS n FROM items),
+l AS (SELECT a.sku_id // 32 AS batch, a.sku_id AS i, b.sku_id = a.sku_id AS own, list_dot_product(a.vec, b.vec) / CAST(0.07 AS DOUBLE) AS x
+  FROM items a JOIN items b ON a.sku_id // 32 = b.sku_id // 32 AND a.item_id % 2 = 0 AND b.item_id % 2 = 1
+  UNION ALL
+  SELECT a.sku_id // 32, a.sku_id, false, list_dot_product(a.vec, b.vec) / CAST(0.07 AS DOUBLE)
+  FROM items a, n, (SELECT unnest([1, 2]) AS k) JOIN items b ON b.item_id % 2 = 1 AND b.sku_id = (a.sku_id + k) % n WHERE a.item_id % 2 = 0),
+rows AS (SELECT batch, i, max(x) + ln(sum(exp(x - top))) - max(x) FILTER (own) AS loss FROM (SELECT *, max(x) OVER (PARTITION BY i) AS top FROM l) GROUP BY batch, i)""")
+        + "SELECT batch, count(*) AS n, round(avg(loss), 6) AS loss FROM rows GROUP BY batch"),
+    "category_search": (category_search, """
+SELECT category, threshold, CASE WHEN threshold >= 0.85 THEN 'High Precision' WHEN threshold >= 0.70 THEN 'Balanced' ELSE 'Recall-Oriented' END AS band
+FROM (SELECT DISTINCT upper(p_type) || '_' || p_size AS category, CAST(round(0.5 + p_size / 100.0, 2) AS DOUBLE) AS threshold FROM part) WHERE contains(category, 'OM')"""),
     "mined_negatives": (mined_negatives, _w(S.ITEMS, """
-bank AS (SELECT * FROM items ORDER BY item_id DESC LIMIT 256),
-near AS (SELECT a.item_id AS query_id, b.item_id, round(list_dot_product(a.vec, b.vec), 12) AS similarity FROM items a JOIN bank b ON a.sku_id <> b.sku_id WHERE a.item_id % 20 = 1),
+bank AS (SELECT * FROM items ORDER BY item_id DESC LIMIT 4096),
+near AS (SELECT a.item_id AS query_id, b.item_id, round(list_dot_product(a.vec, b.vec), 12) AS similarity FROM items a JOIN bank b ON a.sku_id <> b.sku_id),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM near)""") + "SELECT query_id, rank, item_id, round(similarity, 6) AS similarity FROM best WHERE rank <= 4"),
     "best_checkpoint": (best_checkpoint, """
 SELECT run, epoch, value, best, coalesce(value > best, TRUE) AS improved
@@ -432,13 +457,13 @@ SELECT query_id, count(*) FILTER (similarity >= 0.6::DOUBLE) > 0 AS is_duplicate
     "sku_collapse": (sku_collapse, _w(S.RANKED, _some_sql, "b AS (SELECT query_id, sku_id, max(greatest(0, least(1, similarity))) AS similarity FROM asked WHERE rank <= 10 GROUP BY query_id, sku_id)") + """
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, sku_id) AS rank, sku_id, round(similarity, 6) AS similarity FROM b"""),
     "duplicate_clusters": (duplicate_clusters, _w(S.RANKED, """
-l AS (SELECT query_id AS a, item_id AS b FROM ranked WHERE rank <= 5 AND similarity >= 0.5 UNION SELECT item_id, query_id FROM ranked WHERE rank <= 5 AND similarity >= 0.5),
+l AS (SELECT query_id AS a, item_id AS b FROM near WHERE similarity >= 0.5),
 reach AS (SELECT item_id AS node, item_id AS other FROM items UNION SELECT reach.node, l.b FROM reach JOIN l ON reach.other = l.a)""") + "SELECT node, min(other) AS cluster FROM reach GROUP BY node"),
     "catalog_size": (catalog_size, "SELECT 2 * count(*) AS n_items, count(DISTINCT vec_id) AS n_skus FROM embeddings"),
     "stream_ring": (stream_ring, "SELECT event_type AS bank, event_id AS seq, event_id % 500 AS item_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 16"),
     "stream_check": (stream_check, _w(S.ITEMS, """
 near AS (SELECT a.item_id AS query_id, round(list_dot_product(a.vec, b.vec), 12) AS s, row_number() OVER (PARTITION BY a.item_id ORDER BY round(list_dot_product(a.vec, b.vec), 12) DESC, b.item_id) AS rank
-  FROM items a JOIN items b ON b.item_id % 3 < a.item_id % 3)""") + """
+  FROM items a JOIN items b ON b.item_id % 3 < a.item_id % 3 OR (b.item_id % 3 = a.item_id % 3 AND b.item_id < a.item_id))""") + """
 SELECT item_id AS query_id, count(s) > 0 AS is_duplicate, round(coalesce(max(s), 0), 6) AS similarity, count(s) AS n_hits
 FROM items LEFT JOIN (SELECT * FROM near WHERE rank <= 5 AND s >= 0.7::DOUBLE) n ON n.query_id = items.item_id GROUP BY item_id"""),
     "event_log": (event_log, """SELECT event_id, '{"event_type":"' || event_type || '","user_id":' || user_id || '}' AS line FROM events"""),

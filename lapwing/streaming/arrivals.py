@@ -31,7 +31,8 @@ def ring_bank(arrivals: DataFrame, size: int) -> DataFrame:
 
 def check_then_insert(arrivals: DataFrame, index_path: str, out_path: str, checkpoint: str, thresholds: DataFrame | None = None, threshold: float = 0.86, k: int = 5) -> StreamingQuery:
     """For each micro-batch of arrivals (item_id, sku_id, category, vec): decide against the index as it stood before the
-    batch, write the decisions, then append the batch to the index. The index folder must hold a table.
+    batch and against those of the batch with a smaller item_id, as if they came one by one; write the decisions, then append the
+    batch to the index. The index folder must hold a table.
 
     A batch writes folders of its own number, so a batch that runs again after a failure replaces what it wrote.
     """
@@ -40,11 +41,13 @@ def check_then_insert(arrivals: DataFrame, index_path: str, out_path: str, check
         spark = batch.sparkSession
         batch = batch.select("item_id", "sku_id", "category", "vec").persist()
         known = spark.read.schema("item_id long, sku_id long, category string, vec array<double>, batch long").parquet(index_path).filter(F.col("batch") < number)
-        requests = batch.select(F.col("item_id").alias("query_id"), "category", "vec")
+        requests = batch.select(F.col("item_id").alias("query_id"), "category", "vec", F.col("item_id").alias("turn"))
+        first = F.lit(-(2**63)).alias("turn")
+        known = known.select("item_id", "sku_id", "vec", first).unionByName(batch.select("item_id", "sku_id", "vec", F.col("item_id").alias("turn")))
         if thresholds is None:
-            decided = check_any(requests, known, threshold, k)
+            decided = check_any(requests, known, threshold, k, earlier=True)
         else:
-            decided = check(requests, known, thresholds, k).select("query_id", "is_duplicate", "similarity")
+            decided = check(requests, known, thresholds, k, earlier=True).select("query_id", "is_duplicate", "similarity")
         decided.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
         batch.write.mode("overwrite").parquet(f"{index_path}/batch={number}")
         batch.unpersist()
