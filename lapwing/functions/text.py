@@ -97,18 +97,20 @@ def swap(text: Column, key: Column, seed: int) -> Column:
 
 def drop_words(text: Column, brand: Column, key: Column, seed: int, brand_p: float = 0.4, word_p: float = 0.15) -> Column:
     """Of over 2 words, the brand goes with ``brand_p`` and each word with ``word_p``; never all of them."""
-    every = words(text)
-    no_brand = F.filter(every, lambda w: F.lower(w) != F.lower(brand))
-    some = F.when((F.coalesce(brand, F.lit("")) != "") & (uniform(f"{seed}:brand", key) < brand_p), no_brand).otherwise(every)
-    left = F.filter(some, lambda w, i: uniform(f"{seed}:word", key, i) > word_p)
-    return F.when((F.size(every) > 2) & (F.size(left) > 0), F.array_join(left, " ")).otherwise(text)
+    gone = (F.coalesce(brand, F.lit("")) != "") & (uniform(f"{seed}:brand", key) < brand_p)
+
+    def drop(every: Column) -> Column:
+        some = F.when(gone, F.filter(every, lambda w: F.lower(w) != F.lower(brand))).otherwise(every)
+        left = F.filter(some, lambda w, i: uniform(f"{seed}:word", key, i) > word_p)
+        return let(left, lambda x: F.when(F.size(x) > 0, F.array_join(x, " ")).otherwise(text))
+
+    return let(words(text), lambda every: F.when(F.size(every) > 2, drop(every)).otherwise(text))
 
 
 def truncate(text: Column, key: Column, seed: int) -> Column:
     """Of over 3 words, the first 2 to n-1."""
-    every = words(text)
-    n = F.size(every)
-    return F.when(n > 3, F.array_join(F.slice(every, F.lit(1), 2 + _at(uniform(f"{seed}:cut", key), n - 2)), " ")).otherwise(text)
+    cut = lambda every, n: F.array_join(F.slice(every, F.lit(1), 2 + _at(uniform(f"{seed}:cut", key), n - 2)), " ")
+    return let(words(text), lambda every: F.when(F.size(every) > 3, cut(every, F.size(every))).otherwise(text))
 
 
 def perturb(

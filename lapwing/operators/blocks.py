@@ -21,6 +21,18 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.array(vectors.tolist(), dtype=np.float64)
 
 
+def best_of(near: np.ndarray, query_ids: np.ndarray, item_ids: np.ndarray, k: int, digits: int = 0) -> pd.DataFrame:
+    """The ``k`` largest of each row of scores (-inf: no match), ties (to ``digits`` places) to the smaller id, however many tie."""
+    n = near.shape[1]
+    least = np.partition(near, n - k, axis=1)[:, n - k] if n > k else np.full(len(near), -np.inf)
+    row, column = np.nonzero((near >= least[:, None] - (10.0**-digits if digits else 0)) & (near > -np.inf))
+    score, item = near[row, column], item_ids[column]
+    order = np.lexsort((item, -(np.round(score, digits) if digits else score), row))
+    row, score, item = row[order], score[order], item[order]
+    use = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return pd.DataFrame({"query_id": query_ids[row[use]], "item_id": item[use], "similarity": score[use]})
+
+
 def _best(
     query_ids: np.ndarray, q: np.ndarray, item_ids: np.ndarray, v: np.ndarray, k: int, drop_self: bool, skus: tuple | None = None,
     turns: tuple | None = None, digits: int = 0,
@@ -37,15 +49,7 @@ def _best(
             near[skus[0][at : at + 512, None] == skus[1][None, :]] = -np.inf
         if turns is not None:
             near[turns[1][None, :] >= turns[0][at : at + 512, None]] = -np.inf
-        # All items that round to the k-th best score or better, however many tie.
-        n = near.shape[1]
-        least = np.partition(near, n - k, axis=1)[:, n - k] if n > k else np.full(len(near), -np.inf)
-        row, column = np.nonzero((near >= least[:, None] - (10.0**-digits if digits else 0)) & (near > -np.inf))
-        score, item = near[row, column], item_ids[column]
-        order = np.lexsort((item, -(np.round(score, digits) if digits else score), row))
-        row, score, item = row[order], score[order], item[order]
-        use = np.arange(len(row)) - np.searchsorted(row, row) < k
-        out.append(pd.DataFrame({"query_id": ids[row[use]], "item_id": item[use], "similarity": score[use]}))
+        out.append(best_of(near, ids, item_ids, k, digits))
     found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
     return found.astype({"query_id": "int64", "item_id": "int64", "similarity": "float64"})
 

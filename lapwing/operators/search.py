@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapwing.operators.blocks import NEAR, _best, _matrix, top_k
+from lapwing.operators.blocks import NEAR, _best, _matrix, best_of, top_k
 
 
 @dataclass(frozen=True)
@@ -63,7 +63,7 @@ def assign(items: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def probed(queries: DataFrame, centroids: np.ndarray, nprobe: int) -> DataFrame:
-    """(query_id, vec, cell): the ``nprobe`` cells of largest product."""
+    """(query_id, vec, cell, place): the ``nprobe`` cells of largest product, from place 0 on."""
     nprobe = min(nprobe, len(centroids))
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,18 +71,26 @@ def probed(queries: DataFrame, centroids: np.ndarray, nprobe: int) -> DataFrame:
             if len(pdf):
                 near = np.round(_matrix(pdf["vec"]) @ centroids.T, 12)
                 cells = np.argsort(-near, axis=1, kind="stable")[:, :nprobe].astype(np.int32)
-                yield pdf.loc[pdf.index.repeat(nprobe)].assign(cell=cells.ravel())
+                yield pdf.loc[pdf.index.repeat(nprobe)].assign(cell=cells.ravel(), place=np.tile(np.arange(nprobe, dtype=np.int32), len(pdf)))
 
     rows = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("vec"))
-    return rows.mapInPandas(choose, "query_id long, vec array<double>, cell int")
+    return rows.mapInPandas(choose, "query_id long, vec array<double>, cell int, place int")
 
 
 def _by_cell(visits: DataFrame, cells: DataFrame, work, part_rows: int) -> DataFrame:
-    """Cell by cell, a part of a large cell at a time, ``work`` on the visits and the cell's rows."""
+    """Cell by cell, a part of a large cell at a time, ``work`` on the visits and the cell's rows: the best of each cell, with its ``place``
+    among those of the query."""
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"query_id": [], "item_id": [], "similarity": [], "place": []}).astype({"query_id": "int64", "item_id": "int64", "place": "int32"})
+        found = work(a, b)
+        return found.assign(place=found["query_id"].map(dict(zip(a["query_id"], a["place"]))).astype("int32"))
+
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
     rows = cells.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("item_id"), "parts").cast("int")).drop("parts")
     asks = visits.join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return asks.groupBy("cell", "part").cogroup(rows.groupBy("cell", "part")).applyInPandas(work, NEAR)
+    return asks.groupBy("cell", "part").cogroup(rows.groupBy("cell", "part")).applyInPandas(best, f"{NEAR}, place int")
 
 
 def _ranked(near: DataFrame, k: int, digits: int = 12) -> DataFrame:
@@ -93,13 +101,11 @@ def _ranked(near: DataFrame, k: int, digits: int = 12) -> DataFrame:
 
 def ivf_search(queries: DataFrame, cells: DataFrame, centroids: np.ndarray, nprobe: int, k: int, drop_self: bool = False, part_rows: int = 20_000) -> DataFrame:
     """The ``k`` best rows of the probed cells, by their whole vectors."""
+    return _ranked(_by_cell(probed(queries, centroids, nprobe), cells, _whole(k, drop_self), part_rows), k)
 
-    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []}).astype({"query_id": "int64", "item_id": "int64"})
-        return _best(a["query_id"].to_numpy(), _matrix(a["vec"]), b["item_id"].to_numpy(), _matrix(b["vec"]), k, drop_self)
 
-    return _ranked(_by_cell(probed(queries, centroids, nprobe), cells, work, part_rows), k)
+def _whole(k: int, drop_self: bool = False):
+    return lambda a, b: _best(a["query_id"].to_numpy(), _matrix(a["vec"]), b["item_id"].to_numpy(), _matrix(b["vec"]), k, drop_self, digits=12)
 
 
 @dataclass(frozen=True)
@@ -148,20 +154,20 @@ def pq_index(cells: DataFrame, centroids: np.ndarray, m: int, nbits: int, sample
 
 def pq_search(queries: DataFrame, codes: DataFrame, centroids: np.ndarray, book: Codebook, nprobe: int, k: int, part_rows: int = 50_000) -> DataFrame:
     """The ``k`` best rows by approximate product: query times centroid, and a sum of looked-up sub-products."""
+    return _ranked(_by_cell(probed(queries, centroids, nprobe), codes, _coded(centroids, book, k), part_rows), k)
+
+
+def _coded(centroids: np.ndarray, book: Codebook, k: int):
     m, _, size = book.words.shape
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []}).astype({"query_id": "int64", "item_id": "int64"})
-        q, code, ids = _matrix(a["vec"]), np.array(b["codes"].tolist()), b["item_id"].to_numpy()
+        q, code = _matrix(a["vec"]), np.array(b["codes"].tolist())
         near = np.repeat((q @ centroids[int(a["cell"].iloc[0])])[:, None], len(b), axis=1)
         for s in range(m):
             near += (q[:, s * size : (s + 1) * size] @ book.words[s].T)[:, code[:, s]]
-        n = min(k, near.shape[1])
-        best = np.argpartition(-near, n - 1, axis=1)[:, :n]
-        return pd.DataFrame({"query_id": np.repeat(a["query_id"].to_numpy(), n), "item_id": ids[best.ravel()], "similarity": np.take_along_axis(near, best, 1).ravel()})
+        return best_of(near, a["query_id"].to_numpy(), b["item_id"].to_numpy(), k, 12)
 
-    return _ranked(_by_cell(probed(queries, centroids, nprobe), codes, work, part_rows), k)
+    return work
 
 
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -170,16 +176,26 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return hits.groupBy("query_id").agg((F.count("hit") / F.lit(float(k))).alias("r")).agg(F.count("*").alias("n_queries"), F.avg("r").alias("recall"))
 
 
-def sweep(queries: DataFrame, items: DataFrame, nlist: int, k: int = 10, grid: Sequence[int] = (1, 4, 8, 16, 32, 64), centroids: np.ndarray | None = None) -> DataFrame:
-    """(nprobe, n_queries, recall) against exact search, a query's own item included; probes over the number of cells are skipped."""
+def sweep(
+    queries: DataFrame, items: DataFrame, nlist: int, k: int = 10, grid: Sequence[int] = (1, 4, 8, 16, 32, 64), centroids: np.ndarray | None = None,
+    codes: DataFrame | None = None, book: Codebook | None = None, part_rows: int = 20_000,
+) -> DataFrame:
+    """(nprobe, n_queries, recall) against exact search, a query's own item included; probes over the number of cells are skipped. With
+    ``codes`` and ``book`` it is the compressed index that is searched. Cells are visited once, to the largest number of probes; each
+    cell's best are ranked for every number that reaches it."""
     centroids = first_centroids(items, nlist) if centroids is None else centroids
-    cells = assign(items, centroids)
-    truth = top_k(queries, items, k, drop_self=False)
-    out = None
-    for nprobe in (p for p in grid if p <= len(centroids)):
-        row = recall(ivf_search(queries, cells, centroids, nprobe, k), truth, k).select(F.lit(nprobe).alias("nprobe"), "n_queries", "recall")
-        out = row if out is None else out.unionByName(row)
-    return out
+    grid = [p for p in grid if p <= len(centroids)]
+    work = _whole(k) if codes is None else _coded(centroids, book, k)
+    cells = assign(items, centroids) if codes is None else codes
+    near = _by_cell(probed(queries, centroids, max(grid)), cells, work, part_rows).withColumn("similarity", F.round("similarity", 12))
+    near = near.withColumn("nprobe", F.explode(F.filter(F.array(*map(F.lit, grid)), lambda p: p > F.col("place"))))
+    order = Window.partitionBy("nprobe", "query_id").orderBy(F.desc("similarity"), "item_id")
+    found = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    truth = top_k(queries, items, k, drop_self=False).select("query_id", "item_id")
+    hits = found.join(truth, ["query_id", "item_id"], "left_semi").groupBy("nprobe").agg(F.count("*").alias("hits"))
+    asked = queries.agg(F.countDistinct("query_id").alias("n_queries")).select(F.explode(F.array(*map(F.lit, grid))).alias("nprobe"), "n_queries")
+    out = asked.join(F.broadcast(hits), "nprobe", "left")  # a row per number of probes
+    return out.select("nprobe", "n_queries", (F.coalesce("hits", F.lit(0)) / (F.col("n_queries") * F.lit(float(k)))).alias("recall"))
 
 
 def footprint(items: DataFrame, p: Parameters) -> DataFrame:

@@ -9,12 +9,14 @@ from lapwing.functions import text as T
 from lapwing.operators import catalog, pairs, serve
 from lapwing.plans import sql as S
 from lapwing.sources import tables
+from lapwing.sources.shared import once
 
 SAMPLE = 301
 
 
 def _skus(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.sku_table(tables.manifest(spark, d))
+    """The SKU table: the whole manifest aggregated once, for plans that count, rank and join it."""
+    return once(catalog.sku_table(tables.manifest(spark, d)))
 
 
 def _split(spark: SparkSession, d: str) -> DataFrame:

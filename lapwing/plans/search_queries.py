@@ -157,6 +157,16 @@ def nprobe_sweep(spark, d):
     return search.sweep(_queries(items), items, NLIST, 10, (1, 4, 8, 16, 32)).select(F.col("nprobe").cast("long").alias("nprobe"), "n_queries", _six(F.col("recall")).alias("recall"))
 
 
+def pq_sweep(spark, d):
+    """Recall of the compressed index against exact search, by number of probes."""
+    items = tables.items(spark, d)
+    p = search.adapt(items.count(), 64)
+    centroids = search.kmeans_centroids(items, min(p.nlist, 64))
+    codes, book = search.pq_index(search.assign(items, centroids), centroids, p.m, p.nbits)
+    out = search.sweep(_queries(items), items, len(centroids), 10, centroids=centroids, codes=codes, book=book)
+    return out.select(F.col("nprobe").cast("long").alias("nprobe"), "n_queries", _six(F.col("recall")).alias("recall"))
+
+
 def index_footprint(spark, d):
     items = tables.items(spark, d)
     return search.footprint(items, search.Parameters(64, NLIST, 32, 8)).withColumn("ratio", _six(F.col("ratio")))
@@ -404,6 +414,7 @@ grid AS (SELECT unnest([1, 4, 8, 16]) AS nprobe),
 found AS (SELECT nprobe, query_id, item_id FROM near, grid WHERE place <= nprobe QUALIFY row_number() OVER (PARTITION BY nprobe, query_id ORDER BY similarity DESC, item_id) <= 10),
 hits AS (SELECT nprobe, query_id, count(*) AS n FROM found JOIN truth USING (query_id, item_id) GROUP BY nprobe, query_id),
 every AS (SELECT nprobe, query_id FROM grid, (SELECT DISTINCT query_id FROM truth))""") + "SELECT nprobe, count(*) AS n_queries, round(avg(coalesce(n, 0) / 10.0), 6) AS recall FROM every LEFT JOIN hits USING (nprobe, query_id) GROUP BY nprobe"),
+    "pq_sweep": (pq_sweep, None),
     "index_footprint": (index_footprint, """
 SELECT n, n * 256 AS flat_bytes, n * 32 + 16 * 64 * 4 + 256 * 64 * 4 AS pq_bytes, round((n * 256) / CAST(n * 32 + 16 * 64 * 4 + 256 * 64 * 4 AS DOUBLE), 6) AS ratio FROM (SELECT 2 * count(*) AS n FROM embeddings)"""),
     "pairwise_f1": (pairwise_f1, _w(S.PAIRS, "c AS (SELECT threshold, count(*) FILTER (s >= threshold AND same) AS tp, count(*) FILTER (s >= threshold AND NOT same) AS fp, count(*) FILTER (s < threshold AND same) AS fn FROM pairs, (SELECT CAST(unnest([0.5, 0.6, 0.7, 0.8]) AS DOUBLE) AS threshold) GROUP BY threshold)") + """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,3 +18,11 @@ def shared_folder(spark: SparkSession) -> str:
         named = f"file://{tempfile.mkdtemp(prefix='lapwing-checkpoint-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
+
+
+def once(df: DataFrame) -> DataFrame:
+    """``df`` from a checkpoint in the shared folder, for plans that read it several times; a lost executor costs a reread."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

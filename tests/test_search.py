@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lapwing.functions import images
 from lapwing.operators import blocks, calibrate, evaluate, fusion, search, serve
+from lapwing.plans import search_queries
 
 SCHEMA = "item_id long, sku_id long, vec array<double>"
 
@@ -125,3 +126,22 @@ def test_images():
     assert images.cutout(np.zeros((100, 100)), rng).shape == (100, 100)
     assert np.abs(images.compress(noisy[:16, :16], 95) - noisy[:16, :16]).mean() < 6
     assert images.decode_base64("data:image/png;base64,aGk") == b"hi" and images.decode_base64("*") == b""
+
+
+def test_recall_grows_with_probes(spark, data):
+    """The compressed index against exact search: more cells, more recall, and most of it at the last."""
+    rows = search_queries.pq_sweep(spark, data).orderBy("nprobe").collect()
+    recalls = [r.recall for r in rows]
+    assert len(rows) > 2 and recalls == sorted(recalls) and recalls[-1] >= 0.75 and all(r.n_queries == rows[0].n_queries for r in rows)
+
+
+def test_ties_go_to_smaller_ids():
+    import numpy as np
+
+    from lapwing.operators.blocks import _best
+
+    v = np.tile(np.array([[0.6, 0.8]]), (40, 1)) * (1 + 1e-15 * np.arange(40)[:, None])
+    got = _best(np.array([0]), v[:1], np.arange(40), v, 5, True, digits=12)
+    assert got["item_id"].tolist() == [1, 2, 3, 4, 5]
+    turns = (np.array([7]), np.arange(40))
+    assert _best(np.array([7]), v[7:8], np.arange(40), v, 50, True, turns=turns, digits=12)["item_id"].tolist() == list(range(7))
