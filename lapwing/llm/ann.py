@@ -76,9 +76,11 @@ def probe_cells(place: np.ndarray, probes: int) -> np.ndarray:
     )
     found = [home]
     heap = [(steps[0][0], (0,))]
+    probes = min(probes, 5 ** len(place))  # as many cells as there are
     while heap and len(found) < probes:
         score, chosen = heapq.heappop(heap)
-        if len({steps[j][1] for j in chosen}) == len(chosen):
+        # Two steps along one function make no cell. Only the last step of a set can clash, and then nothing is added to the set.
+        if valid := len({steps[j][1] for j in chosen}) == len(chosen):
             cell = home.copy()
             for j in chosen:
                 cell[steps[j][1]] += steps[j][2]
@@ -86,7 +88,8 @@ def probe_cells(place: np.ndarray, probes: int) -> np.ndarray:
         last = chosen[-1]
         if last + 1 < len(steps):
             heapq.heappush(heap, (score - steps[last][0] + steps[last + 1][0], (*chosen[:-1], last + 1)))
-            heapq.heappush(heap, (score + steps[last + 1][0], (*chosen, last + 1)))
+            if valid:
+                heapq.heappush(heap, (score + steps[last + 1][0], (*chosen, last + 1)))
     return np.array(found)
 
 
