@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lapwing.llm import ann
 from lapwing.llm.chat import link_quotations
 from lapwing.llm.common import read
+from lapwing.llm.lexical import RANKED_SQL, ranked_search
 from lapwing.llm.licenses import license_scan
 from lapwing.llm.line_dedup import line_links
 from lapwing.llm.mixing import MIX_SQL, mix
@@ -78,6 +79,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents of highest lexical score for each benchmark item."""
+    return ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 #: The others have no SQL form, or an approximate or free result; tests hold them against brute force.
@@ -97,4 +104,5 @@ ORACLES: dict[str, str] = {
     "op8_ngram_jaccard": JACCARD_SQL,
     "op9_mixing": MIX_SQL,
     "op10_substring_dedup": SUBSTRING_SQL,
+    "op13_ranked_search": RANKED_SQL,
 }
