@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapwing.llm import ann
+from lapwing.llm.alignment import align_documents
 from lapwing.llm.chat import link_quotations
 from lapwing.llm.common import read
 from lapwing.llm.lexical import RANKED_SQL, ranked_search
@@ -79,6 +80,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: tokens of two tokenizers, groups between common cuts, links, and how common the linked id pairs are."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align_documents(read(spark, sf_dir, "documents"), *paths, whole_groups=False)
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 documents of highest lexical score for each benchmark item."""
     return ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_token_alignment": op12_token_alignment,
     "op13_ranked_search": op13_ranked_search,
 }
 
