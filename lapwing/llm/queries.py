@@ -22,6 +22,7 @@ from lapwing.llm.packing import pack
 from lapwing.llm.quality import quality_report
 from lapwing.llm.substring_dedup import remove_repeated_words
 from lapwing.llm.suffix_dedup import remove_repeated_bytes
+from lapwing.llm.toxicity import toxicity
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +81,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: its toxicity, and how many sentences offend and where the worst one stands."""
+    out = toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    worst = F.array_max(F.transform("sentences", lambda s: F.struct(s["score"].alias("score"), (-s["start"]).alias("before"), s["stop"].alias("stop"))))
+    return out.select(
+        "doc_id", "held_out", "score", "predicted", F.size("sentences").cast("long").alias("n_offending"),
+        (-worst["before"]).cast("long").alias("worst_start"), worst["stop"].cast("long").alias("worst_stop"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document: tokens of two tokenizers, groups between common cuts, links, and how common the linked id pairs are."""
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -102,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_toxicity": op11_toxicity,
     "op12_token_alignment": op12_token_alignment,
     "op13_ranked_search": op13_ranked_search,
 }
