@@ -11,7 +11,7 @@ tables meet in one exact reranking by cosine in double precision on the stored v
   return more of them, so nothing is lost.
 * Buckets are counted; one over ``bucket_rows`` rows is split into that many sub-buckets, and a probe
   visits them all. Work is grouped in blocks of buckets of bounded size; a block returns the few best
-  rows of each query, never pairs.
+  rows of each query, never pairs. Queries are cut into sets of bounded size, each a group with every block that it visits.
 * A query that found fewer than ``k`` neighbours is compared with every block of the first table; so are all, where the
   largest number of probes does not reach the recall on the sample.
 
@@ -93,8 +93,16 @@ def probe_cells(place: np.ndarray, probes: int) -> np.ndarray:
     return np.array(found)
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
+def _scaled(rows: pd.Series) -> np.ndarray:
+    """Vectors times the power of two that brings their largest component to 1/2 or more: cosines stay the same to the last bit, and
+    squares neither vanish nor overflow."""
     x = np.array(rows.tolist(), dtype=np.float64)
+    _, exponent = np.frexp(np.abs(x).max(axis=1))
+    return np.ldexp(x, -exponent[:, None])
+
+
+def _unit(rows: pd.Series) -> np.ndarray:
+    x = _scaled(rows)
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -144,8 +152,8 @@ def _block(key: tuple, rows: pd.DataFrame, asks: pd.DataFrame, k: int) -> pd.Dat
     none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
     if rows.empty or asks.empty:
         return none
-    v, ids = np.array(rows["vec"].tolist(), dtype=np.float64), rows["vec_id"].to_numpy()
-    q, qids = np.array(asks["qvec"].tolist(), dtype=np.float64), asks["query_id"].to_numpy()
+    v, ids = _scaled(rows["vec"]), rows["vec_id"].to_numpy()
+    q, qids = _scaled(asks["qvec"]), asks["query_id"].to_numpy()
     v_norm, q_norm = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)
     v_unit, q_unit = v / v_norm[:, None], q / q_norm[:, None]
     order = np.argsort(rows["part"].to_numpy(), kind="stable")
@@ -205,7 +213,7 @@ def valid_vector(v: Column) -> Column:
 
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = 0.97, tables: int = 4, width: float = 2.5,
-    sample_rows: int = 8192, sample_queries: int = 64, bucket_rows: int = 20_000,
+    sample_rows: int = 8192, sample_queries: int = 64, bucket_rows: int = 20_000, query_rows: int = 20_000,
 ) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` (vec_id, embedding) found for each row of ``queries`` (same columns):
     query_id, rank from 1, vec_id, score. Ties go to the smaller vec_id."""
@@ -245,8 +253,13 @@ def search(
     visits = visits.withColumn("part", part_of(F.col("salt"))).withColumn("block", F.pmod("part", F.lit(blocks)))
     visits = visits.groupBy("query_id", "t", "block").agg(F.collect_list("part").alias("parts")).join(asks, "query_id")
 
+    sets = max(1, -(-asks.count() // query_rows))
+
     def near(rows_of: DataFrame, asks_of: DataFrame) -> DataFrame:
-        return rows_of.groupBy("t", "block").cogroup(asks_of.groupBy("t", "block")).applyInPandas(
+        """A group is a block and a set of ``query_rows`` queries or so."""
+        rows_of = rows_of.withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+        asks_of = asks_of.withColumn("set", F.pmod(F.xxhash64("query_id"), F.lit(sets)).cast("int"))
+        return rows_of.groupBy("t", "block", "set").cogroup(asks_of.groupBy("t", "block", "set")).applyInPandas(
             lambda key, a, b: _block(key, a, b, k), FOUND)
 
     if probes is None:

@@ -53,6 +53,7 @@ _navigation = re.compile(r"[\s|>/·•»›-]*(?:(?:" + _every(NAVIGATION) + r")
 _separator = re.compile(r"(?:^|\s)[|»›>·•](?=\s|$)")
 _shout = re.compile(r"[!?]{2,}(?=\s|$)")
 _sentence = re.compile(r"[.!?…:;。！？]")
+_stop = re.compile(r"(?<=[.!?…。！？])\s+")
 _symbol = re.compile(r"[#*$%&|<>{}\[\]\\~^=_@+]")
 
 
@@ -80,7 +81,12 @@ class LineRules:
         low = line.lower()
         if n_words <= 12 and _navigation.fullmatch(low.strip()):
             return "navigation"
-        return "boilerplate" if _boiler.search(low) else None
+        return "boilerplate" if _boiler.search(low) and self._mostly_boilerplate(low) else None
+
+    def _mostly_boilerplate(self, low: str) -> bool:
+        """Whether the sentences that hold a phrase are half of a line's words: one phrase in a long line is no reason to drop it."""
+        sizes = [(len(s.split()), bool(_boiler.search(s))) for s in _stop.split(low)]
+        return 2 * sum(n for n, bad in sizes if bad) >= sum(n for n, _ in sizes)
 
 
 def repeated_words(words: list[bytes], width: int = 5) -> int:

@@ -90,6 +90,12 @@ def count_shards(docs: DataFrame, shard_bytes: int) -> int:
     return max(2 * partitions(docs.sparkSession), -(-total // shard_bytes), 1)
 
 
+def home_shard(chunk: int, shards: int) -> int:
+    """The shard that a chunk's messages to itself pass through. Chunk numbers hold the partition in their upper half, so they are mixed:
+    as they stand, all partitions' first chunks would be one number modulo a power of two."""
+    return int(mix64(np.array([chunk], U64))[0] % U64(shards))
+
+
 #: Bits of a cell's number in a row of a shard's sketch.
 CELL = 20
 
@@ -135,7 +141,7 @@ def _messages(batches: Iterator[pa.RecordBatch], spec: Windows, shards: int, chu
         start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.empty(0, np.int64)
         ids = np.array(docs, np.int64)[owner]
         several = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start) if len(code) else np.empty(0, bool)
-        home = int(chunk % shards)
+        home = home_shard(chunk, shards)
         rows: list[tuple] = []
         if docs:
             rows.append((home, chunk, DOCUMENTS, b"", np.array(docs, np.int64).tobytes()))

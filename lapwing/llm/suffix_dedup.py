@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapwing.llm.common import U64, table
-from lapwing.llm.repeats import Windows, by_shard, codes, count_shards, covered, spans, text_id
+from lapwing.llm.repeats import Windows, by_shard, codes, count_shards, covered, home_shard, spans, text_id
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -76,7 +76,7 @@ def _runs(batches: Iterator[pa.RecordBatch], spec: Windows, shards: int, chunk_b
             entry = np.cumsum(new) - 1
             listed = np.flatnonzero((ids != least[entry]) & np.concatenate([[True], (ids[1:] != ids[:-1]) | new[1:]]))
             if len(listed):
-                rows.append((int(chunk % shards), chunk, -1, int(ids.min()), packed(ids[listed] - ids.min()), b"", entry[listed].astype(np.uint32).tobytes(), b""))
+                rows.append((home_shard(chunk, shards), chunk, -1, int(ids.min()), packed(ids[listed] - ids.min()), b"", entry[listed].astype(np.uint32).tobytes(), b""))
             if within:
                 several |= np.logical_or.reduceat(many, at) | (np.diff(np.append(at, len(ids))) > 1)
             code, run, base = code[at], run[at], int(least.min())
@@ -201,7 +201,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], spec: Windows, shards: int, chu
             least = np.full(len(shard), np.iinfo(np.int64).max)
             np.minimum.at(least, context, table_of["doc_id"][doc])
             u32 = lambda x: x.astype(np.uint32).tobytes()
-            rows.append((int(chunk % shards), chunk, STANDS, u32(context), u32(start), u32(doc), table_of.tobytes(), lengths.tobytes(), u32(np.concatenate([np.empty((3, 0), np.int64), *cut], axis=1))))
+            rows.append((home_shard(chunk, shards), chunk, STANDS, u32(context), u32(start), u32(doc), table_of.tobytes(), lengths.tobytes(), u32(np.concatenate([np.empty((3, 0), np.int64), *cut], axis=1))))
             order = np.argsort(shard, kind="stable")
             for s, at, to in by_shard(shard[order]):
                 c = order[at:to]
