@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lapwing.llm.common import table
 
-SAMPLE_DOCS, MOST_FEATURES, SURPRISE = 16_384, 20_000, 8.0
+SAMPLE_DOCS, MOST_FEATURES, SURPRISE = 16_384, 5_000, 8.0
 #: Lengths of word beginnings that are features beside the word itself.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 SPANS = "array<struct<start: int, stop: int, score: double>>"
@@ -88,31 +88,35 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_bags(bags: list[list[list[int]]], toxic: np.ndarray, importance: np.ndarray, n_features: int, steps: int = 1500, penalty: float = 0.3) -> tuple[np.ndarray, float, float]:
-    """Weights, bias and leak that make the labels of ``bags`` (documents of sentences of features) likely under the noisy-or. Weights are
-    not negative, and cost ``penalty`` documents' worth of gradient: a feature that explains no more stays at 0. Projected gradient steps,
-    each feature's scaled by how often it occurs."""
-    doc = np.array([i for i, bag in enumerate(bags) for _ in bag], np.int64)
-    row = np.array([r for r, s in enumerate(s for bag in bags for s in bag) for _ in s], np.int64)
-    feature = np.array([k for bag in bags for s in bag for k in s], np.int64)
+def fit_bags(doc: np.ndarray, row: np.ndarray, feature: np.ndarray, toxic: np.ndarray, importance: np.ndarray, n_features: int, steps: int = 1000, penalty: float = 0.8) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and leak that make the labels ``toxic`` of documents likely under the noisy-or. Bags are flat: the document of each
+    sentence, and the sentence and the feature of each entry. Weights are not negative, and cost ``penalty`` documents' worth of gradient: a feature that explains
+    no more stays at 0, and is left out once it does. Projected gradient steps, each feature's scaled by how often it occurs."""
+    docs, sentences = len(toxic), len(doc)
     share = importance / importance.sum()
-    silent = np.bincount(doc, minlength=len(bags)) == 0
-    leak = float((share[silent & toxic].sum() * len(bags) + 0.5) / (share[silent].sum() * len(bags) + 5))
+    silent = np.bincount(doc, minlength=docs) == 0
+    leak = float((share[silent & toxic].sum() * docs + 0.5) / (share[silent].sum() * docs + 5))
     w, b = np.zeros(n_features), -3.0
     if not len(feature):
         return w, b, leak
-    together = np.bincount(row, minlength=len(doc))
+    together = np.bincount(row, minlength=sentences)
     often = np.bincount(feature, weights=(share[doc] * together)[row] / 4, minlength=n_features)
-    cost = penalty / len(bags)
-    for _ in range(steps):
-        p = _sigmoid(b + np.bincount(row, weights=w[feature], minlength=len(doc)))
-        clear = np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(bags))  # log of no sentence being toxic
+    cost = penalty / docs
+    for step in range(1, steps + 1):
+        p = _sigmoid(b + np.bincount(row, weights=w[feature], minlength=sentences))
+        clear = np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=docs)  # log of no sentence being toxic
         whole = 1.0 - (1.0 - leak) * np.exp(clear)
         pull = np.where(toxic, (1.0 - whole) / np.maximum(whole, 1e-9), -1.0) * share
         g = pull[doc] * p
-        grad = np.bincount(feature, weights=g[row], minlength=n_features)
-        w = np.maximum(0.0, w + np.clip((grad - cost) / (often + 1e-9), -0.5, 0.5))
+        grad = np.bincount(feature, weights=g[row], minlength=n_features) - cost
+        new = np.maximum(0.0, w + np.clip(grad / (often + 1e-9), -0.5, 0.5))
+        moved, w = np.abs(new - w).max(), new
         b = float(np.clip(b + np.clip(g.sum() * 4 / share[doc].sum(), -0.5, 0.5), -8.0, -1.0))
+        if moved < 1e-4:
+            break
+        if step % 50 == 0:
+            use = ((w > 0) | (grad > 0))[feature]
+            row, feature = row[use], feature[use]
     return w, b, leak
 
 
@@ -171,12 +175,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(place)
+        packed = lambda x: np.array(x, np.int32).tobytes()
         for batch in batches:
-            found = [[s for _, _, s in known.sentences(x)] for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("importance"), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["toxic", "importance", "bag"])
-
-    rows = sample.select("toxic", "importance", "text").mapInArrow(bags, "toxic boolean, importance double, bag array<array<int>>").toPandas()  # of the bounded sample
-    w, b, leak = fit_bags([[list(s) for s in bag] for bag in rows["bag"]], rows["toxic"].to_numpy(bool), rows["importance"].to_numpy(), len(names))
+            found = [[s for _, _, s in known.sentences(x.as_py())] for x in batch.column("text")]
+            sizes, entries = [packed([len(s) for s in bag]) for bag in found], [packed([k for s in bag for k in s]) for bag in found]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("importance"), pa.array(sizes, pa.binary()), pa.array(entries, pa.binary())], ["toxic", "importance", "sizes", "entries"])
+
+    rows = sample.select("toxic", "importance", "text").mapInArrow(bags, "toxic boolean, importance double, sizes binary, entries binary").toPandas()  # of the bounded sample
+    sizes, entries = (np.frombuffer(b"".join(rows[c]), np.int32) for c in ("sizes", "entries"))
+    doc = np.repeat(np.arange(len(rows)), [len(x) // 4 for x in rows["sizes"]])
+    w, b, leak = fit_bags(doc, np.repeat(np.arange(len(sizes)), sizes), entries, rows["toxic"].to_numpy(bool), rows["importance"].to_numpy(), len(names))
     return Model({f: float(x) for f, x in zip(names, w) if x > 0}, b, leak)
 
 
