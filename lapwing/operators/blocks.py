@@ -135,18 +135,6 @@ def pair_counts(items: DataFrame, group: str | None, digits: int = 4, block_rows
     return found.groupBy(F.col("g").alias("category"), "similarity", "label").agg(F.sum("n").alias("n"))
 
 
-def confusion(items: DataFrame, thresholds: list[float], block_rows: int = 1024) -> DataFrame:
-    """(threshold, tp, fp, fn) over all pairs of items (item_id, sku_id, vec): predicted at the threshold or more, true for one SKU."""
-
-    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        near, equal = _products(key, pdf)
-        hits = [near >= t for t in thresholds]
-        return pd.DataFrame({"threshold": thresholds, "tp": [int((h & equal).sum()) for h in hits], "fp": [int((h & ~equal).sum()) for h in hits], "fn": [int((~h & equal).sum()) for h in hits]})
-
-    found = _pair_blocks(items, None, block_rows).applyInPandas(count, "threshold double, tp long, fp long, fn long")
-    return found.groupBy("threshold").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-
-
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For each of n nodes the least node that links (a, b) join it to."""
     root = np.arange(n)
@@ -158,30 +146,3 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = np.minimum(root, root[root])
         if (before == root).all():
             return root
-
-
-def forest(items: DataFrame, threshold: float, digits: int = 12, block_rows: int = 8192) -> DataFrame:
-    """(a, b): links that join the same items (item_id, vec) as all pairs of a product (to ``digits`` places) at the threshold or
-    more. Equal vectors are linked to the least of them and compared once; a pair of blocks gives a spanning forest."""
-    # Equal vectors whose own product is under the threshold are no link: each is compared for itself.
-    linked = F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x), digits) >= threshold
-    named = items.filter(linked).select("item_id", F.xxhash64("vec").alias("h"), F.xxhash64(F.lit(2), "vec").alias("g"))
-    first = named.groupBy("h", "g").agg(F.min("item_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    copies = named.join(first, ["h", "g"]).filter("item_id <> first").select(F.col("item_id").alias("a"), F.col("first").alias("b"))
-
-    def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        pdf = pdf.sort_values("item_id")
-        block, ids, v = pdf["block"].to_numpy(), pdf["item_id"].to_numpy(), _matrix(pdf["vec"])
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        root = np.arange(len(ids))
-        for at in range(0, len(left), 1024):
-            some = left[at : at + 1024]
-            a, b = np.nonzero(np.round(v[some] @ v[right].T, digits) >= threshold)
-            joined = np.flatnonzero(root != np.arange(len(ids)))
-            root = _forest(np.concatenate([some[a], joined]), np.concatenate([right[b], root[joined]]), len(ids))
-        joined = root != np.arange(len(ids))
-        return pd.DataFrame({"a": ids[joined], "b": ids[root[joined]]})
-
-    one = items.select("item_id", "vec").join(copies.select(F.col("a").alias("item_id")), "item_id", "left_anti")
-    return copies.unionByName(_pair_blocks(one, None, block_rows).applyInPandas(link, "a long, b long"))

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapwing.operators.blocks import confusion, top_k
+from lapwing.operators.blocks import top_k
+from lapwing.operators.threshold import threshold_counts
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -19,7 +20,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 def pairwise_f1(items: DataFrame, thresholds: Sequence[float] = (0.7,)) -> DataFrame:
     """(threshold, tp, fp, fn, precision, recall, f1) over all pairs of items (item_id, sku_id, vec of norm 1)."""
-    out = confusion(items, list(thresholds))
+    out = threshold_counts(items, list(thresholds)).drop("compared")
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return out.withColumns({"precision": p, "recall": r}).withColumn("f1", ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
 

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from lapwing.functions.text import clamp
 from lapwing.operators.blocks import top_k
+from lapwing.operators.bounded import nearest
 from lapwing.operators.calibrate import lookup
-from lapwing.sources.shared import shared_folder
 
 
 def candidates(requests: DataFrame, items: DataFrame, k: int, drop_self: bool = True, earlier: bool = False) -> DataFrame:
     """Ranked candidates of ``requests`` (query_id, vec) with sku_id and similarity clamped to 0..1; with ``earlier``, of a smaller ``turn``
     than the request's."""
-    found = top_k(requests, items, k, drop_self, earlier=earlier)
+    found = top_k(requests, items, k, drop_self, earlier=True) if earlier else nearest(requests, items, k, drop_self)
     return found.join(items.select("item_id", "sku_id"), "item_id").withColumn("similarity", clamp(F.col("similarity")))
 
 
@@ -52,24 +52,6 @@ def by_sku(found: DataFrame) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "sku_id", "similarity")
 
 
-def clusters(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, cluster): the least node that links (a, b) join each node to. Labels fall along links, and along labels, until
-    none changes; each round is cut off by a checkpoint."""
-    spark = links.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().checkpoint()
-    labels = nodes.select("node", F.col("node").alias("cluster"))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("cluster").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        new = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("cluster", "c").alias("low"), "cluster")
-        jump = labels.select(F.col("node").alias("low"), F.col("cluster").alias("lower"))
-        new = new.join(jump, "low").select("node", F.least("low", "lower").alias("new"), "cluster").checkpoint()
-        if new.filter("new <> cluster").isEmpty():
-            return new.select("node", "cluster")
-        labels = new.select("node", F.col("new").alias("cluster"))
-
-
 def validated(requests: DataFrame, most_k: int = 50) -> DataFrame:
     """``requests`` (…, image_base64, top_k) with ``error``: what is wrong with a request, null if nothing."""
     image = F.coalesce(F.col("image_base64"), F.lit("")) == ""

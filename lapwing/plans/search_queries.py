@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapwing.functions import images, vectors
-from lapwing.operators import blocks, calibrate, evaluate, fusion, search, serve
+from lapwing.operators import blocks, calibrate, components, evaluate, fusion, search, serve, threshold
 from lapwing.plans import sql as S
 from lapwing.sources import tables
 from lapwing.sources.shared import shared_folder
@@ -293,7 +293,7 @@ def sku_collapse(spark, d):
 
 def duplicate_clusters(spark, d):
     items = tables.items(spark, d)
-    return serve.clusters(blocks.forest(items, 0.5), items.select(F.col("item_id").alias("node")))
+    return components.clusters(threshold.threshold_links(items, 0.5), items.select(F.col("item_id").alias("node")))
 
 
 def catalog_size(spark, d):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +28,26 @@ def once(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+_STORED: list[tuple[SparkSession, str]] = []
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for plans that read it several times or would outgrow their lineage. The table goes when the session ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lapwing-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _STORED:
+        atexit.register(_drop_stored)
+    _STORED.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop_stored() -> None:
+    for spark, path in _STORED:
+        try:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        except Exception:  # the session is over: whoever owns the folder clears it
+            return

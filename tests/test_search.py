@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lapwing.functions import images
-from lapwing.operators import blocks, calibrate, evaluate, fusion, search, serve
+from lapwing.operators import blocks, bounded, calibrate, components, evaluate, fusion, search, serve, threshold
 from lapwing.plans import search_queries
 
 SCHEMA = "item_id long, sku_id long, vec array<double>"
@@ -45,7 +45,7 @@ def test_grid_equals_scan(spark, unit, monkeypatch):
     assert sorted(map(tuple, blocks.top_k(queries, items, 4).collect())) == scan
 
 
-def test_forest(spark):
+def test_links_join_what_all_pairs_join(spark):
     rng = np.random.default_rng(6)
     x = np.zeros((40, 6))
     x[:7, 0] = 1  # two groups of copies at similarity .9, which fill each other's nearest
@@ -63,10 +63,81 @@ def test_forest(spark):
                 low, high = sorted((root[a], root[b]))
                 root = [low if r == high else r for r in root]
     for rows in (1024, 5):
-        got = {r.node: r.cluster for r in serve.clusters(blocks.forest(items, 0.5, block_rows=rows), items.select(F.col("item_id").alias("node"))).collect()}
+        links = threshold.threshold_links(items, 0.5, block_rows=rows)
+        got = {r.node: r.cluster for r in components.clusters(links, items.select(F.col("item_id").alias("node"))).collect()}
         assert got == dict(enumerate(root))
 
 
+def clustered(n_centres: int, each: int, dim: int, spread: float, seed: int = 0) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    x = np.repeat(rng.normal(size=(n_centres, dim)), each, axis=0) + rng.normal(size=(n_centres * each, dim)) * spread
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_threshold_join_compares_few_pairs(spark):
+    x = clustered(40, 50, 64, 0.15)
+    x[7] *= 3  # a long vector, a zero vector and copies
+    x[9] = 0
+    x[100:130] = x[100]
+    skus = np.arange(len(x)) % 300
+    items = frame(spark, x, skus).repartition(4)
+    near = np.round(x @ x.T, 12)[np.triu_indices(len(x), 1)]
+    same = (skus[:, None] == skus[None, :])[np.triu_indices(len(x), 1)]
+    for rows in (16_384, 600):
+        for r in threshold.threshold_counts(items, [0.6, 0.9], block_rows=rows).collect():
+            hit = near >= r.threshold
+            assert (r.tp, r.fp, r.fn) == ((hit & same).sum(), (hit & ~same).sum(), (~hit & same).sum())
+            assert r.compared < 0.1 * len(near)
+        pairs = threshold.threshold_pairs(items, 0.9, block_rows=rows).toPandas()
+        assert len(pairs) == (near >= 0.9).sum() == len(pairs.drop_duplicates(["a", "b"])) and (pairs["a"] < pairs["b"]).all()
+
+
+def test_threshold_join_without_structure(spark):
+    x = np.random.default_rng(3).normal(size=(150, 8))
+    items, near = frame(spark, x, np.arange(150) // 2), np.round(x @ x.T, 12)[np.triu_indices(150, 1)]
+    for t in (-0.5, 0.0, 2.0):  # a threshold that all but opposite vectors reach rules nothing out
+        r = threshold.threshold_counts(items, [t], block_rows=40).first()
+        assert r.tp + r.fp == (near >= t).sum() and r.tp + r.fn == 75
+    none = threshold.threshold_counts(items.filter("false"), [0.5]).first()
+    assert (none.tp, none.fp, none.fn) == (0, 0, 0) and threshold.threshold_links(items.filter("false"), 0.5).isEmpty()
+
+
+def test_components_of_chains_and_stars(spark):
+    chain = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 540)] + [(7, 7), (539, 161)]
+    links = spark.createDataFrame(chain, "a long, b long")
+    nodes = spark.createDataFrame([(i,) for i in [1, 7, *range(100, 162), *range(500, 540)]], "node long")
+    got = {r.node: r.cluster for r in components.clusters(links, nodes).collect()}
+    assert got == {1: 1, 7: 7} | dict.fromkeys(range(100, 161), 100) | dict.fromkeys([161, *range(500, 540)], 161)
+
+
+def test_bounded_search_equals_exact(spark):
+    x = clustered(30, 40, 64, 0.2, seed=4)
+    x[5] *= 2
+    x[40:60] = x[40]
+    x[61] = 0
+    items = frame(spark, x).repartition(3)
+    queries = items.filter("item_id % 3 = 0").select(F.col("item_id").alias("query_id"), "vec")
+    want = {(r.query_id, r["rank"]): (r.item_id, r.similarity) for r in blocks.top_k(queries, items, 5).collect()}
+    index = bounded.cell_index(items)
+    for part_rows in (20_000, 25):
+        found, visits = bounded.bounded_top_k(queries, index, 5, part_rows=part_rows)
+        assert {(r.query_id, r["rank"]): (r.item_id, r.similarity) for r in found.collect()} == want
+        assert visits.agg(F.avg("cells")).first()[0] < 0.5 * index.cells.rows.astype(bool).sum()
+        assert visits.count() == queries.count()
+    assert bounded.open_share(queries, items, 5)[0] < 0.3 < bounded.open_share(*[frame(spark, np.random.default_rng(1).normal(size=(300, 64))).withColumn("query_id", F.col("item_id"))] * 2, 5)[0]
+    assert {(r.query_id, r["rank"]): (r.item_id, r.similarity) for r in bounded.nearest(queries, items, 5).collect()} == want
+
+
+def test_bounded_search_of_few_and_none(spark):
+    items = frame(spark, np.random.default_rng(5).normal(size=(4, 6)))
+    queries = items.select(F.col("item_id").alias("query_id"), "vec")
+    for rows in (items, items.filter("item_id = 2"), items.filter("false")):
+        index = bounded.cell_index(rows)
+        want = sorted(map(tuple, blocks.top_k(queries, rows, 3).collect()))
+        assert sorted(map(tuple, bounded.bounded_top_k(queries, index, 3)[0].collect())) == want
+    assert bounded.bounded_top_k(queries.filter("false"), bounded.cell_index(items), 3)[0].isEmpty()
+
+
 def test_clusters_of_copies(spark, monkeypatch):
     from lapwing.plans import search_queries
 
