@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.operators.blocks import NEAR, _best, _matrix, best_of, top_k
+from lapwing.sources.shared import stored
 
 
 @dataclass(frozen=True)
@@ -42,6 +43,15 @@ def first_centroids(items: DataFrame, nlist: int) -> np.ndarray:
     return _matrix(items.orderBy("item_id").limit(nlist).select("vec").toPandas()["vec"])
 
 
+def lloyd_step(items: DataFrame, centroids: np.ndarray) -> np.ndarray:
+    """Unit centroids: the means of what each of ``centroids`` is nearest to; one without items stays."""
+    means = assign(items, centroids).select("cell", F.posexplode("vec").alias("i", "x")).groupBy("cell", "i").agg(F.avg("x").alias("x"))
+    new = np.array(centroids, np.float64)
+    for r in means.collect():  # a row for each cell and component
+        new[r["cell"], r["i"]] = r["x"]
+    return new / np.linalg.norm(new, axis=1)[:, None]
+
+
 def kmeans_centroids(items: DataFrame, nlist: int, seed: int = 42, iterations: int = 10) -> np.ndarray:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -77,9 +87,9 @@ def probed(queries: DataFrame, centroids: np.ndarray, nprobe: int) -> DataFrame:
     return rows.mapInPandas(choose, "query_id long, vec array<double>, cell int, place int")
 
 
-def _by_cell(visits: DataFrame, cells: DataFrame, work, part_rows: int) -> DataFrame:
-    """Cell by cell, a part of a large cell at a time, ``work`` on the visits and the cell's rows: the best of each cell, with its ``place``
-    among those of the query."""
+def _by_cell(visits: DataFrame, cells: DataFrame, work, part_rows: int, query_rows: int = 4096) -> DataFrame:
+    """Cell by cell, a part of a large cell and a set of about ``query_rows`` of its visits at a time, ``work`` on both: the best of each cell,
+    with its ``place`` among those of the query."""
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -87,10 +97,14 @@ def _by_cell(visits: DataFrame, cells: DataFrame, work, part_rows: int) -> DataF
         found = work(a, b)
         return found.assign(place=found["query_id"].map(dict(zip(a["query_id"], a["place"]))).astype("int32"))
 
+    visits, cells = stored(visits, "visits"), stored(cells, "cells")
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
-    rows = cells.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("item_id"), "parts").cast("int")).drop("parts")
-    asks = visits.join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return asks.groupBy("cell", "part").cogroup(rows.groupBy("cell", "part")).applyInPandas(best, f"{NEAR}, place int")
+    asked = visits.groupBy("cell").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("sets"))
+    sizes = F.broadcast(sizes.join(F.broadcast(asked), "cell"))  # a row for each cell
+    dealt = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = cells.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("item_id"), "parts").cast("int")).withColumn("set", dealt("sets")).drop("parts", "sets")
+    asks = visits.join(sizes, "cell").withColumn("set", F.pmod(F.xxhash64("query_id"), "sets").cast("int")).withColumn("part", dealt("parts")).drop("parts", "sets")
+    return asks.groupBy("cell", "part", "set").cogroup(rows.groupBy("cell", "part", "set")).applyInPandas(best, f"{NEAR}, place int")
 
 
 def _ranked(near: DataFrame, k: int, digits: int = 12) -> DataFrame:
@@ -161,11 +175,14 @@ def _coded(centroids: np.ndarray, book: Codebook, k: int):
     m, _, size = book.words.shape
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        q, code = _matrix(a["vec"]), np.array(b["codes"].tolist())
-        near = np.repeat((q @ centroids[int(a["cell"].iloc[0])])[:, None], len(b), axis=1)
-        for s in range(m):
-            near += (q[:, s * size : (s + 1) * size] @ book.words[s].T)[:, code[:, s]]
-        return best_of(near, a["query_id"].to_numpy(), b["item_id"].to_numpy(), k, 12)
+        code, ids, centroid, out = np.array(b["codes"].tolist()), b["item_id"].to_numpy(), centroids[int(a["cell"].iloc[0])], []
+        for at in range(0, len(a), 256):
+            q, own = _matrix(a["vec"].iloc[at : at + 256]), a["query_id"].to_numpy()[at : at + 256]
+            near = np.repeat((q @ centroid)[:, None], len(b), axis=1)
+            for s in range(m):
+                near += (q[:, s * size : (s + 1) * size] @ book.words[s].T)[:, code[:, s]]
+            out.append(best_of(near, own, ids, k, 12))
+        return pd.concat(out)
 
     return work
 

@@ -71,11 +71,6 @@ def write_manifest(manifest: DataFrame, path: str, form: str = "parquet") -> Non
     writer.option("header", "true").format(form).save(path)
 
 
-def write_index(codes: DataFrame, path: str) -> None:
-    """Codes by cell: a search reads the cells that it probes."""
-    codes.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(path)
-
-
 def append_items(items: DataFrame, path: str) -> None:
     items.write.mode("append").parquet(path)
 
