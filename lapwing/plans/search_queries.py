@@ -15,7 +15,8 @@ from lapwing.operators import blocks, calibrate, components, evaluate, fusion, s
 from lapwing.plans import sql as S
 from lapwing.sources import index, tables
 from lapwing.sources.shared import shared_folder
-from lapwing.streaming import arrivals
+from lapwing.operators.cells import sampled_centres
+from lapwing.streaming import arrivals, growing, mining
 
 NLIST = 16
 
@@ -349,6 +350,59 @@ def stream_check(spark, d):
     return out.select("query_id", "is_duplicate", _six(F.col("similarity")).alias("similarity"), "n_hits")
 
 
+def _fed(spark, rows, key, parts, schema, start, stop_after=None):
+    """Runs ``start(stream, folder)`` on ``rows``, fed file by file in the order of ``key``; with ``stop_after``, the query ends after so
+    many files and another goes on from its checkpoint. Gives the folder."""
+    folder = _folder(spark)
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    part = F.least(F.floor((F.col(key) - F.lit(low)) * parts / F.lit(high - low + 1)), F.lit(parts - 1))
+    for n in range(parts):
+        rows.filter(part == n).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        if n + 1 in (stop_after, parts):
+            start(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder).awaitTermination()
+    return folder
+
+
+def _to(stream, folder):
+    return stream.writeStream.option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).format("parquet").option("path", f"{folder}/out").start()
+
+
+def stream_index(spark, d):
+    """Check before insert, against an index that grows by cells and merges its small batches."""
+    items = tables.items(spark, d).select("item_id", "sku_id", "vec")
+    folder = _folder(spark)
+    kept = growing.GrowingIndex.create(spark, f"{folder}/index", sampled_centres(items, 16), fan=2)
+    for n in range(3):  # the order of stream_check
+        items.filter(F.col("item_id") % 3 == n).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    growing.check_then_index(stream, kept, f"{folder}/out", f"{folder}/log", 0.7).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("query_id", "is_duplicate", _six(F.col("similarity")).alias("similarity"), "n_hits")
+
+
+BANK, MINED = 64, 2
+
+
+def _arrivals(spark, d):
+    """Events in order as arrivals of embeddings, a bank for each type."""
+    e = tables.read(spark, d, "embeddings").select(F.col("vec_id").alias("item"), F.col("label").cast("long").alias("sku_id"), vectors.doubles(F.col("embedding")).alias("vec"))
+    rows = tables.read(spark, d, "events").select(F.col("event_type").alias("bank"), F.col("event_id").alias("seq"), (F.col("event_id") % e.count()).alias("item"))
+    return rows.join(e, "item").select("bank", "seq", "sku_id", "vec")
+
+
+def stream_mining(spark, d):
+    """Hard negatives mined while arrivals stream in; the stream is stopped after two of its four files and goes on from its checkpoint."""
+    rows = _arrivals(spark, d)
+    folder = _fed(spark, rows, "seq", 4, rows.schema, lambda s, f: _to(mining.mine_stream(s, BANK, MINED), f), 2)
+    return spark.read.parquet(f"{folder}/out").withColumn("similarity", _six(F.col("similarity")))
+
+
+def resumed_best(spark, d):
+    """``best_checkpoint`` over a stream that is stopped half-way and resumed."""
+    rows = _history(spark, d)
+    folder = _fed(spark, rows, "epoch", 4, rows.schema, lambda s, f: _to(mining.best_stream(s), f), 2)
+    return spark.read.parquet(f"{folder}/out")
+
+
 def event_log(spark, d):
     e = tables.read(spark, d, "events")
     return e.select("event_id", F.to_json(F.struct("event_type", "user_id")).alias("line"))
@@ -390,6 +444,15 @@ cols AS (SELECT batch, j, max(x) + ln(sum(exp(x - top))) - max(x) FILTER (i = j)
     "SELECT r.batch, r.n, round((r.loss + c.loss) / 2, 6) AS loss FROM (SELECT batch, count(*) AS n, avg(loss) AS loss FROM rows GROUP BY batch) r JOIN (SELECT batch, avg(loss) AS loss FROM cols GROUP BY batch) c USING (batch)"
     if both else "SELECT batch, count(*) AS n, round(avg(loss), 6) AS loss FROM rows GROUP BY batch")
 
+_stream_sql = _w(S.ITEMS, """
+near AS (SELECT a.item_id AS query_id, round(list_dot_product(a.vec, b.vec), 12) AS s, row_number() OVER (PARTITION BY a.item_id ORDER BY round(list_dot_product(a.vec, b.vec), 12) DESC, b.item_id) AS rank
+  FROM items a JOIN items b ON b.item_id % 3 < a.item_id % 3 OR (b.item_id % 3 = a.item_id % 3 AND b.item_id < a.item_id))""") + """
+SELECT item_id AS query_id, count(s) > 0 AS is_duplicate, round(coalesce(max(s), 0), 6) AS similarity, count(s) AS n_hits
+FROM items LEFT JOIN (SELECT * FROM near WHERE rank <= 5 AND s >= 0.7::DOUBLE) n ON n.query_id = items.item_id GROUP BY item_id"""
+_best_sql = """
+SELECT run, epoch, value, best, coalesce(value > best, TRUE) AS improved
+FROM (SELECT user_id AS run, event_id AS epoch, value, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events)"""
+
 QUERIES = {
     "unit_vectors": (unit_vectors, _w(S.VECTORS, "r AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS out FROM e)") + _parts("vec_id")),
     "int8_vectors": (int8_vectors, _w(S.VECTORS, "r AS (SELECT vec_id, list_transform(v, lambda x: floor(x / list_max(list_transform(v, lambda y: abs(y))) * 127 + 0.5)) AS out FROM e)") + "SELECT vec_id, generate_subscripts(out, 1) - 1 AS i, CAST(unnest(out) AS BIGINT) AS x FROM r"),
@@ -465,9 +528,7 @@ FROM (SELECT DISTINCT upper(p_type) || '_' || p_size AS category, CAST(round(0.5
 bank AS (SELECT * FROM items ORDER BY item_id DESC LIMIT 4096),
 near AS (SELECT a.item_id AS query_id, b.item_id, round(list_dot_product(a.vec, b.vec), 12) AS similarity FROM items a JOIN bank b ON a.sku_id <> b.sku_id),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM near)""") + "SELECT query_id, rank, item_id, round(similarity, 6) AS similarity FROM best WHERE rank <= 4"),
-    "best_checkpoint": (best_checkpoint, """
-SELECT run, epoch, value, best, coalesce(value > best, TRUE) AS improved
-FROM (SELECT user_id AS run, event_id AS epoch, value, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events)"""),
+    "best_checkpoint": (best_checkpoint, _best_sql),
     "latency_quantiles": (latency_quantiles, """
 WITH s AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events), q AS (SELECT CAST(unnest([0.5, 0.95, 0.99]) AS DOUBLE) AS q)
 SELECT q, value FROM s JOIN q ON i = least(CAST(floor(q * n) AS BIGINT), n - 1)"""),
@@ -490,10 +551,14 @@ l AS (SELECT query_id AS a, item_id AS b FROM near WHERE similarity >= 0.5),
 reach AS (SELECT item_id AS node, item_id AS other FROM items UNION SELECT reach.node, l.b FROM reach JOIN l ON reach.other = l.a)""") + "SELECT node, min(other) AS cluster FROM reach GROUP BY node"),
     "catalog_size": (catalog_size, "SELECT 2 * count(*) AS n_items, count(DISTINCT vec_id) AS n_skus FROM embeddings"),
     "stream_ring": (stream_ring, "SELECT event_type AS bank, event_id AS seq, event_id % 500 AS item_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 16"),
-    "stream_check": (stream_check, _w(S.ITEMS, """
-near AS (SELECT a.item_id AS query_id, round(list_dot_product(a.vec, b.vec), 12) AS s, row_number() OVER (PARTITION BY a.item_id ORDER BY round(list_dot_product(a.vec, b.vec), 12) DESC, b.item_id) AS rank
-  FROM items a JOIN items b ON b.item_id % 3 < a.item_id % 3 OR (b.item_id % 3 = a.item_id % 3 AND b.item_id < a.item_id))""") + """
-SELECT item_id AS query_id, count(s) > 0 AS is_duplicate, round(coalesce(max(s), 0), 6) AS similarity, count(s) AS n_hits
-FROM items LEFT JOIN (SELECT * FROM near WHERE rank <= 5 AND s >= 0.7::DOUBLE) n ON n.query_id = items.item_id GROUP BY item_id"""),
+    "stream_check": (stream_check, _stream_sql),
+    "stream_index": (stream_index, _stream_sql),
+    "stream_mining": (stream_mining, f"""
+WITH e AS (SELECT vec_id AS item, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+a AS (SELECT event_type AS bank, event_id AS seq, label, v, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events JOIN e ON item = event_id % (SELECT count(*) FROM e)),
+p AS (SELECT a.bank, a.seq, b.seq AS negative, round(list_dot_product(a.v, b.v), 12) AS s FROM a JOIN a b ON a.bank = b.bank AND b.n < a.n AND b.n >= a.n - {BANK} AND a.label <> b.label),
+r AS (SELECT *, row_number() OVER (PARTITION BY bank, seq ORDER BY s DESC, negative) AS rank, count(*) OVER (PARTITION BY bank, seq) AS n FROM p)
+SELECT bank, seq, rank, negative, round(s, 6) AS similarity FROM r WHERE rank <= {MINED} AND n >= {MINED}"""),
+    "resumed_best": (resumed_best, _best_sql),
     "event_log": (event_log, """SELECT event_id, '{"event_type":"' || event_type || '","user_id":' || user_id || '}' AS line FROM events"""),
 }

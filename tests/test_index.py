@@ -39,3 +39,31 @@ def test_visits_in_sets_and_parts(spark):
     near = search._by_cell(search.probed(queries, centroids, 5), cells, work, part_rows=17, query_rows=23)
     exact = blocks.top_k(queries, items, 6, drop_self=False)
     assert sorted(map(tuple, search._ranked(near, 6).collect())) == sorted(map(tuple, exact.collect()))
+
+
+def test_growing_index_merges_batches(spark, tmp_path):
+    from lapwing.operators.cells import sampled_centres
+    from lapwing.streaming.growing import GrowingIndex, check_then_index
+
+    x = clustered(10, 24, 16, 0.15)
+    items = frame(spark, x[np.random.default_rng(0).permutation(len(x))])
+    n = 12
+    index = GrowingIndex.create(spark, str(tmp_path / "index"), sampled_centres(items), fan=3)
+    for b in range(n):
+        items.filter(F.floor(F.col("item_id") * n / 240) == b).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if b == n // 2 - 1 or b == n - 1:  # a query that ends and one that goes on from its checkpoint
+            stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+            check_then_index(stream, GrowingIndex.open(spark, index.path, 3), str(tmp_path / "out"), str(tmp_path / "log"), 0.8).awaitTermination()
+    got = {r.query_id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    v = np.array([r.vec for r in items.orderBy("item_id").collect()])
+    near = np.round(v @ v.T, 12)
+    for i in range(240):
+        before = near[i, :i][near[i, :i] >= 0.8]
+        assert (got[i].is_duplicate, got[i].n_hits) == (len(before) > 0, min(5, len(before)))
+        assert got[i].similarity == (before.max() if len(before) else 0.0)
+    assert max(r.folders for r in got.values()) <= 5  # twelve batches, two folders a level at most after a merge, and the newest
+    live = index.live(spark, n - 1)
+    assert index.rows(spark, live).count() == 240 and live["n"].sum() == 240
+    import os
+
+    assert len([d for level in os.listdir(tmp_path / "index" / "rows") for d in os.listdir(tmp_path / "index" / "rows" / level) if d.startswith("batch")]) <= 9
