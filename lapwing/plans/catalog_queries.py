@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from lapwing.functions import text as T
 from lapwing.operators import catalog, pairs, serve
 from lapwing.plans import sql as S
 from lapwing.sources import tables
-from lapwing.sources.shared import once
+from lapwing.sources.shared import once, shared_folder, stored
+from lapwing.streaming import endless
 
 SAMPLE = 301
 
@@ -85,6 +88,16 @@ def triplets(spark, d):
     return pairs.triplets(tables.manifest(spark, d))
 
 
+def endless_triplets(spark, d):
+    """Two and a half epochs of the endless stream of triplets, in micro-batches that cross the epochs' ends."""
+    rows = stored(pairs.triplets(tables.manifest(spark, d)), "triplets")
+    n, folder = rows.count(), f"{shared_folder(spark)}/draws-{uuid.uuid4().hex}"
+    query = endless.serve_triplets(endless.draws(spark, n, max(1, n * 9 // 10), until=n * 5 // 2), rows, f"{folder}/out", f"{folder}/log")
+    query.processAllAvailable()
+    query.stop()
+    return spark.read.parquet(f"{folder}/out").select("draw", "epoch", "sku_id", "anchor_path", "positive_path", "negative_sku", "negative_path")
+
+
 def pair_batch(spark, d):
     return pairs.draw_batch(pairs.positive_pairs(tables.manifest(spark, d)), 64)
 
@@ -225,6 +238,9 @@ _negative_sql = f"""ring AS (SELECT *, {S.ranks("category", 42)} AS r, count(*)
 negative AS (
   SELECT a.sku_id, a.category, b.sku_id AS negative_sku, TRUE AS same_category FROM ring a JOIN ring b ON a.category = b.category AND a.r % a.n + 1 = b.r WHERE a.n > 1)"""
 
+_triplet_sql = """SELECT p.sku_id, p.anchor_path, p.positive_path, n.negative_sku, o.anchor_path AS negative_path, p.is_multi_angle, n.same_category
+FROM positive p JOIN negative n USING (sku_id) JOIN positive o ON n.negative_sku = o.sku_id"""
+
 QUERIES = {
     "manifest_build": (manifest_build, """
 WITH im AS (SELECT DISTINCT l_partkey AS pk, l_suppkey AS sk FROM lineitem),
@@ -255,9 +271,10 @@ FROM (VALUES ('train', 'val'), ('train', 'test'), ('val', 'test')) t(a, b)"""),
 SELECT conv_id, trim(coalesce(arg_min(text, turn) FILTER (role LIKE 'assistant%'), arg_min(text, turn), '')) AS title FROM conversations GROUP BY conv_id"""),
     "positive_pairs": (positive_pairs, _with(S.MANIFEST, _positive_sql) + "SELECT * FROM positive"),
     "hard_negatives": (hard_negatives, _with(S.MANIFEST, S.SKUS, _negative_sql) + "SELECT * FROM negative"),
-    "triplets": (triplets, _with(S.MANIFEST, S.SKUS, _positive_sql, _negative_sql) + """
-SELECT p.sku_id, p.anchor_path, p.positive_path, n.negative_sku, o.anchor_path AS negative_path, p.is_multi_angle, n.same_category
-FROM positive p JOIN negative n USING (sku_id) JOIN positive o ON n.negative_sku = o.sku_id"""),
+    "triplets": (triplets, _with(S.MANIFEST, S.SKUS, _positive_sql, _negative_sql) + _triplet_sql),
+    "endless_triplets": (endless_triplets, _with(S.MANIFEST, S.SKUS, _positive_sql, _negative_sql, f"t AS ({_triplet_sql})", """
+served AS (SELECT t.*, CAST(e AS BIGINT) AS epoch, e * count(*) OVER (PARTITION BY e) + row_number() OVER (PARTITION BY e ORDER BY md5('42:' || e || '|' || sku_id)) - 1 AS draw FROM t, (SELECT unnest([0, 1, 2]) AS e))""")
+        + "SELECT draw, epoch, sku_id, anchor_path, positive_path, negative_sku, negative_path FROM served WHERE draw < (SELECT count(*) * 5 // 2 FROM t)"),
     "pair_batch": (pair_batch, _with(S.MANIFEST, _positive_sql, f"""
 r AS (SELECT *, {S.ranks("", 42)} AS rank, count(*) OVER () AS total FROM positive),
 d AS (SELECT range AS draw, CAST(least(floor({S.uniform("42:draw", "range")} * (SELECT count(*) FROM positive)), (SELECT count(*) FROM positive) - 1) AS BIGINT) + 1 AS want FROM range(64))""") + """

@@ -14,9 +14,9 @@ from lapwing.functions import images, vectors
 from lapwing.operators import blocks, calibrate, components, evaluate, fusion, search, serve, threshold
 from lapwing.plans import sql as S
 from lapwing.sources import index, tables
-from lapwing.sources.shared import shared_folder
+from lapwing.sources.shared import shared_folder, stored
 from lapwing.operators.cells import sampled_centres
-from lapwing.streaming import arrivals, growing, mining
+from lapwing.streaming import arrivals, growing, mining, windows
 
 NLIST = 16
 
@@ -350,14 +350,16 @@ def stream_check(spark, d):
     return out.select("query_id", "is_duplicate", _six(F.col("similarity")).alias("similarity"), "n_hits")
 
 
-def _fed(spark, rows, key, parts, schema, start, stop_after=None):
-    """Runs ``start(stream, folder)`` on ``rows``, fed file by file in the order of ``key``; with ``stop_after``, the query ends after so
+def _fed(spark, rows, key, parts, schema, start, stop_after=None, last=None):
+    """Runs ``start(stream, folder)`` on ``rows``, fed file by file in the order of ``key``, and then ``last``; with ``stop_after``, the query ends after so
     many files and another goes on from its checkpoint. Gives the folder."""
     folder = _folder(spark)
     low, high = rows.agg(F.min(key), F.max(key)).first()
     part = F.least(F.floor((F.col(key) - F.lit(low)) * parts / F.lit(high - low + 1)), F.lit(parts - 1))
     for n in range(parts):
         rows.filter(part == n).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        if last is not None and n + 1 == parts:
+            last.coalesce(1).write.mode("append").parquet(f"{folder}/in")
         if n + 1 in (stop_after, parts):
             start(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder).awaitTermination()
     return folder
@@ -403,6 +405,29 @@ def resumed_best(spark, d):
     return spark.read.parquet(f"{folder}/out")
 
 
+def _rated(spark, d, rates):
+    """Duplicate rates of events, each an arrival of an item; a last row far ahead moves the watermark past all others."""
+    items = tables.items(spark, d).select("item_id", "vec")
+    links = threshold.threshold_links(items, 0.6)
+    duplicates = stored(links.select(F.col("a").alias("item_id")).unionByName(links.select(F.col("b").alias("item_id"))).distinct(), "duplicates")
+    rows = tables.read(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", (F.col("event_id") % items.count()).alias("item_id"))
+    last = rows.orderBy(F.desc("ts")).limit(1).select((F.col("event_id") + 1).alias("event_id"), (F.col("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), "item_id")
+    folder = _fed(spark, rows, "event_id", 3, rows.schema, lambda s, f: _to(rates(windows.decided(s, duplicates)), f), last=last)
+    return spark.read.parquet(f"{folder}/out").withColumn("duplicate_rate", _six(F.col("duplicate_rate")))
+
+
+def tumbling_rates(spark, d):
+    return _rated(spark, d, lambda rows: windows.window_rates(rows, "1 day"))
+
+
+def sliding_rates(spark, d):
+    return _rated(spark, d, lambda rows: windows.window_rates(rows, "12 hours", "4 hours"))
+
+
+def session_rates(spark, d):
+    return _rated(spark, d, lambda rows: windows.session_rates(rows, "6 hours"))
+
+
 def event_log(spark, d):
     e = tables.read(spark, d, "events")
     return e.select("event_id", F.to_json(F.struct("event_type", "user_id")).alias("line"))
@@ -453,6 +478,11 @@ _best_sql = """
 SELECT run, epoch, value, best, coalesce(value > best, TRUE) AS improved
 FROM (SELECT user_id AS run, event_id AS epoch, value, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events)"""
 
+_flagged_sql = """
+near AS (SELECT a.item_id FROM items a JOIN items b ON a.item_id <> b.item_id AND round(list_dot_product(a.vec, b.vec), 12) >= 0.6::DOUBLE),
+flagged AS (SELECT event_type, user_id, ts, event_id % (SELECT count(*) FROM items) IN (SELECT item_id FROM near) AS dup FROM events)"""
+_rates_sql = "count(*) AS n_events, count(*) FILTER (dup) AS n_duplicates, round(count(*) FILTER (dup) / count(*), 6) AS duplicate_rate"
+
 QUERIES = {
     "unit_vectors": (unit_vectors, _w(S.VECTORS, "r AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS out FROM e)") + _parts("vec_id")),
     "int8_vectors": (int8_vectors, _w(S.VECTORS, "r AS (SELECT vec_id, list_transform(v, lambda x: floor(x / list_max(list_transform(v, lambda y: abs(y))) * 127 + 0.5)) AS out FROM e)") + "SELECT vec_id, generate_subscripts(out, 1) - 1 AS i, CAST(unnest(out) AS BIGINT) AS x FROM r"),
@@ -560,5 +590,13 @@ p AS (SELECT a.bank, a.seq, b.seq AS negative, round(list_dot_product(a.v, b.v),
 r AS (SELECT *, row_number() OVER (PARTITION BY bank, seq ORDER BY s DESC, negative) AS rank, count(*) OVER (PARTITION BY bank, seq) AS n FROM p)
 SELECT bank, seq, rank, negative, round(s, 6) AS similarity FROM r WHERE rank <= {MINED} AND n >= {MINED}"""),
     "resumed_best": (resumed_best, _best_sql),
+    "tumbling_rates": (tumbling_rates, _w(S.ITEMS, _flagged_sql) + f"SELECT event_type, date_trunc('day', ts) AS from_ts, date_trunc('day', ts) + INTERVAL 1 DAY AS to_ts, {_rates_sql} FROM flagged GROUP BY ALL"),
+    "sliding_rates": (sliding_rates, _w(S.ITEMS, _flagged_sql, """
+slid AS (SELECT event_type, dup, time_bucket(INTERVAL 4 HOURS, ts, TIMESTAMP '1970-01-01') - INTERVAL 4 HOURS * k AS from_ts FROM flagged, (SELECT unnest([0, 1, 2]) AS k))""")
+        + f"SELECT event_type, from_ts, from_ts + INTERVAL 12 HOURS AS to_ts, {_rates_sql} FROM slid GROUP BY ALL"),
+    "session_rates": (session_rates, _w(S.ITEMS, _flagged_sql, """
+marked AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOURS, TRUE) AS new FROM flagged),
+numbered AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM marked)""")
+        + f"SELECT user_id, min(ts) AS from_ts, max(ts) + INTERVAL 6 HOURS AS to_ts, {_rates_sql} FROM numbered GROUP BY user_id, session"),
     "event_log": (event_log, """SELECT event_id, '{"event_type":"' || event_type || '","user_id":' || user_id || '}' AS line FROM events"""),
 }
