@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lapwing.functions.hashing import token
 from lapwing.functions.text import or_other, pick_localised
+from lapwing.operators.order import order_statistics
 from lapwing.operators.ranks import hash_rank
+from lapwing.sources.shared import stored
 
 
 def image_ids(main: Column, others: Column) -> Column:
@@ -100,8 +102,11 @@ def category_counts(manifest: DataFrame) -> DataFrame:
 
 def images_per_sku(manifest: DataFrame) -> DataFrame:
     """One row: mean, median, most and least rows of a SKU."""
-    n = manifest.groupBy("sku_id").agg(F.count("*").alias("n"))
-    return n.agg(F.count("*").alias("n_skus"), F.avg("n").alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), F.max("n").alias("most"), F.min("n").alias("least"))
+    n = stored(manifest.groupBy("sku_id").agg(F.count("*").alias("n")), "sku-counts")
+    skus = n.count()
+    middle = order_statistics(n, "n", [(skus - 1) // 2, skus // 2]) if skus else []
+    median = F.lit(sum(middle) / 2 if middle else None).cast("double").alias("median")
+    return n.agg(F.count("*").alias("n_skus"), F.avg("n").alias("mean"), median, F.max("n").alias("most"), F.min("n").alias("least"))
 
 
 def split_totals(manifest: DataFrame) -> DataFrame:

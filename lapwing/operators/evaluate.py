@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.operators.blocks import top_k
+from lapwing.operators.order import order_statistics
 from lapwing.operators.threshold import threshold_counts
 
 
@@ -83,10 +84,7 @@ def best_so_far(history: DataFrame) -> DataFrame:
 
 
 def latency_quantiles(times: DataFrame, value: str = "value", at: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """(q, value): the element at ``int(q * n)`` of the sorted values, found through counts of values, without a global sort."""
-    counts = times.groupBy(F.col(value).alias("value")).count()
-    upto = counts.withColumn("upto", F.sum("count").over(Window.orderBy("value")))
-    total = times.agg(F.count("*").alias("n"))
-    marks = F.array(*[F.struct(F.lit(q).alias("q"), F.least(F.floor(F.lit(q) * F.col("n")), F.col("n") - 1).alias("i")) for q in at])
-    marks = total.filter("n > 0").select(F.explode(marks).alias("m")).select("m.*")
-    return upto.join(F.broadcast(marks), F.col("upto") > F.col("i")).groupBy("q").agg(F.min("value").alias("value"))
+    """(q, value): the element at ``int(q * n)`` of the sorted values; none without values."""
+    n = times.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).count()
+    found = order_statistics(times, value, [min(int(q * n), n - 1) for q in at])
+    return times.sparkSession.createDataFrame(list(zip(map(float, at), found)), "q double, value double")

@@ -11,6 +11,7 @@ from lapwing.functions import text as T
 from lapwing.operators import catalog, pairs, serve
 from lapwing.plans import sql as S
 from lapwing.sources import tables
+from lapwing.sources.buckets import bucketed
 from lapwing.sources.shared import once, shared_folder, stored
 from lapwing.streaming import endless
 
@@ -88,6 +89,19 @@ def triplets(spark, d):
     return pairs.triplets(tables.manifest(spark, d))
 
 
+def bucketed_splits(spark, d):
+    """Rows of each SKU with its split, from tables bucketed by SKU: neither the join nor the counts move a row."""
+    rows = bucketed(tables.manifest(spark, d).select("sku_id", "image_path", "category"), "sku_id", label="manifest")
+    split = bucketed(_split(spark, d).select("sku_id", "split"), "sku_id", label="split")
+    return rows.join(split.hint("merge"), "sku_id").groupBy("sku_id").agg(F.first("split").alias("split"), F.count("*").alias("n_rows"), F.min("image_path").alias("first_path"), F.max("image_path").alias("last_path"))
+
+
+def inverted_lists(spark, d):
+    """SKUs of each category by a table bucketed by category: numbers, and the least and greatest of them."""
+    skus = bucketed(_skus(spark, d).select("category", "sku_id", "n_rows"), "category", label="categories")
+    return skus.groupBy("category").agg(F.count("*").alias("n_skus"), F.sum("n_rows").alias("n_rows"), F.min("sku_id").alias("first_sku"), F.max("sku_id").alias("last_sku"))
+
+
 def endless_triplets(spark, d):
     """Two and a half epochs of the endless stream of triplets, in micro-batches that cross the epochs' ends."""
     rows = stored(pairs.triplets(tables.manifest(spark, d)), "triplets")
@@ -262,6 +276,9 @@ b AS (SELECT *, n * {SAMPLE} // whole AS base, row_number() OVER (ORDER BY n * {
 c AS (SELECT *, base + CASE WHEN place <= {SAMPLE} - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM b),
 r AS (SELECT *, {S.ranks("category", 42)} AS rank FROM skus)""") + "SELECT r.sku_id, r.category, r.n_rows FROM r JOIN c USING (category) WHERE rank <= quota"),
     "sku_splits": (sku_splits, _with(S.MANIFEST, S.SKUS, _split_sql) + "SELECT * FROM split"),
+    "bucketed_splits": (bucketed_splits, _with(S.MANIFEST, S.SKUS, _split_sql) + """
+SELECT sku_id, any_value(split) AS split, count(*) AS n_rows, min(image_path) AS first_path, max(image_path) AS last_path FROM manifest JOIN split USING (sku_id) GROUP BY sku_id"""),
+    "inverted_lists": (inverted_lists, _with(S.MANIFEST, S.SKUS) + "SELECT category, count(*) AS n_skus, CAST(sum(n_rows) AS BIGINT) AS n_rows, min(sku_id) AS first_sku, max(sku_id) AS last_sku FROM skus GROUP BY category"),
     "split_totals": (split_totals, _with(S.MANIFEST, S.SKUS, _split_sql) + "SELECT split, count(*) AS n_rows, count(DISTINCT sku_id) AS n_skus FROM manifest JOIN split USING (sku_id) GROUP BY ROLLUP (split)"),
     "split_leaks": (split_leaks, _with(S.MANIFEST, S.SKUS, _split_sql) + """
 SELECT a, b, CAST((SELECT count(*) FROM (SELECT sku_id FROM split WHERE split = a INTERSECT SELECT sku_id FROM split WHERE split = b)) AS BIGINT) AS shared

@@ -15,6 +15,9 @@ from lapwing.operators import blocks, calibrate, components, evaluate, fusion, s
 from lapwing.plans import sql as S
 from lapwing.sources import index, tables
 from lapwing.sources.shared import shared_folder, stored
+from lapwing.functions.encode import encode_texts
+from lapwing.operators import table_functions
+from lapwing.operators.bounded import nearest
 from lapwing.operators.cells import sampled_centres
 from lapwing.streaming import arrivals, growing, mining, windows
 
@@ -138,6 +141,44 @@ def exact_topk(spark, d):
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "item_id", _six(F.col("similarity")).alias("similarity"))
 
 
+_ROWS = 8192  # of a block of the search in SQL
+
+
+def _sql_ranked(spark, source):
+    return spark.sql(f"""
+SELECT query_id, rank, item_id, round(similarity, 6) AS similarity
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS BIGINT) AS rank FROM ({source})) WHERE rank <= 5""")
+
+
+def sql_topk(spark, d):
+    """Exact search in SQL: blocks of queries and of items, joined laterally with a table function."""
+    table_functions.register(spark)
+    items = tables.items(spark, d)
+    blocks = -(-items.count() // _ROWS)
+    table_functions.packed_blocks(_queries(items), "query_id", blocks).createOrReplaceTempView("query_blocks")
+    table_functions.packed_blocks(items, "item_id", blocks).createOrReplaceTempView("item_blocks")
+    return _sql_ranked(spark, "SELECT n.* FROM query_blocks q JOIN item_blocks i, LATERAL block_topk(q.ids, q.vecs, i.ids, i.vecs, 5) n")
+
+
+def sql_nearest(spark, d):
+    """Exact search in SQL: an Arrow table function over a partitioned table."""
+    table_functions.register(spark)
+    items = tables.items(spark, d)
+    table_functions.dealt_rows(_queries(items), items, 5, -(-items.count() // _ROWS)).createOrReplaceTempView("dealt")
+    return _sql_ranked(spark, "SELECT n.* FROM nearest(TABLE(dealt) PARTITION BY block) n")
+
+
+def encoded_texts(spark, d):
+    return _exploded(encode_texts(tables.read(spark, d, "documents"), "doc_id"), "doc_id", "vec")
+
+
+def encoded_topk(spark, d):
+    """The three documents nearest to each whose id is divisible by 20, by their encoded texts: exact, over cells where that pays."""
+    rows = stored(encode_texts(tables.read(spark, d, "documents"), "doc_id").select(F.col("doc_id").alias("item_id"), "vec"), "encoded")
+    out = nearest(rows.filter("item_id % 20 = 0").withColumnRenamed("item_id", "query_id"), rows, 3)
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "item_id", _six(F.col("similarity")).alias("similarity"))
+
+
 def ivf_topk(spark, d):
     items = tables.items(spark, d)
     centroids = search.lloyd_step(items, search.first_centroids(items, NLIST))
@@ -469,6 +510,12 @@ cols AS (SELECT batch, j, max(x) + ln(sum(exp(x - top))) - max(x) FILTER (i = j)
     "SELECT r.batch, r.n, round((r.loss + c.loss) / 2, 6) AS loss FROM (SELECT batch, count(*) AS n, avg(loss) AS loss FROM rows GROUP BY batch) r JOIN (SELECT batch, avg(loss) AS loss FROM cols GROUP BY batch) c USING (batch)"
     if both else "SELECT batch, count(*) AS n, round(avg(loss), 6) AS loss FROM rows GROUP BY batch")
 
+_exact_sql = _w(S.RANKED) + "SELECT query_id, rank, item_id, round(similarity, 6) AS similarity FROM ranked WHERE rank <= 5"
+_encoded_sql = """word AS (SELECT doc_id, md5(w) AS h FROM (SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '\\s+')) AS w FROM documents) WHERE w <> ''),
+summed AS (SELECT doc_id, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 64 AS i, sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END) AS s FROM word GROUP BY ALL),
+grid AS (SELECT doc_id, unnest(range(64)) AS i FROM documents),
+raw AS (SELECT doc_id, list(CAST(coalesce(s, 0) AS DOUBLE) ORDER BY i) AS v FROM grid LEFT JOIN summed USING (doc_id, i) GROUP BY doc_id),
+coded AS (SELECT doc_id, list_transform(v, lambda x: x / CASE WHEN list_dot_product(v, v) = 0 THEN 1 ELSE sqrt(list_dot_product(v, v)) END) AS vec FROM raw)"""
 _stream_sql = _w(S.ITEMS, """
 near AS (SELECT a.item_id AS query_id, round(list_dot_product(a.vec, b.vec), 12) AS s, row_number() OVER (PARTITION BY a.item_id ORDER BY round(list_dot_product(a.vec, b.vec), 12) DESC, b.item_id) AS rank
   FROM items a JOIN items b ON b.item_id % 3 < a.item_id % 3 OR (b.item_id % 3 = a.item_id % 3 AND b.item_id < a.item_id))""") + """
@@ -512,7 +559,13 @@ o AS (SELECT vec_id, {_linear("n", W2, [0.0, 0.1])} AS o FROM d), r AS (SELECT v
     "pixel_quality_bordered": (pixel_quality_bordered, _quality_sql(0, 15)),
     "image_inputs": (image_inputs, None),
     "augmented_images": (augmented_images, None),
-    "exact_topk": (exact_topk, _w(S.RANKED) + "SELECT query_id, rank, item_id, round(similarity, 6) AS similarity FROM ranked WHERE rank <= 5"),
+    "exact_topk": (exact_topk, _exact_sql),
+    "sql_topk": (sql_topk, _exact_sql),
+    "sql_nearest": (sql_nearest, _exact_sql),
+    "encoded_texts": (encoded_texts, _w(_encoded_sql) + "SELECT doc_id, generate_subscripts(vec, 1) - 1 AS i, round(unnest(vec), 6) AS x FROM coded"),
+    "encoded_topk": (encoded_topk, _w(_encoded_sql, """
+near AS (SELECT a.doc_id AS query_id, b.doc_id AS item_id, round(list_dot_product(a.vec, b.vec), 12) AS similarity FROM coded a JOIN coded b ON a.doc_id <> b.doc_id AND a.doc_id % 20 = 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM near)""") + "SELECT query_id, rank, item_id, round(similarity, 6) AS similarity FROM best WHERE rank <= 3"),
     "ivf_topk": (ivf_topk, _w(_cells_sql, """
 near AS (SELECT query_id, a.item_id, round(list_dot_product(v.vec, a.vec), 12) AS similarity FROM visits v JOIN assigned a ON v.cell = a.cell WHERE place <= 4),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM near)""") + "SELECT query_id, rank, item_id, round(similarity, 6) AS similarity FROM best WHERE rank <= 5"),
