@@ -37,6 +37,13 @@ def pooled(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(together)
 
 
+def usable(items: DataFrame, pairs: DataFrame, least_items: int = 4) -> DataFrame:
+    """The ``pairs`` (category, similarity, label, n) of categories that can be calibrated: ``least_items`` items (category, ...) or more, and a pair of one SKU."""
+    large = items.groupBy(F.col("category").cast("string").alias("c")).count().filter(F.col("count") >= least_items).select("c")
+    positive = pairs.groupBy(F.col("category").alias("p")).agg(F.sum(F.col("label") * F.col("n")).alias("positives")).filter("positives > 0").select("p")
+    return pairs.join(large, F.col("category") == F.col("c"), "left_semi").join(positive, F.col("category") == F.col("p"), "left_semi")
+
+
 def best_thresholds(pairs: DataFrame, low: float = 0.30, high: float = 0.99, alpha: float = 2.0, beta: float = 2.0) -> DataFrame:
     """(category, threshold, f1): the similarity of largest F1 between ``low`` and ``high`` (of several, the least), for
     each category and pooled; .70 where none lies between."""

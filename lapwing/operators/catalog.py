@@ -100,6 +100,25 @@ def category_counts(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("category").agg(F.count("*").alias("n_rows"), F.countDistinct("sku_id").alias("n_skus"))
 
 
+def last_of(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """(key, value): the value of each key's last row by ``order``, as a dictionary keeps what is put last."""
+    return rows.groupBy(key).agg(F.max_by(value, order).alias(value))
+
+
+def category_sketches(manifest: DataFrame, bits: int = 12) -> DataFrame:
+    """(category, sketch): a sketch of fixed size of each category's distinct SKUs. Sketches of parts of a catalog are merged by ``hll_union_agg``, so SKUs are counted
+    without moving them; the estimate is within 5 % or so."""
+    return manifest.groupBy("category").agg(F.hll_sketch_agg("sku_id", bits).alias("sketch"))
+
+
+def end_to_end_splits(listings: DataFrame, images: DataFrame, target: int, train: float = 0.8, val: float = 0.1, test: float = 0.1) -> DataFrame:
+    """Listings to a manifest, ``target`` SKUs of it by category, and their splits: manifest rows with ``split``."""
+    manifest = stored(build_manifest(listings, images), "manifest")
+    chosen = stratified_sample(stored(sku_table(manifest), "skus"), target)
+    split = split_skus(stored(chosen, "chosen"), train, val, test)
+    return manifest.join(split.select("sku_id", "split"), "sku_id")
+
+
 def images_per_sku(manifest: DataFrame) -> DataFrame:
     """One row: mean, median, most and least rows of a SKU."""
     n = stored(manifest.groupBy("sku_id").agg(F.count("*").alias("n")), "sku-counts")

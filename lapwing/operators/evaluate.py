@@ -77,6 +77,11 @@ def ring(arrivals: DataFrame, size: int) -> DataFrame:
     return arrivals.orderBy(F.desc("seq")).limit(size)
 
 
+def epoch_means(history: DataFrame) -> DataFrame:
+    """(run, epoch, n, mean) of the batches' values (run, epoch, value)."""
+    return history.groupBy("run", "epoch").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+
+
 def best_so_far(history: DataFrame) -> DataFrame:
     """``history`` (run, epoch, value) with ``best`` before each epoch of its run, and whether the epoch improves on it."""
     before = Window.partitionBy("run").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)

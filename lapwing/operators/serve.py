@@ -40,6 +40,13 @@ def check_any(requests: DataFrame, items: DataFrame, threshold: float = 0.86, k:
     return out.select("query_id", F.col("n_hits").isNotNull().alias("is_duplicate"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
 
 
+def named(found: DataFrame, names: DataFrame) -> DataFrame:
+    """Candidates (item_id, ...) with the ``name`` of their item in ``names`` (item_id, name), ``SKU_`` and the id where there is none."""
+    known = names.select(F.col("item_id").alias("_item"), "name")
+    out = found.join(known, F.col("item_id") == F.col("_item"), "left").drop("_item")
+    return out.withColumn("name", F.coalesce("name", F.concat(F.lit("SKU_"), F.col("item_id").cast("string"))))
+
+
 def tagged(found: DataFrame, threshold: float) -> DataFrame:
     """Candidates with ``distance`` and ``is_match``."""
     return found.withColumns({"distance": 1 - F.col("similarity"), "is_match": F.col("similarity") >= threshold})

@@ -89,6 +89,31 @@ def triplets(spark, d):
     return pairs.triplets(tables.manifest(spark, d))
 
 
+def top_categories(spark, d):
+    return catalog.category_counts(tables.manifest(spark, d, fine=True)).orderBy(F.desc("n_rows"), "category").limit(15)
+
+
+def last_categories(spark, d):
+    """The type of each user's last event."""
+    e = tables.read(spark, d, "events").select(F.col("user_id").alias("sku_id"), F.col("event_type").alias("category"), "event_id")
+    return catalog.last_of(e, "sku_id", "category", "event_id")
+
+
+def category_estimates(spark, d):
+    """Whether sketches, by category and merged for all, tell the distinct SKUs within 5 %."""
+    manifest = stored(tables.manifest(spark, d, fine=True).select("category", "sku_id"), "manifest")
+    sketches = stored(catalog.category_sketches(manifest), "sketches")
+    every = sketches.agg(F.hll_union_agg("sketch").alias("sketch")).select(F.lit("*").alias("category"), "sketch")
+    exact = manifest.groupBy("category").agg(F.countDistinct("sku_id").alias("n")).unionByName(manifest.agg(F.countDistinct("sku_id").alias("n")).withColumn("category", F.lit("*")))
+    estimate = F.hll_sketch_estimate("sketch")
+    return sketches.unionByName(every).join(exact, "category").select("category", F.col("n").alias("n_skus"), (F.abs(estimate - F.col("n")) <= F.greatest(F.lit(1.0), 0.05 * F.col("n"))).alias("near"))
+
+
+def end_to_end_splits(spark, d):
+    rows = catalog.end_to_end_splits(tables.listings(spark, d), tables.image_index(spark, d), SAMPLE)
+    return rows.groupBy("sku_id", "category", "split").agg(F.count("*").alias("n_rows"))
+
+
 def bucketed_splits(spark, d):
     """Rows of each SKU with its split, from tables bucketed by SKU: neither the join nor the counts move a row."""
     rows = bucketed(tables.manifest(spark, d).select("sku_id", "image_path", "category"), "sku_id", label="manifest")
@@ -276,6 +301,23 @@ b AS (SELECT *, n * {SAMPLE} // whole AS base, row_number() OVER (ORDER BY n * {
 c AS (SELECT *, base + CASE WHEN place <= {SAMPLE} - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM b),
 r AS (SELECT *, {S.ranks("category", 42)} AS rank FROM skus)""") + "SELECT r.sku_id, r.category, r.n_rows FROM r JOIN c USING (category) WHERE rank <= quota"),
     "sku_splits": (sku_splits, _with(S.MANIFEST, S.SKUS, _split_sql) + "SELECT * FROM split"),
+    "top_categories": (top_categories, """
+WITH m AS (SELECT p_partkey AS sku_id, p_brand || ':' || p_size % 5 AS category FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) x JOIN part ON l_partkey = p_partkey)
+SELECT category, count(*) AS n_rows, count(DISTINCT sku_id) AS n_skus FROM m GROUP BY category ORDER BY n_rows DESC, category LIMIT 15"""),
+    "last_categories": (last_categories, "SELECT user_id AS sku_id, arg_max(event_type, event_id) AS category FROM events GROUP BY user_id"),
+    "category_estimates": (category_estimates, """
+WITH m AS (SELECT p_partkey AS sku_id, p_brand || ':' || p_size % 5 AS category FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) x JOIN part ON l_partkey = p_partkey)
+SELECT coalesce(category, '*') AS category, count(DISTINCT sku_id) AS n_skus, TRUE AS near FROM m GROUP BY ROLLUP (category)"""),
+    "end_to_end_splits": (end_to_end_splits, f"""
+WITH im AS (SELECT DISTINCT l_partkey AS pk, l_suppkey AS sk FROM lineitem),
+k AS (SELECT CAST(pk AS VARCHAR) AS sku_id, pk FROM im WHERE sk % 10 <> 3 AND pk % 97 <> 0),
+skus AS (SELECT sku_id, CASE WHEN pk % 50 = 0 THEN 'OTHER' ELSE p_type END AS category, count(*) AS n_rows FROM k JOIN part ON pk = p_partkey GROUP BY ALL),
+q AS (SELECT category, count(*) AS n, sum(count(*)) OVER () AS whole FROM skus GROUP BY category),
+b AS (SELECT *, n * {SAMPLE} // whole AS base, row_number() OVER (ORDER BY n * {SAMPLE} % whole DESC, category) AS place FROM q),
+c AS (SELECT *, base + CASE WHEN place <= {SAMPLE} - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM b),
+r AS (SELECT *, {S.ranks("category", 42)} AS rank FROM skus),
+chosen AS (SELECT r.sku_id, r.category, r.n_rows FROM r JOIN c USING (category) WHERE rank <= quota),
+""" + _split_sql.replace("FROM skus)", "FROM chosen)") + " SELECT sku_id, category, split, n_rows FROM split"),
     "bucketed_splits": (bucketed_splits, _with(S.MANIFEST, S.SKUS, _split_sql) + """
 SELECT sku_id, any_value(split) AS split, count(*) AS n_rows, min(image_path) AS first_path, max(image_path) AS last_path FROM manifest JOIN split USING (sku_id) GROUP BY sku_id"""),
     "inverted_lists": (inverted_lists, _with(S.MANIFEST, S.SKUS) + "SELECT category, count(*) AS n_skus, CAST(sum(n_rows) AS BIGINT) AS n_rows, min(sku_id) AS first_sku, max(sku_id) AS last_sku FROM skus GROUP BY category"),
@@ -283,7 +325,13 @@ SELECT sku_id, any_value(split) AS split, count(*) AS n_rows, min(image_path) AS
     "split_leaks": (split_leaks, _with(S.MANIFEST, S.SKUS, _split_sql) + """
 SELECT a, b, CAST((SELECT count(*) FROM (SELECT sku_id FROM split WHERE split = a INTERSECT SELECT sku_id FROM split WHERE split = b)) AS BIGINT) AS shared
 FROM (VALUES ('train', 'val'), ('train', 'test'), ('val', 'test')) t(a, b)"""),
-    "catalog_stats": (catalog_stats, None),
+    "catalog_stats": (catalog_stats, _with(S.MANIFEST, S.SKUS, _split_sql, """
+m AS (SELECT split, manifest.category FROM manifest JOIN split USING (sku_id)),
+t AS (SELECT sku_id, count(*) AS n FROM manifest GROUP BY sku_id),
+a AS (SELECT string_agg('"' || split || '":' || n, ',' ORDER BY split) AS j FROM (SELECT split, count(*) AS n FROM m GROUP BY split)),
+b AS (SELECT string_agg('"' || category || '":' || n, ',' ORDER BY category) AS j FROM (SELECT category, count(*) AS n FROM m GROUP BY category))""") + """
+SELECT '{"splits":{' || a.j || '},"categories":{' || b.j || '},"n_skus":' || count(*) || ',"mean":' || avg(n) || ',"median":' || quantile_cont(n, 0.5) || ',"most":' || max(n) || ',"least":' || min(n) || '}' AS stats
+FROM t, a, b GROUP BY a.j, b.j"""),
     "localised_names": (localised_names, """
 SELECT conv_id, trim(coalesce(arg_min(text, turn) FILTER (role LIKE 'assistant%'), arg_min(text, turn), '')) AS title FROM conversations GROUP BY conv_id"""),
     "positive_pairs": (positive_pairs, _with(S.MANIFEST, _positive_sql) + "SELECT * FROM positive"),

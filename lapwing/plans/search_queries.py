@@ -77,12 +77,12 @@ def alpha_fusion(spark, d):
     return _exploded(e.select("vec_id", halves.alias("b")).select("vec_id", vectors.normalise(F.col("b")).alias("u")), "vec_id", "u")
 
 
-W1 = [[((i * 31 + j * 17) % 7 - 3) / 10 for j in range(10)] for i in range(3)]
+W1 = [[((i * 31 + j * 17) % 7 - 3) / 10 for j in range(66)] for i in range(3)]
 W2 = [[((i * 13 + j * 7) % 5 - 2) / 5 for j in range(3)] for i in range(2)]
 
 
 def gate_fusion(spark, d):
-    e = _embeddings(spark, d).select("vec_id", F.slice("v", 1, 4).alias("a"), F.slice("v", 5, 4).alias("b"), ((F.col("vec_id") % 10) / 9.0).alias("qa"), ((F.col("vec_id") % 7) / 6.0).alias("qb"))
+    e = _embeddings(spark, d).select("vec_id", F.slice("v", 1, 32).alias("a"), F.slice("v", 33, 32).alias("b"), ((F.col("vec_id") % 10) / 9.0).alias("qa"), ((F.col("vec_id") % 7) / 6.0).alias("qb"))
     hidden = vectors.relu(vectors.linear(F.concat("a", "b", F.array("qa", "qb")), W1, [0.0, 0.05, 0.1]))
     e = e.withColumn("h", hidden).withColumn("g", vectors.softmax(vectors.linear(F.col("h"), W2, [0.0, 0.1])))
     fused = vectors.fuse(F.col("a"), F.col("b"), F.get("g", F.lit(0)), F.get("g", F.lit(1)))
@@ -90,7 +90,7 @@ def gate_fusion(spark, d):
 
 
 def projection_head(spark, d):
-    e = _embeddings(spark, d).withColumn("h", vectors.gelu(vectors.linear(F.slice("v", 1, 4), [r[:4] for r in W1], [0.0, 0.05, 0.1])))
+    e = _embeddings(spark, d).withColumn("h", vectors.gelu(vectors.linear(F.col("v"), [r[:64] for r in W1], [0.0, 0.05, 0.1])))
     e = e.withColumn("n", vectors.layer_norm(F.col("h"))).withColumn("o", vectors.linear(F.col("n"), W2, [0.0, 0.1]))
     return _exploded(e.select("vec_id", vectors.normalise(F.col("o")).alias("u")), "vec_id", "u")
 
@@ -242,6 +242,13 @@ def precision_recall(spark, d):
     return out.select(F.col("k").cast("long").alias("k"), "n_queries", _six(F.col("precision")).alias("precision"), _six(F.col("recall")).alias("recall"))
 
 
+def calibration_pairs(spark, d):
+    """Pairs of the categories that can be calibrated, finely cut: those of four items or more with a pair of one SKU."""
+    items = tables.items(spark, d).withColumn("category", F.concat_ws("-", F.col("category").cast("string"), (F.col("sku_id") % 40).cast("string")))
+    counts = calibrate.usable(items, blocks.pair_counts(items, "category", digits=2))
+    return counts.groupBy("category").agg(F.sum("n").alias("n_pairs"), F.sum(F.col("label") * F.col("n")).alias("n_positive"))
+
+
 def threshold_curve(spark, d):
     return calibrate.curve(blocks.pair_counts(tables.items(spark, d), "category", digits=2)).withColumn("f1", _six(F.col("f1")))
 
@@ -303,6 +310,12 @@ def _history(spark, d):
     return tables.read(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("epoch"), "value")
 
 
+def epoch_means(spark, d):
+    """The mean loss of each epoch: events by type as runs, days as epochs."""
+    rows = tables.read(spark, d, "events").select(F.col("event_type").alias("run"), F.to_date("ts").alias("epoch"), "value")
+    return evaluate.epoch_means(rows).withColumn("mean", _six(F.col("mean")))
+
+
 def best_checkpoint(spark, d):
     return evaluate.best_so_far(_history(spark, d))
 
@@ -331,6 +344,14 @@ def duplicate_check(spark, d):
     return _checked(spark, d)
 
 
+def named_candidates(spark, d):
+    """Candidates by the name of their SKU; items of SKUs that no name is known of get a stand-in."""
+    items = tables.items(spark, d)
+    names = items.filter("sku_id % 7 <> 0").select("item_id", F.concat(F.lit("S"), F.col("sku_id").cast("string")).alias("name"))
+    out = serve.named(blocks.top_k(_queries(items), items, 2), names)
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "name", _six(F.col("similarity")).alias("similarity"))
+
+
 def any_hit_check(spark, d):
     items = tables.items(spark, d)
     return serve.check_any(_queries(items), items, 0.6).withColumn("similarity", _six(F.col("similarity")))
@@ -543,13 +564,13 @@ b AS (SELECT vec_id, list_transform(range(1, 33), lambda i: w * v[i] + (1 - w) *
   FROM (SELECT *, CAST(CASE vec_id % 3 WHEN 0 THEN 0.85 WHEN 1 THEN 0.5 ELSE 0.7 END AS DOUBLE) AS w FROM e)),
 r AS (SELECT vec_id, list_transform(b, lambda x: x / sqrt(list_dot_product(b, b))) AS out FROM b)""") + _parts("vec_id")),
     "gate_fusion": (gate_fusion, _w(S.VECTORS, f"""
-x AS (SELECT vec_id, v, list_concat(v[1:8], [vec_id % 10 / CAST(9 AS DOUBLE), vec_id % 7 / CAST(6 AS DOUBLE)]) AS x FROM e),
+x AS (SELECT vec_id, v, list_concat(v, [vec_id % 10 / CAST(9 AS DOUBLE), vec_id % 7 / CAST(6 AS DOUBLE)]) AS x FROM e),
 h AS (SELECT vec_id, v, list_transform({_linear("x", W1, [0.0, 0.05, 0.1])}, lambda y: greatest(y, 0.0)) AS h FROM x),
 o AS (SELECT vec_id, v, {_linear("h", W2, [0.0, 0.1])} AS o FROM h),
 g AS (SELECT vec_id, v, exp(o[1] - list_max(o)) / (exp(o[1] - list_max(o)) + exp(o[2] - list_max(o))) AS g1, exp(o[2] - list_max(o)) / (exp(o[1] - list_max(o)) + exp(o[2] - list_max(o))) AS g2 FROM o),
-r AS (SELECT vec_id, list_concat([g1, g2], list_transform(range(1, 5), lambda i: g1 * v[i] + g2 * v[i + 4])) AS out FROM g)""") + _parts("vec_id")),
+r AS (SELECT vec_id, list_concat([g1, g2], list_transform(range(1, 33), lambda i: g1 * v[i] + g2 * v[i + 32])) AS out FROM g)""") + _parts("vec_id")),
     "projection_head": (projection_head, _w(S.VECTORS, f"""
-a AS (SELECT vec_id, v[1:4] AS x FROM e), b AS (SELECT vec_id, {_linear("x", [r[:4] for r in W1], [0.0, 0.05, 0.1])} AS y FROM a),
+a AS (SELECT vec_id, v AS x FROM e), b AS (SELECT vec_id, {_linear("x", [r[:64] for r in W1], [0.0, 0.05, 0.1])} AS y FROM a),
 c AS (SELECT vec_id, list_transform(y, lambda z: CAST(0.5 AS DOUBLE) * z * (1 + tanh(CAST(0.7978845608028654 AS DOUBLE) * (z + CAST(0.044715 AS DOUBLE) * z * z * z)))) AS h FROM b),
 d AS (SELECT vec_id, list_transform(h, lambda z: (z - list_avg(h)) / sqrt(list_var_pop(h) + CAST(0.00001 AS DOUBLE))) AS n FROM c),
 o AS (SELECT vec_id, {_linear("n", W2, [0.0, 0.1])} AS o FROM d), r AS (SELECT vec_id, list_transform(o, lambda z: z / sqrt(list_dot_product(o, o))) AS out FROM o)""") + _parts("vec_id")),
@@ -586,6 +607,11 @@ SELECT threshold, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS
     "precision_recall": (precision_recall, _w(S.RANKED) + """
 SELECT k, count(*) AS n_queries, round(avg(hits / CAST(k AS DOUBLE)), 6) AS precision, round(avg(hits / CAST(least(k, 1) AS DOUBLE)), 6) AS recall
 FROM (SELECT k, query_id, count(*) FILTER (rank <= k AND own = sku_id) AS hits FROM ranked, (SELECT CAST(unnest([1, 5, 10]) AS BIGINT) AS k) GROUP BY k, query_id) GROUP BY k"""),
+    "calibration_pairs": (calibration_pairs, _w(S.ITEMS, """
+fine AS (SELECT category || '-' || sku_id % 40 AS category, sku_id, item_id FROM items),
+large AS (SELECT category FROM fine GROUP BY category HAVING count(*) >= 4)""") + """
+SELECT a.category, count(*) AS n_pairs, count(*) FILTER (a.sku_id = b.sku_id) AS n_positive FROM fine a JOIN fine b ON a.category = b.category AND a.item_id < b.item_id SEMI JOIN large l ON l.category = a.category
+GROUP BY a.category HAVING n_positive > 0"""),
     "threshold_curve": (threshold_curve, _w(_curve_sql(2), _sums_sql("counted")) + "SELECT category, threshold, tp, fp, fn, round(2 * p * r / (p + r), 6) AS f1 FROM rates"),
     "category_thresholds": (category_thresholds, _w(_curve_sql(4), """
 pooled AS (SELECT * FROM counted UNION ALL SELECT '__default__', similarity, sum(pos), sum(neg) FROM counted GROUP BY similarity)""", _sums_sql("pooled")) + """
@@ -611,6 +637,7 @@ FROM (SELECT DISTINCT upper(p_type) || '_' || p_size AS category, CAST(round(0.5
 bank AS (SELECT * FROM items ORDER BY item_id DESC LIMIT 4096),
 near AS (SELECT a.item_id AS query_id, b.item_id, round(list_dot_product(a.vec, b.vec), 12) AS similarity FROM items a JOIN bank b ON a.sku_id <> b.sku_id),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM near)""") + "SELECT query_id, rank, item_id, round(similarity, 6) AS similarity FROM best WHERE rank <= 4"),
+    "epoch_means": (epoch_means, "SELECT event_type AS run, CAST(ts AS DATE) AS epoch, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL"),
     "best_checkpoint": (best_checkpoint, _best_sql),
     "latency_quantiles": (latency_quantiles, """
 WITH s AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events), q AS (SELECT CAST(unnest([0.5, 0.95, 0.99]) AS DOUBLE) AS q)
@@ -623,6 +650,7 @@ h AS (SELECT query_id, count(*) FILTER (rank <= 5 AND own = sku_id) AS hits FROM
 t AS (SELECT query_id, max(greatest(0, least(1, similarity))) AS best, any_value({_threshold_sql}) AS threshold FROM ranked WHERE rank <= 3 GROUP BY query_id)""") + """
 SELECT query_id, best >= threshold AS is_duplicate, round(threshold, 6) AS threshold_used, round(best, 6) AS similarity, rank, sku_id AS candidate_sku, round(greatest(0, least(1, s.similarity)), 6) AS candidate_similarity
 FROM ranked s JOIN t USING (query_id) WHERE rank <= 3"""),
+    "named_candidates": (named_candidates, _w(S.RANKED) + "SELECT query_id, rank, CASE WHEN sku_id % 7 <> 0 THEN 'S' || sku_id ELSE 'SKU_' || item_id END AS name, round(similarity, 6) AS similarity FROM ranked WHERE rank <= 2"),
     "any_hit_check": (any_hit_check, _w(S.RANKED) + """
 SELECT query_id, count(*) FILTER (similarity >= 0.6::DOUBLE) > 0 AS is_duplicate, round(coalesce(max(similarity) FILTER (similarity >= 0.6::DOUBLE), 0), 6) AS similarity,
        count(*) FILTER (similarity >= 0.6::DOUBLE) AS n_hits FROM ranked WHERE rank <= 5 GROUP BY query_id"""),

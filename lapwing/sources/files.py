@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MANIFEST = "sku_id string, image_path string, image_index int, is_main_image boolean, title string, brand string, category string, split string"
@@ -31,16 +31,19 @@ def _entries(v: Column, path: str) -> Column:
 
 
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
-    """Listings of the JSON-lines shards under ``path`` (plain or gzip). Blank and malformed lines are skipped; each line is
-    a listing of its own, also where item ids repeat."""
+    """Listings of the JSON-lines shards under ``path`` (plain or gzip), in no order. Blank and malformed lines are skipped; each line is
+    a listing of its own, also where item ids repeat. A listing's id follows from its file, its line's text and how many equal lines of the file are counted
+    before it, so it is the same however files are split among tasks, and listings can be ordered by (file, listing_id)."""
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"))
     lines = lines.filter(_is_listing_shard(F.col("name")) & (F.trim("value") != ""))
+    equal = Window.partitionBy("file", F.md5("value")).orderBy(F.lit(0))
+    lines = lines.withColumn("copy", F.row_number().over(equal))
     v = F.try_parse_json("value")
     rows = lines.withColumn("v", v).filter(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT"))
     v = F.col("v")
     others = F.coalesce(F.try_variant_get(v, "$.other_image_id", "array<string>"), F.array(_text(v, "$.other_image_id")))
     return rows.select(
-        F.md5(F.concat_ws("|", "file", "value", F.monotonically_increasing_id().cast("string"))).alias("listing_id"), F.try_variant_get(v, "$.item_id", "string").alias("item_id"),
+        F.md5(F.concat_ws("|", "file", "value", F.col("copy").cast("string"))).alias("listing_id"), F.try_variant_get(v, "$.item_id", "string").alias("item_id"),
         _entries(v, "$.item_name").alias("item_name"), _entries(v, "$.brand").alias("brand"),
         F.get(_entries(v, "$.product_type"), F.lit(0))["value"].alias("product_type"),
         F.try_variant_get(v, "$.main_image_id", "string").alias("main_image_id"), others.alias("other_image_ids"),

@@ -73,3 +73,66 @@ def test_text(spark):
             assert len((r.t or "").split()) <= len((r.was or "").split())
     same = T.perturb(df, "t", "b", "k", 1, 0, 0, 0, 0, 0).join(df.select("k", F.col("t").alias("was")), "k").filter("t <> was").count()
     assert same == 0
+
+
+def test_listing_ids_do_not_depend_on_the_split(spark, tmp_path):
+    lines = [json.dumps({"item_id": str(i % 5), "item_name": f"name {i % 7}" * 20}) for i in range(300)]
+    (tmp_path / "listings_a.json").write_text("\n".join(lines))
+    ids = []
+    for size in ("128m", "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = files.read_listings(spark, str(tmp_path)).select("listing_id", "item_id").collect()
+        ids.append(sorted(map(tuple, got)))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert ids[0] == ids[1] and len({i for i, _ in ids[0]}) == 300
+
+
+def test_manifest_files(spark, manifest, tmp_path):
+    rows = manifest.selectExpr("sku_id", "image_path", "0 AS image_index", "true AS is_main_image", "title", "brand", "category", "if(sku_id < 'S3', 'train', 'val') AS split")
+    rows = rows.withColumn("title", F.when(F.col("sku_id") == "S1", "").otherwise(F.col("title")))
+    files.write_manifest(rows, str(tmp_path / "csv"), "csv")
+    files.write_manifest(rows, str(tmp_path / "parquet"))
+    want = sorted(map(tuple, rows.collect()))
+    columns = [c.split()[0] for c in files.MANIFEST.split(", ")]
+    assert sorted(map(tuple, files.read_manifest(spark, str(tmp_path / "csv")).select(columns).collect())) == want  # a missing title is an empty one
+    assert sorted(map(tuple, spark.read.schema(files.MANIFEST).parquet(str(tmp_path / "parquet")).select(columns).collect())) == want
+    plan = spark.read.parquet(str(tmp_path / "parquet")).filter("split = 'val'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan
+
+
+def test_rows_on_disk(spark, manifest, tmp_path):
+    (tmp_path / "deep").mkdir()
+    for name in ("a1", "c1"):
+        (tmp_path / "deep" / name).write_bytes(b"x")
+    rows = manifest.withColumn("image_path", F.concat(F.lit(f"{tmp_path}/deep/"), "image_path"))
+    assert sorted(r.image_path[-2:] for r in files.on_disk(rows, str(tmp_path)).collect()) == ["a1", "c1"]
+
+
+def test_parameters_thresholds_and_appends(spark, tmp_path):
+    import numpy as np
+
+    weights = {"w": np.arange(6.0).reshape(2, 3), "b": np.array([0.1]), "one": np.array(2.5)}
+    files.write_parameters(spark, weights, [("epoch", "3"), ("note", "")], str(tmp_path / "p"))
+    got, metadata = files.read_parameters(spark, str(tmp_path / "p"))
+    assert metadata == {"epoch": "3", "note": ""} and set(got) == set(weights) and all((got[k] == weights[k]).all() and got[k].shape == weights[k].shape for k in weights)
+    rows = spark.createDataFrame([("A", 0.5, 1), ("__default__", 0.123456789012, 2)], "category string, threshold double, n int")
+    files.write_thresholds(rows, str(tmp_path / "t"))
+    assert sorted(map(tuple, files.read_thresholds(spark, str(tmp_path / "t")).collect())) == [("A", 0.5), ("__default__", 0.123456789012)]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.read_thresholds(spark, str(tmp_path / "nowhere")).collect()
+    for n in range(2):
+        files.append_items(spark.createDataFrame([(n, [1.0])], "item_id long, vec array<double>"), str(tmp_path / "i"))
+    assert sorted(r.item_id for r in spark.read.parquet(str(tmp_path / "i")).collect()) == [0, 1]
+    assert [json.loads(r.value) for r in files.event_log(spark.createDataFrame([(1, None, "x")], "a int, b int, c string")).collect()] == [{"a": 1, "c": "x"}]
+
+
+def test_sketches_merge(spark):
+    rows = spark.range(3000).selectExpr("id % 500 AS sku_id", "if(id % 2 = 0, 'a', 'b') AS category")
+    sketches = catalog.category_sketches(rows)
+    every = sketches.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch"))).first()[0]
+    assert abs(every - 500) <= 25 and {r.category for r in sketches.collect()} == {"a", "b"}
+
+
+def test_last_value_of_a_key(spark):
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "y", 3), ("a", "z", 2), ("b", None, 1)], "k string, v string, n int")
+    assert {r.k: r.v for r in catalog.last_of(rows, "k", "v", "n").collect()} == {"a": "y", "b": None}
