@@ -67,12 +67,28 @@ def bag(line: Column, letters: str) -> Column:
     return out
 
 
+EACH, ODD, BYTES = 0x0111111111111111, 0x0F0F0F0F0F0F0F0F, 0x0101010101010101
+
+
+def parities(bags: list[str]) -> Column:
+    """The lowest bits of all letter counts in one number. One edit changes two counts by one at most, so two bits."""
+    out = F.lit(0).cast("long")
+    for k, c in enumerate(bags):
+        out = out.bitwiseOR(F.shiftleft(F.col(c).bitwiseAND(EACH), k))
+    return out
+
+
 def bag_distance(x: Column, y: Column) -> Column:
-    """A lower bound of twice the edit distance: one edit changes two counts by one at most."""
-    out = F.lit(0)
-    for k in range(15):
-        d = F.abs(F.shiftright(x, 4 * k).bitwiseAND(15) - F.shiftright(y, 4 * k).bitwiseAND(15))
-        out = out + F.least(d, 16 - d)
+    """A lower bound of twice the edit distance: one edit changes two counts by one at most. Counts are taken in two halves, each
+    with a byte to itself, all bytes of a number at once."""
+    out = F.lit(0).cast("long")
+    for shift in (0, 4):
+        half = lambda v: F.shiftright(v, shift).bitwiseAND(ODD)  # noqa: B023, E731
+        apart = (half(x) + 16 * BYTES - half(y)).bitwiseAND(ODD)
+        far = F.shiftright(apart, 3).bitwiseAND(BYTES)  # differences of 8 and more go the other way round modulo 16
+        out = out + apart.bitwiseXOR(far * 15) + far
+    for step, mask in ((8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
+        out = out.bitwiseAND(mask) + F.shiftright(out, step).bitwiseAND(mask)
     return out
 
 
@@ -119,9 +135,15 @@ def with_distance(pairs: DataFrame) -> DataFrame:
     bit-parallel automaton on a diagonal band.
 
     Bit d + 2 of the e-th of three words says that the first j + d characters of ``y`` are within e edits of the first j
-    of ``x``. ``moves`` has, for each j, five bits of equal characters and which places exist in ``y``.
+    of ``x``. ``moves`` has, for each j, five bits of equal characters and which places exist in ``y``. What the two share at either end is cut off first; the automaton runs over the rest.
     """
     m, n = F.col("m"), F.col("n")
+    steps = F.array(*[F.lit(1 << k) for k in range(9, -1, -1)])
+
+    def shared(place) -> Column:
+        """Characters, up to 1023, that agree from an end on: ``place(length, from, size)`` is a stretch of a text."""
+        longer = lambda k, size: (k + size <= F.least(m, n)) & (place("x", n, k, size) == place("y", m, k, size))
+        return F.aggregate(steps, F.lit(0), lambda k, size: F.when(longer(k, size), k + size).otherwise(k))
 
     def moves(c: Column, j: Column) -> Column:
         equal = F.lit(0)
@@ -139,14 +161,21 @@ def with_distance(pairs: DataFrame) -> DataFrame:
         return F.struct(zero.alias("zero"), one.alias("one"), two.alias("two"))
 
     start = F.struct(F.lit(4).alias("zero"), F.lit(12).alias("one"), F.lit(28).alias("two"))
-    out = computed(pairs, xs=F.split("x", ""), ys=F.split("y", ""), m=F.char_length("y"), n=F.char_length("x"))
+    out = computed(pairs, m=F.char_length("y"), n=F.char_length("x"))
+    out = computed(out, head=shared(lambda c, length, k, size: F.substr(F.col(c), k + 1, size)))
+    rest = lambda c: F.substr(F.col(c), F.col("head") + 1)
+    out = computed(out.drop("m", "n"), u=rest("x"), v=rest("y"))
+    out = computed(out, m=F.char_length("v"), n=F.char_length("u"))
+    out = computed(out, tail=shared(lambda c, length, k, size: F.substr(F.col({"x": "u", "y": "v"}[c]), length - k - size + 1, size)))
+    rest = lambda c, length: F.substr(F.col(c), F.lit(1), length - F.col("tail"))
+    out = computed(out, xs=F.split(rest("u", n), ""), ys=F.split(rest("v", m), ""), left=m - F.col("tail"), right=n - F.col("tail")).drop("m", "n").withColumnsRenamed({"left": "m", "right": "n"})
     out = computed(out, moves=F.transform("xs", moves))
     out = computed(out, end=F.aggregate("moves", start, step))
     at = F.call_function("shiftleft", F.lit(1), F.greatest(F.least(m - n, F.lit(2)), F.lit(-2)) + 2)
     reached = lambda word: F.col("end")[word].bitwiseAND(at) != 0
     far = F.abs(m - n) > 2
-    distance = F.when(far, -1).when(reached("zero"), 0).when(reached("one"), 1).when(reached("two"), 2).otherwise(-1)
-    return out.withColumn("distance", distance).drop("xs", "ys", "m", "n", "moves", "end")
+    distance = F.when(far, -1).when(F.least(m, n) == 0, F.greatest(m, n)).when(reached("zero"), 0).when(reached("one"), 1).when(reached("two"), 2).otherwise(-1)
+    return out.withColumn("distance", distance).drop("head", "tail", "u", "v", "xs", "ys", "m", "n", "moves", "end")
 
 
 def allowed_edits(length: Column) -> Column:
@@ -173,8 +202,8 @@ def candidates(classes: DataFrame, block_rows: int) -> tuple[DataFrame, DataFram
     texts = table(semi_join(named, dealt.select("id").distinct(), "id").select("*", *counts), "line-texts")
 
     # Lines of one hash (a) differ in b; either may link.
-    numbers = texts.drop("line", "b").distinct()
-    bags = [c for c in numbers.columns if c.startswith("bag")]
+    bags = [c for c in texts.columns if c.startswith("bag")]
+    numbers = texts.drop("line", "b").distinct().withColumn("odd", parities(bags))
     kept = dealt.filter(F.col("kind") == INDEX).select("signature", "id").distinct()
     asked = dealt.select("signature", F.col("id").alias("other"), "kind").groupBy("signature", "other").agg(F.min("kind").alias("kind"))
     heavy = kept.groupBy("signature").agg(F.count("*").alias("m")).filter(F.col("m") > block_rows)
@@ -189,7 +218,8 @@ def candidates(classes: DataFrame, block_rows: int) -> tuple[DataFrame, DataFram
     kept = kept.join(numbers, "id")
     asked = asked.join(numbers.select(*[F.col(c).alias("other" if c == "id" else f"other_{c}") for c in numbers.columns]), "other")
     distance = sum((bag_distance(F.col(c), F.col(f"other_{c}")) for c in bags), F.lit(0))
-    near = (F.abs(F.col("n") - F.col("other_n")) <= 2) & (distance <= 2 * allowed_edits(F.greatest("n", "other_n")))
+    most = 2 * allowed_edits(F.greatest("n", "other_n"))
+    near = (F.abs(F.col("n") - F.col("other_n")) <= 2) & (F.bit_count(F.col("odd").bitwiseXOR(F.col("other_odd"))) <= most) & (distance <= most)
     apart = F.when(F.col("kind") == INDEX, F.col("id") < F.col("other")).otherwise(F.col("id") != F.col("other"))
     pairs = kept.join(asked, on).filter(apart & near)
     return pairs.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct(), texts
@@ -204,9 +234,8 @@ def similar_lines(classes: DataFrame, block_rows: int = 4096) -> DataFrame:
     near = with_distance(pairs.join(x, "id").join(y, "other").repartition(4 * partitions(classes.sparkSession)))
     allowed = allowed_edits(F.greatest(F.char_length("x"), F.char_length("y")))
     near = near.filter((F.col("distance") >= 0) & (F.col("distance") <= allowed))
-    near = table(near.select(F.col("id").alias("a"), "b", F.col("other").alias("other_a"), "other_b", "distance"), "line-links")
-    return near.unionByName(near.select(
-        F.col("other_a").alias("a"), F.col("other_b").alias("b"), F.col("a").alias("other_a"), F.col("b").alias("other_b"), "distance"))
+    ends = lambda a, b, c, d: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(c).alias("other_a"), F.col(d).alias("other_b"), "distance")
+    return near.select(F.inline(F.array(ends("id", "b", "other", "other_b"), ends("other", "other_b", "id", "b"))))
 
 
 def line_links(docs: DataFrame, least_chars: int = 20, block_rows: int = 4096) -> DataFrame:
@@ -224,7 +253,8 @@ def _judged(lines: DataFrame, block_rows: int = 4096) -> DataFrame:
     classes = classes.drop("line")
     first = classes.select(F.col("a").alias("other_a"), F.col("b").alias("other_b"), F.col("first").alias("near"))
     links = links.join(first, ["other_a", "other_b"]).groupBy("a", "b").agg(F.count("*").alias("n_links"), F.min("near").alias("near"))
-    classes = classes.join(links, ["a", "b"], "left")
+    # As a table: then the join with the names has a shuffle on either side, and Spark can split a line that is a third of them.
+    classes = table(classes.join(links, ["a", "b"], "left"), "line-judged")
     out = names.join(classes, ["a", "b"])
     own = F.struct("doc", "line_no")
     original = (own == F.col("first")) & F.coalesce(F.col("near") > F.col("first"), F.lit(True))
