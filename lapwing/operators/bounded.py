@@ -76,8 +76,9 @@ def _orders(queries: DataFrame, cells: Cells) -> DataFrame:
     return queries.filter("vec is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("vec")).mapInPandas(order, "query_id long, vec binary, open array<int>, bounds array<double>")
 
 
-def _visited(visits: DataFrame, parts: DataFrame, k: int, drop_self: bool, digits: int, query_rows: int) -> DataFrame:
-    """The best items of each query (query_id, vec) in each part of the cells that it visits."""
+def _visited(visits: DataFrame, parts: DataFrame, k: int, drop_self: bool, digits: int, query_rows: int, threshold: float | None = None, earlier: bool = False) -> DataFrame:
+    """The best items of each query (query_id, vec) in each part of the cells that it visits; with ``threshold``, those that reach it (to ``digits`` places), and with
+    ``earlier``, those of smaller ids only."""
 
     def best(pdf_q: pd.DataFrame, pdf_p: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
@@ -90,9 +91,13 @@ def _visited(visits: DataFrame, parts: DataFrame, k: int, drop_self: bool, digit
             some = pdf_q.iloc[at : at + 512]
             own = some["query_id"].to_numpy()
             near = unpack(some["vec"]) @ v.T
-            if drop_self:
-                near[own[:, None] == ids[None, :]] = -np.inf
-            out.append(best_of(near, own, ids, k, digits))
+            if drop_self or earlier:
+                near[(ids[None, :] >= own[:, None]) if earlier else (own[:, None] == ids[None, :])] = -np.inf
+            if threshold is not None:
+                some = (near >= threshold - 10.0**-digits).any(axis=1)
+                near, own = near[some], own[some]
+            best = best_of(near, own, ids, k, digits)
+            out.append(best if threshold is None else best[np.round(best["similarity"], digits) >= threshold])
         return pd.concat(out)
 
     sizes = parts.select("cell", F.col("parts").alias("n")).distinct()

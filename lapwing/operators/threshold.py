@@ -22,6 +22,8 @@ from lapwing.operators.cells import SINGLE_SLACK, Cells, measured, placed, sampl
 from lapwing.sources.shared import stored
 
 PAIR = ["g", "p", "h", "q"]
+#: Pairs whose vectors are taken side by side at once.
+DECIDED = 50_000
 
 
 def _chain(centres: np.ndarray) -> list[int]:
@@ -91,8 +93,8 @@ def _candidates(pdf: pd.DataFrame, cells: Cells, threshold: float, slab: int = 2
             if alone:
                 use = (cell[a] < c) | (a < b)
                 a, b = a[use], b[use]
-            for part in range(0, max(1, len(a)), 1_000_000):
-                u, v = a[part : part + 1_000_000], b[part : part + 1_000_000]
+            for part in range(0, max(1, len(a)), DECIDED):
+                u, v = a[part : part + DECIDED], b[part : part + DECIDED]
                 yield u, v, np.einsum("ij,ij->i", x[u], x[v]), len(i) * len(own) if not part else 0
 
 

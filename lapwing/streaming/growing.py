@@ -14,13 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lapwing.operators.blocks import top_k
 from lapwing.operators.bounded import CellIndex, _orders, _visited, packed_parts
-from lapwing.operators.cells import SINGLE_SLACK, Cells, placed
+from lapwing.operators.cells import SINGLE_SLACK, Cells, measured, placed
 from lapwing.sources.shared import stored
 
 ROWS = "item_id long, sku_id long, vec binary, angle double, norm double, level int, batch long, cell int"
@@ -92,18 +91,28 @@ class GrowingIndex:
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/rows/level={level}/batch={number}")
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
-    def near(self, queries: DataFrame, live: pd.DataFrame, threshold: float, k: int, part_rows: int = 20_000) -> DataFrame:
+    def near(self, queries: DataFrame, live: pd.DataFrame, threshold: float, k: int) -> DataFrame:
         """(query_id, item_id, similarity): for each of ``queries`` (query_id, vec), the best of each cell's part among the live rows, ``k`` at most, that reach the threshold."""
-        spark, cells = queries.sparkSession, self.cells(live)
+        return self._near(queries, self.rows(queries.sparkSession, live), self.cells(live), threshold, k, False)
+
+    def within(self, items: DataFrame, threshold: float, k: int) -> DataFrame:
+        """The same among ``items`` (item_id, vec) themselves, each against those of smaller ids. Of equal vectors, the ``k`` of least id stand for all: if more come before an item, these do."""
+        least = Window.partitionBy("vec").orderBy("item_id")
+        some = items.withColumn("n", F.row_number().over(least)).filter(F.col("n") <= k).drop("n")
+        rows = stored(placed(some, self.centres), "batch")
+        return self._near(items.withColumnRenamed("item_id", "query_id"), rows, measured(rows, self.centres), threshold, k, True)
+
+    def _near(self, queries: DataFrame, rows: DataFrame, cells: Cells, threshold: float, k: int, earlier: bool, part_rows: int = 20_000) -> DataFrame:
+        spark = queries.sparkSession
         if not cells.rows.any():
             return spark.createDataFrame([], "query_id long, item_id long, similarity double")
         asked = stored(_orders(queries, cells), "asked")
         open_cells = F.slice("open", F.lit(1), F.size(F.filter("bounds", lambda b: b >= threshold - SINGLE_SLACK)))
         visits = asked.select("query_id", "vec", F.explode(open_cells).alias("cell"))
         few = visits.filter("cell >= 0").select("cell").distinct()
-        rows = self.rows(spark, live).join(F.broadcast(few), "cell", "left_semi")
+        rows = rows.join(F.broadcast(few), "cell", "left_semi")
         parts = stored(packed_parts(CellIndex(rows.select("item_id", "vec", "cell"), cells), part_rows), "parts")
-        return _visited(visits, parts, k, True, 12, 4096).withColumn("similarity", F.round("similarity", 12)).filter(F.col("similarity") >= threshold)
+        return _visited(visits, parts, k, True, 12, 4096, threshold, earlier).withColumn("similarity", F.round("similarity", 12))
 
 
 def check_then_index(arrivals: DataFrame, index: GrowingIndex, out_path: str, checkpoint: str, threshold: float = 0.86, k: int = 5) -> StreamingQuery:
@@ -115,8 +124,7 @@ def check_then_index(arrivals: DataFrame, index: GrowingIndex, out_path: str, ch
         rows = stored(batch.select("item_id", "sku_id", "vec"), "arrivals")
         live = index.live(spark, number - 1)
         queries = rows.select(F.col("item_id").alias("query_id"), "vec")
-        within = top_k(queries.withColumn("turn", F.col("query_id")), rows.withColumn("turn", F.col("item_id")), k, earlier=True)
-        found = index.near(queries, live, threshold, k).unionByName(within.select("query_id", "item_id", "similarity").filter(F.col("similarity") >= threshold))
+        found = index.near(queries, live, threshold, k).unionByName(index.within(rows.select("item_id", "vec"), threshold, k))
         hits = found.groupBy("query_id").agg(F.max("similarity").alias("similarity"), F.least(F.count("*"), F.lit(k)).alias("n_hits"))
         out = queries.select("query_id").join(hits, "query_id", "left")
         out = out.select("query_id", F.col("n_hits").isNotNull().alias("is_duplicate"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("n_hits", F.lit(0).cast("long")).alias("n_hits"))

@@ -46,6 +46,7 @@ def test_growing_index_merges_batches(spark, tmp_path):
     from lapwing.streaming.growing import GrowingIndex, check_then_index
 
     x = clustered(10, 24, 16, 0.15)
+    x[30:44] = x[30]  # copies within a batch and across batches
     items = frame(spark, x[np.random.default_rng(0).permutation(len(x))])
     n = 12
     index = GrowingIndex.create(spark, str(tmp_path / "index"), sampled_centres(items), fan=3)
