@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lapwing.llm import alignment, ann, lexical, quality, repeats, toxicity
+from lapwing.llm import alignment, ann, lexical, licenses, quality, repeats, toxicity
 from tests.llm.test_corpus import corpus
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, run long, n int"
@@ -240,3 +240,51 @@ def test_one_phrase_does_not_drop_a_long_line():
     assert rules.line_fails(clean, 200) is None
     assert rules.line_fails(clean + " The mill is powered by the river.", 207) is None
     assert rules.line_fails("Powered by Acme.", 3) == rules.line_fails("All rights reserved. Terms of use. Hello there.", 8) == "boilerplate"
+
+
+# Licenses
+
+
+def found_licenses(text: str) -> dict[str, dict]:
+    import pyarrow as pa
+
+    ready = [licenses.Template(n, tuple(w := licenses.normal_words(t)), Counter(w)) for n, t in licenses.TEMPLATES.items()]
+    batch = pa.record_batch([pa.array([1]), pa.array([text])], ["doc_id", "text"])
+    return {r["license"]: r for x in licenses._scan([batch], ready, 0.8) for r in x.to_pylist()}
+
+
+@pytest.mark.parametrize("text, names", [
+    ("Licensed under the MIT License or the Apache License, Version 2.0", {"mit", "apache-2.0"}), ("dual licensed: the MIT License or Apache License, Version 2.0", {"mit", "apache-2.0"}),
+    ("This is not licensed under the MIT License", set()), ("It was never released under the MIT License.", set()), ("Nothing here is not good. Released under the MIT License", {"mit"}),
+    ("SPDX-License-Identifier: Apache-2.0", {"apache-2.0"}), ("Apache License 2.0", {"apache-2.0"}), ("GNU General Public License v3.0", {"gpl-3.0"}), ("GPLv3", {"gpl-3.0"}),
+    ("BSD-3-Clause", {"bsd"}), ("SPDX-License-Identifier: BSD-2-Clause", {"bsd"}), ("GNU Lesser General Public License v3.0", {"lgpl-3.0"}), ("Apache/2.0.52 (Unix)", set()),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", {"mit", "apache-2.0"}), ("Apache-2.0 OR MIT", {"mit", "apache-2.0"}), ("Mozilla Public License 2.0", {"mpl-2.0"}),
+])
+def test_names_of_licenses(text, names):
+    filler = "some words of an ordinary text that says nothing at all about it. "
+    for around in (text, filler * 30 + text + ". " + filler * 30):
+        assert set(found_licenses(around)) == names
+
+
+def test_planted_licenses_are_found_where_they_stand():
+    """Each wording, a tenth of its words gone or replaced where it is long, planted in random words."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+    for name, template in licenses.TEMPLATES.items():
+        own = licenses.normal_words(template)
+        noisy = [w if len(own) < 60 or w in licenses.DECIDING or rng.random() > 0.1 else rng.choice(["", word()]) for w in own]
+        before = rng.randint(0, 300)
+        words = [word() for _ in range(before)] + [w for w in noisy if w] + [word() for _ in range(rng.randint(0, 300))]
+        got = found_licenses(" ".join(words))
+        hit = got[name.partition(":")[0]]
+        assert hit["coverage"] >= 0.8 and before <= hit["first_word"] <= hit["last_word"] < before + len(own)
+        assert hit["n_words"] == len(words)
+    for _ in range(20):
+        assert not found_licenses(" ".join(word() for _ in range(2000)))
+
+
+def test_licenses_of_odd_rows(spark):
+    rows = [(None, "GPLv3", "k"), (1, "x" * 3_000_000, "k"), (2, "GPLv3", "k"), (2, "GPLv3", "k"), (3, ("word " * 400_000) + "the MIT License " + ("word " * 400_000), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, license string").withColumn("hits", F.lit("clash"))
+    got = [(r.doc_id, r.license, r.first_word) for r in licenses.license_scan(docs).collect()]
+    assert sorted(got, key=str) == sorted([(None, "gpl-3.0", 0), (2, "gpl-3.0", 0), (2, "gpl-3.0", 0), (3, "mit", 400_000)], key=str)
