@@ -31,7 +31,7 @@ from lapwing.llm.common import partitions, table
 from lapwing.llm.packing import BLANK_RUN, _encoders
 
 #: Bytes of text in a chunk; bytes that are encoded at once.
-CHUNK_BYTES, PIECE_BYTES = 16_000_000, 1_000_000
+CHUNK_BYTES, PIECE_BYTES = 8_000_000, 1_000_000
 COUNTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long"
 _beside_blank = re.compile(r" \s|\s |^ | $")
 _between_words = re.compile(r"(?<=\S) (?=\S)")
