@@ -54,6 +54,14 @@ def _best(
     return found.astype({"query_id": "int64", "item_id": "int64", "similarity": "float64"})
 
 
+def _first(found: pd.DataFrame, k: int, digits: int = 0) -> pd.DataFrame:
+    """The ``k`` first rows of each query, by similarity (to ``digits`` places) and id."""
+    query, item, score = (found[c].to_numpy() for c in ("query_id", "item_id", "similarity"))
+    order = np.lexsort((item, -(np.round(score, digits) if digits else score), query))
+    query = query[order]
+    return found.iloc[order[np.arange(len(query)) - np.searchsorted(query, query) < k]]
+
+
 NEAR = "query_id long, item_id long, similarity double"
 
 
@@ -69,20 +77,31 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, drop_self: bool = True,
     n, dim = size[0], size[1] or 0
     sku = (["sku_id"] if other_sku else []) + (["turn"] if earlier else [])
 
+    def best(own: np.ndarray, q: np.ndarray, marks: list[np.ndarray], b: pd.DataFrame) -> pd.DataFrame:
+        skus = (marks[0], b["sku_id"].to_numpy()) if other_sku else None
+        turns = (marks[-1], b["turn"].to_numpy()) if earlier else None
+        return _best(own, q, b["item_id"].to_numpy(), _matrix(b["vec"]), k, drop_self, skus, turns, digits)
+
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []}).astype({"query_id": "int64", "item_id": "int64"})
-        skus = (a["sku_id"].to_numpy(), b["sku_id"].to_numpy()) if other_sku else None
-        turns = (a["turn"].to_numpy(), b["turn"].to_numpy()) if earlier else None
-        return _best(a["query_id"].to_numpy(), _matrix(a["vec"]), b["item_id"].to_numpy(), _matrix(b["vec"]), k, drop_self, skus, turns, digits)
+        return best(a["query_id"].to_numpy(), _matrix(a["vec"]), [a[c].to_numpy() for c in sku], b)
 
     if n * dim * 8 <= SENT_BYTES:
         sent = queries.select("query_id", "vec", *sku).toPandas()
+        held = queries.sparkSession.sparkContext.broadcast((sent["query_id"].to_numpy(), _matrix(sent["vec"]), [sent[c].to_numpy() for c in sku]))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found, rows = [], 0
             for pdf in batches:
-                if len(pdf) and len(sent):
-                    yield work(sent, pdf)
+                if len(pdf) and n:
+                    found.append(best(*held.value, pdf))
+                    rows += len(found[-1])
+                    if rows > 4 * n * k:  # a task keeps the best few of each query, whatever it reads
+                        found = [_first(pd.concat(found), k, digits)]
+                        rows = len(found[0])
+            if found:
+                yield _first(pd.concat(found), k, digits)
 
         near = items.select("item_id", "vec", *sku).mapInPandas(scan, NEAR)
     else:

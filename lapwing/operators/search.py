@@ -45,11 +45,21 @@ def first_centroids(items: DataFrame, nlist: int) -> np.ndarray:
 
 def lloyd_step(items: DataFrame, centroids: np.ndarray) -> np.ndarray:
     """Unit centroids: the means of what each of ``centroids`` is nearest to; one without items stays."""
-    means = assign(items, centroids).select("cell", F.posexplode("vec").alias("i", "x")).groupBy("cell", "i").agg(F.avg("x").alias("x"))
-    new = np.array(centroids, np.float64)
-    for r in means.collect():  # a row for each cell and component
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(centroids.shape)
+        for pdf in batches:
+            if len(pdf):
+                v = _matrix(pdf["vec"])
+                np.add.at(total, np.argmax(np.round(v @ centroids.T, 12), axis=1), v)
+        yield pd.DataFrame({"cell": range(len(total)), "total": list(total)})
+
+    parts = items.select("vec").mapInPandas(sums, "cell int, total array<double>")
+    new = np.zeros(centroids.shape)
+    for r in parts.select("cell", F.posexplode("total").alias("i", "x")).groupBy("cell", "i").agg(F.sum("x").alias("x")).collect():  # a row for each cell and component
         new[r["cell"], r["i"]] = r["x"]
-    return new / np.linalg.norm(new, axis=1)[:, None]
+    norm = np.linalg.norm(new, axis=1)[:, None]
+    return np.where(norm > 0, new / np.where(norm > 0, norm, 1.0), centroids)
 
 
 def kmeans_centroids(items: DataFrame, nlist: int, seed: int = 42, iterations: int = 10) -> np.ndarray:
@@ -87,9 +97,9 @@ def probed(queries: DataFrame, centroids: np.ndarray, nprobe: int) -> DataFrame:
     return rows.mapInPandas(choose, "query_id long, vec array<double>, cell int, place int")
 
 
-def _by_cell(visits: DataFrame, cells: DataFrame, work, part_rows: int, query_rows: int = 4096) -> DataFrame:
+def _by_cell(visits: DataFrame, cells: DataFrame, work, part_rows: int, n_queries: int, query_rows: int = 4096) -> DataFrame:
     """Cell by cell, a part of a large cell and a set of about ``query_rows`` of its visits at a time, ``work`` on both: the best of each cell,
-    with its ``place`` among those of the query."""
+    with its ``place`` among those of the query. ``n_queries`` queries visit a cell at most."""
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -97,10 +107,14 @@ def _by_cell(visits: DataFrame, cells: DataFrame, work, part_rows: int, query_ro
         found = work(a, b)
         return found.assign(place=found["query_id"].map(dict(zip(a["query_id"], a["place"]))).astype("int32"))
 
-    visits, cells = stored(visits, "visits"), stored(cells, "cells")
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
-    asked = visits.groupBy("cell").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("sets"))
-    sizes = F.broadcast(sizes.join(F.broadcast(asked), "cell"))  # a row for each cell
+    if n_queries > query_rows:
+        visits = stored(visits, "visits")
+        asked = visits.groupBy("cell").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("sets"))
+        sizes = sizes.join(F.broadcast(asked), "cell")
+    else:
+        sizes = sizes.withColumn("sets", F.lit(1))
+    sizes = F.broadcast(sizes)  # a row for each cell
     dealt = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = cells.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("item_id"), "parts").cast("int")).withColumn("set", dealt("sets")).drop("parts", "sets")
     asks = visits.join(sizes, "cell").withColumn("set", F.pmod(F.xxhash64("query_id"), "sets").cast("int")).withColumn("part", dealt("parts")).drop("parts", "sets")
@@ -115,7 +129,7 @@ def _ranked(near: DataFrame, k: int, digits: int = 12) -> DataFrame:
 
 def ivf_search(queries: DataFrame, cells: DataFrame, centroids: np.ndarray, nprobe: int, k: int, drop_self: bool = False, part_rows: int = 20_000) -> DataFrame:
     """The ``k`` best rows of the probed cells, by their whole vectors."""
-    return _ranked(_by_cell(probed(queries, centroids, nprobe), cells, _whole(k, drop_self), part_rows), k)
+    return _ranked(_by_cell(probed(queries, centroids, nprobe), cells, _whole(k, drop_self), part_rows, queries.count()), k)
 
 
 def _whole(k: int, drop_self: bool = False):
@@ -168,7 +182,7 @@ def pq_index(cells: DataFrame, centroids: np.ndarray, m: int, nbits: int, sample
 
 def pq_search(queries: DataFrame, codes: DataFrame, centroids: np.ndarray, book: Codebook, nprobe: int, k: int, part_rows: int = 50_000) -> DataFrame:
     """The ``k`` best rows by approximate product: query times centroid, and a sum of looked-up sub-products."""
-    return _ranked(_by_cell(probed(queries, centroids, nprobe), codes, _coded(centroids, book, k), part_rows), k)
+    return _ranked(_by_cell(probed(queries, centroids, nprobe), codes, _coded(centroids, book, k), part_rows, queries.count()), k)
 
 
 def _coded(centroids: np.ndarray, book: Codebook, k: int):
@@ -204,7 +218,7 @@ def sweep(
     grid = [p for p in grid if p <= len(centroids)]
     work = _whole(k) if codes is None else _coded(centroids, book, k)
     cells = assign(items, centroids) if codes is None else codes
-    near = _by_cell(probed(queries, centroids, max(grid)), cells, work, part_rows).withColumn("similarity", F.round("similarity", 12))
+    near = _by_cell(probed(queries, centroids, max(grid)), cells, work, part_rows, queries.count()).withColumn("similarity", F.round("similarity", 12))
     near = near.withColumn("nprobe", F.explode(F.filter(F.array(*map(F.lit, grid)), lambda p: p > F.col("place"))))
     order = Window.partitionBy("nprobe", "query_id").orderBy(F.desc("similarity"), "item_id")
     found = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

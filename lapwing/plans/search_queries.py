@@ -179,13 +179,23 @@ def encoded_topk(spark, d):
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "item_id", _six(F.col("similarity")).alias("similarity"))
 
 
+def _probed_best(out):
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "item_id", _six(F.col("similarity")).alias("similarity"))
+
+
 def ivf_topk(spark, d):
+    items = tables.items(spark, d)
+    centroids = search.lloyd_step(items, search.first_centroids(items, NLIST))
+    return _probed_best(search.ivf_search(_queries(items), search.assign(items, centroids), centroids, 4, 5))
+
+
+def stored_topk(spark, d):
+    """The same from an index that is written and read again, a folder for each cell."""
     items = tables.items(spark, d)
     centroids = search.lloyd_step(items, search.first_centroids(items, NLIST))
     path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     index.write_index(path, centroids, search.assign(items, centroids))
-    out = index.search_index(_queries(items), index.read_index(spark, path), 4, 5)
-    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "item_id", _six(F.col("similarity")).alias("similarity"))
+    return _probed_best(index.search_index(_queries(items), index.read_index(spark, path), 4, 5))
 
 
 def ivf_pq_topk(spark, d):
@@ -537,6 +547,9 @@ summed AS (SELECT doc_id, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 64 AS i, sum
 grid AS (SELECT doc_id, unnest(range(64)) AS i FROM documents),
 raw AS (SELECT doc_id, list(CAST(coalesce(s, 0) AS DOUBLE) ORDER BY i) AS v FROM grid LEFT JOIN summed USING (doc_id, i) GROUP BY doc_id),
 coded AS (SELECT doc_id, list_transform(v, lambda x: x / CASE WHEN list_dot_product(v, v) = 0 THEN 1 ELSE sqrt(list_dot_product(v, v)) END) AS vec FROM raw)"""
+_ivf_sql = _w(_cells_sql, """
+near AS (SELECT query_id, a.item_id, round(list_dot_product(v.vec, a.vec), 12) AS similarity FROM visits v JOIN assigned a ON v.cell = a.cell WHERE place <= 4),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM near)""") + "SELECT query_id, rank, item_id, round(similarity, 6) AS similarity FROM best WHERE rank <= 5"
 _stream_sql = _w(S.ITEMS, """
 near AS (SELECT a.item_id AS query_id, round(list_dot_product(a.vec, b.vec), 12) AS s, row_number() OVER (PARTITION BY a.item_id ORDER BY round(list_dot_product(a.vec, b.vec), 12) DESC, b.item_id) AS rank
   FROM items a JOIN items b ON b.item_id % 3 < a.item_id % 3 OR (b.item_id % 3 = a.item_id % 3 AND b.item_id < a.item_id))""") + """
@@ -587,9 +600,8 @@ o AS (SELECT vec_id, {_linear("n", W2, [0.0, 0.1])} AS o FROM d), r AS (SELECT v
     "encoded_topk": (encoded_topk, _w(_encoded_sql, """
 near AS (SELECT a.doc_id AS query_id, b.doc_id AS item_id, round(list_dot_product(a.vec, b.vec), 12) AS similarity FROM coded a JOIN coded b ON a.doc_id <> b.doc_id AND a.doc_id % 20 = 0),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM near)""") + "SELECT query_id, rank, item_id, round(similarity, 6) AS similarity FROM best WHERE rank <= 3"),
-    "ivf_topk": (ivf_topk, _w(_cells_sql, """
-near AS (SELECT query_id, a.item_id, round(list_dot_product(v.vec, a.vec), 12) AS similarity FROM visits v JOIN assigned a ON v.cell = a.cell WHERE place <= 4),
-best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM near)""") + "SELECT query_id, rank, item_id, round(similarity, 6) AS similarity FROM best WHERE rank <= 5"),
+    "ivf_topk": (ivf_topk, _ivf_sql),
+    "stored_topk": (stored_topk, _ivf_sql),
     "ivf_pq_topk": (ivf_pq_topk, None),
     "nprobe_sweep": (nprobe_sweep, _w(_cells_sql, """
 near AS (SELECT query_id, a.item_id, place, round(list_dot_product(v.vec, a.vec), 12) AS similarity FROM visits v JOIN assigned a ON v.cell = a.cell),

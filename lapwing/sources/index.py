@@ -49,4 +49,4 @@ def probed_rows(index: StoredIndex, queries: DataFrame, nprobe: int) -> DataFram
 def search_index(queries: DataFrame, index: StoredIndex, nprobe: int, k: int, drop_self: bool = False, part_rows: int = 20_000) -> DataFrame:
     """The ``k`` best rows of the probed cells, by whole vectors or by codes: query_id, rank, item_id, similarity."""
     work = _whole(k, drop_self) if index.book is None else _coded(index.centroids, index.book, k)
-    return _ranked(_by_cell(probed(queries, index.centroids, nprobe), probed_rows(index, queries, nprobe), work, part_rows), k)
+    return _ranked(_by_cell(probed(queries, index.centroids, nprobe), probed_rows(index, queries, nprobe), work, part_rows, queries.count()), k)

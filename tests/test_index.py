@@ -36,7 +36,7 @@ def test_visits_in_sets_and_parts(spark):
     centroids = search.first_centroids(items, 5)
     cells = search.assign(items, centroids)
     work = search._whole(6)
-    near = search._by_cell(search.probed(queries, centroids, 5), cells, work, part_rows=17, query_rows=23)
+    near = search._by_cell(search.probed(queries, centroids, 5), cells, work, part_rows=17, n_queries=200, query_rows=23)
     exact = blocks.top_k(queries, items, 6, drop_self=False)
     assert sorted(map(tuple, search._ranked(near, 6).collect())) == sorted(map(tuple, exact.collect()))
 
