@@ -14,7 +14,8 @@ from lapwing.llm.quality import clean_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line rules reject go; failing lines go from those that stay."""
+    """Documents that the line rules reject go; failing lines go from those that stay. A null or empty text is rejected; null and
+    repeated ids are carried, row by row; all columns stay; an empty table stays empty."""
     return clean_documents(docs)
 
 
@@ -25,17 +26,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, that of least id. Texts without words are each a group of their own; an empty table stays empty."""
     return one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in its order."""
+    """Documents as often as the mix takes them, in its order. A null source is a source, after all others; a null text has size 0 and is not
+    taken; repeated rows are documents each; an empty table stays empty."""
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents in full sequences."""
+    """Pieces of the mixed documents in full sequences. A null or empty text is the end id alone; a null id is carried; an empty table has no pieces."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
