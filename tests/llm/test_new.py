@@ -288,3 +288,14 @@ def test_licenses_of_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, license string").withColumn("hits", F.lit("clash"))
     got = [(r.doc_id, r.license, r.first_word) for r in licenses.license_scan(docs).collect()]
     assert sorted(got, key=str) == sorted([(None, "gpl-3.0", 0), (2, "gpl-3.0", 0), (2, "gpl-3.0", 0), (3, "mit", 400_000)], key=str)
+
+
+def test_pipeline_of_empty_and_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(corpus(), SCHEMA).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.filter("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).isEmpty()
+    docs.withColumn("shard", F.lit("clash")).withColumn("kept", F.lit(1)).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert pieces and {p.doc_id for p in pieces} <= {r[0] for r in corpus()}
