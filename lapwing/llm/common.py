@@ -48,12 +48,26 @@ def clear(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def made() -> int:
+    """A mark in the order of tables made."""
+    return len(_MADE)
+
+
+def discard(first: int, last: int) -> None:
+    """Deletes the tables made from mark ``first`` up to mark ``last``: those that went into a table that has been written since, and are read no more."""
+    for spark, path in _MADE[first:last]:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _clean() -> None:
     for spark, path in _MADE:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the JVM is gone already: the folder's owner expires it
             return
 

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapwing.llm.common import partitions, semi_join, table
+from lapwing.llm.common import discard, made, partitions, semi_join, table
 
 BLANKS = " \t\n\r\x0b\x0c"
 #: Characters counted before a pair is verified, fifteen to a number; any frequent ones serve.
@@ -248,13 +248,16 @@ def line_links(docs: DataFrame, least_chars: int = 20, block_rows: int = 4096) -
 def _judged(lines: DataFrame, block_rows: int = 4096) -> DataFrame:
     """``line_links`` of ``lines``, with the ``text_key`` of each line's row where they have it."""
     names = table(lines.drop("line"), "line-names")
+    first_mark = made()
     classes = table(line_classes(lines), "line-classes")
     links = similar_lines(classes, block_rows)
     classes = classes.drop("line")
     first = classes.select(F.col("a").alias("other_a"), F.col("b").alias("other_b"), F.col("first").alias("near"))
     links = links.join(first, ["other_a", "other_b"]).groupBy("a", "b").agg(F.count("*").alias("n_links"), F.min("near").alias("near"))
     # As a table: then the join with the names has a shuffle on either side, and Spark can split a line that is a third of them.
+    last_mark = made()
     classes = table(classes.join(links, ["a", "b"], "left"), "line-judged")
+    discard(first_mark, last_mark)
     out = names.join(classes, ["a", "b"])
     own = F.struct("doc", "line_no")
     original = (own == F.col("first")) & F.coalesce(F.col("near") > F.col("first"), F.lit(True))
