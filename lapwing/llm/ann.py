@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.llm.common import mix64, table
+from lapwing.sources.shared import least_hashes
 
 
 @dataclass(frozen=True)
@@ -233,8 +234,8 @@ def search(
     asks = table(asks.groupBy("query_id").agg(F.min("qvec").alias("qvec")), "queries")
 
     hashes = Hashes(dim, tables, max(4, round(math.log2(max(2, rows)) / 2)), width)
-    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(sample_rows).toPandas()
-    asked = asks.orderBy(F.xxhash64("query_id"), "query_id").limit(sample_queries).toPandas()
+    sample = least_hashes(base, "vec_id", sample_rows, "vec").toPandas()
+    asked = least_hashes(asks, "query_id", sample_queries).toPandas()
     if asked.empty:
         return empty
     probes = fit_probes(_unit(sample["vec"]), _unit(asked["qvec"]), hashes, k, recall)
@@ -243,7 +244,8 @@ def search(
     index = base.mapInPandas(lambda b: _index(b, hashes), f"t int, bucket long, vec_id long, vec {vec_type}")
     index = table(index, "index")
     blocks = max(1, rows // bucket_rows)
-    sizes = index.groupBy("t", "bucket").agg(F.ceil(F.count("*") / bucket_rows).cast("int").alias("parts"))
+    # Buckets grow with the rows: their sizes are joined by a shuffle, not sent through the driver to every task.
+    sizes = index.groupBy("t", "bucket").agg(F.ceil(F.count("*") / bucket_rows).cast("int").alias("parts")).hint("merge")
     part_of = lambda salt: F.xxhash64("t", "bucket", salt)
     kept = index.join(sizes, ["t", "bucket"])
     kept = kept.withColumn("part", part_of(F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")))

@@ -62,3 +62,15 @@ def test_large_query_sets_meet_in_a_product_without_copies(spark, monkeypatch):
         assert got == {(i, n + 1): j for i, row in enumerate(want) for n, j in enumerate(row)}
     twice = blocks.top_k(queries.union(queries.limit(5)), items, 4)
     assert twice.groupBy("query_id").count().filter("count <> 4").isEmpty()  # a query that comes twice keeps one ranking
+
+
+def test_samples_reach_the_driver_from_one_partition(spark):
+    from lapwing.sources.shared import least_hashes
+
+    rows = spark.range(20_000, numPartitions=40).select(F.col("id").alias("item_id"), (F.col("id") % 7).alias("x"))
+    got = least_hashes(rows, "item_id", 50, "x")
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in rows.orderBy(F.xxhash64("item_id"), "item_id", "x").limit(50).collect()]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(1)" in plan or "SinglePartition" in plan  # not the 50 best of each of 40 partitions
+    one = rows.select(F.lit(3).cast("long").alias("item_id"), "x")
+    assert least_hashes(one, "item_id", 50, "x").count() == 50 and least_hashes(rows.limit(3), "item_id", 50).count() == 3
