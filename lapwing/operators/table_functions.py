@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.operators.blocks import best_of
+from lapwing.operators.blocks import Best, _best, met, packed
 
 
 class BlockTopK:
@@ -20,12 +20,8 @@ class BlockTopK:
     def eval(self, query_ids: bytes, queries: bytes, ids: bytes, vecs: bytes, k: int) -> Iterator[tuple]:
         a, b = np.frombuffer(query_ids, np.int64), np.frombuffer(ids, np.int64)
         q, v = (np.frombuffer(x, np.float64).reshape(len(i), -1) for x, i in ((queries, a), (vecs, b)))
-        for at in range(0, len(a), 512):
-            own = a[at : at + 512]
-            near = q[at : at + 512] @ v.T
-            near[own[:, None] == b[None, :]] = -np.inf
-            best = best_of(near, own, b, k, 12)
-            yield from zip(best["query_id"].tolist(), best["item_id"].tolist(), np.round(best["similarity"], 12).tolist())
+        best = _best(a, q, b, v, k, True, digits=12)
+        yield from zip(best["query_id"].tolist(), best["item_id"].tolist(), np.round(best["similarity"], 12).tolist())
 
 
 class Nearest:
@@ -45,19 +41,43 @@ class Nearest:
             ids, k = rows.column("id").to_numpy(), rows.column("k")[0].as_py()
             v = np.frombuffer(b"".join(rows.column("vec").to_pylist()), np.float64).reshape(len(ids), -1)
             items, own = np.flatnonzero(~query), np.flatnonzero(query)
-            for at in range(0, len(own) if len(items) else 0, 512):
-                some = own[at : at + 512]
-                near = v[some] @ v[items].T
-                near[ids[some][:, None] == ids[items][None, :]] = -np.inf
-                best = best_of(near, ids[some], ids[items], k, 12)
-                yield pa.table({"query_id": pa.array(best["query_id"], pa.int64()), "item_id": pa.array(best["item_id"], pa.int64()), "similarity": pa.array(np.round(best["similarity"], 12), pa.float64())})
+            if len(items) and len(own):
+                yield _table(_best(ids[own], v[own], ids[items], v[items], k, True, digits=12))
+
+
+class NearestBlocks:
+    """``nearest_blocks(TABLE(pairs))`` of ``block_pairs``, in Arrow batches: the ``k`` items of largest product for each query, found in a partition of the pairs. It
+    holds one block of queries, which comes with the first of the items it meets."""
+
+    def __init__(self) -> None:
+        self.best: Best | None = None
+
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        packed = lambda name, i, kind: np.frombuffer(rows.column(name)[i].as_buffer(), kind)
+        for i in range(rows.num_rows):
+            if rows.column("a_ids")[i].is_valid:
+                yield from self.terminate()
+                ids = packed("a_ids", i, np.int64).copy()
+                self.best = Best(ids, packed("a_vecs", i, np.float64).reshape(len(ids), -1).copy(), rows.column("k")[i].as_py(), True, 12)
+            ids = packed("b_ids", i, np.int64)
+            self.best.meet(ids, packed("b_vecs", i, np.float64).reshape(len(ids), -1))
+
+    def terminate(self) -> Iterator[pa.Table]:
+        if self.best is not None:
+            yield _table(self.best.found())
+            self.best = None
+
+
+def _table(best: pd.DataFrame) -> pa.Table:
+    return pa.table({"query_id": pa.array(best["query_id"], pa.int64()), "item_id": pa.array(best["item_id"], pa.int64()), "similarity": pa.array(np.round(best["similarity"], 12), pa.float64())})
 
 
 FOUND = "query_id long, item_id long, similarity double"
 
 
 def register(spark: SparkSession) -> None:
-    """Makes ``nearest`` and ``block_topk`` known to SQL."""
+    """Makes ``nearest``, ``nearest_blocks`` and ``block_topk`` known to SQL."""
+    spark.udtf.register("nearest_blocks", F.arrow_udtf(NearestBlocks, returnType=FOUND))
     spark.udtf.register("nearest", F.arrow_udtf(Nearest, returnType=FOUND))
     spark.udtf.register("block_topk", F.udtf(BlockTopK, returnType=FOUND))  # lateral joins take no Arrow table function
 
@@ -79,6 +99,12 @@ def dealt_rows(queries: DataFrame, items: DataFrame, k: int, blocks: int) -> Dat
     return rows.unionByName(asks).withColumn("k", F.lit(k))
 
 
+def block_pairs(queries: DataFrame | None, items: DataFrame, k: int, n_rows: int) -> DataFrame:
+    """(block, a_ids, a_vecs, b_ids, b_vecs, k): blocks of queries (query_id, vec), or of the items themselves, each with the blocks of items (item_id, vec), packed."""
+    held = packed(items, "item_id", n_rows=n_rows)
+    return met(held if queries is None else packed(queries, "query_id", n_rows=n_rows), held).withColumn("k", F.lit(k))
+
+
 def packed_blocks(rows: DataFrame, key: str, blocks: int) -> DataFrame:
     """(block, ids, vecs): rows (key, vec) dealt to ``blocks``, each a row with its ids and vectors packed."""
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

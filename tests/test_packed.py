@@ -74,3 +74,11 @@ def test_samples_reach_the_driver_from_one_partition(spark):
     assert "RoundRobinPartitioning(1)" in plan or "SinglePartition" in plan  # not the 50 best of each of 40 partitions
     one = rows.select(F.lit(3).cast("long").alias("item_id"), "x")
     assert least_hashes(one, "item_id", 50, "x").count() == 50 and least_hashes(rows.limit(3), "item_id", 50).count() == 3
+
+
+def test_sql_search_moves_no_copies(spark, data):
+    from lapwing.plans import search_queries
+
+    out = search_queries.sql_nearest(spark, data)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, search_queries.exact_topk(spark, data).collect()))
+    assert "CartesianProduct" in out._jdf.queryExecution().toString()  # rows were dealt to every block before
