@@ -47,10 +47,10 @@ class BankMiner(StatefulProcessor):
             near = np.round(v[at:to] @ v[low:to].T, 12)
             turn, place = np.arange(at, to)[:, None], np.arange(low, to)[None, :]
             near[(place >= turn) | (place < turn - self.size) | (sku[at:to, None] == sku[None, low:to])] = -np.inf
-            for i in range(to - at):
-                if (near[i] > -np.inf).sum() >= self.k:
-                    best = np.lexsort((seq[low:to], -near[i]))[: self.k]
-                    out.append(pd.DataFrame({"seq": seq[at + i], "rank": range(1, self.k + 1), "negative": seq[low:to][best], "similarity": near[i][best]}))
+            some = np.flatnonzero((near > -np.inf).sum(axis=1) >= self.k)
+            best = np.argsort(-near[some], axis=1, kind="stable")[:, : self.k]  # rows are in the order of seq, so ties go to the smaller
+            rank = np.tile(np.arange(1, self.k + 1), len(some))
+            out.append(pd.DataFrame({"seq": np.repeat(seq[at + some], self.k), "rank": rank, "negative": seq[low:to][best].ravel(), "similarity": np.take_along_axis(near[some], best, axis=1).ravel()}))
         return pd.concat(out) if out else pd.DataFrame({"seq": [], "rank": [], "negative": [], "similarity": []})
 
 

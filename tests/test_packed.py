@@ -82,3 +82,16 @@ def test_sql_search_moves_no_copies(spark, data):
     out = search_queries.sql_nearest(spark, data)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, search_queries.exact_topk(spark, data).collect()))
     assert "CartesianProduct" in out._jdf.queryExecution().toString()  # rows were dealt to every block before
+
+
+def test_mining_is_fed_in_bounded_files(spark, data, monkeypatch):
+    from lapwing.plans import search_queries
+
+    fed = []
+    whole = search_queries._fed
+    monkeypatch.setattr(search_queries, "FED_ROWS", 150, raising=False)
+    monkeypatch.setattr(search_queries, "_fed", lambda *a, **k: fed.append(whole(*a, **k)) or fed[-1])
+    got = search_queries.stream_mining(spark, data)
+    sizes = [r["count"] for r in spark.read.parquet(f"{fed[0]}/in").groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 7 and sum(sizes) == 1000 and max(sizes) <= 150  # four files before, of any size
+    assert not got.isEmpty()
