@@ -17,11 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapwing.operators.blocks import _forest
-from lapwing.operators.cells import SINGLE_SLACK, Cells, measured, placed, sampled_centres, unpack
+from lapwing.operators.blocks import _forest, scanned_counts
+from lapwing.operators.cells import SINGLE_SLACK, Cells, angles, cell_count, centres_of, measured, placed, sample_of, sampled_centres, units, unpack
 from lapwing.sources.shared import stored
 
 PAIR = ["g", "p", "h", "q"]
+#: Where cells leave a larger share of all products than this, they are not worth the copies that they cost.
+WORTHWHILE = 0.3
 #: Pairs whose vectors are taken side by side at once.
 DECIDED = 50_000
 
@@ -98,6 +100,21 @@ def _candidates(pdf: pd.DataFrame, cells: Cells, threshold: float, slab: int = 2
                 yield u, v, np.einsum("ij,ij->i", x[u], x[v]), len(i) * len(own) if not part else 0
 
 
+def open_share(items: DataFrame, threshold: float, most: int = 512) -> float:
+    """Which share of all products cells leave to be taken, estimated on a sample (1 without items)."""
+    _, sample = sample_of(items, "item_id")
+    if not len(sample) or threshold <= 0:
+        return 1.0
+    centres = centres_of(sample, cell_count(len(sample)))
+    apart, norm = angles(units(sample), centres), np.linalg.norm(sample, axis=1)
+    cell = np.argmin(apart, axis=1)
+    radius, longest = np.zeros(len(centres)), np.zeros(len(centres))
+    np.maximum.at(radius, cell, apart[np.arange(len(cell)), cell])
+    np.maximum.at(longest, cell, norm)
+    cells = Cells(centres, radius, longest, np.bincount(cell, minlength=len(centres)))
+    return float(((cells.bounds(sample[:most]) >= threshold - SINGLE_SLACK) @ cells.rows).mean() / len(sample))
+
+
 def prepared(rows: DataFrame, items: DataFrame) -> tuple[DataFrame, Cells]:
     """``rows`` (item_id, vec, ...) placed in cells that are fitted on ``items``, as a stored table."""
     centres = sampled_centres(items)
@@ -184,9 +201,11 @@ def _counted(items: DataFrame, thresholds: Sequence[float], block_rows: int) ->
 
 def threshold_counts(items: DataFrame, thresholds: Sequence[float], block_rows: int = 16_384) -> DataFrame:
     """(threshold, tp, fp, fn, compared) over all pairs of items (item_id, sku_id, vec): predicted at the threshold or more, true for one SKU;
-    ``compared`` is how many products were computed for that."""
+    ``compared`` is how many products were computed for that. Over cells where a sample says that these leave few products, else block by block, as each meeting of cells
+    copies their rows."""
     spark = items.sparkSession
-    found = _counted(items, list(thresholds), block_rows).groupBy("threshold").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "compared")])
+    parts = scanned_counts(items, list(thresholds)) if open_share(items, min(thresholds)) > WORTHWHILE else _counted(items, list(thresholds), block_rows)
+    found = parts.groupBy("threshold").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "compared")])
     n = F.col("n")
     true = items.groupBy("sku_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum((n * (n - 1) / 2).cast("long")), F.lit(0).cast("long")).alias("true"))
     every = spark.createDataFrame([(float(t),) for t in thresholds], "threshold double").crossJoin(true)  # one row for each threshold

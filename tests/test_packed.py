@@ -95,3 +95,25 @@ def test_mining_is_fed_in_bounded_files(spark, data, monkeypatch):
     sizes = [r["count"] for r in spark.read.parquet(f"{fed[0]}/in").groupBy(F.input_file_name()).count().collect()]
     assert len(sizes) == 7 and sum(sizes) == 1000 and max(sizes) <= 150  # four files before, of any size
     assert not got.isEmpty()
+
+
+@pytest.mark.parametrize("thresholds", [[0.5, 0.2], [0.0], [-3.0], [50.0]])
+def test_counts_of_all_pairs_move_no_copies(spark, monkeypatch, thresholds):
+    from lapwing.operators import threshold
+
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(threshold, "WORTHWHILE", -1.0, raising=False)
+    x = np.random.default_rng(9).normal(size=(190, 10)) / 3
+    x[3:29] = x[3]
+    x[29:31] *= 4
+    x[31] = 0
+    sku = np.arange(190) // 4
+    sku[5:20] = 1
+    items = spark.createDataFrame([(i, int(s), [float(c) for c in r]) for i, (s, r) in enumerate(zip(sku, x))], "item_id long, sku_id long, vec array<double>").repartition(5)
+    out = threshold.threshold_counts(items, thresholds)
+    near, same = x @ x.T, sku[:, None] == sku[None, :]
+    pair = np.triu(np.ones_like(same), 1)
+    for r in out.collect():
+        hit = near >= r.threshold
+        assert (r.tp, r.fp, r.fn) == ((hit & same & pair).sum(), (hit & ~same & pair).sum(), (~hit & same & pair).sum()), r.threshold
+    assert "CartesianProduct" in out._jdf.queryExecution().toString()  # rows were copied to each block that they meet
