@@ -28,8 +28,8 @@ def pairwise_f1(items: DataFrame, thresholds: Sequence[float] = (0.7,)) -> DataF
 
 def precision_recall(items: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
     """(k, n_queries, precision, recall): every item is a query against the others; hits over k, and over the matches
-    there are (k at most); queries whose SKU has no other item do not count. One ranking serves all k."""
-    ranked = top_k(items.select(F.col("item_id").alias("query_id"), "vec"), items, max(ks), same=True)
+    there are (k at most); queries whose SKU has no other item do not count. One ranking serves all k, and it need not go under the matches."""
+    ranked = top_k(items.select(F.col("item_id").alias("query_id"), "vec"), items, max(ks), same=True, mates=True)
     sku = items.select("item_id", "sku_id")
     others = items.groupBy("sku_id").agg((F.count("*") - 1).alias("others")).filter("others > 0")
     queries = sku.join(others, "sku_id").select(F.col("item_id").alias("query_id"), F.col("sku_id").alias("own"), "others")

@@ -117,3 +117,61 @@ def test_counts_of_all_pairs_move_no_copies(spark, monkeypatch, thresholds):
         hit = near >= r.threshold
         assert (r.tp, r.fp, r.fn) == ((hit & same & pair).sum(), (hit & ~same & pair).sum(), (~hit & same & pair).sum()), r.threshold
     assert "CartesianProduct" in out._jdf.queryExecution().toString()  # rows were copied to each block that they meet
+
+
+@pytest.mark.parametrize("mates", [False, True])
+@pytest.mark.parametrize("drop_self", [False, True])
+def test_blocks_of_one_table_meet_once(spark, monkeypatch, drop_self, mates):
+    monkeypatch.setattr(blocks, "SENT_BYTES", 4000)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(blocks, "_block_rows", lambda n: 40, raising=False)
+    monkeypatch.setattr(blocks, "FLOOR_ROWS", 30, raising=False)
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(330, 12))
+    x[3:90] = x[3]  # copies in several blocks
+    x[100] *= 50
+    x[101] = 0
+    sku = np.where(np.arange(330) < 40, 0, np.arange(330) // 3)
+    sku[320:] = np.arange(320, 330) + 1000
+    items = spark.createDataFrame([(i, int(s), [float(c) for c in r]) for i, (s, r) in enumerate(zip(sku, x))], "item_id long, sku_id long, vec array<double>").repartition(4)
+    out = blocks.top_k(items.select(F.col("item_id").alias("query_id"), "vec"), items, 6, drop_self=drop_self, same=True, mates=mates)
+    assert "a_block" in out._jdf.queryExecution().toString()  # each block met all others, and each product was taken twice
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.item_id)
+        assert len(got[r.query_id]) == r["rank"]
+    want = brute(x, x, 6, ~np.eye(330, dtype=bool) if drop_self else np.ones((330, 330), bool))
+    for i, row in enumerate(want):
+        if not mates:
+            assert got[i] == row
+        else:  # whole down to the last match
+            hit = [n for n, j in enumerate(row) if sku[j] == sku[i] and j != i]
+            upto = hit[-1] + 1 if hit else 0
+            assert got.get(i, [])[:upto] == row[:upto], i
+
+
+def test_precision_without_what_lies_under_the_matches(spark, monkeypatch):
+    from lapwing.operators import evaluate
+
+    x = np.random.default_rng(12).normal(size=(400, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    sku = np.where(np.arange(400) < 30, 0, np.arange(400) // 3)
+    sku[390:] = np.arange(390, 400) + 1000
+    x[200:300] = x[sku[200:300] * 2] + 0.1 * x[200:300]
+    items = spark.createDataFrame([(i, int(s), [float(c) for c in r]) for i, (s, r) in enumerate(zip(sku, x))], "item_id long, sku_id long, vec array<double>").repartition(4)
+    rows = lambda: sorted((r.k, r.n_queries, round(r.precision, 9), round(r.recall, 9)) for r in evaluate.precision_recall(items, (1, 3, 7)).collect())
+    want = rows()
+    monkeypatch.setattr(blocks, "SENT_BYTES", 4000)
+    monkeypatch.setattr(blocks, "_block_rows", lambda n: 50, raising=False)
+    assert rows() == want and want[0][1] == 390 and 0 < want[0][2] < 1
+
+
+def test_floors_are_under_the_last_kept():
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(700, 16)) * rng.uniform(0.1, 30, size=(700, 1))
+    for rows, k in ((600, 5), (300, 5), (520, 300), (4, 5), (6, 5)):
+        low = blocks.sample_floors(np.arange(rows), x[:rows], k, True, 12)(np.arange(700), x)
+        near = x @ x.T
+        np.fill_diagonal(near, -np.inf)
+        kth = np.sort(near, axis=1)[:, -k]
+        assert (low <= kth).all() and (np.isfinite(low).all() if rows > k + 1 else True)
