@@ -175,3 +175,36 @@ def test_floors_are_under_the_last_kept():
         np.fill_diagonal(near, -np.inf)
         kth = np.sort(near, axis=1)[:, -k]
         assert (low <= kth).all() and (np.isfinite(low).all() if rows > k + 1 else True)
+
+
+def clusters_and_noise() -> np.ndarray:
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(300, 24))
+    x[100:200] = x[rng.integers(0, 12, 100)] + 0.4 * rng.normal(size=(100, 24))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_tags_take_the_vectors_of_one_sample(spark, monkeypatch):
+    from lapwing.operators import bounded, serve
+
+    x = clusters_and_noise()
+    items = spark.createDataFrame([(i, i // 2, [float(c) for c in r]) for i, r in enumerate(x)], "item_id long, sku_id long, vec array<double>").repartition(4)
+    monkeypatch.setattr(blocks, "SENT_BYTES", 4000)
+    monkeypatch.setattr(blocks, "_block_rows", lambda n: 40, raising=False)
+    samples, sample_of = [], bounded.sample_of
+    monkeypatch.setattr(bounded, "sample_of", lambda *a: samples.append(a[1]) or sample_of(*a))
+    out = serve.tagged(serve.candidates(items.select(F.col("item_id").alias("query_id"), "vec"), items, 3, same=True), 0.7).collect()
+    want = brute(x, x, 3, ~np.eye(300, dtype=bool))
+    assert {(r.query_id, r["rank"]): (r.item_id, r.is_match) for r in out} == {(i, n + 1): (j, bool(np.round(x[i] @ x[j], 12) >= 0.7)) for i, row in enumerate(want) for n, j in enumerate(row)}
+    assert samples == ["item_id"]  # the items were sampled once more, as queries
+
+
+def test_samples_of_rows_without_vectors_and_of_one_key(spark):
+    from lapwing.operators.cells import sample_of
+    from lapwing.sources.shared import least_hashes
+
+    rows = spark.range(3000, numPartitions=5).select(F.col("id").alias("item_id"), F.when(F.col("id") % 5 > 2, F.array(F.col("id").cast("double"))).alias("vec"))
+    for some, most in ((rows, 100), (rows, 1100), (rows.filter("vec is not null"), 40), (rows.filter("vec is not null").withColumn("item_id", F.lit(7).cast("long")), 30), (rows.filter("false"), 10)):
+        ids, v = sample_of(some, "item_id", most)
+        want = [r.item_id for r in least_hashes(some.filter("vec is not null").select("item_id", "vec"), "item_id", most).collect()]
+        assert ids.tolist() == want and len(v) == len(want)
