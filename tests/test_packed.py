@@ -184,6 +184,29 @@ def clusters_and_noise() -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def test_any_hit_keeps_only_hits_in_tasks(spark, monkeypatch):
+    from lapwing.operators import bounded, serve
+
+    x = clusters_and_noise()
+    items = spark.createDataFrame([(i, i // 2, [float(c) for c in r]) for i, r in enumerate(x)], "item_id long, sku_id long, vec array<double>").repartition(4)
+    queries = items.select(F.col("item_id").alias("query_id"), "vec")
+    near = np.round(x @ x.T, 12)
+    np.fill_diagonal(near, -1)
+    found = []
+    whole = bounded.top_k
+    monkeypatch.setattr(bounded, "top_k", lambda *a, **b: found.append(whole(*a, **b)) or found[-1])
+    for sent in (blocks.SENT_BYTES, 4000):
+        monkeypatch.setattr(blocks, "SENT_BYTES", sent)
+        monkeypatch.setattr(blocks, "_block_rows", lambda n: 40, raising=False)
+        for threshold in (0.6, 0.0):
+            got = {r.query_id: (r.is_duplicate, round(r.similarity, 9), r.n_hits) for r in serve.check_any(queries, items, threshold, same=True).collect()}
+            for i, row in enumerate(np.clip(near, 0, 1)):
+                hits = np.sort(row[np.arange(300) != i])[::-1][:5]
+                hits = hits[hits >= threshold]
+                assert got[i] == (len(hits) > 0, round(float(hits.max()), 9) if len(hits) else 0.0, len(hits)), (i, threshold)
+    assert found[-2].count() < found[-1].count() == 1500  # what is under .6 was carried to the end before
+
+
 def test_tags_take_the_vectors_of_one_sample(spark, monkeypatch):
     from lapwing.operators import bounded, serve
 
