@@ -6,8 +6,10 @@ cut there). Both tokenizers treat blank-separated words alone, so each distinct
 once, all of them in one array, and a document is the sum of its words. Where a tokenizer has pieces that cross a blank, or does not
 split there, whole texts take the place of words.
 
-Documents are dealt to chunks of about ``CHUNK_BYTES`` by a hash. A chunk sends its linked id pairs once, with counts; totals are summed, and each
-chunk gets the totals of its own pairs back. Neither the pairs nor the totals go through the driver or to all tasks.
+Documents are dealt to chunks of about ``CHUNK_BYTES`` by a hash, and each chunk is encoded and aligned once. What it found is written to a table:
+its documents as numbers of its words, its words as places in its linked id pairs, and these pairs with counts. Totals are summed, each chunk gets
+the totals of its own pairs back and adds them up by those numbers; texts are not read again. Neither the pairs nor the totals go through the driver
+or to all tasks.
 
 Defined results for odd input: a null or empty text, or one that either tokenizer does not spell byte by byte, has no tokens: zeros
 and no groups, and its links are not counted; a null doc_id is carried; repeated rows are documents each, and all count;
@@ -18,12 +20,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +37,15 @@ from lapwing.llm.packing import BLANK_RUN, _encoders
 #: Bytes of text in a chunk; bytes that are encoded at once.
 CHUNK_BYTES, PIECE_BYTES = 8_000_000, 1_000_000
 COUNTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long"
+#: An aligned chunk: a row per document, whose ``n_words`` words stand from ``start``, and one row of the chunk's own: the documents' words as
+#: numbers, how many links each distinct word has, these links one word after the other as places in ``pairs`` (all three ``packed``), how many
+#: links of the chunk hold each pair, and the distinct words' groups (deflated lines) where these are asked for.
+ALIGNED = (
+    "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, start long, n_words long, "
+    "words binary, sizes binary, links binary, groups binary, pairs array<long>, n array<long>"
+)
+_kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+_ALIGNED = pa.schema([(name, _kinds[kind]) for name, kind in map(str.split, ALIGNED.split(", "))])
 _beside_blank = re.compile(r" \s|\s |^ | $")
 _between_words = re.compile(r"(?<=\S) (?=\S)")
 _long_blank = re.compile(rf"\s{{{BLANK_RUN},}}")
@@ -64,11 +77,11 @@ class Tokenizers:
         ids = range(max(len(self.bytes_a), len(self.bytes_b)))
         self.spelt = np.array([[f"{k}{mark}" for k in ids] for mark in ",|;"], object)
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, text: str) -> tuple[list[int], list[int]]:
         """Ids of blank + ``text`` by A and of ``text`` by B, which puts the blank itself."""
         slow = self.fast is None or (len(text) >= BLANK_RUN and _long_blank.search(text))
         a = self.exact.encode(" " + text, add_special_tokens=False).ids if slow else self.fast.encode_ordinary(" " + text)
-        return np.array(a, np.int64), np.array(self.b.encode(text), np.int64)
+        return a, self.b.encode(text)
 
     def words(self, text: str) -> list[str]:
         """``text`` cut at blanks between words; the blank belongs to the word behind it."""
@@ -92,10 +105,6 @@ class Words:
     pairs: np.ndarray
     groups: list[str]
 
-    @property
-    def ends(self) -> np.ndarray:
-        return np.concatenate([[0], np.cumsum(self.n[:, 3])])
-
 
 def owners(sizes: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(sizes)), sizes)
@@ -110,6 +119,7 @@ def align(words: Sequence[str], t: Tokenizers) -> Words:
         if len(words) == 1:
             return Words(np.zeros((1, 4), np.int64), np.zeros(1, bool), np.empty(0, np.int64), [""])
         return joined([align(x, t) for x in (words[: len(words) // 2], words[len(words) // 2 :])])
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
     size_a, size_b = t.size_a[a], t.size_b[b]
     own_a, own_b = owners(size_a), owners(size_b)
     new_a, new_b = (np.diff(x, prepend=-1) != 0 for x in (own_a, own_b))
@@ -172,24 +182,36 @@ class Chunk:
         rows = [place[r] for r in rows]
         self.rows = [r if len(r) and self.words.spelt[r].all() else r[:0] for r in rows]
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct linked id pairs and how many links of the chunk hold them."""
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct linked id pairs, how many links of the chunk hold them, and the place among them of each link of the words. A link of a
+        word that stands only in documents without tokens has any place."""
         times = np.bincount(np.concatenate([np.empty(0, np.int64), *self.rows]), minlength=len(self.words.n))
         pairs, which = np.unique(self.words.pairs, return_inverse=True)
         n = np.bincount(which, weights=np.repeat(times, self.words.n[:, 3]), minlength=len(pairs)).astype(np.int64)
-        return pairs[n > 0], n[n > 0]
+        return pairs[n > 0], n[n > 0], np.maximum(np.cumsum(n > 0) - 1, 0)[which]
 
-    def sums(self, of_words: np.ndarray) -> np.ndarray:
-        """Sums over each document's words."""
-        return np.array([of_words[r].sum(axis=0) for r in self.rows], np.int64).reshape(len(self.rows), *of_words.shape[1:])
+    def groups(self) -> list[str]:
+        return [grouped(self.words.groups, r) for r in self.rows]
 
-    def over_links(self, values: np.ndarray) -> np.ndarray:
-        """Sums of ``values``, one for each link, over each word's links."""
-        upto, ends = np.concatenate([[0], np.cumsum(values)]), self.words.ends
-        return upto[ends[1:]] - upto[ends[:-1]]
 
-    def groups(self) -> list[str]:
-        return ["".join(map(self.words.groups.__getitem__, r.tolist()))[:-1] for r in self.rows]
+def grouped(groups: Sequence[str], words: np.ndarray) -> str:
+    """The groups of a document of these words, as text."""
+    return "".join(map(groups.__getitem__, words.tolist()))[:-1]
+
+
+def run_sums(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of ``sizes[i]`` values from ``starts[i]``."""
+    upto = np.concatenate([np.zeros((1, *values.shape[1:]), np.int64), np.cumsum(values, axis=0)])
+    return upto[starts + sizes] - upto[starts]
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers under 2**32, deflated. Their lowest bytes come first and their highest last: most numbers are small, so these are runs of zeros."""
+    return zlib.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
 def _dealt(docs: DataFrame) -> DataFrame:
@@ -200,12 +222,32 @@ def _dealt(docs: DataFrame) -> DataFrame:
     return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(chunks)))
 
 
-def _chunk_pairs(dealt: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs, n = Chunk(pdf["text"].tolist(), tokenizers(path_a, path_b)).pairs()
-        return pd.DataFrame({"from_chunk": np.full(len(pairs), key[0]), "pair": pairs, "n": n})
+def _aligned(docs: DataFrame, path_a: str, path_b: str, whole_groups: bool) -> DataFrame:
+    """Aligned chunks of ``docs``, as ``ALIGNED`` says; digests of the groups or, with ``whole_groups``, the words' groups."""
+
+    def chunk_rows(key: tuple, rows: pa.Table) -> pa.Table:
+        chunk = Chunk(rows["text"].to_pylist(), tokenizers(path_a, path_b))
+        words, n_words = np.concatenate(chunk.rows), np.array([len(r) for r in chunk.rows], np.int64)
+        start = np.cumsum(n_words) - n_words
+        counts = dict(zip(("n_a", "n_b", "n_groups", "n_links"), run_sums(chunk.words.n[words], start, n_words).T))
+        documents = {"doc_id": rows["doc_id"], **counts, "start": start, "n_words": n_words}
+        pairs, n, links = chunk.pairs()
+        own = {"words": packed(words), "sizes": packed(chunk.words.n[:, 3]), "links": packed(links), "pairs": pairs.tolist(), "n": n.tolist()}
+        if whole_groups:
+            own["groups"] = zlib.compress("\n".join(chunk.words.groups).encode(), 1)
+        else:
+            documents["groups_sha256"] = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in chunk.groups()]
+        own = {c: pa.array([x], _ALIGNED.field(c).type) for c, x in own.items()}
+        parts = [pa.table(x | {"chunk": pa.repeat(key[0], size)}) for x, size in ((documents, len(rows)), (own, 1))]
+        return pa.concat_tables([_ALIGNED.empty_table(), *parts], promote_options="default")
+
+    return _dealt(docs).groupBy("chunk").applyInArrow(chunk_rows, ALIGNED)
+
 
-    return dealt.groupBy("chunk").applyInPandas(count, "from_chunk long, pair long, n long")
+def _chunk_pairs(aligned: DataFrame) -> DataFrame:
+    """(from_chunk, pair, n)"""
+    each = aligned.filter("pairs IS NOT NULL").select("chunk", F.explode(F.arrays_zip("pairs", "n")).alias("x"))
+    return each.select(F.col("chunk").alias("from_chunk"), F.col("x.pairs").alias("pair"), F.col("x.n").alias("n"))
 
 
 def _totals(counted: DataFrame) -> DataFrame:
@@ -218,7 +260,7 @@ def _totals(counted: DataFrame) -> DataFrame:
 
 def id_pairs(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(a_id, b_id, n_links, best): id pairs that are linked in ``docs`` (doc_id, text), with their links, and whether no A id is linked to the B id more often."""
-    totals = _totals(_chunk_pairs(_dealt(docs), path_a, path_b))
+    totals = _totals(_chunk_pairs(_aligned(docs, path_a, path_b, False)))
     return totals.select(F.shiftright("pair", 32).cast("int").alias("a_id"), F.col("pair").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("b_id"), F.col("total").alias("n_links"), "best")
 
 
@@ -226,22 +268,24 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, whole_groups: boo
     """A row per row of ``docs`` (doc_id, text): tokens of A and B, groups, links, links whose id pair is the best of its B id, the sum of the pairs'
     corpus-wide links over the links, and ``groups`` as text (``a1,a2|b1;a3|b2,b3``). That text is about five times the
     document; with ``whole_groups=False`` its digest is made in the task (``groups_sha256``, '' without tokens)."""
-    dealt = _dealt(docs)
-    counted = table(_chunk_pairs(dealt, path_a, path_b), "id-pairs")
+    aligned = table(_aligned(docs, path_a, path_b, whole_groups), "aligned-chunks")
+    counted = _chunk_pairs(aligned)
     answers = counted.select("from_chunk", "pair").join(_totals(counted), "pair")
     last = "groups" if whole_groups else "groups_sha256"
 
-    def finish(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        chunk = Chunk(rows["text"].tolist(), tokenizers(path_a, path_b))
-        known = known.sort_values("pair")
-        at = np.searchsorted(known["pair"].to_numpy(), chunk.words.pairs)
-        at[at == len(known)] = 0  # pairs of documents without tokens: no document counts them
-        value = lambda c: chunk.over_links(known[c].to_numpy(np.int64)[at] if len(known) else np.zeros(len(at), np.int64))
-        n = chunk.sums(np.column_stack([chunk.words.n, value("best"), value("total")]))
-        groups = chunk.groups()
-        out = pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64").to_numpy(), **dict(zip(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), n.T))})
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        out[last] = groups if whole_groups else [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
-        return out
-
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("from_chunk")).applyInPandas(finish, f"{COUNTS}, {last} string")
+    def finish(rows: pa.Table, known: pa.Table) -> pa.Table:
+        documents, own = rows.filter(pc.is_null(rows["words"])), rows.filter(pc.is_valid(rows["words"])).to_pylist()[0]
+        words, sizes, links = (unpacked(own[c]) for c in ("words", "sizes", "links"))
+        start, n_words = (documents[c].to_numpy() for c in ("start", "n_words"))
+        known = known.sort_by("pair")
+        values = np.column_stack([known[c].cast(pa.int64()).to_numpy() for c in ("best", "total")])
+        # Without any pair there are only documents without tokens.
+        of_words = run_sums(values[links], np.cumsum(sizes) - sizes, sizes) if len(values) else np.zeros((len(sizes), 2), np.int64)
+        best, total = run_sums(of_words[words], start, n_words).T
+        out = documents.select(["doc_id", "n_a", "n_b", "n_groups", "n_links"]).append_column("n_best", pa.array(best)).append_column("count_sum", pa.array(total))
+        if not whole_groups:
+            return out.append_column(last, documents[last])
+        groups = zlib.decompress(own["groups"]).decode().split("\n")
+        return out.append_column(last, pa.array([grouped(groups, words[i : i + n]) for i, n in zip(start, n_words)], pa.string()))
+
+    return aligned.drop("pairs", "n").groupBy("chunk").cogroup(answers.groupBy("from_chunk")).applyInArrow(finish, f"{COUNTS}, {last} string")

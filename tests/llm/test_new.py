@@ -135,6 +135,21 @@ def test_alignment(spark):
     assert alignment.align_documents(docs.filter("false"), *PATHS).isEmpty()
 
 
+def test_alignment_reads_texts_once(spark, tmp_path):
+    big = 2**60 + 1
+    rows = [(big, "the cat sat"), (None, "the end"), (big + 1, None), (7, "bad \ufffe the")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/texts")
+    docs = spark.read.parquet(f"{tmp_path}/texts")
+    for whole in (True, False):
+        out = alignment.align_documents(docs, *PATHS, whole_groups=whole)
+        assert not any("texts" in f for f in out.inputFiles())  # the second pass goes by the table of aligned chunks
+        assert {r.doc_id for r in out.collect()} == {d for d, _ in rows}
+    for x in ([], [0], [7, 2**32 - 1, 256, 0, 65_536]):
+        assert alignment.unpacked(alignment.packed(np.array(x, np.int64))).tolist() == x
+    unspelt = spark.createDataFrame([(1, None), (2, ""), (3, "x▁y z")], "doc_id long, text string")  # no link at all
+    assert sorted(map(tuple, alignment.align_documents(unspelt, *PATHS).collect())) == [(k, 0, 0, 0, 0, 0, 0, "") for k in (1, 2, 3)]
+
+
 # Toxicity
 
 
