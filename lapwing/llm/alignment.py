@@ -270,7 +270,8 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, whole_groups: boo
     document; with ``whole_groups=False`` its digest is made in the task (``groups_sha256``, '' without tokens)."""
     aligned = table(_aligned(docs, path_a, path_b, whole_groups), "aligned-chunks")
     counted = _chunk_pairs(aligned)
-    answers = counted.select("from_chunk", "pair").join(_totals(counted), "pair")
+    # As a table of its own: the shuffled texts are dropped before the aligned chunks are shuffled.
+    answers = table(counted.select("from_chunk", "pair").join(_totals(counted), "pair"), "answers")
     last = "groups" if whole_groups else "groups_sha256"
 
     def finish(rows: pa.Table, known: pa.Table) -> pa.Table:
