@@ -97,6 +97,42 @@ def test_mining_is_fed_in_bounded_files(spark, data, monkeypatch):
     assert not got.isEmpty()
 
 
+def test_mining_has_few_state_partitions_and_files_without_vectors(spark, data, monkeypatch):
+    import os
+
+    from lapwing.plans import search_queries
+
+    fed = []
+    whole = search_queries._fed
+    monkeypatch.setattr(search_queries, "_fed", lambda *a, **k: fed.append(whole(*a, **k)) or fed[-1])
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        want = search_queries.stream_mining(spark, data).count()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "24"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    folder = fed[0].removeprefix("file://").replace("file:", "")
+    assert len([x for x in os.listdir(f"{folder}/log/state/0") if x.isdigit()]) == 16  # one for each of any number of shuffle partitions before
+    assert "vec" not in spark.read.parquet(f"{fed[0]}/in").columns and want > 0
+
+
+def test_arrivals_are_packed_as_they_are():
+    import pyarrow as pa
+
+    from lapwing.streaming.mining import pack_arrivals
+
+    v = [[0.5, 1.0], [0.25, 2.0], [1 / 3, 0.0]]
+    batch = lambda some: pa.RecordBatch.from_pydict({"bank": ["a", None, "a"][: len(some)], "seq": [3, 1, 2][: len(some)], "sku_id": [7, 8, 9][: len(some)], "vec": pa.array(some, pa.list_(pa.float64()))})
+    for some, single in ((v, False), (v[:2], True)):
+        (out,) = pack_arrivals([batch(some), batch([])])
+        got = {}
+        for r in out.to_pylist():
+            assert r["single"] == single
+            x = np.frombuffer(r["vecs"], np.float32 if single else np.float64).reshape(-1, 2)
+            got |= {(r["bank"], int(a), int(b)): c.tolist() for a, b, c in zip(np.frombuffer(r["seqs"], np.int64), np.frombuffer(r["skus"], np.int64), x)}
+        assert got == {(b, s, k): x for b, s, k, x in zip(["a", None, "a"], [3, 1, 2], [7, 8, 9], some)}
+
+
 @pytest.mark.parametrize("thresholds", [[0.5, 0.2], [0.0], [-3.0], [50.0]])
 def test_counts_of_all_pairs_move_no_copies(spark, monkeypatch, thresholds):
     from lapwing.operators import threshold
