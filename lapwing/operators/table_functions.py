@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.operators.blocks import Best, _best, met, packed
+from lapwing.operators.blocks import PAIRED, Best, PairedBest, _best, floored, merged, met, met_once, packed
 
 
 class BlockTopK:
@@ -68,15 +68,54 @@ class NearestBlocks:
             self.best = None
 
 
+class PairedBlocks:
+    """``paired_blocks(TABLE(pairs))`` of ``block_pairs_once``, in Arrow batches: for each block, packed, the ``k`` items of largest product that its items found in a partition
+    of the pairs."""
+
+    def __init__(self) -> None:
+        self.found: PairedBest | None = None
+
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        if rows.num_rows:
+            self.found = self.found or PairedBest(rows.column("k")[0].as_py(), True, 12)
+            self.found.add(rows)
+        return iter(())
+
+    def terminate(self) -> Iterator[pa.Table]:
+        if self.found is not None:
+            for batch in self.found.packed():
+                yield pa.Table.from_batches([batch.append_column("k", pa.array([self.found.k], pa.int32()))])
+
+
+class RankedBlocks:
+    """``ranked_blocks(TABLE(found) PARTITION BY block)`` of what ``paired_blocks`` gives, in Arrow batches: the ``k`` items of largest product for each query, ranked."""
+
+    def __init__(self) -> None:
+        self.rows: list[pa.RecordBatch] = []
+
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        self.rows.append(rows)
+        return iter(())
+
+    def terminate(self) -> Iterator[pa.Table]:
+        if self.rows:
+            rows = pa.Table.from_batches(self.rows).to_pandas()
+            best = merged(rows, int(rows["k"].iloc[0]), 12)
+            yield _table(best).add_column(1, "rank", pa.array(best["rank"], pa.int64()))
+
+
 def _table(best: pd.DataFrame) -> pa.Table:
     return pa.table({"query_id": pa.array(best["query_id"], pa.int64()), "item_id": pa.array(best["item_id"], pa.int64()), "similarity": pa.array(np.round(best["similarity"], 12), pa.float64())})
 
 
 FOUND = "query_id long, item_id long, similarity double"
+RANKED = "query_id long, rank long, item_id long, similarity double"
 
 
 def register(spark: SparkSession) -> None:
-    """Makes ``nearest``, ``nearest_blocks`` and ``block_topk`` known to SQL."""
+    """Makes ``nearest``, ``nearest_blocks``, ``paired_blocks``, ``ranked_blocks`` and ``block_topk`` known to SQL."""
+    spark.udtf.register("paired_blocks", F.arrow_udtf(PairedBlocks, returnType=PAIRED + ", k int"))
+    spark.udtf.register("ranked_blocks", F.arrow_udtf(RankedBlocks, returnType=RANKED))
     spark.udtf.register("nearest_blocks", F.arrow_udtf(NearestBlocks, returnType=FOUND))
     spark.udtf.register("nearest", F.arrow_udtf(Nearest, returnType=FOUND))
     spark.udtf.register("block_topk", F.udtf(BlockTopK, returnType=FOUND))  # lateral joins take no Arrow table function
@@ -105,6 +144,11 @@ def block_pairs(queries: DataFrame | None, items: DataFrame, k: int, n_rows: int
     return met(held if queries is None else packed(queries, "query_id", n_rows=n_rows), held).withColumn("k", F.lit(k))
 
 
+def block_pairs_once(items: DataFrame, k: int, n_rows: int) -> DataFrame:
+    """``met_once`` of blocks of items (item_id, vec), whose ids are all different, with ``k``."""
+    return met_once(floored(items, k, True, 12, n_rows), ["floors"], n_rows).withColumn("k", F.lit(k))
+
+
 def packed_blocks(rows: DataFrame, key: str, blocks: int) -> DataFrame:
     """(block, ids, vecs): rows (key, vec) dealt to ``blocks``, each a row with its ids and vectors packed."""
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

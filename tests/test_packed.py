@@ -133,6 +133,16 @@ def test_arrivals_are_packed_as_they_are():
         assert got == {(b, s, k): x for b, s, k, x in zip(["a", None, "a"], [3, 1, 2], [7, 8, 9], some)}
 
 
+def test_sql_topk_moves_packed_blocks(spark, data, monkeypatch):
+    from lapwing.plans import search_queries
+
+    monkeypatch.setattr(blocks, "_block_rows", lambda n: 60)
+    out = search_queries.sql_topk(spark, data)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, search_queries.exact_topk(spark, data).collect()))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "a_block" in plan and "Window" not in plan  # every two blocks met twice and gave their rows one by one to a window
+
+
 @pytest.mark.parametrize("sent", [blocks.SENT_BYTES, 4000])
 def test_sweep_takes_each_product_once(spark, monkeypatch, sent):
     from lapwing.operators import search
