@@ -10,17 +10,19 @@ table of the batch before it and replaces what it wrote; folders are deleted one
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lapwing.operators.bounded import CellIndex, _orders, _visited, packed_parts
+from lapwing.operators.blocks import BLOCK_ROWS, NEAR, Best, met, packed
 from lapwing.operators.cells import SINGLE_SLACK, Cells, measured, placed
-from lapwing.sources.shared import stored
+from lapwing.sources.shared import stored, temporary
 
 ROWS = "item_id long, sku_id long, vec binary, angle double, norm double, level int, batch long, cell int"
 FIGURES = "level int, batch long, cell int, radius double, norm double, n long"
@@ -91,28 +93,62 @@ class GrowingIndex:
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/rows/level={level}/batch={number}")
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
-    def near(self, queries: DataFrame, live: pd.DataFrame, threshold: float, k: int) -> DataFrame:
-        """(query_id, item_id, similarity): for each of ``queries`` (query_id, vec), the best of each cell's part among the live rows, ``k`` at most, that reach the threshold."""
-        return self._near(queries, self.rows(queries.sparkSession, live), self.cells(live), threshold, k, False)
-
-    def within(self, items: DataFrame, threshold: float, k: int) -> DataFrame:
-        """The same among ``items`` (item_id, vec) themselves, each against those of smaller ids. Of equal vectors, the ``k`` of least id stand for all: if more come before an item, these do."""
-        least = Window.partitionBy("vec").orderBy("item_id")
-        some = items.withColumn("n", F.row_number().over(least)).filter(F.col("n") <= k).drop("n")
-        rows = stored(placed(some, self.centres), "batch")
-        return self._near(items.withColumnRenamed("item_id", "query_id"), rows, measured(rows, self.centres), threshold, k, True)
-
-    def _near(self, queries: DataFrame, rows: DataFrame, cells: Cells, threshold: float, k: int, earlier: bool, part_rows: int = 20_000) -> DataFrame:
-        spark = queries.sparkSession
-        if not cells.rows.any():
-            return spark.createDataFrame([], "query_id long, item_id long, similarity double")
-        asked = stored(_orders(queries, cells), "asked")
-        open_cells = F.slice("open", F.lit(1), F.size(F.filter("bounds", lambda b: b >= threshold - SINGLE_SLACK)))
-        visits = asked.select("query_id", "vec", F.explode(open_cells).alias("cell"))
-        few = visits.filter("cell >= 0").select("cell").distinct()
-        rows = rows.join(F.broadcast(few), "cell", "left_semi")
-        parts = stored(packed_parts(CellIndex(rows.select("item_id", "vec", "cell"), cells), part_rows), "parts")
-        return _visited(visits, parts, k, True, 12, 4096, threshold, earlier).withColumn("similarity", F.round("similarity", 12))
+    def near(self, asked: DataFrame, rows: DataFrame, live: pd.DataFrame, threshold: float, k: int) -> DataFrame:
+        """(query_id, item_id, similarity): for each of ``asked``, ``packed`` queries, the best of each part of the live rows, ``k`` at most, that reach the threshold."""
+        return _near(asked, rows, self.cells(live), threshold, k, False)
+
+    def within(self, asked: DataFrame, items: DataFrame, threshold: float, k: int) -> DataFrame:
+        """The same among ``items`` (item_id, vec), which are the queries, each against those of smaller ids."""
+        rows = placed(items, self.centres)
+        return _near(asked, rows, measured(rows, self.centres), threshold, k, True)
+
+
+def _near(asked: DataFrame, rows: DataFrame, cells: Cells, threshold: float, k: int, earlier: bool) -> DataFrame:
+    """Blocks of queries meet blocks of rows in a Cartesian product, so neither is copied for cells, and a task holds two blocks. What lies in cells that hold nothing at the threshold
+    for a query is not multiplied where these are many. Of equal vectors, the ``k`` of least id stand for all: if more come before an item, these do."""
+    if not cells.rows.any():
+        return asked.sparkSession.createDataFrame([], NEAR)
+    least = Window.partitionBy("vec").orderBy("item_id")
+    rows = rows.select("item_id", "vec", "cell").withColumn("n", F.row_number().over(least)).filter(F.col("n") <= k).drop("n")
+    held = packed(ranged(rows, "item_id", int(cells.rows.sum())) if earlier else rows.sortWithinPartitions("cell"), "item_id", ["cell"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, open_ = None, None
+
+        def found() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pandas(best.found(), preserve_index=False)
+
+        for batch in batches:
+            part = lambda name, i, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)  # noqa: E731, B023
+            for i in range(batch.num_rows):
+                if batch.column("a_ids")[i].is_valid:
+                    if best is not None:
+                        yield found()
+                    own = part("a_ids", i, np.int64).copy()
+                    q = part("a_vecs", i, np.float64).reshape(len(own), -1).copy()
+                    best = Best(own, q, k, True, 12, turns=own if earlier else None, floor=threshold)
+                    open_ = np.concatenate([~(cells.bounds(q[at : at + 1024]) < threshold - SINGLE_SLACK) for at in range(0, len(q), 1024)])
+                ids, cell = part("b_ids", i, np.int64), part("b_cell", i, np.int64)
+                if earlier and ids.min() >= best.ids.max():
+                    continue
+                v, turns = part("b_vecs", i, np.float64).reshape(len(ids), -1), ids if earlier else None
+                names, n = np.unique(cell, return_counts=True)
+                share = open_[:, names].mean(axis=0)
+                if share @ n > 0.5 * len(ids):
+                    best.meet(ids, v, turns=turns)
+                    continue
+                for c in names[share > 0]:
+                    at = np.flatnonzero(cell == c)
+                    best.meet(ids[at], v[at], turns=ids[at] if earlier else None, some=np.flatnonzero(open_[:, c]))
+        if best is not None:
+            yield found()
+
+    return met(asked, held, (), ["cell"]).mapInArrow(work, NEAR).withColumn("similarity", F.round("similarity", 12))
+
+
+def ranged(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """``rows`` in the order of ``key``, so that blocks of them hold stretches of it."""
+    return rows.repartitionByRange(max(1, n // (4 * BLOCK_ROWS)), key).sortWithinPartitions(key)
 
 
 def check_then_index(arrivals: DataFrame, index: GrowingIndex, out_path: str, checkpoint: str, threshold: float = 0.86, k: int = 5) -> StreamingQuery:
@@ -121,15 +157,17 @@ def check_then_index(arrivals: DataFrame, index: GrowingIndex, out_path: str, ch
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = stored(batch.select("item_id", "sku_id", "vec"), "arrivals")
-        live = index.live(spark, number - 1)
-        queries = rows.select(F.col("item_id").alias("query_id"), "vec")
-        found = index.near(queries, live, threshold, k).unionByName(index.within(rows.select("item_id", "vec"), threshold, k))
-        hits = found.groupBy("query_id").agg(F.max("similarity").alias("similarity"), F.least(F.count("*"), F.lit(k)).alias("n_hits"))
-        out = queries.select("query_id").join(hits, "query_id", "left")
-        out = out.select("query_id", F.col("n_hits").isNotNull().alias("is_duplicate"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("n_hits", F.lit(0).cast("long")).alias("n_hits"))
-        folders = len({(a, b) for a, b in zip(live["level"], live["batch"])})
-        out.withColumn("folders", F.lit(folders)).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        index.add(rows, number)
+        with temporary(spark):
+            rows = stored(batch.select("item_id", "sku_id", "vec"), "arrivals")
+            live = index.live(spark, number - 1)
+            queries = rows.select(F.col("item_id").alias("query_id"), "vec")
+            asked = packed(ranged(queries, "query_id", rows.count()), "query_id")
+            found = index.near(asked, index.rows(spark, live), live, threshold, k).unionByName(index.within(asked, rows.select("item_id", "vec"), threshold, k))
+            hits = found.groupBy("query_id").agg(F.max("similarity").alias("similarity"), F.least(F.count("*"), F.lit(k)).alias("n_hits"))
+            out = queries.select("query_id").join(hits, "query_id", "left")
+            out = out.select("query_id", F.col("n_hits").isNotNull().alias("is_duplicate"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("n_hits", F.lit(0).cast("long")).alias("n_hits"))
+            folders = len({(a, b) for a, b in zip(live["level"], live["batch"])})
+            out.withColumn("folders", F.lit(folders)).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+            index.add(rows, number)
 
     return arrivals.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -68,3 +68,39 @@ def test_growing_index_merges_batches(spark, tmp_path):
     import os
 
     assert len([d for level in os.listdir(tmp_path / "index" / "rows") for d in os.listdir(tmp_path / "index" / "rows" / level) if d.startswith("batch")]) <= 9
+
+
+def test_growing_index_copies_no_vectors_for_cells(spark, tmp_path, monkeypatch):
+    from lapwing.operators.cells import sampled_centres
+    from lapwing.sources import shared
+    from lapwing.streaming import growing
+
+    x = clustered(10, 24, 16, 0.15)
+    x[30:60] = x[30]
+    x = x[np.random.default_rng(1).permutation(len(x))]
+    items = frame(spark, x).select("item_id", "sku_id", "vec")
+    index = growing.GrowingIndex.create(spark, str(tmp_path / "index"), sampled_centres(items))
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 40)
+    stored = []
+    with shared.temporary(spark):
+        new = items.filter("item_id >= 120")
+        live = index.add(items.filter("item_id < 120"), 0)
+        asked = blocks.packed(growing.ranged(new.withColumnRenamed("item_id", "query_id"), "query_id", 120), "query_id")
+        stored += [p for _, p in shared._STORED[-1:]]
+        near = np.round(x @ x.T, 12)
+        for threshold in (0.8, -2.0):  # some cells are open, and all
+            old, own = index.near(asked, index.rows(spark, live), live, threshold, 4), index.within(asked, new.select("item_id", "vec"), threshold, 4)
+            for found, first in ((old, 0), (own, 120)):
+                plan = found._jdf.queryExecution().toString()
+                assert "CartesianProduct" in plan and "CoGroup" not in plan  # each part of a cell was copied for each set of its queries
+                got = {}
+                for r in found.collect():
+                    got.setdefault(r.query_id, []).append(r.similarity)
+                for i in range(120, 240):
+                    want = sorted((s for s in near[i, first : 120 if not first else i] if s >= threshold), reverse=True)
+                    have = sorted(got.get(i, []), reverse=True)
+                    assert have[:1] == want[:1] and min(4, len(have)) == min(4, len(want))
+        assert spark.read.parquet(stored[0]).count() > 0
+    import os
+
+    assert not os.path.exists(stored[0].removeprefix("file://"))  # tables of a micro-batch stayed until the session's end
